@@ -73,7 +73,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         lost(r"\p{Lu}").alias("n_upper"),
-        lost(r"\|").alias("n_bars"),
+        (F.char_length("_t") - F.char_length(F.replace("_t", F.lit("|"), F.lit("")))).cast("long").alias("n_bars"),
         F.expr("length(bin(size(words)))").alias("shift"),
     )
     packed = F.expr(

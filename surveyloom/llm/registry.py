@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import license_scan, line_dedup, quality_rules
 
-MODULES = [quality_rules]
+MODULES = [license_scan, line_dedup, quality_rules]
 
 
 def queries() -> dict:
