@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, quality_rules
+from . import license_scan, line_dedup, minhash_dedup, packing, quality_rules
 
-MODULES = [license_scan, line_dedup, quality_rules]
+MODULES = [license_scan, line_dedup, quality_rules, minhash_dedup, packing]
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ a-z when asked. Texts are cut into blocks of bounded size, so memory doesn't fol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,26 @@ LOWER = lower_ascii()
 BYTE_VALUES = seeds(256)
 LOWER_VALUES = BYTE_VALUES[LOWER]
 BASE = 0x2545F4914F6CDD1D
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers; those of usual lengths are kept."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, BLOCK_BYTES // 2), base, U)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n > 4 * BLOCK_BYTES:
+            return out[:n]
+        _POWERS[base] = out
+    return _POWERS[base][:n]
+
+
+@cache
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
 
 
 class PrefixHash:
@@ -55,7 +69,7 @@ class PrefixHash:
     def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES, base: int = BASE):
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum(values[data] * powers(base, len(data)), out=self.sums[1:])
-        self.back = powers(pow(base, -1, 1 << 64), len(data) + 1)
+        self.back = powers(_inverse(base), len(data) + 1)
 
     def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
@@ -131,7 +145,8 @@ def row_shingles(names: np.ndarray, pointer: np.ndarray, k: int) -> Iterator[np.
     grams = gram_names(names, k)
     for a, b in zip(pointer[:-1].tolist(), pointer[1:].tolist()):
         if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
+            row = np.sort(grams[a : b - k + 1])
+            yield row[np.append(True, row[1:] != row[:-1])]
         elif b > a:
             yield gram_names(np.append(names[a:b], U(b - a)), b - a + 1)
         else:
