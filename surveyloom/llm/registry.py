@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, minhash_dedup, packing, quality_rules
+from . import license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, toxicity
 
-MODULES = [license_scan, line_dedup, quality_rules, minhash_dedup, packing]
+MODULES = [license_scan, line_dedup, quality_rules, minhash_dedup, packing, quality_classifier, toxicity]
 
 
 def queries() -> dict:
