@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, toxicity
+from . import decontaminate, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, repeats, token_files, toxicity
 
-MODULES = [license_scan, line_dedup, quality_rules, minhash_dedup, packing, quality_classifier, toxicity]
+MODULES = [license_scan, line_dedup, quality_rules, minhash_dedup, packing, token_files, quality_classifier, decontaminate, toxicity, repeats]
 
 
 def queries() -> dict:
