@@ -1 +1,153 @@
-"""Queries."""
+"""Joins, ordered series, sorts and set operations."""
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import joins as J
+from ..operators import series as S
+from .fixtures import WITH, dwellings, persons
+from .registry import query
+
+_SERIES = "with s as (select c_nationkey nation, year(o_orderdate)::int ano, sum(o_totalprice) v, count(*) n from orders join customer on o_custkey = c_custkey group by all) "
+
+
+def series(spark, d):
+    o, c = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("ano")).agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n"))
+
+
+@query("w01_change", _SERIES + "select nation, ano, round(v - lag(v) over w, 4) diff, round(100 * (v - lag(v) over w) / lag(v) over w, 6) pct from s window w as (partition by nation order by ano)")
+def w01(spark, d):
+    return S.change(series(spark, d), ["nation"], "ano", "v").select("nation", "ano", F.round("diff", 4).alias("diff"), F.round("pct", 6).alias("pct"))
+
+
+@query("w02_lagged_correlation", _SERIES + """, p as (select nation, k lag, case k when 0 then n when 1 then lag(n, 1) over w else lag(n, 2) over w end x, v y from s, range(3) t(k) window w as (partition by nation, k order by ano)),
+ r as (select *, rank() over (partition by nation, lag order by x) + (count(*) over (partition by nation, lag, x) - 1) / 2.0 rx, rank() over (partition by nation, lag order by y) + (count(*) over (partition by nation, lag, y) - 1) / 2.0 ry from p where x is not null)
+ select nation, lag::int lag, count(*) n, round(corr(x, y), 6) pearson, round(corr(rx, ry), 6) spearman from r group by nation, lag""")
+def w02(spark, d):
+    return S.lagged_correlation(series(spark, d), "nation", "ano", "n", "v", [0, 1, 2]).withColumns({"pearson": F.round("pearson", 6), "spearman": F.round("spearman", 6)})
+
+
+@query("w03_against_first", _SERIES + "select nation, ano, round(v - first_value(v) over (partition by nation order by ano), 4) d from s")
+def w03(spark, d):
+    return series(spark, d).select("nation", "ano", F.round(F.col("v") - F.first("v").over(Window.partitionBy("nation").orderBy("ano")), 4).alias("d"))
+
+
+@query("w04_top_n", "select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int r from orders) where r <= 2")
+def w04(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("r")).where("r <= 2")
+
+
+@query("w05_first_per_key", "select o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) o_orderkey from orders group by 1")
+def w05(spark, d):
+    return S.first_per_key(spark.read.parquet(f"{d}/orders.parquet"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("w06_best_dates", "with m as (select event_type, ts::date dia, avg(value) m from events group by all), b as (select * from (select *, row_number() over (partition by event_type order by m desc, dia) r from m) where r <= 3) select event_id from events e semi join b on e.event_type = b.event_type and e.ts::date = b.dia")
+def w06(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet").withColumn("dia", F.to_date("ts"))
+    m = ev.groupBy("event_type", "dia").agg(F.avg("value").alias("m"))
+    best = m.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("m"), "dia"))).where("r <= 3")
+    return ev.join(best, ["event_type", "dia"], "left_semi").select("event_id")
+
+
+@query("w07_runs", _SERIES + ", g as (select nation, ano, ano - row_number() over (partition by nation order by ano) g from s where n >= 80) select nation, min(ano) start, max(ano) \"end\", count(*) length from g group by nation, g")
+def w07(spark, d):
+    return S.runs(series(spark, d), ["nation"], "ano", F.col("n") >= 80)
+
+
+@query("w08_anchor_pairs", _SERIES + ", a as (select * from s where ano in (1995, 1998, 2001)) select * from (select nation, ano t0, lead(ano) over w t1, round(v, 4) v0, round(lead(v) over w, 4) v1 from a window w as (partition by nation order by ano)) where t1 is not null")
+def w08(spark, d):
+    return S.anchor_pairs(series(spark, d).where(F.col("ano").isin(1995, 1998, 2001)), ["nation"], "ano", "v").withColumns({"v0": F.round("v0", 4), "v1": F.round("v1", 4)})
+
+
+@query("w09_interpolation", _SERIES + """, k as (select nation, ano, case when ano in (1995, 1998, 2001) then v end known from s),
+ m as (select *, last_value(known ignore nulls) over b v0, last_value(case when known is not null then ano end ignore nulls) over b t0, first_value(known ignore nulls) over a v1, first_value(case when known is not null then ano end ignore nulls) over a t1 from k
+  window b as (partition by nation order by ano rows between unbounded preceding and current row), a as (partition by nation order by ano rows between current row and unbounded following))
+ select nation, ano, round(case when t0 = t1 then known when v0 is not null and v1 is not null then v0 * pow(v1 / v0, (ano - t0) / (t1 - t0)) end, 4) as value from m""")
+def w09(spark, d):
+    spine = series(spark, d).select("nation", "ano", F.when(F.col("ano").isin(1995, 1998, 2001), F.col("v")).alias("known"))
+    return S.geometric_interpolate(spine, ["nation"], "ano", "known").select("nation", "ano", F.round("value", 4).alias("value"))
+
+
+@query("w10_average_rank", WITH + "select pessoa, rank() over (partition by segmento order by idade) + (count(*) over (partition by segmento, idade) - 1) / 2.0 r from persons where idade is not null")
+def w10(spark, d):
+    return persons(spark, d).where("idade is not null").select("pessoa", S.average_rank("idade", ["segmento"]).alias("r"))
+
+
+@query("w12_period_sums", _SERIES + "select nation, t0, t1, round(sum(v), 4) as value from s join (values (1995, 1998), (1998, 2001)) p(t0, t1) on ano > t0 and ano <= t1 group by all")
+def w12(spark, d):
+    return S.period_sums(series(spark, d), ["nation"], "ano", "v", [(1995, 1998), (1998, 2001)]).withColumn("value", F.round("value", 4))
+
+
+@query("w14_peak", _SERIES + "select nation, arg_max(ano, v) ano, round(max(v), 4) v from s group by nation")
+def w14(spark, d):
+    return series(spark, d).groupBy("nation").agg(F.max_by("ano", "v").alias("ano"), F.round(F.max("v"), 4).alias("v"))
+
+
+@query("j01_enrich", WITH + "select pessoa, d.tipo from persons p join dwellings d on p.controle = d.controle where d.agua is not null")
+def j01(spark, d):
+    return persons(spark, d).join(dwellings(spark, d).where("agua is not null").select("controle", "tipo"), "controle").select("pessoa", "tipo")
+
+
+@query("j07_reconcile", "select coalesce(a.k, b.k) k, case when b.k is null then 'missing' when a.k is null then 'extra' when a.h is not distinct from b.h then 'equal' else 'different' end status from (select doc_id k, md5(text) h from documents where doc_id % 10 < 7) a full join (select doc_id k, md5(case when doc_id % 4 = 0 then text || 'x' else text end) h from documents where doc_id % 10 > 2) b on a.k = b.k")
+def j07(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    a = docs.where("doc_id % 10 < 7").select(F.col("doc_id").alias("k"), F.md5("text").alias("h"))
+    b = docs.where("doc_id % 10 > 2").select(F.col("doc_id").alias("k"), F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("h"))
+    return J.reconcile(a, b, ["k"], "h")
+
+
+@query("j08_nearest", "with l as (select s_nationkey g, s_suppkey k, s_acctbal x, s_suppkey * 1.0 y from supplier), r as (select c_nationkey g, c_custkey o, c_acctbal x, c_custkey * 1.0 y from customer) select g, k, arg_min(o, (d, o)) o, round(min(d), 6) distance from (select l.g, k, o, sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) d from l join r on l.g = r.g) group by g, k")
+def j08(spark, d):
+    l = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y"))
+    r = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("o"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
+    return J.nearest_in_group(l, r, "g", "k", "o", "x", "y").withColumn("distance", F.round("distance", 6))
+
+
+@query("j10_interpolate_lookup", WITH + "select pessoa, round(case when idade <= 10 then 0.5 when idade <= 40 then 0.5 + (idade - 10) * (0.9 - 0.5) / 30 when idade <= 70 then 0.9 + (idade - 40) * (0.7 - 0.9) / 30 when idade > 70 then 0.7 end::double, 8) as value, case when idade in (10, 40, 70) then 'exact' when idade > 10 and idade < 70 then 'between' when idade is not null then 'outside' end origin from persons")
+def j10(spark, d):
+    out = J.interpolate_lookup(persons(spark, d).select("pessoa", "idade"), "idade", [(10, 0.5), (40, 0.9), (70, 0.7)])
+    return out.select("pessoa", F.round("value", 8).alias("value"), "origin")
+
+
+@query("j12_point_in_zone", "select p.k, z from (select l_orderkey * 10 + l_linenumber k, l_partkey % 40 + 0.5 x, l_suppkey % 40 + 0.5 y from lineitem) p, (values ('a', 2, 3, 17, 21), ('b', 15, 10, 38, 30)) z(z, x0, y0, x1, y1) where x > x0 and x < x1 and y > y0 and y < y1")
+def j12(spark, d):
+    pts = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey * 10 + l_linenumber as k", "l_partkey % 40 + 0.5D as x", "l_suppkey % 40 + 0.5D as y")
+    box = lambda x0, y0, x1, y1: [(float(x0), float(y0)), (float(x1), float(y0)), (float(x1), float(y1)), (float(x0), float(y1))]
+    zones = spark.createDataFrame([("a", box(2, 3, 17, 21)), ("b", box(15, 10, 38, 30))], "z string, ring array<struct<x: double, y: double>>")
+    return J.point_in_zone(pts, zones, "x", "y", "z", "ring").select("k", "z")
+
+
+@query("j14_precedence", _SERIES + ", u as (select nation, ano, n, 0 source from s where ano % 3 = 0 union all select nation, ano, n + 1, 1 from s where ano % 2 = 0 union all select nation, ano, n + 2, 2 from s) select nation, ano, n, source::int source from (select *, row_number() over (partition by nation, ano order by source) r from u) where r = 1")
+def j14(spark, d):
+    s = series(spark, d).select("nation", "ano", "n")
+    parts = [s.where("ano % 3 = 0"), s.where("ano % 2 = 0").withColumn("n", F.col("n") + 1), s.withColumn("n", F.col("n") + 2)]
+    return J.precedence_union(parts, ["nation", "ano"])
+
+
+@query("j15_period_join", _SERIES + "select a.nation, a.ano t0, b.ano t1, round(b.v / a.v, 6) razao from s a join s b on a.nation = b.nation and b.ano = a.ano + 3")
+def j15(spark, d):
+    s = series(spark, d)
+    b = s.select(F.col("nation"), (F.col("ano") - 3).alias("ano"), F.col("v").alias("v1"))
+    return s.join(b, ["nation", "ano"]).select("nation", F.col("ano").alias("t0"), (F.col("ano") + 3).alias("t1"), F.round(F.col("v1") / F.col("v"), 6).alias("razao"))
+
+
+@query("s14_upsert", "select c_custkey, c_acctbal * 2 c_acctbal from customer where c_custkey % 3 = 0 union all select c_custkey, c_acctbal from customer where c_custkey % 3 <> 0")
+def s14(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal")
+    return J.upsert(c, c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2), ["c_custkey"])
+
+
+@query("o01_custom_order", WITH + "select segmento, count(*) n, coalesce(list_position(['BUILDING','MACHINERY'], segmento), 99)::int posicao from persons group by all")
+def o01(spark, d):
+    order = spark.createDataFrame([("BUILDING", 1), ("MACHINERY", 2)], "segmento string, posicao int")
+    out = persons(spark, d).groupBy("segmento").agg(F.count("*").alias("n")).join(F.broadcast(order), "segmento", "left")
+    return out.withColumn("posicao", F.coalesce("posicao", F.lit(99))).orderBy("posicao", "segmento")
+
+
+@query("o04_set_difference", "select c_custkey k from customer except select o_custkey from orders where o_totalprice > 300000")
+def o04(spark, d):
+    c, o = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    return c.select(F.col("c_custkey").alias("k")).subtract(o.where("o_totalprice > 300000").select("o_custkey"))
