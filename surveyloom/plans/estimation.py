@@ -25,7 +25,7 @@ def a02(spark, d):
     return persons(spark, d).where("situacao = 'urbana'").groupBy("censo").agg(F.sum("peso").alias("total"))
 
 
-@query("a06_bootstrap_weights", WITH + _BOOT + "select controle, b, round(m, 6) m from w")
+@query("a06_bootstrap_weights", WITH + _BOOT + "select controle, b::int b, round(m, 6) m from w")
 def a06(spark, d):
     return weights(spark, d).select("controle", "b", F.round("m", 6).alias("m"))
 

@@ -1 +1,138 @@
-"""Queries."""
+"""Pixel rules over the pixel table seen in `lineitem`."""
+
+from pyspark.sql import functions as F
+
+from ..operators import pixels as P
+from .fixtures import WITH, pixels
+from .registry import query
+
+_GRID = WITH + ", grid as (select year, row, col, median(red) red, median(nir) nir, median(swir) swir, median(green) green, count(red) n_obs from pixels group by all) "
+_FLAG = _GRID + ", f as (select year, row, col, red > 26 flag from grid) "
+_MASK = _GRID + ", m as (select distinct year, row, col from grid where red > 30) "
+
+
+def grid(spark, d):
+    return P.composite(pixels(spark, d), ["red", "nir", "swir", "green"])
+
+
+def flags(spark, d):
+    return grid(spark, d).select("year", "row", "col", (F.col("red") > 26).alias("flag"))
+
+
+def mask(spark, d):
+    return grid(spark, d).where("red > 30").select("year", "row", "col")
+
+
+@query("r01_quality_mask", WITH + "select year, count(*) n, count(*) filter ((qa & 3) = 0) clear, round(avg(case when (qa & 3) = 0 and red between 1 and 40 then red * 0.02 - 0.1 end), 6) refl from pixels group by year")
+def r01(spark, d):
+    clear = F.col("qa").bitwiseAND(3) == 0
+    refl = F.when(clear & F.col("red").between(1, 40), F.col("red") * 0.02 - 0.1)
+    return pixels(spark, d).groupBy("year").agg(F.count("*").alias("n"), F.count_if(clear).alias("clear"), F.round(F.avg(refl), 6).alias("refl"))
+
+
+@query("r03_composite", _GRID + "select year, row, col, round(red, 6) red, round(nir, 6) nir, n_obs from grid")
+def r03(spark, d):
+    return grid(spark, d).select("year", "row", "col", F.round("red", 6).alias("red"), F.round("nir", 6).alias("nir"), "n_obs")
+
+
+@query("r06_gap_fill", _GRID + """, t as (select g.year + s * o as year, row, col, o, red from grid g, (values (-1), (1)) a(s), range(1, 4) b(o) where n_obs >= 4),
+ n as (select year, row, col, coalesce(avg(red) filter (o = 1), avg(red) filter (o = 2), avg(red) filter (o = 3)) v from t group by all)
+ select g.year, g.row, g.col, round(case when n_obs >= 4 then red else v end, 6) red, n_obs < 4 and v is not null filled from grid g left join n on g.year = n.year and g.row = n.row and g.col = n.col""")
+def r06(spark, d):
+    return P.gap_fill(grid(spark, d), "red", 4).withColumn("red", F.round("red", 6))
+
+
+@query("r07_indices", _GRID + "select year, row, col, round(case when nir + red = 0 then 0 else (nir - red) / (nir + red) end, 6) + 0.0 ndvi, round(case when swir + nir = 0 then 0 else (swir - nir) / (swir + nir) end, 6) + 0.0 ndbi, round(case when green + swir = 0 then 0 else (green - swir) / (green + swir) end, 6) + 0.0 mndwi from grid")
+def r07(spark, d):
+    nd = lambda a, b: F.round(P.normalised_difference(a, b), 6) + 0.0
+    return grid(spark, d).select("year", "row", "col", nd("nir", "red").alias("ndvi"), nd("swir", "nir").alias("ndbi"), nd("green", "swir").alias("mndwi"))
+
+
+@query("r08_local_std", _GRID + """, w as (select g.year, g.row r0, g.col c0, case when g.row + i < 0 then -g.row - i - 1 when g.row + i >= 40 then 79 - g.row - i else g.row + i end row, case when g.col + j < 0 then -g.col - j - 1 when g.col + j >= 40 then 79 - g.col - j else g.col + j end col from grid g, range(-1, 2) a(i), range(-1, 2) b(j))
+ select w.year, r0 row, c0 col, round(sqrt(greatest(avg(red * red) - avg(red) * avg(red), 0)), 4) std from w join grid g on g.year = w.year and g.row = w.row and g.col = w.col group by all""")
+def r08(spark, d):
+    return P.local_std(grid(spark, d), "red", 3, 40, 40).withColumn("std", F.round("std", 4))
+
+
+@query("r11_blocks", _GRID + "select year, row // 3 as row, col // 3 as col, round(avg(red), 6) red, count(red) n from grid group by all")
+def r11(spark, d):
+    return P.block_aggregate(grid(spark, d), "red").withColumn("red", F.round("red", 6))
+
+
+_DILATED = ", dl as (select distinct year, row + i as row, col + j as col from m, range(-1, 2) a(i), range(-1, 2) b(j)) "
+
+
+@query("r12_dilate", _MASK + _DILATED + "select * from dl")
+def r12(spark, d):
+    return P.dilate(mask(spark, d)).select("year", F.col("row").cast("long"), F.col("col").cast("long"))
+
+
+@query("r12_erode", _MASK + _DILATED + "select year, row + i as row, col + j as col from dl, range(-1, 2) a(i), range(-1, 2) b(j) group by all having count(*) = 9")
+def r12b(spark, d):
+    return P.erode(P.dilate(mask(spark, d))).select("year", F.col("row").cast("long"), F.col("col").cast("long"))
+
+
+@query("r15_block_folds", _GRID + "select year, row // 10 as br, col // 10 as bc, (('0x' || substr(md5((row // 10) || '|' || (col // 10)), 1, 8))::bigint % 5) fold, count(*) n from grid group by all")
+def r15(spark, d):
+    g = grid(spark, d).select("year", F.floor(F.col("row") / 10).cast("int").alias("br"), F.floor(F.col("col") / 10).cast("int").alias("bc"))
+    fold = F.conv(F.substring(F.md5(F.concat_ws("|", "br", "bc")), 1, 8), 16, 10).cast("long") % 5
+    return g.withColumn("fold", fold).groupBy("year", "br", "bc", "fold").agg(F.count("*").alias("n"))
+
+
+@query("r18_majority", _FLAG + "select year, row, col, case when lead(flag) over w is null then flag when lag(flag) over w is null then flag and lead(flag) over w else lag(flag) over w::int + flag::int + lead(flag) over w::int >= 2 end smooth from f window w as (partition by row, col order by year)".replace("lag(flag) over w::int", "(lag(flag) over w)::int").replace("lead(flag) over w::int", "(lead(flag) over w)::int"))
+def r18(spark, d):
+    return P.majority3(flags(spark, d), "flag").drop("flag")
+
+
+@query("r19_seal", _FLAG + ", p as (select *, coalesce(flag and lead(flag) over (partition by row, col order by year), false) pair from f) select year, row, col, bool_or(pair) over (partition by row, col order by year) sealed from p")
+def r19(spark, d):
+    return P.seal(flags(spark, d), "flag").drop("flag")
+
+
+@query("r24_first_year", _FLAG + "select row, col, min(year) first from f where flag group by all")
+def r24(spark, d):
+    return P.first_year(flags(spark, d), "flag")
+
+
+@query("r20_patches", _MASK.replace("with persons", "with recursive persons") + """, e as (select a.year, a.row * 40 + a.col u, b.row * 40 + b.col v from m a join m b on a.year = b.year and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
+ t as (select year, u node, u reach from e union select t.year, t.node, e.v from t join e on e.year = t.year and e.u = t.reach)
+ select year, (node // 40)::int as row, (node % 40)::int as col, min(reach)::bigint patch from t group by year, node""")
+def r20(spark, d):
+    return P.patches(mask(spark, d), 40)
+
+
+@query("r25_otsu", _GRID + ", b as (select least(63, greatest(0, floor(red / (50.0 / 64))))::int bin, count(*) n from grid group by 1), c as (select bin, sum(n) over (order by bin) w0, sum(n * bin) over (order by bin) s0, sum(n) over () w, sum(n * bin) over () s from b), v as (select bin, w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) v from c where w0 < w) select round((bin + 1) * (50.0 / 64)::double, 6) threshold from v order by v desc, bin limit 1")
+def r25(spark, d):
+    return P.otsu(grid(spark, d), "red", 64, 0.0, 50.0).withColumn("threshold", F.round("threshold", 6))
+
+
+@query("r29_iou", _GRID + "select year, count(*) filter (red > 26) a, count(*) filter (nir > 36) b, round(count(*) filter (red > 26 and nir > 36) / count(*) filter (red > 26 or nir > 36), 6) iou from grid group by year")
+def r29(spark, d):
+    a, b = F.col("red") > 26, F.col("nir") > 36
+    return grid(spark, d).groupBy("year").agg(F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.round(P.iou(a, b), 6).alias("iou"))
+
+
+_STRATA = "with s as (select lang, count(*) n_h from documents group by lang), q as (select lang, count(*) n, sum(quality) hits from labels join documents using (doc_id) group by lang), st as (select n_h, lang = 'en' map, n, hits, hits / n::double p, n_h / sum(n_h) over ()::double w from s join q using (lang)) "
+
+
+@query("r28_accuracy", _STRATA.replace("over ()::double", "over ()") + "select round(sum(w * case when map then p else 1 - p end), 6) overall, round(sum(w * p) filter (map) / sum(w) filter (map), 6) users, round(sum(w * p) filter (map) / sum(w * p), 6) producers, round(sum(w * p) * sum(n_h) * 0.09, 4) area_ha, round(1.96 * sqrt(sum(w * w * p * (1 - p) / (n - 1))) * sum(n_h) * 0.09, 4) half_ha from st")
+def r28(spark, d):
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    area = docs.groupBy("lang").agg(F.count("*").alias("n_h"))
+    sample = labels.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("hits"))
+    out = P.accuracy(area.join(sample, "lang").withColumn("map", F.col("lang") == "en"), 0.09)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("overall", "users", "producers")], *[F.round(c, 4).alias(c) for c in ("area_ha", "half_ha")])
+
+
+@query("r32_shape", _MASK + ", c as (select year, avg(row) r, avg(col) c, count(*) n from m group by year) select m.year, n, round(sqrt(n / pi()), 6) radius, round(avg(sqrt(pow(row - r, 2) + pow(col - c, 2))), 6) mean_distance, round(quantile_cont(sqrt(pow(row - r, 2) + pow(col - c, 2)), 0.95), 6) p95 from m join c on m.year = c.year group by m.year, n")
+def r32(spark, d):
+    m = mask(spark, d)
+    c = m.groupBy("year").agg(F.avg("row").alias("r"), F.avg("col").alias("c"), F.count("*").alias("n"))
+    far = F.sqrt(F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2))
+    return m.join(c, "year").groupBy("year", "n").agg(F.round(F.avg(far), 6).alias("mean_distance"), F.round(F.percentile(far, 0.95), 6).alias("p95")).withColumn("radius", F.round(F.sqrt(F.col("n") / F.pi()), 6))
+
+
+@query("r33_octants", _MASK + "select year, (floor(((degrees(atan2(col - 20.25, row - 20.25)) + 360 + 22.5) % 360) / 45))::int octant, count(*) n from m group by all")
+def r33(spark, d):
+    azimuth = F.degrees(F.atan2(F.col("col") - 20.25, F.col("row") - 20.25))
+    return mask(spark, d).withColumn("octant", F.floor(F.pmod(azimuth + 22.5, F.lit(360.0)) / 45).cast("int")).groupBy("year", "octant").agg(F.count("*").alias("n"))

@@ -86,10 +86,10 @@ def p21(spark, d):
     return persons(spark, d).select("pessoa", R.sentinel(F.col("idade"), 31, 94).alias("idade"))
 
 
-@query("p23_deflate", WITH + ", idx as (select ano as year, 100::double + 7 * (ano - 1995) as level from persons where ano <> 1997 group by ano) select pessoa, round(renda * (select max(level) from idx where year = 2000) / level, 2) real from persons left join idx on ano = year")
+@query("p23_deflate", WITH + ", idx as (select ano as year, 100::double + 7.31::double * (ano - 1995) as level from persons where ano <> 1997 group by ano) select pessoa, round(renda * (select max(level) from idx where year = 2000) / level, 2) real from persons left join idx on ano = year")
 def p23(spark, d):
     df = persons(spark, d)
-    index = df.where("ano <> 1997").select(F.col("ano").alias("year")).distinct().withColumn("level", 100.0 + 7 * (F.col("year") - 1995))
+    index = df.where("ano <> 1997").select(F.col("ano").alias("year")).distinct().withColumn("level", 100.0 + 7.31 * (F.col("year") - 1995))
     return R.deflate(df, "renda", "ano", index, 2000, "real").select("pessoa", F.round("real", 2).alias("real"))
 
 

@@ -1 +1,120 @@
-"""Queries."""
+"""Text, JSON, HTML and record-linkage jobs."""
+
+from pyspark.sql import functions as F
+
+from ..functions import recode as R
+from ..operators import linkage as L
+from .fixtures import WITH, persons
+from .registry import query
+
+_ACC = f"translate({{}}, '{R.ACCENTS[0]}', '{R.ACCENTS[1]}')"
+_NORM = "trim(regexp_replace(regexp_replace(lower(" + _ACC + "), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def docs(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+@query("f01_normalise", f"select doc_id, {_NORM.format('text')} norm, substr({_NORM.format('text')}, 1, 120) chave from documents")
+def f01(spark, d):
+    return docs(spark, d).select("doc_id", R.normalise(F.col("text")).alias("norm"), R.title_key(F.col("text")).alias("chave"))
+
+
+@query("f03_html_text", r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) texto from pages""")
+def f03(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", R.html_text(F.col("html")).alias("texto"))
+
+
+@query("f04_token_coverage", f"with k as (select item_id, doc_id, {_NORM.format('b.text')} n, {_NORM.format('d.text')} h from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40), w as (select item_id, doc_id, list_distinct(list_filter(string_split(n, ' '), lambda x: length(x) > 3)) w, string_split(h, ' ') h from k) select item_id, doc_id, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(h, x))) / len(w) end, 6) cob from w")
+def f04(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", R.normalise(F.col("text")).alias("n"), (F.col("item_id") % 40).alias("k"))
+    h = docs(spark, d).select("doc_id", R.normalise(F.col("text")).alias("h"), (F.col("doc_id") % 40).alias("k"))
+    return b.join(h, "k").select("item_id", "doc_id", F.round(L.token_coverage(F.col("n"), F.col("h")), 6).alias("cob"))
+
+
+@query("f12_redact", r"select conv_id, turn, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g') as text from conversations")
+def f12(spark, d):
+    return R.redact(spark.read.parquet(f"{d}/conversations.parquet")).select("conv_id", "turn", "text")
+
+
+@query("s07_json_fields", "select event_id, try_cast(props->>'$.k' as bigint) k from events")
+def s07(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query("s09_html_items", r"select page_id, (generate_subscripts(i, 1) - 1)::int pos, unnest(i) item from (select page_id, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) i from pages)")
+def s09(spark, d):
+    items = F.regexp_extract_all("html", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), 1)
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.posexplode(items).alias("pos", "item"))
+
+
+@query("s10_locale_number", "select c_custkey, c_acctbal::decimal(18,2)::double valor from customer")
+def s10(spark, d):
+    text = F.translate(F.format_number("c_acctbal", 2), ",.", ".,")
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", R.locale_number(text).alias("valor"))
+
+
+@query("s12_json_export", "select c_custkey, round(c_acctbal, 4) v, c_acctbal = floor(c_acctbal) inteiro from customer")
+def s12(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    clean = F.when(~F.isnan("c_acctbal"), F.round("c_acctbal", 4))
+    back = F.from_json(F.to_json(F.struct(clean.alias("v"))), "v double")
+    return c.select("c_custkey", back["v"].alias("v"), (F.col("c_acctbal") == F.floor("c_acctbal")).alias("inteiro"))
+
+
+_DIC = WITH + """, v as (select distinct u.* from (select unnest([{'column': 'segmento', 'value': segmento}, {'column': 'situacao', 'value': situacao}], recursive := true) from persons) u)
+ , dic as (select *, (row_number() over (partition by "column" order by value nulls last) - 1)::int code from v) """
+
+
+@query("s15_dictionary", _DIC + "select * from dic")
+def s15(spark, d):
+    return L.dictionary_encode(persons(spark, d).select("pessoa", "segmento", "situacao"), ["segmento", "situacao"])[0].select("column", "value", "code")
+
+
+@query("s15_decode", WITH + "select pessoa, segmento, situacao from persons")
+def s15b(spark, d):
+    dic, coded = L.dictionary_encode(persons(spark, d).select("pessoa", "segmento", "situacao"), ["segmento", "situacao"])
+    return L.dictionary_decode(dic, coded, ["segmento", "situacao"])
+
+
+_RECORDS = "select doc_id, source, md5(text) ident, substr(md5(substr(text, 1, 40)), 1, 12) titulo, length(text) n from documents"
+
+
+@query("b01_group_records", f"""with recursive r as ({_RECORDS}), e as (select a.doc_id u, b.doc_id v from r a join r b on a.ident = b.ident union select a.doc_id, b.doc_id from r a join r b on a.titulo = b.titulo),
+ t as (select doc_id node, doc_id reach from r union select t.node, e.v from t join e on e.u = t.reach) select node doc_id, min(reach) "group" from t group by node""")
+def b01(spark, d):
+    return records(spark, d).select("doc_id", "group")
+
+
+def records(spark, d):
+    r = docs(spark, d).selectExpr("doc_id", "source", "text", "md5(text) as ident", "substr(md5(substr(text, 1, 40)), 1, 12) as titulo")
+    return L.group_records(r, "doc_id", ["ident", "titulo"])
+
+
+@query("b02_survivors")
+def b02(spark, d):
+    return L.merge_survivors(records(spark, d), "doc_id", "source", "text", "source")
+
+
+@query("b03_topics", "select doc_id, case when regexp_matches(lower(text), 'licen[sc]e') then 'licenca' when regexp_matches(text, '\\|') then 'tabela' when lang = 'en' then 'ingles' else 'outro' end topico from documents")
+def b03(spark, d):
+    t = F.when(F.lower("text").rlike("licen[sc]e"), "licenca").when(F.col("text").rlike(r"\|"), "tabela").when(F.col("lang") == "en", "ingles").otherwise("outro")
+    return docs(spark, d).select("doc_id", t.alias("topico"))
+
+
+@query("b04_title_similarity", "with t as (select doc_id, source, substr(text, 1, 30) k from documents) select a.doc_id a, b.doc_id b, round(1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k), 1), 6) s from t a join t b on a.source = b.source and a.doc_id < b.doc_id and substr(a.k, 1, 2) = substr(b.k, 1, 2) where 1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k), 1) >= 0.8")
+def b04(spark, d):
+    t = docs(spark, d).select("doc_id", "source", F.substring("text", 1, 30).alias("k"), F.substring("text", 1, 2).alias("p"))
+    b = t.select(F.col("doc_id").alias("b"), "source", F.col("k").alias("kb"), "p")
+    out = t.withColumnRenamed("doc_id", "a").join(b, ["source", "p"]).where("a < b").withColumn("s", L.title_similarity(F.col("k"), F.col("kb")))
+    return out.where("s >= 0.8").select("a", "b", F.round("s", 6).alias("s"))
+
+
+@query("b05_orphans", "select doc_id from labels where doc_id not in (select doc_id from documents where doc_id % 7 <> 0)")
+def b05(spark, d):
+    return L.orphans(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), docs(spark, d).where("doc_id % 7 <> 0"), "doc_id", "doc_id")
+
+
+@query("b07_search_log", "select source, lang, count(*) n from documents group by all")
+def b07(spark, d):
+    return docs(spark, d).groupBy("source", "lang").agg(F.count("*").alias("n"))
