@@ -52,12 +52,12 @@ def ratio_with_se(sums: DataFrame, weights: DataFrame, cell: list[str], househol
     return plain.join(spread, cell, "left")
 
 
-def total(df, weights, cell, household, weight, mask: Column = F.lit(True)):
-    return ratio_with_se(household_sums(df, cell, household, weight, F.coalesce(mask, F.lit(False)).cast("double"), F.lit(0.0)), weights, cell, household, True)
+def total(df, weights, cell, household, weight, mask: Column | None = None):
+    return ratio_with_se(household_sums(df, cell, household, weight, (F.lit(1.0) if mask is None else F.coalesce(mask, F.lit(False)).cast("double")), F.lit(0.0)), weights, cell, household, True)
 
 
-def proportion(df, weights, cell, household, weight, numerator: Column, base: Column = F.lit(True)):
-    inside = F.coalesce(base, F.lit(False))
+def proportion(df, weights, cell, household, weight, numerator: Column, base: Column | None = None):
+    inside = F.lit(True) if base is None else F.coalesce(base, F.lit(False))
     top = (F.coalesce(numerator, F.lit(False)) & inside).cast("double")
     return ratio_with_se(household_sums(df, cell, household, weight, top, inside.cast("double")), weights, cell, household)
 
