@@ -6,9 +6,12 @@ samples of the set are banded into buckets; the same samples, folded into a pari
 similarity of a candidate pair from the population count of the bitmaps' XOR. Candidates that the estimate can't rule
 out are confirmed on their full sets.
 
-Inside a bucket not all pairs are made. Every member meets the bucket's leader (its smallest id); after that, only
-buckets that still hold several components go on, in blocks of bounded size, and only pairs of different components
-that pass the sketch are put out. So copies cost one pair each, and no link between components is lost.
+Inside a bucket not all pairs are made. Every member meets the bucket's leader, the member whose buckets hold the most
+members together: the text that a group's copies were made from shares more samples with each than they do with each
+other. After that, only buckets that still hold several components go on, in blocks of bounded size. Their pairs of
+different components that pass the sketch are put out in three slices by a hash of the pair (a 64th, an eighth, the
+rest), with the components renewed after each: what the first slices connect needs no further pair, and as the slices
+together are all pairs, no link between components is lost.
 
 A link at similarity s is met in no bucket with a probability of (1 - s**ROWS)**BANDS: 4e-7 at 0.85, 5e-5 at 0.8.
 
@@ -147,7 +150,11 @@ def _sizes_allow(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _blocks_of_pairs(percent: int):
+#: Pairs of the slices that are looked at one after the other, as ranges of a hash of the pair modulo 64.
+SLICES = [(0, 1), (1, 8), (8, 64)]
+
+
+def _blocks_of_pairs(percent: int, low: int, high: int):
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["i"].iat[0], frame["j"].iat[0]
         left, right = frame[frame["own"] == i], frame[frame["own"] == j]
@@ -157,7 +164,10 @@ def _blocks_of_pairs(percent: int):
             size = right["n_shingles"].to_numpy()
             good = _estimates(np.frombuffer(bits, np.uint8)[None, :], sketch) >= least_estimate(percent)
             good &= (right["component"].to_numpy() != comp) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
-            out += [(min(node, x), max(node, x)) for x in right["node"].to_numpy()[good].tolist() if i != j or node < x]
+            other = right["node"].to_numpy()[good]
+            part = mix(np.minimum(other, node).view(U) * U(3) ^ mix(np.maximum(other, node).view(U))) % U(64)
+            other = other[(part >= low) & (part < high)]
+            out += [(min(node, x), max(node, x)) for x in other.tolist() if i != j or node < x]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return pairs
@@ -174,33 +184,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         .select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch")
     )
     entries = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    leaders = entries.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    buckets = materialise(entries.join(leaders, ["band", "key"]))
+    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialise(entries.join(sizes, ["band", "key"]))
+    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    best = F.struct(-F.col("weight"), "node")
+    leaders = shared.join(weights, "node").groupBy("band", "key").agg(F.min_by("node", best).alias("leader"))
+    buckets = materialise(shared.join(leaders, ["band", "key"]))
     facts = reps.select("node", "n_shingles", "sketch")
 
-    met = buckets.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    met = buckets.where("node <> leader").select(F.least("leader", "node").alias("u"), F.greatest("leader", "node").alias("v")).distinct()
     for side in "uv":
         met = met.join(facts.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     met = met.where(_sizes_allow("nu", "nv", percent)).where(_plausible(percent)("su", "sv")).select("u", "v")
     links = materialise(_confirmed(met, texts.where("doc_id is not null"), percent))
     first = components(links)
 
-    now = buckets.join(first.withColumnRenamed("component", "known"), "node", "left").select(
-        "band", "key", "members", "node", F.coalesce("known", "node").alias("component")
-    )
-    mixed = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    # A bucket of two has had its one pair tested against the leader.
-    rest = now.where("members > 2").join(mixed.select("band", "key"), ["band", "key"]).join(facts, "node")
-    spread = (
-        rest.withColumn("n", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    )
-    # Small buckets share tasks; (band, key, i, j) has about 2 * BLOCK rows at most.
-    late = spread.groupBy("band", "key", "i", "j").applyInPandas(_blocks_of_pairs(percent), "u long, v long").distinct()
-    more = _confirmed(late.join(met, ["u", "v"], "left_anti"), texts.where("doc_id is not null"), percent)
-    final = components(links.unionByName(more))
+    final = first
+    for low, high in SLICES:
+        now = buckets.where("members > 2").join(final.withColumnRenamed("component", "known"), "node", "left").select(
+            "band", "key", "members", "node", F.coalesce("known", "node").alias("component")
+        )
+        mixed = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        # A bucket of two has had its one pair tested against the leader, so it isn't here.
+        rest = now.join(mixed.select("band", "key"), ["band", "key"]).join(facts, "node")
+        spread = (
+            rest.withColumn("n", F.ceil(F.col("members") / BLOCK).cast("int"))
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        )
+        # (band, key, i, j) has about 2 * BLOCK rows at most.
+        late = spread.groupBy("band", "key", "i", "j").applyInPandas(_blocks_of_pairs(percent, low, high), "u long, v long").distinct()
+        more = materialise(_confirmed(late.join(met, ["u", "v"], "left_anti"), texts.where("doc_id is not null"), percent))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            final = components(links)
 
     placed = classes.join(final, F.col("class_id") == F.col("node"), "left").select(
         "c1", "c2", "class_id", F.coalesce("component", "class_id").alias("component_id")
