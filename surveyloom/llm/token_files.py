@@ -14,7 +14,7 @@ no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,11 @@ STORED = "<u2"
 SHARD = 2048
 _STRETCH = "doc_id long, start long, doc_tokens long, ids binary"
 _ROW = "shard long, row long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, starts array<bigint>"
+_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
+_ROW_ARROW = pa.schema([
+    ("shard", pa.int64()), ("row", pa.int64()), ("ids", _INTS), ("cu_seqlens", _INTS), ("position_ids", _INTS), ("doc_ids", _LONGS), ("starts", _LONGS),
+])
+Each = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 class Rooms:
@@ -108,8 +113,9 @@ def _stretches(json_path: str, ranks_path: str, width: int):
     return stretches
 
 
-def _packed(width: int):
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+def _packed(width: int, each: Each):
+    def packed(stretches: pa.Table) -> pa.Table:
+        frame: pd.DataFrame = stretches.to_pandas(integer_object_nulls=True)
         frame = frame.sort_values(["doc_id", "start"], kind="stable", na_position="first").reset_index(drop=True)
         ids = [np.frombuffer(x, STORED).astype(np.int32) for x in frame["ids"]]
         out = []
@@ -119,7 +125,8 @@ def _packed(width: int):
             places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
             doc = [None if pd.isna(frame["doc_id"].iat[i]) else int(frame["doc_id"].iat[i]) for i in members]
             out.append((frame["shard"].iat[0], row, np.concatenate([ids[i] for i in members]), edges, places, doc, frame["start"].to_numpy()[members]))
-        return pd.DataFrame(out, columns=["shard", "row", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
+        rows = pa.Table.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*out), _ROW_ARROW)], schema=_ROW_ARROW)
+        return pa.Table.from_batches(each(iter(rows.to_batches())))
 
     return packed
 
@@ -138,20 +145,22 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=["shard", "row", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
 
 
-def matrices(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, paths: tuple[str, str] | None = None) -> DataFrame:
+def matrices(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, paths: tuple[str, str] | None = None, each: Each = iter, kind: str = _ROW) -> DataFrame:
     """Packed rows: shard (-1: rows of one full stretch), row, ids, cu_seqlens, position_ids, doc_ids, starts.
 
     (shard, row) names a packed row; rows of shard -1 are named by doc_ids[0], starts[0], and their row is a hash of these.
+    `each` turns batches of these rows into batches of schema `kind` in the task that packs them, so that a summary
+    of the rows doesn't send them through another step.
     """
     n_docs = docs.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = materialise(texts.mapInArrow(_stretches(*(paths or vocabulary_paths()), width), _STRETCH))
     whole = F.length("ids") == 2 * width
-    full = cut.where(whole).withColumn("place", F.xxhash64("doc_id", "start")).mapInArrow(_full, _ROW)
+    full = cut.where(whole).withColumn("place", F.xxhash64("doc_id", "start")).mapInArrow(lambda batches: each(_full(batches)), kind)
     shards = max(1, -(-n_docs // shard))
     # Repeated rows and null ids are dealt by their ids' content too, so no key holds more than its copies.
     tails = cut.where(~whole).withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    return full.unionByName(tails.groupBy("shard").applyInPandas(_packed(width), _ROW))
+    return full.unionByName(tails.groupBy("shard").applyInArrow(_packed(width, each), kind))
 
 
 def write_matrices(rows: DataFrame, path: str) -> None:
@@ -180,9 +189,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matrices(table(spark, sf_dir, "documents"))
     kind = "shard long, row long, n_tokens long, doc_ids array<bigint>, starts array<bigint>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
-    return rows.mapInArrow(_digest, kind)
+    return matrices(table(spark, sf_dir, "documents"), each=_digest, kind=kind)
 
 
 QUERIES = {"op6_token_files": op6_token_files}
