@@ -203,6 +203,26 @@ def test_cutting_stock():
         assert sizes @ demand / 128 <= sum(n for _, n in plan) <= best_fit * 1.005 + 2
 
 
+def test_finer_sketch_loses_no_link():
+    pick = np.random.default_rng(3)
+    for n in (1, 5, 90, 700, 1023, 1024, 1500, 5000, 40000):
+        base = pick.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        base = minhash_dedup.mix(base)
+        others, likeness = [], []
+        for share in (0.0, 0.03, 0.07, 0.075, 0.12, 0.5):
+            fresh = minhash_dedup.mix(pick.integers(0, 2**63, int(n * share), dtype=np.uint64))
+            other = np.concatenate([base[len(fresh) :], fresh])
+            common = len(np.intersect1d(base, other))
+            others.append(other)
+            likeness.append(common / (len(base) + len(other) - common))
+        sketches = np.stack([np.frombuffer(minhash_dedup._fine(x), np.uint8).reshape(2, -1) for x in others])
+        own = np.frombuffer(minhash_dedup._fine(base), np.uint8).reshape(2, -1)
+        for percent in (80, 85):
+            good = minhash_dedup._finely_plausible(len(base), own, np.array([len(x) for x in others]), sketches, percent)
+            assert good[np.array(likeness) >= percent / 100].all()
+            assert n < 90 or not good[-1]
+
+
 def test_token_files(spark, odd, none, tmp_path):
     rows = token_files.matrices(odd.where("doc_id <> 2"))
     token_files.write_matrices(rows, str(tmp_path / "m"))
