@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import stored
+
 
 def change(df: DataFrame, part: list[str], order: str, col: str) -> DataFrame:
     """`diff` and `pct` against the row before; null for the first, and for a zero base."""
@@ -64,3 +66,33 @@ def period_sums(df: DataFrame, part: list[str], order: str, col: str, periods: l
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def quantile_row(df: DataFrame, part: list[str], value: str, weight: str, q: float) -> DataFrame:
+    """Per group, the least value at which the cumulative weight share reaches q; weights of a value are summed first."""
+    own = Window.partitionBy(*part)
+    sums = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*part, value).agg(F.sum(weight).alias("_w"))
+    share = sums.withColumn("_s", F.sum("_w").over(own.orderBy(value)) / F.sum("_w").over(own))
+    return share.where(F.col("_s") >= q).groupBy(*part).agg(F.min(value).alias(value))
+
+
+def cumulative_counts(df: DataFrame, part: list[str], order: str) -> DataFrame:
+    """Rows per step of `order` and up to it; counts come before the window."""
+    counts = df.where(F.col(order).isNotNull()).groupBy(*part, order).agg(F.count("*").alias("n"))
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*part).orderBy(order)))
+
+
+def latest_known(df: DataFrame, part: list[str], order: str, col: str) -> DataFrame:
+    return df.where(F.col(col).isNotNull()).groupBy(*part).agg(F.max(order).alias(order), F.max_by(col, order).alias(col))
+
+
+def running_group(df: DataFrame, order: list[str], starts: Column, out: str) -> DataFrame:
+    """Number of group starts up to each row in a global order, in two passes: starts per range of the order, then inside.
+
+    The ranges are written once, so that a lost task can't draw them anew; only one row per range meets in one place.
+    """
+    ranges = stored(df.withColumn("_start", F.coalesce(starts, F.lit(False)).cast("long")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("_range").agg(F.sum("_start").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
+    inside = F.sum("_start").over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + inside).drop("_start", "_range", "_before")

@@ -25,11 +25,11 @@ def f03(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", R.html_text(F.col("html")).alias("texto"))
 
 
-@query("f04_token_coverage", f"with k as (select item_id, doc_id, {_NORM.format('b.text')} n, {_NORM.format('d.text')} h from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40), w as (select item_id, doc_id, list_distinct(list_filter(string_split(n, ' '), lambda x: length(x) > 3)) w, string_split(h, ' ') h from k) select item_id, doc_id, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(h, x))) / len(w) end, 6) cob from w")
+@query("f04_token_coverage", f"with k as (select a.conv_id, a.turn, {_NORM.format('a.text')} n, {_NORM.format('b.text')} h from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1), w as (select conv_id, turn, list_distinct(list_filter(string_split(n, ' '), lambda x: length(x) > 3)) w, string_split(h, ' ') h from k) select conv_id, turn, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(h, x))) / len(w) end, 6) cob from w")
 def f04(spark, d):
-    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", R.normalise(F.col("text")).alias("n"), (F.col("item_id") % 40).alias("k"))
-    h = docs(spark, d).select("doc_id", R.normalise(F.col("text")).alias("h"), (F.col("doc_id") % 40).alias("k"))
-    return b.join(h, "k").select("item_id", "doc_id", F.round(L.token_coverage(F.col("n"), F.col("h")), 6).alias("cob"))
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", R.normalise(F.col("text")).alias("n"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("h"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(L.token_coverage(F.col("n"), F.col("h")), 6).alias("cob"))
 
 
 @query("f12_redact", r"select conv_id, turn, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g') as text from conversations")
@@ -110,9 +110,9 @@ def b04(spark, d):
     return out.where("s >= 0.8").select("a", "b", F.round("s", 6).alias("s"))
 
 
-@query("b05_orphans", "select doc_id from labels where doc_id not in (select doc_id from documents where doc_id % 7 <> 0)")
+@query("b05_orphans", "select doc_id from documents where doc_id not in (select doc_id from labels)")
 def b05(spark, d):
-    return L.orphans(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), docs(spark, d).where("doc_id % 7 <> 0"), "doc_id", "doc_id")
+    return L.orphans(docs(spark, d).select("doc_id"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "doc_id")
 
 
 @query("b07_search_log", "select source, lang, count(*) n from documents group by all")
