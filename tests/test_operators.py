@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from surveyloom.functions import profile as P
 from surveyloom.functions import recode as R
-from surveyloom.operators import analysis, disclosure, estimate, linkage, migration, pixels
+from surveyloom.operators import analysis, disclosure, estimate, linkage, measures, migration, pixels, series
 
 
 def test_bands_and_nulls(spark):
@@ -74,3 +75,44 @@ def test_entries_without_training_data(spark, monkeypatch):
     monkeypatch.setattr(entry, "_llm", None)
     assert entry.queries() and not any(n.startswith("op") for n in entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_profile_null_rules(spark):
+    df = spark.createDataFrame([("2", "05", "05", 20), ("2", "", "05", 9), ("2", None, "05", None), ("3", None, None, 40)], "a string, b string, s string, age int")
+    assert [r[0] for r in df.select(P.birthplace(F.col("a"), F.col("b"), F.col("s"))).collect()] == ["mesma_uf", None, None, "exterior"]
+    assert [r[0] for r in df.select(P.implied_false(F.col("b") == "05", F.col("a") == "3", F.col("age") < 10)).collect()] == [True, None, None, False]
+    labels = spark.createDataFrame([("outros:a+z",), ("a",), (None,)], "c string").select(P.fused_label(F.col("c"), {"a": "Alfa"}))
+    assert [r[0] for r in labels.collect()] == ["Outros (Alfa, z)", "Alfa", ""]
+    years = spark.createDataFrame([(1984,), (1985,), (2022,), (2023,), (None,)], "y int").select(P.arrival_period(F.col("y")))
+    assert [r[0] for r in years.collect()] == ["ate_1984", "1985_1994", "2017_2022", None, None]
+    with pytest.raises(LookupError):
+        P.concept({"renda": {1991: None}}, "renda", 1991)
+
+
+def test_text_from_inverted_index(spark):
+    df = spark.createDataFrame([({"b": [1, 3], "a": [0, 2]},), ({},), (None,)], "i map<string,array<int>>")
+    assert [r[0] for r in df.select(P.text_from_index(F.col("i"))).collect()] == ["a b a b", "", None]
+
+
+def test_running_group_over_many_ranges(spark):
+    rows = [(i, i % 7 in (0, 3)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, s boolean").repartition(8)
+    got = {r["k"]: r["g"] for r in series.running_group(df, ["k"], F.col("s"), "g").collect()}
+    n = 0
+    for k, s in rows:
+        n += s
+        assert got[k] == n
+    assert series.running_group(df.where("k < 0"), ["k"], F.col("s"), "g").count() == 0
+
+
+def test_quantile_row_sums_ties(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 2.0, 1.0), ("a", 9.0, 1.0), ("b", None, 1.0)], "g string, v double, w double")
+    assert [tuple(r) for r in series.quantile_row(df, ["g"], "v", "w", 0.5).collect()] == [("a", 2.0)]
+
+
+def test_slope_and_mosaic(spark):
+    grid = spark.createDataFrame([(r, c, 30.0 * c) for r in range(3) for c in range(3)], "r int, c int, z double")
+    got = {(x["r"], x["c"]): x["slope"] for x in measures.slope_degrees(grid, "r", "c", "z", 30.0).collect()}
+    assert got[1, 1] == pytest.approx(45.0) and sum(v is not None for v in got.values()) == 1
+    tiles = spark.createDataFrame([(1, 1, 5.0), (1, 2, 0.0), (1, 1, 7.0), (2, 1, 0.0)], "p int, t int, v double")
+    assert [tuple(r) for r in measures.mosaic(tiles, ["p"], "v", ["t"], F.col("v") > 0).collect()] == [(1, 7.0)]
