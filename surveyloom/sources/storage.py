@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write once under spark.checkpoint.dir (a folder of our own only where that is unset) and read back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """An unused path under spark.checkpoint.dir (a folder of our own only where that is unset)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

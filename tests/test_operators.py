@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions import profile as P
 from surveyloom.functions import recode as R
 from surveyloom.operators import analysis, disclosure, estimate, linkage, measures, migration, pixels, series
+from surveyloom.sources import files
 
 
 def test_bands_and_nulls(spark):
@@ -116,3 +117,15 @@ def test_slope_and_mosaic(spark):
     assert got[1, 1] == pytest.approx(45.0) and sum(v is not None for v in got.values()) == 1
     tiles = spark.createDataFrame([(1, 1, 5.0), (1, 2, 0.0), (1, 1, 7.0), (2, 1, 0.0)], "p int, t int, v double")
     assert [tuple(r) for r in measures.mosaic(tiles, ["p"], "v", ["t"], F.col("v") > 0).collect()] == [(1, 7.0)]
+
+
+def test_fixed_width_round_trip(spark, tmp_path):
+    layout = {"id": (0, 4), "name": (4, 9)}
+    df = spark.createDataFrame([(1, "ção"), (2, None), (None, " a ")], "id int, name string")
+    files.write_fixed_width(df, f"{tmp_path}/fixed", layout)
+    got = files.read_fixed_width(spark, f"{tmp_path}/fixed", layout, ["name", "id"])
+    assert sorted(map(tuple, got.collect())) == [("     ", "2   "), (" a   ", "    "), ("ção  ", "1   ")]
+    with pytest.raises(KeyError):
+        files.read_fixed_width(spark, f"{tmp_path}/fixed", layout, ["age"])
+    with pytest.raises(Exception, match="too long"):
+        files.write_fixed_width(df.selectExpr("123456 as id", "name"), f"{tmp_path}/long", layout)
