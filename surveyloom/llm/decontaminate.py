@@ -3,20 +3,23 @@
 Texts and benchmark items become words (A-Z as a-z, ASCII separators). Their k-word seeds are joined in Spark; a pair
 of a document and an item goes on only if the item's words that lie in shared seeds could reach the threshold, which
 rules out no pair, as every tile is made of shared seeds. For the rest, running Karp-Rabin matching marks the longest
-matches first, then shorter ones that don't overlap, down to k words; the share of the item's words that are covered is
-compared with the threshold, so reordered passages count in full.
+matches first, then shorter ones that don't overlap, down to k words; of a match that a longer one overlaps, the free
+pieces of k words or more are matches in turn. The share of the item's words that are covered is compared with the
+threshold, so reordered passages count in full.
 
 The benchmark's seeds are collected to filter texts before the join only while there are at most MAX_FILTER; beyond
 that all seeds of the texts are joined. Results are the same.
 
 Edge cases: null and empty texts and items have no words and match nothing; items with fewer than k words are one seed
 of all their words; rows with equal id and text (repeated rows) get the same result; null ids are kept apart by their
-text; items that share an id count as one with the largest coverage; all columns of `docs` come back from `clean`;
-empty tables give every document as clean.
+text; items that share an id count as one with the largest coverage, so items without an id do too (counted in
+`n_items`, not named in `item_ids`); all columns of `docs` come back from `clean`; empty tables give every document as
+clean.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -104,19 +107,34 @@ def greedy_tiles(text: list[int], item: list[int], k: int = K, start: int = STAR
             for j in places.get(tuple(text[i : i + length]), ()):
                 if used_t[i] or used_t[i + length - 1] or any(used_t[i : i + length]):
                     break
+                if i and j and text[i - 1] == item[j - 1] and not used_t[i - 1] and not used_i[j - 1]:
+                    continue  # part of the match that starts one word before
                 n = length
                 while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n] and not used_t[i + n] and not used_i[j + n]:
                     n += 1
-                matches.append((n, i, j))
+                matches.append((-n, i, j))
                 longest = max(longest, n)
         if longest > 2 * length:  # a much longer match: scan again from its length
             length = longest
             continue
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
+        heapq.heapify(matches)
+        while matches:
+            n, i, j = heapq.heappop(matches)
+            n = -n
             if not any(used_t[i : i + n]) and not any(used_i[j : j + n]):
                 used_t[i : i + n] = [True] * n
                 used_i[j : j + n] = [True] * n
                 tiles.append((i, j, n))
+                continue
+            # What longer tiles left free of it is a match again; pieces below this length are found at the next ones.
+            free = 0
+            for at in range(n + 1):
+                if at < n and not used_t[i + at] and not used_i[j + at]:
+                    free += 1
+                    continue
+                if free >= length:
+                    heapq.heappush(matches, (-free, i + at - free, j + at - free))
+                free = 0
         if length == k:
             break
         length = max(k, length // 2)
@@ -170,7 +188,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, k: in
         "aggregate(places, named_struct('last', -width, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(width, x - a.last)), a -> a.n)"
     )
     likely = places.where(100 * union >= percent * F.col("n_words")).select("doc_id", "print", "item_id")
-    pairs = likely.join(items.withColumnRenamed("text", "item"), "item_id").alias("p")
+    named = items.select(F.col("item_id").alias("_item"), F.col("text").alias("item"))
+    pairs = likely.join(named, F.col("item_id").eqNullSafe(F.col("_item"))).alias("p")
     same = F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p.print") == F.col("d.print"))
     both = pairs.join(texts.alias("d"), same)
     tiled = both.select("p.doc_id", "p.print", "p.item_id", "d.text", "p.item").mapInArrow(_covered(k), "doc_id long, print long, item_id long, coverage double")

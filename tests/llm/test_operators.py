@@ -305,6 +305,39 @@ def test_tiles_against_brute_force():
         assert abs(sum(n for _, _, n in tiles) - want) <= 3
 
 
+def longest_first(a: list, b: list, k: int) -> list[tuple[int, int, int]]:
+    used_a, used_b, tiles = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < k:
+            return tiles
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+        tiles.append((i, j, n))
+
+
+def test_tiles_are_those_of_the_brute_force():
+    pick = np.random.default_rng(5)
+    for size, start in [(2, 6), (3, 20), (4, 6), (4, 20)] * 20:
+        a, b = pick.integers(0, size, 40).tolist(), pick.integers(0, size, 26).tolist()
+        assert sorted(decontaminate.greedy_tiles(a, b, 3, start)) == sorted(longest_first(a, b, 3))
+
+
+def test_overlapped_match_and_items_without_id(spark):
+    words = [f"q{i}" for i in range(26)]
+    text = " ".join([*words[:7], "between", *words[5:13]])
+    docs = spark.createDataFrame([(1, text), (2, LOREM)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (None, LOREM)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.matches(docs, items).collect()} == {(1, 1): 0.5, (2, None): 1.0}
+
+
 def test_toxicity(spark, odd, none):
     model = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     rows = toxicity.score(odd, model).collect()
