@@ -6,7 +6,7 @@ samples of the set are banded into buckets; the same samples, folded into a pari
 similarity of a candidate pair from the population count of the bitmaps' XOR. Candidates that the estimate can't rule
 out are confirmed on their full sets.
 
-Inside a bucket not all pairs are made. Every member meets the bucket's leader (its smallest id); after that, only
+Inside a bucket not all pairs are made. Every member meets the bucket's leader (its smallest node); after that, only
 buckets that still hold several components go on, in blocks of bounded size, and only pairs of different components
 that pass the sketch are put out. So copies cost one pair each, and no link between components is lost.
 
@@ -17,7 +17,7 @@ that differ, so on whole sets it rules out no link.
 A link at similarity s is met in no bucket with a probability of (1 - s**ROWS)**BANDS: 4e-7 at 0.85, 5e-5 at 0.8.
 
 Edge cases: null and empty texts have empty sets and are linked with nothing (their own component, kept); rows that
-share an id are one document as to links (their rows all come back); a null id can't be named in a group: its
+share an id are one document as to links (their rows all come back, and what any of their texts is linked with); a null id can't be named in a group: its
 component is null and it is kept; ties go to the smallest id; other columns of `docs` come back from `keep_one` and
 are ignored by `near_duplicates`; an empty table gives an empty result.
 """
@@ -50,7 +50,7 @@ FINE_SAMPLE, FINE_BITS, FINE_MARGIN = 1024, 2048, 6.0
 #: Members of a bucket whose block of pairs one task looks at.
 BLOCK = 256
 LOWER_BYTES = bytes(LOWER)
-_SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch binary, fine binary"
+_SIGNED = "doc_id long, print long, n_shingles long, c1 long, c2 long, bands array<long>, sketch binary, fine binary"
 
 
 def _level(sizes: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def _minima(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[byt
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = seeds(ROWS, 70) | U(1)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts = batch.column(0), batch.column(2)
         sizes, bands, sketches, fine = [], [], [], []
         for n, minima, finer in _minima(texts):
             fine += finer
@@ -110,8 +110,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(bands)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), lists, pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())],
-            names=["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "fine"],
+            [ids, batch.column(1), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), lists, pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())],
+            names=["doc_id", "print", "n_shingles", "c1", "c2", "bands", "sketch", "fine"],
         )
 
 
@@ -169,10 +169,13 @@ def _confirm(percent: int):
     return confirm
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(
-        texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v"
-    )
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes that are links. nodes: node, class_id, class_print; texts: doc_id, print, text."""
+    both = pairs
+    for side in "uv":
+        both = both.join(nodes.select(F.col("node").alias(side), F.col("class_id").alias(f"i{side}"), F.col("class_print").alias(f"p{side}")), side)
+    for side in "uv":
+        both = both.join(texts.select(F.col("doc_id").alias(f"i{side}"), F.col("print").alias(f"p{side}"), F.col("text").alias(f"t{side}")), [f"i{side}", f"p{side}"])
     return both.select("u", "v", "tu", "tv").mapInArrow(_confirm(percent), "u long, v long")
 
 
@@ -200,14 +203,18 @@ def _blocks_of_pairs(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with an id: doc_id, n_shingles, class_id, component_id, kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
     signed = materialise(texts.mapInArrow(_signatures, _SIGNED))
     named = signed.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"))
+    first_row = F.min(F.struct("doc_id", "print")).alias("_r")
+    classes = named.groupBy("c1", "c2").agg(first_row).select("c1", "c2", F.col("_r.doc_id").alias("class_id"), F.col("_r.print").alias("class_print"))
+    # Ids may repeat with other texts, so a class has a number of its own as its node; it is fixed once written.
     reps = materialise(
-        named.join(classes, ["c1", "c2"]).where("doc_id = class_id").dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch", "fine")
+        named.join(classes, ["c1", "c2"]).where("doc_id = class_id and print = class_print").dropDuplicates(["c1", "c2"])
+        .select(F.monotonically_increasing_id().alias("node"), "class_id", "class_print", "n_shingles", "bands", "sketch", "fine")
     )
+    nodes = reps.select("node", "class_id", "class_print")
     entries = reps.select("node", F.posexplode("bands").alias("band", "key"))
     leaders = entries.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
     buckets = materialise(entries.join(leaders, ["band", "key"]))
@@ -217,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     for side in "uv":
         met = met.join(facts.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     met = met.where(_sizes_allow("nu", "nv", percent)).where(_plausible(percent)("su", "sv")).select("u", "v")
-    links = materialise(_confirmed(met, texts.where("doc_id is not null"), percent))
+    links = materialise(_confirmed(met, nodes, texts.where("doc_id is not null"), percent))
     first = components(links)
 
     now = buckets.join(first.withColumnRenamed("component", "known"), "node", "left").select(
@@ -234,8 +241,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     )
     # Small buckets share tasks; (band, key, i, j) has about 2 * BLOCK rows at most.
     late = spread.groupBy("band", "key", "i", "j").applyInPandas(_blocks_of_pairs(percent), "u long, v long").distinct()
-    more = _confirmed(late.join(met, ["u", "v"], "left_anti"), texts.where("doc_id is not null"), percent)
-    final = components(links.unionByName(more))
+    more = _confirmed(late.join(met, ["u", "v"], "left_anti"), nodes, texts.where("doc_id is not null"), percent)
+    every = links.unionByName(more)
+    for side in "uv":
+        every = every.join(nodes.select(F.col("node").alias(side), F.col("class_id").alias(f"i{side}")), side)
+    # An id with several texts links their classes.
+    member = named.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "class_id"), ["c1", "c2"])
+    several = member.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low <> high")
+    shared = member.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
+    final = components(every.select(F.col("iu").alias("u"), F.col("iv").alias("v")).unionByName(shared))
 
     placed = classes.join(final, F.col("class_id") == F.col("node"), "left").select(
         "c1", "c2", "class_id", F.coalesce("component", "class_id").alias("component_id")

@@ -150,6 +150,14 @@ def test_near_duplicates_chain_and_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 85)
 
 
+def test_near_duplicates_of_every_text_of_an_id(spark):
+    a, b, c, d = (long_text(i) for i in (21, 22, 23, 24))
+    changed = [x + " and a changed end" for x in (a, b)]
+    docs = spark.createDataFrame([(10, a), (10, b), (20, changed[0]), (30, changed[1]), (3, c), (5, d), (7, c), (7, d), (8, long_text(25))], "doc_id long, text string")
+    rows = minhash_dedup.near_duplicates(docs.repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (5, 3), (7, 3), (7, 3), (8, 8), (10, 10), (10, 10), (20, 10), (30, 10)]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (7, 8), (8, 8), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (25, 20)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
