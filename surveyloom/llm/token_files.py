@@ -13,6 +13,7 @@ no rows.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shared_dir, table
 from .tokens import units, vocabulary_paths
 
 WIDTH = 1024
@@ -30,6 +31,10 @@ WIDTH = 1024
 STORED = "<u2"
 #: Stretches that a shard has, about.
 SHARD = 2048
+#: Bytes of a row group of the written matrices.
+GROUP_BYTES = 1 << 23
+#: Rows of an Arrow batch while matrices are written and read back.
+BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
 _STRETCH = "doc_id long, start long, doc_tokens long, ids binary"
 _ROW = "shard long, row long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, starts array<bigint>"
 _INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
@@ -164,8 +169,8 @@ def matrices(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, paths: tup
 
 
 def write_matrices(rows: DataFrame, path: str) -> None:
-    """The packed rows as Parquet in `path`, ids and lengths as 32-bit integers."""
-    rows.write.mode("errorifexists").parquet(path)
+    """The packed rows as Parquet in `path`, ids and lengths as 32-bit integers; small row groups bound a task's memory."""
+    rows.write.mode("errorifexists").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
 
 
 def documents_back(rows: DataFrame) -> DataFrame:
@@ -189,8 +194,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the matrices to the shared folder; the rows describe what is read back from the files."""
+    path = f"{shared_dir(spark).rstrip('/')}/matrices/{uuid.uuid4().hex}"
     kind = "shard long, row long, n_tokens long, doc_ids array<bigint>, starts array<bigint>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
-    return matrices(table(spark, sf_dir, "documents"), each=_digest, kind=kind)
+    usual = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(BATCH))  # a packed row has 8 kB and more
+    try:
+        write_matrices(matrices(table(spark, sf_dir, "documents")), path)
+        return materialise(spark.read.schema(_ROW).parquet(path).mapInArrow(_digest, kind))
+    finally:
+        spark.conf.set(BATCH_CONF, usual)
 
 
 QUERIES = {"op6_token_files": op6_token_files}

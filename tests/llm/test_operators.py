@@ -244,6 +244,21 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.matrices(none).count() == 0
 
 
+def test_token_files_query_writes_matrices(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, LOREM), (2, None), (3, long_text(3, 900))], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(token_files, "shared_dir", lambda _: str(tmp_path))
+    rows = token_files.op6_token_files(spark, str(tmp_path)).collect()
+    (written,) = (tmp_path / "matrices").iterdir()
+    stored = {(r["shard"], r["row"]): r for r in spark.read.parquet(str(written)).collect()}
+    assert len(stored) == len(rows) > 1
+    for r in rows:
+        own = stored[r["shard"], r["row"]]
+        assert (r["n_tokens"], r["doc_ids"], r["cu_seqlens"]) == (len(own["ids"]), own["doc_ids"], own["cu_seqlens"])
+        assert r["ids_crc32"] == zlib.crc32(np.array(own["ids"], "<u4").tobytes())
+        assert r["positions_crc32"] == zlib.crc32(np.array(own["position_ids"], "<u4").tobytes())
+
+
 def test_best_fit():
     pick = np.random.default_rng(8)
     lengths = pick.integers(1, 1025, 300).tolist()
