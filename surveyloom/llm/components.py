@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import forget
 from .common import materialise
 
 
@@ -33,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("u <> v").select("u", "v").distinct())
     state = _state(edges)
     while True:
-        edges = materialise(_small(_large(edges)))
+        last, edges = edges, materialise(_small(_large(edges)))
+        forget(last)
         now = _state(edges)
         if now == state:
             break

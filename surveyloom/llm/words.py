@@ -1,7 +1,8 @@
 """Words, shingles and their 64-bit names for whole Arrow batches of text, in numpy.
 
-A word's name is a polynomial over its bytes modulo 2**64 (random byte values, odd base), then mixed; A-Z count as
-a-z when asked. Texts are cut into blocks of bounded size, so memory doesn't follow the batch.
+A word is read as 8-byte lanes; its name is the mixed sum of its lanes, each mixed with a key of its place, so no
+arithmetic structure of the bytes carries over to the names. `exact_ids` names words by comparing their bytes. A-Z count
+as a-z when asked. Texts are cut into blocks of bounded size, so memory doesn't follow the batch.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ def lower_ascii() -> np.ndarray:
 
 LOWER = lower_ascii()
 BYTE_VALUES = seeds(256)
-LOWER_VALUES = BYTE_VALUES[LOWER]
 BASE = 0x2545F4914F6CDD1D
 
 
@@ -64,7 +64,7 @@ def _inverse(base: int) -> int:
 
 
 class PrefixHash:
-    """Names of any substrings of one block of bytes."""
+    """Rolling names (polynomials modulo 2**64) of any substrings of one block, to sample and to gather by; never proof of equality."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES, base: int = BASE):
         self.sums = np.zeros(len(data) + 1, U)
@@ -117,16 +117,74 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WH
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER_VALUES) -> np.ndarray:
-    """The name of each word, a bounded run of words at a time."""
+LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def span_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of each span as 8-byte lanes (filled up with 0), each lane's number in its span, and where spans begin (n + 1)."""
+    count = np.maximum((ends - starts + 7) >> 3, 1)
+    first = np.append(0, np.cumsum(count))
+    number = np.arange(first[-1]) - np.repeat(first[:-1], count)
+    at = np.repeat(starts, count) + 8 * number
+    words = np.zeros(len(data) // 8 + 2, U)
+    words.view(np.uint8)[: len(data)] = data
+    place, shift = at >> 3, ((at & 7) << 3).astype(U)
+    lanes = (words[place] >> shift) | ((words[place + 1] << U(1)) << (U(63) - shift))
+    return lanes & LANE_MASKS[np.clip(np.repeat(ends, count) - at, 0, 8)], number, first
+
+
+def _lane_names(lanes: np.ndarray, number: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    if not len(length):
+        return np.zeros(0, U)
+    keyed = mix(lanes ^ seeds(int(number.max()) + 1, 40)[number])
+    return mix(np.add.reduceat(keyed, first[:-1]) + length.astype(U) * U(0x9FB21C651E98DF25))
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """The name of each word (or other span), a bounded run of them at a time."""
     out = np.empty(len(starts), U)
+    if lower:
+        data = LOWER[data]
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
-        at = starts[i]
-        out[i:j] = PrefixHash(data[at : ends[j - 1]], values).names(starts[i:j] - at, ends[i:j] - at)
+        j = min(len(starts), i + (BLOCK_BYTES >> 3))
+        while j > i + 1 and int((ends[i:j] - starts[i:j]).sum()) > 4 * BLOCK_BYTES:
+            j = (i + j) // 2
+        a, b = int(starts[i:j].min()), int(ends[i:j].max())
+        out[i:j] = _lane_names(*span_lanes(data[a:b], starts[i:j] - a, ends[i:j] - a), ends[i:j] - starts[i:j])
         i = j
-    return mix(out)
+    return out
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a span of each kind, the kind of each span): spans are of one kind only if their bytes are equal."""
+    lanes, number, first = span_lanes(data, starts, ends)
+    length = ends - starts
+    _, at, which = np.unique(_lane_names(lanes, number, first, length), return_index=True, return_inverse=True)
+    other = at[which]
+    same = bool((length == length[other]).all())
+    if same and len(lanes):
+        same = bool((lanes == lanes[np.arange(len(lanes)) + np.repeat(first[other] - first[:-1], np.diff(first))]).all())
+    if not same:  # two kinds share a name: go by the bytes themselves
+        raw, known = data.tobytes(), {}
+        which = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())])
+        _, at = np.unique(which, return_index=True)
+    return at, which
+
+
+def exact_grams(ids: np.ndarray, pointer: np.ndarray, k: int) -> list[np.ndarray]:
+    """row_shingles() by exact numbers for rows of exact word numbers: equal numbers are equal word sequences."""
+    n, after = len(ids), int(ids.max(initial=-1)) + 1
+    words = np.diff(pointer)
+    kept = np.where(words >= k, words - k + 1, np.minimum(words, 1))
+    row = np.repeat(np.arange(len(words)), kept)
+    at = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept) + np.repeat(pointer[:-1], kept)
+    code = ids[at] if len(at) else at
+    for j in range(1, k):
+        following = np.where(at + j < pointer[row + 1], ids[np.minimum(at + j, n - 1)], after) if len(at) else at
+        _, code = np.unique(code * (after + 1) + following, return_inverse=True)
+    edges = np.append(0, np.cumsum(kept))
+    return [np.unique(code[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 def gram_names(names: np.ndarray, k: int) -> np.ndarray:
