@@ -1,10 +1,11 @@
 """License scans by diagonal voting (native).
 
 Every rolling k-word window of every text is hashed and joined with the windows of license templates. A hit votes for
-the diagonal (position in the text minus position in the template); votes are summed by diagonal, neighbouring
-diagonals (a few words put in or left out) are merged, and a span counts if its verified words cover enough of its
-template. Each vote is verified word by word, so equal hashes of other words don't count. A phrase stands in the text
-where one diagonal has the votes of all its windows.
+the diagonal (position in the text minus position in the template); votes are summed by diagonal and neighbouring
+diagonals (a few words put in or left out) are merged into spans. Each vote is verified word by word, so equal hashes of
+other words don't count, and so is each span: a template's window counts once, at its first place in the span, and
+only if that lies behind those of all earlier windows; these must cover enough of the template. A phrase stands in the
+text where one diagonal has the votes of all its windows.
 
 Edge cases: a null text counts as empty; each input row gives one output row (repeated rows and null ids too), with
 null first_word/last_word, empty labels and score 0 where nothing is found; other columns of `docs` are ignored.
@@ -103,7 +104,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     spark = docs.sparkSession
     found = votes(docs, id_col, text_col, template_windows(spark, phrases, templates, k), k)
     diagonals = found.groupBy("row", "id", "n_words", "tid", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")
+        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list(F.struct("tpos", "pos")).alias("own")
     )
     facts = F.broadcast(template_facts(spark, phrases, templates, k))
     near = Window.partitionBy("row", "tid").orderBy("diagonal")
@@ -113,14 +114,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         .withColumn("island", F.sum("new").over(near))
     )
     spans = islands.groupBy("row", "id", "n_words", "tid", "label", "phrase", "windows", "island").agg(
-        F.sum("votes").alias("votes"),
+        F.array_sort(F.flatten(F.collect_list("own"))).alias("own"),
         F.min("first").alias("first_word"),
         F.max(F.col("last") + k - 1).alias("last_word"),
         F.sum((F.col("votes") == F.col("windows")).cast("long")).alias("places"),
         F.min(F.when(F.col("votes") == F.col("windows"), F.col("diagonal"))).alias("first_place"),
         F.max(F.when(F.col("votes") == F.col("windows"), F.col("diagonal"))).alias("last_place"),
     )
-    spans = spans.withColumn("coverage", F.when(F.col("tid") == END, 0.0).otherwise(F.least(F.lit(1.0), F.col("votes") / F.col("windows"))))
+    in_order = F.expr(
+        "aggregate(own, named_struct('t', -1, 'p', -1, 'n', 0), (a, x) -> named_struct('t', x.tpos,"
+        " 'p', case when x.tpos = a.t then a.p else greatest(a.p, x.pos) end,"
+        " 'n', a.n + case when x.tpos > a.t and x.pos > a.p then 1 else 0 end), a -> a.n)"
+    )
+    spans = spans.withColumn("coverage", F.when(F.col("tid") == END, 0.0).otherwise(in_order / F.col("windows"))).drop("own")
     base = F.col("phrase") & (F.col("places") > 0)
     own = F.col("coverage") >= COVER
 
@@ -156,13 +162,17 @@ def _oracle() -> str:
 with t(tid, label, phrase, windows, tpos, gram) as (values {', '.join(rows)}),
 d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
 p as (select doc_id, unnest(range(0, greatest(len(w) - {K - 1}, 0))) pos, w from d),
-v as (select doc_id, tid, label, phrase, windows, pos - tpos diagonal, count(*) votes
-      from (select doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] gram from p) join t using (gram) group by all),
-n as (select *, coalesce((diagonal - lag(diagonal) over x > {SLACK})::int, 1) new from v window x as (partition by doc_id, tid order by diagonal)),
+v as (select doc_id, tid, label, phrase, windows, tpos, pos, pos - tpos diagonal
+      from (select doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] gram from p) join t using (gram)),
+a as (select doc_id, tid, label, phrase, windows, diagonal, count(*) votes from v group by all),
+n as (select *, coalesce((diagonal - lag(diagonal) over x > {SLACK})::int, 1) new from a window x as (partition by doc_id, tid order by diagonal)),
 i as (select *, sum(new) over (partition by doc_id, tid order by diagonal) island from n),
-s as (select doc_id, tid, label, phrase, island, least(1.0, sum(votes)::double / windows) coverage, count(*) filter (votes = windows) places,
+f as (select doc_id, tid, island, tpos, min(pos) pos from v join i using (doc_id, tid, diagonal) group by all),
+o as (select *, pos > coalesce(max(pos) over (partition by doc_id, tid, island order by tpos rows between unbounded preceding and 1 preceding), -1) good from f),
+c as (select doc_id, tid, island, count(*) filter (good) n from o group by all),
+s as (select doc_id, tid, label, phrase, island, n::double / windows coverage, count(*) filter (votes = windows) places,
         min(diagonal) filter (votes = windows) a, max(diagonal) filter (votes = windows) b
-      from i group by doc_id, tid, label, phrase, island, windows),
+      from i join c using (doc_id, tid, island) group by doc_id, tid, label, phrase, island, windows, n),
 g as (select doc_id, sum(places) filter (phrase) n_base, min(a) filter (phrase) first_word, max(b) filter (phrase) last_word,
         string_agg(distinct label, ',' order by label) filter (phrase and places > 0) base_labels,
         string_agg(distinct label, ',' order by label) filter ((phrase and places > 0) or (not phrase and coverage >= {COVER})) labels,
