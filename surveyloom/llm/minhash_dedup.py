@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import fresh, materialise, table
 from .components import components
-from .words import LOWER, gram_names, mix, row_shingles, seeds, word_names, word_spans, blocks, U
+from .words import LOWER, U, blocks, exact_grams, exact_ids, mix, row_shingles, seeds, word_names, word_spans
 
 SHINGLE = 5
 PERCENT = 85
@@ -148,23 +148,34 @@ def _plausible(percent: int):
     return plausible
 
 
+#: Bytes of pairs of texts that are confirmed together; a larger pair is alone.
+CONFIRM_BYTES = 1 << 20
+
+
+def _exact_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The texts' shingle sets as numbers that are equal only for equal words."""
+    data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    starts, ends, pointer = word_spans(data, np.append(0, np.cumsum([len(t) for t in texts])))
+    return exact_grams(exact_ids(data, starts, ends)[1], pointer, SHINGLE)
+
+
 def _confirm(percent: int):
-    """Pairs (u, v, tu, tv) whose full sets have 100 * common >= percent * union."""
+    """Pairs (u, v, tu, tv) whose full sets, told apart by their words' bytes, have 100 * common >= percent * union."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = []
-                for column in (part.column(2), part.column(3)):
-                    own = []
-                    for _, _, data, offsets in blocks(column):
-                        starts, ends, pointer = word_spans(data, offsets)
-                        own += row_shingles(word_names(data, starts, ends), pointer, SHINGLE)
-                    sets.append(own)
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)]
-                good = [100 * c >= percent * (len(x) + len(y) - c) and c > 0 for c, x, y in zip(common, *sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+            good, at = [], 0
+            while at < batch.num_rows:
+                held, size = [], 0
+                while at < batch.num_rows and (not held or size < CONFIRM_BYTES):
+                    held += [(batch.column(c)[at].as_py() or "").encode() for c in (2, 3)]
+                    size += len(held[-1]) + len(held[-2])
+                    at += 1
+                sets = _exact_sets(held)
+                for x, y in zip(sets[::2], sets[1::2]):
+                    c = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(c > 0 and 100 * c >= percent * (len(x) + len(y) - c))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return confirm
 
@@ -266,8 +277,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the documents that are linked to one with a smaller id; null ids stay."""
-    marks = near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(marks, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh("gone_id", docs.columns)
+    marks = near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(marks, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
