@@ -27,19 +27,17 @@ from .common import materialise, shared_dir, table
 from .tokens import units, vocabulary_paths
 
 WIDTH = 1024
-#: How ids are kept between steps; the vocabularies here have fewer than 2**16.
-STORED = "<u2"
 #: Stretches that a shard has, about.
 SHARD = 2048
 #: Bytes of a row group of the written matrices.
 GROUP_BYTES = 1 << 23
 #: Rows of an Arrow batch while matrices are written and read back.
 BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
-_STRETCH = "doc_id long, start long, doc_tokens long, ids binary"
-_ROW = "shard long, row long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, starts array<bigint>"
+_STRETCH = "doc_id long, source long, start long, doc_tokens long, ids binary"
+_ROW = "shard long, row long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, sources array<bigint>, starts array<bigint>"
 _INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
 _ROW_ARROW = pa.schema([
-    ("shard", pa.int64()), ("row", pa.int64()), ("ids", _INTS), ("cu_seqlens", _INTS), ("position_ids", _INTS), ("doc_ids", _LONGS), ("starts", _LONGS),
+    ("shard", pa.int64()), ("row", pa.int64()), ("ids", _INTS), ("cu_seqlens", _INTS), ("position_ids", _INTS), ("doc_ids", _LONGS), ("sources", _LONGS), ("starts", _LONGS),
 ])
 Each = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -91,81 +89,91 @@ def best_fit_decreasing(lengths: list[int], width: int) -> list[list[int]]:
     return rows
 
 
-def _stretches(json_path: str, ranks_path: str, width: int):
+def stored_kind(paths: tuple[str, str]) -> str:
+    """How ids are kept between steps: 16 bits if the whole vocabulary fits, else 32."""
+    return "<u2" if len(units(*paths).width) <= 1 << 16 else "<u4"
+
+
+def _stretches(json_path: str, ranks_path: str, width: int, stored: str):
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = units(json_path, ranks_path)
         for batch in batches:
-            docs, starts, totals, raw, size = [], [], [], [], 0
+            docs, sources, starts, totals, raw, size = [], [], [], [], [], 0
 
             def made():
-                arrays = [pa.array(x, pa.int64()) for x in (docs, starts, totals)]
-                return pa.RecordBatch.from_arrays([*arrays, pa.array(raw, pa.binary())], names=["doc_id", "start", "doc_tokens", "ids"])
+                arrays = [pa.array(x, pa.int64()) for x in (docs, sources, starts, totals)]
+                return pa.RecordBatch.from_arrays([*arrays, pa.array(raw, pa.binary())], names=["doc_id", "source", "start", "doc_tokens", "ids"])
 
-            for doc, own in zip(batch.column(0).to_pylist(), store.rows(batch.column(1))):
-                ids = np.append(own, np.uint32(0)).astype(STORED)
+            for doc, source, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), store.rows(batch.column(1))):
+                ids = np.append(own, np.uint32(0)).astype(stored)
                 for at in range(0, len(ids), width):
                     docs.append(doc)
+                    sources.append(source)
                     starts.append(at)
                     totals.append(len(ids))
                     raw.append(ids[at : at + width].tobytes())
                     size += len(raw[-1])
                 if size > 1 << 23:
                     yield made()
-                    docs, starts, totals, raw, size = [], [], [], [], 0
+                    docs, sources, starts, totals, raw, size = [], [], [], [], [], 0
             if docs:
                 yield made()
 
     return stretches
 
 
-def _packed(width: int, each: Each):
+def _packed(width: int, each: Each, stored: str):
     def packed(stretches: pa.Table) -> pa.Table:
         frame: pd.DataFrame = stretches.to_pandas(integer_object_nulls=True)
-        frame = frame.sort_values(["doc_id", "start"], kind="stable", na_position="first").reset_index(drop=True)
-        ids = [np.frombuffer(x, STORED).astype(np.int32) for x in frame["ids"]]
+        frame = frame.sort_values(["doc_id", "start", "source"], kind="stable", na_position="first").reset_index(drop=True)
+        ids = [np.frombuffer(x, stored).astype(np.int32) for x in frame["ids"]]
         out = []
         for row, members in enumerate(best_fit_decreasing([len(x) for x in ids], width)):
             lengths = np.array([len(ids[i]) for i in members])
             edges = np.append(0, np.cumsum(lengths)).astype(np.int32)
             places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
             doc = [None if pd.isna(frame["doc_id"].iat[i]) else int(frame["doc_id"].iat[i]) for i in members]
-            out.append((frame["shard"].iat[0], row, np.concatenate([ids[i] for i in members]), edges, places, doc, frame["start"].to_numpy()[members]))
+            out.append((frame["shard"].iat[0], row, np.concatenate([ids[i] for i in members]), edges, places, doc, frame["source"].to_numpy()[members], frame["start"].to_numpy()[members]))
         rows = pa.Table.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*out), _ROW_ARROW)], schema=_ROW_ARROW)
         return pa.Table.from_batches(each(iter(rows.to_batches())))
 
     return packed
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids = [np.frombuffer(x.as_py(), STORED).astype(np.int32) for x in part.column("ids")]
-            n = len(ids)
-            arrays = [
-                pa.array(np.full(n, -1)), part.column("place"), pa.array(ids, pa.list_(pa.int32())), pa.array([[0, len(x)] for x in ids], pa.list_(pa.int32())),
-                pa.array([np.arange(len(x), dtype=np.int32) for x in ids], pa.list_(pa.int32())),
-                pa.array([[x] for x in part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([[x] for x in part.column("start").to_pylist()], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "row", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
+def _full(each: Each, stored: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [np.frombuffer(x.as_py(), stored).astype(np.int32) for x in part.column("ids")]
+                single = {c: pa.array([[x] for x in part.column(c).to_pylist()], _LONGS) for c in ("doc_id", "source", "start")}
+                arrays = [
+                    pa.array(np.full(len(ids), -1)), part.column("source"), pa.array(ids, _INTS), pa.array([[0, len(x)] for x in ids], _INTS),
+                    pa.array([np.arange(len(x), dtype=np.int32) for x in ids], _INTS), single["doc_id"], single["source"], single["start"],
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=_ROW_ARROW)
+
+    return lambda batches: each(rows(batches))
 
 
 def matrices(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, paths: tuple[str, str] | None = None, each: Each = iter, kind: str = _ROW) -> DataFrame:
-    """Packed rows: shard (-1: rows of one full stretch), row, ids, cu_seqlens, position_ids, doc_ids, starts.
+    """Packed rows: shard (-1: rows of one full stretch), row, ids, cu_seqlens, position_ids, doc_ids, sources, starts.
 
-    (shard, row) names a packed row; rows of shard -1 are named by doc_ids[0], starts[0], and their row is a hash of these.
+    `sources` number the input rows, so rows that share an id, or have none, stay apart. (shard, row) names a packed row; in
+    shard -1, (row, starts[0]) does, and row is the source.
     `each` turns batches of these rows into batches of schema `kind` in the task that packs them, so that a summary
     of the rows doesn't send them through another step.
     """
     n_docs = docs.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = materialise(texts.mapInArrow(_stretches(*(paths or vocabulary_paths()), width), _STRETCH))
-    whole = F.length("ids") == 2 * width
-    full = cut.where(whole).withColumn("place", F.xxhash64("doc_id", "start")).mapInArrow(lambda batches: each(_full(batches)), kind)
+    paths = paths or vocabulary_paths()
+    stored = stored_kind(paths)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("source"))
+    cut = materialise(texts.mapInArrow(_stretches(*paths, width, stored), _STRETCH))
+    whole = F.length("ids") == np.dtype(stored).itemsize * width
+    full = cut.where(whole).mapInArrow(_full(each, stored), kind)
     shards = max(1, -(-n_docs // shard))
-    # Repeated rows and null ids are dealt by their ids' content too, so no key holds more than its copies.
-    tails = cut.where(~whole).withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    return full.unionByName(tails.groupBy("shard").applyInArrow(_packed(width, each), kind))
+    tails = cut.where(~whole).withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(shards)))
+    return full.unionByName(tails.groupBy("shard").applyInArrow(_packed(width, each, stored), kind))
 
 
 def write_matrices(rows: DataFrame, path: str) -> None:
@@ -174,11 +182,12 @@ def write_matrices(rows: DataFrame, path: str) -> None:
 
 
 def documents_back(rows: DataFrame) -> DataFrame:
-    """doc_id, ids (with the closing 0) from packed rows, for ids that aren't repeated."""
-    segments = rows.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "starts")).alias("i", "s"))
+    """source, doc_id, ids (with the closing 0) of every input row, from packed rows."""
+    segments = rows.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "sources", "starts")).alias("i", "s"))
     part = F.expr("slice(ids, cu_seqlens[i] + 1, cu_seqlens[i + 1] - cu_seqlens[i])")
-    parts = segments.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.starts").alias("start"), part.alias("ids"))
-    return parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
+    parts = segments.select(F.col("s.sources").alias("source"), F.col("s.doc_ids").alias("doc_id"), F.col("s.starts").alias("start"), part.alias("ids"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"]))
+    return parts.groupBy("source", "doc_id").agg(joined.alias("ids"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
