@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .words import BYTE_VALUES, U, blocks, gram_names, word_names, word_spans
+from .common import least_by_hash, materialise, table, without
+from .words import U, blocks, gram_names, word_names, word_spans
 
 #: Documents of each side of the posterior that the scorer is fitted on, at most (the first by a hash of id and votes).
 SAMPLE = 4000
@@ -47,7 +47,7 @@ def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     keep[1:] = kinds[1:] != kinds[:-1]
     keep[start] = True
     before = np.append(0, np.cumsum(keep))
-    return word_names(kinds[keep], before[start], before[end], BYTE_VALUES)
+    return word_names(kinds[keep], before[start], before[end], lower=False)
 
 
 def _rates(data: np.ndarray, start: np.ndarray, end: np.ndarray, pointer: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -183,12 +183,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("print"))
     measured = materialise(texts.mapInArrow(_keyed, "doc_id long, print long, n_words long, votes long, feature array<int>, value array<float>"))
     patterns = {r["votes"]: r["n"] for r in measured.where("n_words > 0").groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    junk, _ = estimate_accuracies(patterns) if patterns else ({}, None)
+    junk = estimate_accuracies(patterns)[0] if patterns else {}
     weak = spark.createDataFrame(list(junk.items()) or [(-1, 0.0)], "votes long, p_junk double")
     labelled = measured.where("n_words > 0").join(F.broadcast(weak), "votes")  # 3**labellers patterns at most
     rows = []
-    for side in ("p_junk < 0.5", "p_junk >= 0.5"):
-        own = labelled.where(side).orderBy(F.xxhash64("doc_id", "votes"), "doc_id", "print").limit(sample)
+    for side, is_junk in (("p_junk < 0.5", False), ("p_junk >= 0.5", True)):
+        n = sum(patterns[v] for v, p in junk.items() if (p >= 0.5) == is_junk)
+        own = least_by_hash(labelled.where(side), ["doc_id", "print", "votes"], n, sample)
         rows += own.select("p_junk", "feature", "value").toArrow().to_pylist()
     model = fit_linear([(np.array(r["feature"]), np.array(r["value"])) for r in rows], np.array([1 - r["p_junk"] for r in rows]))
     scored = measured.mapInArrow(_scored(*model), "doc_id long, print long, n_words long, votes long, score double")
@@ -197,9 +198,19 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the documents that the scorer rejects."""
-    gone = classify(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gid"), F.col("print").alias("_gprint")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_gid")) & (F.xxhash64(docs[text_col]) == F.col("_gprint"))
-    return docs.join(gone, same, "left_anti")
+    gone = classify(docs, id_col, text_col).where("not kept").select("doc_id", "print").distinct()
+    return without(docs, gone, id_col, text_col)
+
+
+def accuracies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """labeller, p_junk_when_junk, p_junk_when_good, p_abstain: what expectation-maximisation finds about each labeller."""
+    patterns = {r["votes"]: r["n"] for r in classify(docs, id_col, text_col).where("n_words > 0").groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    if patterns:
+        junk, tables = estimate_accuracies(patterns)
+        share = sum(junk[v] * n for v, n in patterns.items()) / sum(patterns.values())
+        rows = [(name, *(float(x) for x in (t[1, JUNK], t[0, JUNK], share * t[1, ABSTAIN] + (1 - share) * t[0, ABSTAIN]))) for name, t in zip(LABELLERS, tables)]
+    return docs.sparkSession.createDataFrame(rows, "labeller string, p_junk_when_junk double, p_junk_when_good double, p_abstain double")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, table
-from .words import LOWER_VALUES, U, blocks, mix, seeds, word_names, word_spans
+from .common import crc32_of_id, least_by_hash, table
+from .words import U, blocks, mix, seeds, word_names, word_spans
 
 #: Labelled rows of each class that a model is fitted on, at most (the first by a hash of the id).
 SAMPLE = 1500
@@ -41,9 +41,9 @@ def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         start, end, pointer = word_spans(data, offsets, SPLIT)
         row = np.repeat(np.arange(n), np.diff(pointer))
         sentence = (np.cumsum(ENDS[data])[start] if len(start) else start) + row
-        whole = word_names(data, start, end, LOWER_VALUES)
+        whole = word_names(data, start, end)
         long = np.flatnonzero(end - start > PREFIX)
-        begin = mix(word_names(data, start[long], start[long] + PREFIX, LOWER_VALUES) + seeds(1, 21)[0])
+        begin = mix(word_names(data, start[long], start[long] + PREFIX) + seeds(1, 21)[0])
         index = (np.concatenate([whole, begin]) % U(FEATURES)).astype(np.int64)
         yield n, np.concatenate([row, row[long]]), np.concatenate([sentence, sentence[long]]), index
 
@@ -107,9 +107,10 @@ def fit_noisy_or(bags: list[tuple[int, np.ndarray, np.ndarray]], kept: int = KEP
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """A model from at most `sample` labelled rows of each class; labels: doc_id, toxic."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     chosen = None
     for y in (0, 1):
-        own = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        own = least_by_hash(known.where(F.col("toxic") == y), ["doc_id"], counts.get(y, 0), sample)
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
     rows = texts.select("toxic", "text").mapInArrow(_bags, "label int, sentence array<bigint>, feature array<bigint>")
