@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, without
 from .toxicity import SPLIT
-from .words import LOWER_VALUES, U, blocks, gram_names, word_names, word_spans
+from .words import LOWER, U, blocks, exact_ids, gram_names, mix, word_names, word_spans
 
 K = 5
 #: Covered share of an item's words, in percent, from which a document counts as contaminated.
@@ -38,13 +38,15 @@ PERCENT = 50
 #: Length that Karp-Rabin starts from; longer matches are found by extension.
 START = 20
 MAX_FILTER = 1_000_000
+#: Fixed values of the rolling hash: a prime modulus and the base.
+MODULUS, BASE = (1 << 61) - 1, 0x1F3D5B79A3C5E7
 
 
 def _named(column: pa.Array) -> Iterator[np.ndarray]:
     """The names of each text's words."""
     for _, _, data, offsets in blocks(column):
         start, end, pointer = word_spans(data, offsets, SPLIT)
-        names = word_names(data, start, end, LOWER_VALUES)
+        names = word_names(data, start, end)
         for a, b in zip(pointer[:-1].tolist(), pointer[1:].tolist()):
             yield names[a:b]
 
@@ -69,7 +71,7 @@ def _text_seeds(widths: list[int], known: np.ndarray | None):
             row, found, width = [], [], []
             for _, n, data, offsets in blocks(batch.column(2)):
                 start, end, pointer = word_spans(data, offsets, SPLIT)
-                names = word_names(data, start, end, LOWER_VALUES)
+                names = word_names(data, start, end)
                 owner = np.repeat(np.arange(n), np.diff(pointer))
                 for m in widths:
                     seeds = gram_names(names, m)
@@ -92,19 +94,37 @@ def _text_seeds(widths: list[int], known: np.ndarray | None):
     return text_seeds
 
 
+def rolling_hashes(words: list[int], length: int) -> Iterator[int]:
+    """Karp-Rabin: the hash of each stretch of `length` words from that of the one before."""
+    if length > len(words):
+        return
+    lead, value = pow(BASE, length - 1, MODULUS), 0
+    for i, word in enumerate(words):
+        if i >= length:
+            value -= (words[i - length] + 2) * lead
+        value = (value * BASE + word + 2) % MODULUS
+        if i >= length - 1:
+            yield value
+
+
 def greedy_tiles(text: list[int], item: list[int], k: int = K, start: int = START) -> list[tuple[int, int, int]]:
-    """(place in the text, place in the item, length) of tiles: longest matches first, none overlapping another."""
+    """(place in the text, place in the item, length) of tiles: longest matches first, none overlapping another.
+
+    Stretches meet by rolling hash; a match counts once its words are equal.
+    """
     k = min(k, len(item))
     tiles, used_t, used_i = [], [False] * len(text), [False] * len(item)
     length = max(k, min(start, len(item)))
     while k and length >= k:
         places = defaultdict(list)
-        for j in range(len(item) - length + 1):
+        for j, value in enumerate(rolling_hashes(item, length)):
             if not any(used_i[j : j + length]):
-                places[tuple(item[j : j + length])].append(j)
+                places[value].append(j)
         matches, longest = [], 0
-        for i in range(len(text) - length + 1) if places else ():
-            for j in places.get(tuple(text[i : i + length]), ()):
+        for i, value in enumerate(rolling_hashes(text, length)) if places else ():
+            for j in places.get(value, ()):
+                if text[i : i + length] != item[j : j + length]:
+                    continue
                 if used_t[i] or used_t[i + length - 1] or any(used_t[i : i + length]):
                     break
                 if i and j and text[i - 1] == item[j - 1] and not used_t[i - 1] and not used_i[j - 1]:
@@ -141,11 +161,19 @@ def greedy_tiles(text: list[int], item: list[int], k: int = K, start: int = STAR
     return tiles
 
 
+def _numbered(text: bytes, item: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Both as numbers of words that are equal only for words of equal bytes."""
+    data = LOWER[np.frombuffer(text + item, np.uint8)]
+    start, end, pointer = word_spans(data, np.array([0, len(text), len(data)]), SPLIT)
+    ids = exact_ids(data, start, end)[1]
+    return ids[: pointer[1]], ids[pointer[1] :]
+
+
 def _near(text: np.ndarray, item: np.ndarray, k: int) -> list[int]:
     """The text's words that lie in seeds shared with the item; a break stands between stretches (-1 matches nothing)."""
     k = min(k, len(item))
     inside = np.zeros(len(text) + k, bool)
-    hits = np.flatnonzero(np.isin(gram_names(text, k), gram_names(item, k)))
+    hits = np.flatnonzero(np.isin(gram_names(mix(text.astype(U)), k), gram_names(mix(item.astype(U)), k)))
     for shift in range(k):
         inside[hits + shift] = True
     at = np.flatnonzero(inside[: len(text)])
@@ -162,7 +190,8 @@ def _covered(k: int):
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             share = []
-            for text, item in zip(_named(batch.column(3)), _named(batch.column(4))):
+            for text, item in zip(batch.column(3), batch.column(4)):
+                text, item = _numbered((text.as_py() or "").encode(), (item.as_py() or "").encode())
                 tiles = greedy_tiles(_near(text, item, k), item.tolist(), k)
                 share.append(sum(n for _, _, n in tiles) / len(item) if len(item) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share, pa.float64())], names=["doc_id", "print", "item_id", "coverage"])
@@ -199,9 +228,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, k: in
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` without contaminated documents."""
-    gone = matches(docs, benchmark, percent).select(F.col("doc_id").alias("_gid"), F.col("print").alias("_gprint")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_gid")) & (F.xxhash64(docs["text"]) == F.col("_gprint"))
-    return docs.join(gone, same, "left_anti")
+    gone = matches(docs, benchmark, percent).select("doc_id", "print").distinct()
+    return without(docs, gone)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
