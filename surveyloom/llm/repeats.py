@@ -5,11 +5,14 @@ never cross documents and overlapping copies count.
 
 Full suffix arrays sort every offset. Here each LENGTH-byte string is represented by one suffix inside it, the GRAM-byte
 gram of least hash, so equal strings choose the same suffix and one offset in about thirty is kept. The suffixes fall
-into initial buckets by their gram. A bucket's members are refined by the names of what lies at later and earlier
-offsets: first by the whole stretch that the suffix represents (members that are equal as a whole need no further
-look: all but the first are removed), then, where a bucket still holds different stretches, by the names of all its
-LENGTH-byte strings; a refined bucket's pointer is its first position. Names are 64-bit hashes inside a bucket of equal
-64-bit gram hashes. Buckets of more than MOST stretches are refined by a distributed sort instead of inside one task.
+into initial buckets by their gram; a suffix alone in its bucket is done. Members whose whole stretch (all strings that
+the suffix represents) equals an earlier one's are copies: they go, and need no further look. Where a bucket still
+holds different stretches, every offset in them gets a bucket pointer, first by its first 8 bytes, then refined by the
+pointers at later offsets; each pass sorts only buckets of two or more, and its updated pointers are what the next pass
+reads, so 8 bytes become 16, 32, 64 and LENGTH. These pointers are exact: equal pointers are equal bytes.
+
+Copies of whole stretches are told by two 64-bit hashes (of the gram and, without arithmetic structure, of the stretch).
+Buckets of more than MOST stretches are grouped by their strings' bytes in a distributed aggregation instead.
 
 Edge cases: null and empty texts have no bytes and lose nothing (the hash of nothing); rows with equal id and text
 (repeated rows) are one document and get the same result, in as many rows; rows that share an id but not the text are
@@ -27,12 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialise, table
-from .words import BYTE_VALUES, PrefixHash, U, blocks, mix, seeds
+from .words import PrefixHash, U, blocks, mix, seeds, word_names
 
 LENGTH = 100
 GRAM = 32
-OTHER_VALUES = mix(BYTE_VALUES + U(7))
-OTHER_BASE = 0x9E3779B97F4A7C15 | 1
 PLACE = U((1 << 24) - 1)
 PART = 1 << 23
 
@@ -70,7 +71,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     count = np.diff(np.append(edge, len(starts)))
     at = at[edge]
     row = np.searchsorted(offsets, first, "right") - 1
-    name = mix(PrefixHash(data, OTHER_VALUES, OTHER_BASE).names(first, first + count - 1 + length) + count.astype(U) * seeds(1, 55)[0])
+    name = mix(word_names(data, first, first + count - 1 + length, lower=False) + count.astype(U) * seeds(1, 55)[0])
     return row, first, count, at, grams[at], name
 
 
@@ -131,16 +132,58 @@ def _stretches(bits: int, length: int):
     return stretches
 
 
-def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, name, position) of every LENGTH-byte string of a batch of stretches."""
+def bucket_pointers(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """A number for each offset, equal just for equal strings of `length` bytes; -1 where ends[offset] is nearer than that."""
+    width = min(8, length)
+    at = np.flatnonzero(np.arange(len(data)) + width <= ends)
+    value = np.zeros(len(at), U)
+    for b in range(width):
+        value = (value << U(8)) | data[at + b].astype(U)
+    pointer = np.full(len(data), -1)
+    pointer[at] = _sorted_pointers(value)
+    while width < length:
+        step = min(width, length - width)
+        fits = at + width + step <= ends[at]
+        pointer[at[~fits]] = -2 - pointer[at[~fits]]  # too near the end to go on, but still read by others
+        known = np.where(pointer < -1, -2 - pointer, pointer)
+        at = at[fits]
+        open_ = np.bincount(pointer[at], minlength=1)[pointer[at]] > 1
+        some = at[open_]
+        later = known[some + step]
+        # A refined bucket's pointers lie from its first place on, which leaves all other buckets' pointers as they are.
+        both = pointer[some] * len(data) + later
+        order = np.argsort(both)
+        both, old = both[order], pointer[some][order]
+        new = np.append(True, both[1:] != both[:-1])[: len(old)]
+        bucket = np.append(True, old[1:] != old[:-1])[: len(old)]
+        place = np.arange(len(old))
+        base = np.maximum.accumulate(np.where(bucket, place, 0))
+        refined = np.empty(len(old), np.int64)
+        refined[order] = old + np.maximum.accumulate(np.where(new, place, 0)) - base
+        pointer[pointer < -1] = -1
+        pointer[some] = refined
+        width += step
+    pointer[pointer < -1] = -1
+    return pointer
+
+
+def _sorted_pointers(value: np.ndarray) -> np.ndarray:
+    """The first place of each value in sorted order."""
+    order = np.argsort(value)
+    first = np.append(True, value[order][1:] != value[order][:-1])[: len(value)]
+    out = np.empty(len(value), np.int64)
+    out[order] = np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))
+    return out
+
+
+def _placed(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, end of its stretch for each byte, start and position of each LENGTH-byte string) of a batch of stretches."""
     n = batch.column("n").to_numpy().astype(np.int64)
-    column = batch.column("bytes")
-    offsets = np.append(0, np.cumsum(n + length - 1))
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    edges = np.append(0, np.cumsum(n + length - 1))
+    data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
     ahead = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(offsets[:-1], n) + ahead
-    names = PrefixHash(data).names(start, start + length)
-    return np.repeat(batch.column("gram").to_numpy(), n), mix(names), np.repeat(batch.column("pos").to_numpy(), n) + ahead
+    start = np.repeat(edges[:-1], n) + ahead
+    return data, np.repeat(edges[1:], np.diff(edges)), start, np.repeat(batch.column("pos").to_numpy(), n) + ahead
 
 
 def _refined(length: int):
@@ -148,12 +191,11 @@ def _refined(length: int):
 
     def refine(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        gram, name, pos = _windows(rows, length)
-        order = np.lexsort((pos, name, gram))
-        a, b = order[:-1], order[1:]
-        start = np.append(True, (gram[a] != gram[b]) | (name[a] != name[b]))
-        least = pos[order][np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
-        again = np.sort(pos[order][pos[order] != least])
+        data, ends, start, pos = _placed(rows, length)
+        pointer = bucket_pointers(data, ends, length)[start]
+        least = np.full(len(data), np.iinfo(np.int64).max)
+        np.minimum.at(least, pointer, pos)
+        again = np.unique(pos[pos != least[pointer]])
         edge = np.flatnonzero(np.append(True, np.diff(again) != 1)) if len(again) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(again)))
         return pa.RecordBatch.from_arrays([pa.array(again[edge]), pa.array(count.astype(np.int32))], names=["pos", "n"])
@@ -184,9 +226,11 @@ def _refined(length: int):
 def _exploded(length: int):
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                gram, name, pos = _windows(batch.slice(at, 4096), length)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(name.view(np.int64)), pa.array(pos)], names=["gram", "name", "pos"])
+            for at in range(0, batch.num_rows, 1024):
+                data, _, start, pos = _placed(batch.slice(at, 1024), length)
+                strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[start])
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(start), [None, pa.py_buffer(strings)])
+                yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary()), pa.array(pos)], names=["string", "pos"])
 
     return exploded
 
@@ -240,8 +284,8 @@ def _numbered(texts: DataFrame) -> tuple[DataFrame, int]:
     return materialise(texts.alias("t").join(_ordinals(texts).alias("o"), own).select("t.*", "o.doc")), bits
 
 
-#: Stretches of a bucket that one task refines; larger buckets are sorted by all tasks.
-MOST = 20_000
+#: Stretches of a bucket that one task refines; larger buckets' strings are grouped by all tasks. Results are the same.
+MOST = 4096
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -263,9 +307,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     stretches = materialise(with_text.mapInArrow(_stretches(bits, length), "pos long, n int, gram long, members long, bytes binary"))
     small = stretches.where(F.col("members") <= most).repartition("gram").sortWithinPartitions("gram")
     runs = small.mapInArrow(_refined(length), "pos long, n int")
-    strings = stretches.where(F.col("members") > most).mapInArrow(_exploded(length), "gram long, name long, pos long")
-    ordered = Window.partitionBy("gram", "name").orderBy("pos")
-    later = strings.withColumn("r", F.rank().over(ordered)).where("r > 1").select("pos", F.lit(1).alias("n"))
+    strings = stretches.where(F.col("members") > most).mapInArrow(_exploded(length), "string binary, pos long")
+    least = strings.groupBy("string").agg(F.min("pos").alias("least"))
+    later = strings.join(least, "string").where("pos > least").select("pos", F.lit(1).alias("n"))
     gone = first.where("again").select("pos", "n").unionByName(runs).unionByName(later)
     code = F.shiftleft(F.col("pos").bitwiseAND((1 << bits) - 1), 24).bitwiseOR(F.col("n").cast("long"))
     per_doc = gone.groupBy(F.shiftright("pos", bits).alias("doc")).agg(F.collect_list(code).alias("codes"))
