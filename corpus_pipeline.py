@@ -15,9 +15,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go, and documents of which nothing but white space is left; n_chars follows the text."""
+    """Repeated runs of lines go, and documents of which nothing but white space is left; n_chars follows the text."""
     out = line_dedup.dedup(docs)
-    emptied = (F.col("_dedup.removed_lines") > 0) & (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) == "")
+    emptied = (F.col(f"{line_dedup.facts_column(docs)}.removed_lines") > 0) & (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) == "")
     return out.where(~emptied).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
