@@ -1,8 +1,8 @@
 """Weighted totals, proportions, means and medians of cells, with household-bootstrap standard errors.
 
 Values are summed by cell and household first; replicate multipliers (Rao-Wu: k - 1 of a stratum's k households drawn
-with replacement, scaled by k / (k - 1)) are drawn by md5, so any engine draws the same. Only households shuffle with
-replicates, never persons.
+with replacement, scaled by k / (k - 1)) are drawn by md5, so any engine draws the same. Households shuffle with
+replicates, persons only as partial sums (by cell, replicate and, for medians, range of values).
 """
 
 from __future__ import annotations
@@ -21,17 +21,20 @@ def bootstrap_weights(households: DataFrame, household: str, stratum: str, repli
     A null stratum is a stratum; a household of several strata is in the largest.
     """
     one = households.groupBy(household).agg(F.max(stratum).alias("_s")).withColumn("_s", F.coalesce(F.col("_s").cast("string"), F.lit("")))
-    # Ranks are numbered within a stratum; a stratum's households fit one task, as its draws do.
-    ranked = one.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(household)) - 1)
-    sizes = one.groupBy("_s").agg(F.count("*").alias("_k"))
+    one = one.withColumn("_h", F.md5(F.col(household).cast("string"))).withColumn("_p", F.substring("_h", 1, 2))
+    # Ranks follow the md5 of the household in 256 parts a stratum, so a large stratum is ranked by many tasks.
+    parts = one.groupBy("_s", "_p").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_s", "_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_a"), F.sum("_n").over(Window.partitionBy("_s")).alias("_k"))
+    inside = F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", household)) - 1
+    ranked = one.withColumn("_i", inside).join(parts, ["_s", "_p"]).select(household, "_s", "_k", (F.col("_a") + F.col("_i")).alias("_r"))
+    # The household of rank i makes the i-th draw of every replicate: k - 1 draws a stratum, spread like the households.
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
-    drawn = sizes.where("_k > 1").select("_s", "_k", b).select("_s", "_k", "b", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int") - 1)).alias("_i"))
-    key = F.concat_ws("|", F.lit(str(seed)), "_s", "b", "_i")
+    key = F.concat_ws("|", F.lit(str(seed)), "_s", "b", F.col("_r").cast("string"))
     rank = F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), F.col("_k"))
-    counts = drawn.groupBy("_s", "_k", "b", rank.alias("_r")).agg(F.count("*").alias("_n"))
-    alone = sizes.where("_k = 1").select("_s", "_k", b, F.lit(0).cast("long").alias("_r"), F.lit(None).cast("long").alias("_n"))
-    scale = F.when(F.col("_k") == 1, 1.0).otherwise(F.col("_n") * F.col("_k") / F.greatest(F.col("_k") - 1, F.lit(1)))
-    return counts.unionByName(alone).join(ranked, ["_s", "_r"]).select(household, "b", scale.alias("m"))
+    counts = ranked.where("_r > 0").select("_s", "_k", "_r", b).groupBy("_s", "b", rank.alias("_r")).agg(F.count("*").alias("_c"))
+    drawn = counts.join(ranked, ["_s", "_r"]).select(household, "b", (F.col("_c") * F.col("_k") / (F.col("_k") - 1)).alias("m"))
+    return drawn.unionByName(ranked.where("_k = 1").select(household, b, F.lit(1.0).alias("m")))
 
 
 def household_sums(df: DataFrame, cell: list[str], household: str, weight: str, numerator: Column, denominator: Column) -> DataFrame:
@@ -67,17 +70,43 @@ def mean(df, weights, cell, household, weight, y: str):
     return ratio_with_se(household_sums(known, cell, household, weight, F.col(y), F.lit(1.0)), weights, cell, household)
 
 
+#: Ranges of values that a median is first sought in.
+RANGES = 128
+
+
+def _halfway(sums: DataFrame, cell: list[str], by: str) -> DataFrame:
+    """cell, the first `by` up to which half of the weight lies, and the weight before it. sums: cell, by, _w, _t, _c0."""
+    own = Window.partitionBy(*cell).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    running = sums.withColumn("_c", F.col("_c0") + F.sum("_w").over(own))
+    reached = running.where("_t > 0 and _c >= 0.5 * _t - 1e-9 * _t")
+    return reached.groupBy(*cell).agg(F.min(F.struct(F.col(by), F.col("_c") - F.col("_w"), F.col("_t"))).alias("_m"))
+
+
 def weighted_median(df: DataFrame, cell: list[str], weight: str, y: str) -> DataFrame:
-    """The first value whose cumulative weight reaches half; values are summed first, so windows hold distinct ones."""
-    known = df.where(F.col(y).isNotNull()).groupBy(*cell, y).agg(F.sum(weight).alias("_w"))
-    over = Window.partitionBy(*cell)
-    running = over.orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
-    marked = known.select(*cell, y, F.sum("_w").over(running).alias("_c"), F.sum("_w").over(over).alias("_t"))
-    return marked.where("_t > 0 and _c >= 0.5 * _t").groupBy(*cell).agg(F.min(y).alias("value"))
+    """The first value whose cumulative weight reaches half (to nine digits).
+
+    Weights are summed by range of values first (cuts at approximate quantiles, compared exactly); only the range that
+    holds the half is then looked at value by value, so no task gets all values of a cell.
+    """
+    known = df.where(F.col(y).isNotNull())
+    cuts = known.agg(F.percentile_approx(F.col(y).cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    binned = known.select(*cell, F.col(y).alias("_y"), F.col(weight).alias("_v"), F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(y))).alias("_b"))
+    ranges = binned.groupBy(*cell, "_b").agg(F.sum("_v").alias("_w"))
+    ranges = ranges.withColumns({"_t": F.sum("_w").over(Window.partitionBy(*cell)), "_c0": F.lit(0.0)})
+    half = _halfway(ranges, cell, "_b").select(*cell, F.col("_m._b").alias("_b"), F.col("_m.col2").alias("_c0"), F.col("_m._t").alias("_t"))
+    # Null cells are cells too.
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"h.{c}")) for c in cell] + [F.col("v._b") == F.col("h._b")]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    inside = binned.alias("v").join(half.alias("h"), condition).select(*[f"v.{c}" for c in cell], "_y", "_v", "_c0", "_t")
+    values = inside.groupBy(*cell, "_y").agg(F.sum("_v").alias("_w"), F.max("_c0").alias("_c0"), F.max("_t").alias("_t"))
+    return _halfway(values, cell, "_y").select(*cell, F.col("_m._y").alias("value"))
 
 
 def median_with_se(df, weights, cell, household, weight, y, replicates: int = MEDIAN_REPLICATES):
-    drawn = df.join(weights.where(F.col("b") < replicates), household).withColumn("_wm", F.col(weight) * F.col("m"))
+    known = df.where(F.col(y).isNotNull()).groupBy(*cell, household, y).agg(F.sum(weight).alias("_w1"))
+    drawn = known.join(weights.where(F.col("b") < replicates), household).withColumn("_wm", F.col("_w1") * F.col("m"))
     spread = weighted_median(drawn, [*cell, "b"], "_wm", y).groupBy(*cell).agg(F.stddev_samp("value").alias("se"))
     return weighted_median(df, cell, weight, y).join(spread, cell, "left")
 

@@ -9,15 +9,14 @@ from .fixtures import WITH, dwellings, persons
 from .recoding import TYPED, typed
 from .registry import query
 
-B = 20
-_BOOT = f""", hh as (select controle, ap, row_number() over (partition by ap order by controle) - 1 r, count(*) over (partition by ap) k from dwellings),
- dr as (select ap, k, b, i from (select distinct ap, k from hh), range({B}) t(b), range(1, 2000) u(i) where i < k),
- cn as (select ap, b, (('0x' || substr(md5('1|' || ap || '|' || b || '|' || i), 1, 15))::bigint % k) r, count(*) c from dr group by all),
- w as (select controle, b, c * k / (k - 1)::double m from hh join cn using (ap, r) union all select controle, b, 1.0 from hh, range({B}) t(b) where k = 1) """
+_BOOT = f""", hh as (select controle, ap, row_number() over (partition by ap order by md5(controle::varchar), controle) - 1 r, count(*) over (partition by ap) k from dwellings),
+ dr as (select ap, k, r, unnest(range({E.REPLICATES})) b from hh where r > 0),
+ cn as (select ap, b, (('0x' || substr(md5('1|' || ap || '|' || b || '|' || r), 1, 15))::bigint % k) r, count(*) c from dr group by all),
+ w as (select controle, b, c * k / (k - 1)::double m from hh join cn using (ap, r) union all select controle, unnest(range({E.REPLICATES})) b, 1.0 from hh where k = 1) """
 
 
 def weights(spark, d):
-    return E.bootstrap_weights(dwellings(spark, d), "controle", "ap", B)
+    return E.bootstrap_weights(dwellings(spark, d), "controle", "ap")
 
 
 @query("a02_total", WITH + "select censo, sum(peso) total from persons where situacao = 'urbana' group by censo")
@@ -62,9 +61,9 @@ def a05(spark, d):
     return E.weighted_median(persons(spark, d), ["segmento"], "peso", "renda").withColumn("value", F.round("value", 6))
 
 
-@query("a07_median_se", WITH + _BOOT + """, j as (select segmento, b, renda, sum(peso * m) w from persons join w using (controle) where renda is not null group by all),
+@query("a07_median_se", WITH + _BOOT + """, j as (select segmento, b, renda, sum(peso * m) w from persons join w using (controle) where renda is not null and b < 60 group by all),
  c as (select segmento, b, renda, sum(w) over (partition by segmento, b order by renda) c, sum(w) over (partition by segmento, b) t from j),
- v as (select segmento, b, min(renda) v from c where c >= 0.5 * t group by all) select segmento, round(stddev_samp(v), 4) se from v group by segmento""")
+ v as (select segmento, b, min(renda) v from c where c >= 0.5 * t - 1e-9 * t group by all) select segmento, round(stddev_samp(v), 4) se from v group by segmento""")
 def a07b(spark, d):
     return E.median_with_se(persons(spark, d), weights(spark, d), ["segmento"], "controle", "peso", "renda").select("segmento", F.round("se", 4).alias("se"))
 
