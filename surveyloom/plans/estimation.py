@@ -151,24 +151,72 @@ def d01(spark, d):
 
 
 SHARES = ["F", "O", "P"]
-
-
-@query("d08_suppression")
+_GROUP = ["censo", "ap", "ano"]
+# All unions of the three categories as masks; a fold over at most three steps, one join a step.
+_MASKS = WITH + """, base as (select censo, ap, ano, status, controle, case status when 'F' then 1 when 'O' then 2 else 4 end bit from persons where status in ('F', 'O', 'P')),
+ masks as (select m from range(1, 8) t(m)),
+ u as (select censo, ap, ano, m, count(*) n, count(distinct controle) h, count(distinct status) k from base join masks on bit & m <> 0 group by all),
+ ok as (select *, n >= case when censo = 2022 then 20 else 10 end and h >= case when censo = 2022 then 10 else 5 end good from u),
+ one as (select censo, ap, ano, m bit, n, good from ok where m in (1, 2, 4)),
+ g as (select censo, ap, ano, sum(bit)::int present, coalesce(sum(bit) filter (not good), 0)::int s from one group by all),
+ """ + "".join(
+    f"""s{i + 1} as (select g.censo, g.ap, g.ano, present, case when s = 0 or (bit_count(s) >= 2 and ok.good) then s
+      else s | coalesce((select bit from one o where o.censo = g.censo and o.ap = g.ap and o.ano = g.ano and o.bit & g.s = 0 order by o.n, bit limit 1), 0) end::int s
+      from {'g' if i == 0 else f's{i}'} g left join ok on ok.censo = g.censo and ok.ap = g.ap and ok.ano = g.ano and ok.m = g.s), """
+    for i in range(3)
+) + """ f as (select f.censo, f.ap, f.ano, present, case when s = 0 or (bit_count(s) >= 2 and coalesce(ok.good, false)) then s else present end s
+        from s3 f left join ok on ok.censo = f.censo and ok.ap = f.ap and ok.ano = f.ano and ok.m = f.s),
+ shown as (select censo, ap, ano, s, unnest(case when s = present then [] else [x for x in [1, 2, 4] if x & present <> 0 and x & s = 0] || case when s = 0 then [] else [s] end end) m from f),
+ cells as (select x.censo, x.ap, x.ano, case when bit_count(x.m) = 1 then case x.m when 1 then 'F' when 2 then 'O' else 'P' end
+             else 'outros:' || array_to_string([c[1] for c in [['F', '1'], ['O', '2'], ['P', '4']] if c[2]::int & x.m & present <> 0], '+') end as label, ok.n, ok.h n_dom, bit_count(x.s)::bigint n_suppressed
+           from shown x join f using (censo, ap, ano) join ok on ok.censo = x.censo and ok.ap = x.ap and ok.ano = x.ano and ok.m = x.m) """
+
+
+def _statuses(spark, d):
+    return D.patterns(persons(spark, d), _GROUP, "status", "controle", SHARES)
+
+
+@query("d08_suppression", _MASKS + "select * from cells")
 def d08(spark, d):
-    table = D.patterns(persons(spark, d), ["ap", "ano"], "status", "controle", SHARES)
-    return D.suppress(table, ["ap", "ano"], SHARES, (10, 5))
+    return D.suppress(_statuses(spark, d), _GROUP, SHARES, F.col("censo")).drop("members")
 
 
-@query("d12_recount", "select 1::bigint ap, 1 ano, '' label, 1::bigint n, 1::bigint n_dom, 1::bigint n_suppressed where false")
+@query("d12_recount", _MASKS + """select c.censo, c.ap, c.ano, label, n, n_dom, n_suppressed, count(*) again_n, count(distinct controle) again_dom, count(distinct status) present, true agrees
+ from cells c join base b on b.censo = c.censo and b.ap = c.ap and b.ano = c.ano and list_contains(string_split(replace(label, 'outros:', ''), '+'), status) group by all""")
 def d12(spark, d):
-    return D.recount(d08(spark, d), persons(spark, d).select("ap", "ano", "status", "controle"), ["ap", "ano"], "status", "controle")
+    return D.recount(d08(spark, d), persons(spark, d).select(*_GROUP, "status", "controle"), _GROUP, "status", "controle")
+
+
+@query("d13_fused_members", _MASKS + """select c.censo, c.ap, c.ano, label, count(distinct status) present from cells c join base b on b.censo = c.censo and b.ap = c.ap and b.ano = c.ano
+ and list_contains(string_split(replace(label, 'outros:', ''), '+'), status) where label like 'outros%' group by all""")
+def d13(spark, d):
+    return d12(spark, d).where("label like 'outros%'").select(*_GROUP, "label", "present")
+
 
+@query("d11_suppression_audit", _MASKS + """, o as (select censo, ap, ano, count(*) cells, count(*) filter (label like 'outros%') fused, max(n_suppressed) hidden from cells group by all)
+ select g.censo, count(*) as groups, count(*) filter (cells is null) withheld, coalesce(sum(cells), 0)::bigint cells, coalesce(sum(fused), 0)::bigint fused,
+ sum(coalesce(hidden, bit_count(present)))::bigint suppressed from g left join o using (censo, ap, ano) group by g.censo""")
+def d11(spark, d):
+    table = _statuses(spark, d)
+    return D.suppression_audit(D.suppress(table, _GROUP, SHARES, F.col("censo")), table, _GROUP, ["censo"])
 
-@query("d07_differencing", WITH + ", c as (select ap, status, count(*) filter (situacao = 'urbana') sede, count(*) total from persons group by all) select *, total - sede rural, total - sede = 0 or total - sede >= 10 segura from c")
+
+@query("d07_structural_zeros", WITH + """select censo, ap, ano, string_agg(distinct status, '+' order by status) presentes, 3 - count(distinct status) zeros from persons where status in ('F', 'O', 'P') group by all""")
 def d07(spark, d):
-    c = persons(spark, d).groupBy("ap", "status").agg(F.count_if(F.col("situacao") == "urbana").alias("sede"), F.count("*").alias("total"))
-    rural = F.col("total") - F.col("sede")
-    return c.withColumns({"rural": rural, "segura": (rural == 0) | (rural >= 10)})
+    names = F.expr("transform(filter(members, e -> e.n > 0), e -> case e.bit when 1 then 'F' when 2 then 'O' else 'P' end)")
+    out = _statuses(spark, d).withColumn("p", F.array_sort(names))
+    return out.select(*_GROUP, F.array_join("p", "+").alias("presentes"), (3 - F.size("p")).cast("long").alias("zeros"))
+
+
+@query("d06_differencing", WITH + """, c as (select censo, ap, status, count(*) filter (situacao = 'urbana') sede, count(*) filter (situacao is distinct from 'urbana') rest_n,
+ count(distinct controle) filter (situacao is distinct from 'urbana') rest_dom from persons group by all)
+ select *, rest_n = 0 or (rest_n >= case when censo = 2022 then 20 else 10 end and rest_dom >= case when censo = 2022 then 10 else 5 end) safe from c""")
+def d06(spark, d):
+    away = ~F.col("situacao").eqNullSafe("urbana")
+    cells = persons(spark, d).groupBy("censo", "ap", "status").agg(
+        F.count_if(~away).alias("sede"), F.count_if(away).alias("rest_n"), F.countDistinct(F.when(away, F.col("controle"))).alias("rest_dom")
+    )
+    return D.differencing(cells, F.col("censo"))
 
 
 @query("d18_wide_suppression", WITH + "select ap, ano, n, case when n >= 40 then pop end pop, n < 40 suppressed from (select ap, ano, count(*) n, sum(peso) pop from persons group by all)")
@@ -177,7 +225,12 @@ def d18(spark, d):
     return D.suppress_wide(wide, "n", ["pop"], 40)
 
 
-@query("d19_audit", "select doc_id, r rule, unnest(regexp_extract_all(text, p)) as match from documents, (values ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), ('cpf', '\\d{3}\\.\\d{3}\\.\\d{3}-\\d{2}'), ('phone', '\\+\\d{1,2} \\(\\d{3}\\) \\d{3}-\\d{4}'), ('key', 'AKIA[0-9A-Z]{16}')) t(r, p)")
+_AUDIT = ", ".join("('{}', '{}')".format(k, v) for k, v in D.AUDIT_RULES.items())
+
+
+@query("d19_audit", f"""with h as (select doc_id, text, r rule, unnest(list_distinct(regexp_extract_all(text, p))) as match from documents, (values {_AUDIT}) t(r, p))
+ select doc_id, rule, match, substr(text, greatest(instr(text, match) - {D.SNIPPET}, 1), instr(text, match) - greatest(instr(text, match) - {D.SNIPPET}, 1) + length(match) + {D.SNIPPET}) snippet
+ from h where not (rule = 'email' and lower(split_part(match, '@', 2)) in {D.ALLOWED_DOMAINS})""")
 def d19(spark, d):
     return D.audit_text(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
