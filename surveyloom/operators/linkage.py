@@ -6,48 +6,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.storage import stored
+from .graph import components
 
 
 def group_records(records: DataFrame, key: str, keys: list[str]) -> DataFrame:
     """records with `group`: the smallest key reachable over shared values of any of the key columns (nulls and '' link nothing)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys]))
-    links = stored(records.select(F.col(key).alias("node"), pairs.alias("p")).select("node", "p.kind", "p.value").where("value is not null and value <> ''"))
-    labels = stored(records.select(F.col(key).alias("node"), F.col(key).alias("label")).distinct())
-    while True:
-        least = links.join(labels, "node").groupBy("kind", "value").agg(F.min("label").alias("label"))
-        near = links.join(least, ["kind", "value"]).groupBy("node").agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        now = stored(spread.join(jump, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("old")).alias("moved")))
-        labels = now.drop("moved")
-        if not now.where("moved").limit(1).count():
-            return records.join(labels.select(F.col("node").alias(key), F.col("label").alias("group")), key)
-
-
-def merge_survivors(grouped: DataFrame, key: str, priority: str, text: str, tag: str) -> DataFrame:
-    """One row a group: the key of best priority, the longest text (ties: the smallest), sorted distinct tags, and the count."""
-    return grouped.groupBy("group").agg(
-        F.min_by(key, F.struct(priority, key)).alias(key), F.min_by(text, F.struct(-F.length(text), text)).alias(text),
-        F.array_join(F.array_sort(F.collect_set(tag)), ",").alias(tag), F.count("*").alias("n"),
-    )
+    links = records.select(F.col(key).cast("long").alias("v"), pairs.alias("p")).select("v", "p.kind", "p.value").where("value is not null and value <> ''")
+    least = links.groupBy("kind", "value").agg(F.min("v").alias("u"))  # a star to the smallest record of each value
+    found = components(links.join(least, ["kind", "value"]).select("u", "v"))
+    return records.join(found, records[key] == found["node"], "left").withColumn("group", F.coalesce("component", key)).drop("node", "component")
+
+
+def merge_survivors(grouped: DataFrame, key: str, priority: list[str], fill: list[str], lists: list[str], flag: str, source: str) -> DataFrame:
+    """One row a group: the first record by priority, its empty fields filled with the longest value of the others.
+
+    `lists` become sorted distinct unions, `flag` holds if it does for any record, `ids` maps each source to its first
+    record's key, n counts records. Ties go to the smallest key.
+    """
+    order = F.struct(*priority, key)
+
+    def filled(c):
+        own, given = F.min_by(c, order), F.col(c).isNotNull() & (F.col(c) != "")
+        longest = F.min_by(c, F.when(given, F.struct(-F.length(c), F.col(c))))
+        return F.when(F.coalesce(own != "", F.lit(False)), own).otherwise(longest).alias(c)
+
+    ids = F.array_sort(F.collect_set(F.struct(F.col(source).alias("s"), F.col(key).alias("k"))))
+    out = grouped.groupBy("group").agg(
+        F.min_by(key, order).alias(key), *[filled(c) for c in fill], *[F.array_sort(F.collect_set(c)).alias(c) for c in lists], F.max(flag).alias(flag), ids.alias("_ids"), F.count("*").alias("n")
+    )
+    first = F.expr("filter(_ids, (x, i) -> i = 0 or _ids[greatest(i - 1, 0)].s <> x.s)")
+    return out.withColumn("ids", F.map_from_entries(first)).drop("_ids")
 
 
 def token_coverage(needle: Column, hay: Column, longer: int = 3) -> Column:
-    """Share of the needle's distinct words of more than `longer` letters that stand in the other text; null without any."""
-    words = F.array_distinct(F.filter(F.split(needle, " "), lambda w: F.length(w) > longer))
-    return F.try_divide(F.size(F.array_intersect(words, F.split(hay, " "))), F.size(words))
+    """Share of the needle's words of more than `longer` letters, each as often as it stands, that the other text holds; null without any."""
+    words = F.filter(F.split(needle, " "), lambda w: F.length(w) > longer)
+    return F.try_divide(F.size(F.filter(words, lambda w: F.contains(hay, w))), F.size(words))
 
 
 def title_similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    """1 if one normalised title holds the other, else 1 - edit distance / longer length; 0 for an empty one."""
+    ratio = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(ratio)
+
+
+def verified_pairs(records: DataFrame, found: DataFrame, least: float = 0.8, coverage: float = 0.75) -> DataFrame:
+    """Pairs of a record and a found one by the same author, a year apart at most, whose titles agree.
+
+    records: id, author, year, title; found: id, author, year, title, text (normalised). Author and year make the equi-join;
+    titles below `least` pass if the found text holds enough of the record's title.
+    """
+    left = records.select(F.col("id").alias("a"), "author", F.explode(F.array(*[F.col("year") + o for o in (-1, 0, 1)])).alias("year"), F.col("title").alias("ta"))
+    right = found.select(F.col("id").alias("b"), "author", "year", F.col("title").alias("tb"), "text")
+    both = left.join(right, ["author", "year"]).where("a <> b")
+    alike, covered = title_similarity(F.col("ta"), F.col("tb")), F.coalesce(token_coverage(F.col("ta"), F.col("text")), F.lit(0.0))
+    scored = both.select("a", "b", alike.alias("similarity"), covered.alias("coverage"))
+    return scored.where((F.col("similarity") >= least) | (F.col("coverage") >= coverage)).withColumn("by", F.when(F.col("similarity") >= least, "title").otherwise("text"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
+def referential_report(child: DataFrame, parent: DataFrame, key: str, needed: list[str]) -> DataFrame:
+    """(check, n): repeated keys, empty needed fields, keys that the parent lacks, and parent keys that no child has."""
+    repeated = child.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").agg(F.lit("repeated key").alias("check"), F.count("*").alias("n"))
+    out = repeated
+    for c in needed:
+        empty = F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+        out = out.unionByName(child.agg(F.lit(f"empty {c}").alias("check"), F.count_if(empty).alias("n")))
+    for name, a, b in (("unknown key", child, parent), ("unused key", parent, child)):
+        out = out.unionByName(a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").agg(F.lit(name).alias("check"), F.count("*").alias("n")))
+    return out
+
+
 def dictionary_encode(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(dictionary: column, code, value; df with codes). Codes follow the sorted values from 0; null comes last."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))

@@ -37,6 +37,19 @@ def fixed_date_type(wave: int, answer: Column, origin_state: Column, state: Colu
     return F.coalesce(*direct, F.when(stayed, "nao_migrante"))
 
 
+# Fixed values of the 1991 form: own state, "same municipality", "abroad", unknown municipality, "never moved".
+OWN_STATE_1991, HERE_1991, ABROAD_1991, UNKNOWN_1991, NEVER_1991 = 15, 70, 80, "9999", 98
+
+
+def fixed_date_type_1991(state: Column, municipality: Column, here: Column, born_here: Column, last_move: Column, tenure: Column, age: Column) -> Column:
+    """Type by residence five years ago in 1991: codes of states and special codes in one field, municipalities of the own state."""
+    own, known = state == OWN_STATE_1991, F.coalesce(municipality != UNKNOWN_1991, F.lit(True))
+    stayed = F.coalesce(born_here, F.lit(False)) | F.coalesce(last_move == NEVER_1991, F.lit(False)) | F.coalesce(tenure >= 5, F.lit(False))
+    answered = F.when(state == ABROAD_1991, "internacional").when(state.between(11, 54) & ~own, "interestadual").when(own & known & (municipality != here), "intraestadual")
+    kind = answered.when((state == HERE_1991) | (own & (municipality == here)) | stayed, "nao_migrante")
+    return asked(kind, age)
+
+
 def last_stage_type(wave: int, answer: Column, origin_state: Column, state: Column, tenure: Column) -> Column:
     """Type of the last move, asked only of those who came less than ten years ago; not asked in 2000."""
     if wave == 2000:

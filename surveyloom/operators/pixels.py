@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import stored
+from .graph import components
+
 PLACE = ["year", "row", "col"]
 
 
@@ -30,38 +33,63 @@ def normalised_difference(a: str, b: str) -> Column:
     return F.when(F.col(a) + F.col(b) == 0, 0.0).otherwise((F.col(a) - F.col(b)) / (F.col(a) + F.col(b)))
 
 
-def _reflected(place: str, offset: Column, n: int) -> Column:
-    moved = F.col(place) + offset
-    return F.when(moved < 0, -moved - 1).when(moved >= n, 2 * n - 1 - moved).otherwise(moved)
-
-
 def local_std(grid: DataFrame, band: str, k: int, rows: int, cols: int) -> DataFrame:
-    """Population standard deviation in a k x k window, mirrored at the border, by two sums per pixel."""
+    """Population standard deviation in a k x k window, mirrored at the border: each pixel sends its value to all windows it is in."""
     half = k // 2
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-half, half + 1) for j in range(-half, half + 1)])
-    want = grid.select("year", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(offsets).alias("o"))
-    want = want.select("year", "r0", "c0", _reflected("r0", F.col("o.i"), rows).alias("row"), _reflected("c0", F.col("o.j"), cols).alias("col"))
-    sums = want.join(grid.select(*PLACE, band), PLACE).groupBy("year", "r0", "c0").agg(F.avg(band).alias("m"), F.avg(F.col(band) * F.col(band)).alias("q"))
-    return sums.select("year", F.col("r0").alias("row"), F.col("c0").alias("col"), F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("std"))
+    # A place in a window is a pixel itself or its mirror image, at -r - 1 or 2n - 1 - r; images further out are in no window.
+    images = F.filter(F.array(*[F.struct(r.alias("r"), c.alias("c")) for r in _images("row", rows) for c in _images("col", cols)]), lambda x: x["r"].between(-half, rows - 1 + half) & x["c"].between(-half, cols - 1 + half))
+    sent = grid.select("year", band, F.explode(images).alias("i")).select("year", band, "i.r", "i.c", F.explode(_square(half)).alias("o"))
+    sent = sent.select("year", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"), band)
+    marked = sent.unionByName(grid.select(*PLACE, F.lit(None).cast("double").alias(band)).withColumn("_own", F.lit(1)), allowMissingColumns=True)
+    sums = marked.groupBy(*PLACE).agg(F.avg(band).alias("m"), F.avg(F.col(band) * F.col(band)).alias("q"), F.max("_own").alias("_own")).where("_own = 1")
+    return sums.select(*PLACE, F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("std"))
+
+
+def _images(place: str, n: int) -> list[Column]:
+    return [F.col(place), -F.col(place) - 1, 2 * n - 1 - F.col(place)]
 
 
 def block_aggregate(grid: DataFrame, band: str, k: int = 3) -> DataFrame:
     return grid.groupBy("year", F.floor(F.col("row") / k).cast("int").alias("row"), F.floor(F.col("col") / k).cast("int").alias("col")).agg(F.avg(band).alias(band), F.count(band).alias("n"))
 
 
+def replicate(blocks: DataFrame, band: str, k: int = 3) -> DataFrame:
+    """A coarse table on the fine grid: each block's value at its k x k places."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(k) for j in range(k)])
+    fine = blocks.select("year", "row", "col", band, F.explode(steps).alias("o"))
+    return fine.select("year", (F.col("row") * k + F.col("o.i")).alias("row"), (F.col("col") * k + F.col("o.j")).alias("col"), band)
+
+
 def _square(radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
 
 
-def dilate(mask: DataFrame, radius: int = 1) -> DataFrame:
-    """Places within `radius` (square) of a place of the mask (year, row, col), the border open."""
-    return mask.select("year", "row", "col", F.explode(_square(radius)).alias("o")).select("year", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).distinct()
+def _disc(radius: int) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius])
+
 
+def _moved(mask: DataFrame, shape: Column, *keep: str) -> DataFrame:
+    sent = mask.select("year", F.explode(shape).alias("o"), "row", "col", *keep)
+    return sent.select("year", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), *keep)
 
-def erode(mask: DataFrame, radius: int = 1) -> DataFrame:
-    """Places all of whose square neighbours are in the mask."""
-    moved = mask.select("year", F.explode(_square(radius)).alias("o"), "row", "col").select("year", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-    return moved.groupBy(*PLACE).agg(F.count("*").alias("_n")).where(F.col("_n") == (2 * radius + 1) ** 2).drop("_n")
+
+def dilate(mask: DataFrame, radius: int = 1, disc: bool = False) -> DataFrame:
+    """Places within `radius` (square, or disc) of a place of the mask (year, row, col), the border open."""
+    return _moved(mask, _disc(radius) if disc else _square(radius)).distinct()
+
+
+def erode(mask: DataFrame, radius: int = 1, disc: bool = False) -> DataFrame:
+    """Places all of whose neighbours in the shape are in the mask."""
+    size = sum(1 for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if not disc or i * i + j * j <= radius * radius)
+    return _moved(mask, _disc(radius) if disc else _square(radius)).groupBy(*PLACE).agg(F.count("*").alias("_n")).where(F.col("_n") == size).drop("_n")
+
+
+def opening(mask: DataFrame, rows: int, cols: int, radius: int = 1, disc: bool = False) -> DataFrame:
+    """Erosion, then dilation; places nearer than `radius` to the border, where erosion sees half a shape, are put back."""
+    opened = dilate(erode(mask, radius, disc), radius, disc)
+    edge = (F.col("row") < radius) | (F.col("row") >= rows - radius) | (F.col("col") < radius) | (F.col("col") >= cols - radius)
+    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
+    return opened.where(inside).unionByName(mask.where(edge).select(*PLACE)).distinct()
 
 
 def majority3(grid: DataFrame, flag: str) -> DataFrame:
@@ -74,35 +102,134 @@ def majority3(grid: DataFrame, flag: str) -> DataFrame:
 
 
 def seal(grid: DataFrame, flag: str) -> DataFrame:
-    """From the first of two positive years in a row on, a pixel stays positive; the last year takes the seal so far."""
+    """A pixel positive in two years in a row stays positive from the first of them on; other positives stay as they are."""
     own = Window.partitionBy("row", "col").orderBy("year")
     pair = F.coalesce(F.col(flag) & F.lead(flag).over(own), F.lit(False))
-    return grid.withColumn("_p", pair).withColumn("sealed", F.max("_p").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_p")
+    lasting = F.max("_p").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return grid.withColumn("_p", pair).withColumn("sealed", lasting | F.coalesce(F.col(flag), F.lit(False))).drop("_p")
 
 
 def first_year(grid: DataFrame, flag: str) -> DataFrame:
     return grid.where(flag).groupBy("row", "col").agg(F.min("year").alias("first"))
 
 
-def patches(mask: DataFrame, width: int, rounds: int = 10_000) -> DataFrame:
-    """mask (year, row, col) with `patch`: 8-neighbour components within a year, named by their smallest place.
+#: Years above the places in a node's number.
+PLACES = 1 << 44
+
+
+def patches(mask: DataFrame, width: int, sides: int = 8) -> DataFrame:
+    """mask (year, row, col) with `patch`: 8-neighbour (or 4-neighbour) components within a year, named by their smallest place.
+
+    Edges to the neighbours ahead are found in one equi-join; components follow from the edge table.
+    """
+    ahead = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if sides == 8 else [])
+    places = mask.select(*PLACE)
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead])
+    sent = places.withColumn("u", _node(width)).select("year", "u", F.explode(steps).alias("o"), "row", "col")
+    sent = sent.select("year", "u", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
+    found = components(sent.join(places, PLACE).select("u", _node(width).alias("v")))
+    named = places.withColumn("node", _node(width)).join(found, "node", "left")
+    return named.select(*PLACE, F.pmod(F.coalesce("component", "node"), F.lit(PLACES)).alias("patch"))
+
+
+def _node(width: int) -> Column:
+    return F.col("year").cast("long") * PLACES + F.col("row").cast("long") * width + F.col("col")
+
+
+def with_size(patched: DataFrame) -> DataFrame:
+    sizes = patched.groupBy("year", "patch").agg(F.count("*").alias("size"))
+    return patched.join(sizes, ["year", "patch"])
+
+
+def drop_small(mask: DataFrame, width: int, least: int) -> DataFrame:
+    """The mask without patches of fewer than `least` pixels."""
+    return with_size(patches(mask, width)).where(F.col("size") >= least).select(*PLACE)
+
+
+def fill_holes(mask: DataFrame, rows: int, cols: int, most: int) -> DataFrame:
+    """The mask with holes of up to `most` pixels filled: 4-neighbour patches of the other pixels that don't touch the border."""
+    whole = mask.select("year").distinct().select("year", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row")).select("year", "row", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
+    other = stored(whole.join(mask.select(*PLACE), PLACE, "left_anti"))
+    holes = patches(other, cols, sides=4)
+    edge = F.col("row").isin(0, rows - 1) | F.col("col").isin(0, cols - 1)
+    good = holes.groupBy("year", "patch").agg(F.count("*").alias("size"), F.max(edge).alias("edge")).where((F.col("size") <= most) & ~F.col("edge"))
+    return mask.select(*PLACE).unionByName(holes.join(good, ["year", "patch"], "left_semi").select(*PLACE))
+
+
+def near_patches(patched: DataFrame, reach: float) -> DataFrame:
+    """(year, a, b, distance): pairs of patches of a year whose nearest pixels are within `reach`, found by cells of that size."""
+    size = max(1, int(reach))
+    here = patched.select("year", "row", "col", "patch", F.floor(F.col("row") / size).alias("_r"), F.floor(F.col("col") / size).alias("_c"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    there = here.select("year", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("patch").alias("b"), "_r", "_c", F.explode(around).alias("o"))
+    there = there.select("year", "r2", "c2", "b", (F.col("_r") + F.col("o.i")).alias("_r"), (F.col("_c") + F.col("o.j")).alias("_c"))
+    distance = F.sqrt(F.pow(F.col("row") - F.col("r2"), 2) + F.pow(F.col("col") - F.col("c2"), 2))
+    pairs = here.join(there, ["year", "_r", "_c"]).where("patch < b").withColumn("d", distance).where(F.col("d") <= reach)
+    return pairs.groupBy("year", F.col("patch").alias("a"), "b").agg(F.min("d").alias("distance"))
+
+
+def core_chain(patched: DataFrame, row: float, col: float, step: float, limit: float, start: float) -> DataFrame:
+    """Pixels of patches that chain to the core: patches within `limit` of the core point, in steps of at most `step`.
 
-    Labels spread to neighbours and jump to the label's own label; each round is written, as lineage would grow.
+    The core of a year is the patch whose nearest pixel to the point is nearest, if within `start`.
     """
-    from ..sources.storage import stored
-
-    node = F.col("row") * width + F.col("col")
-    labels = stored(mask.select("year", "row", "col", node.cast("long").alias("patch")))
-    for _ in range(rounds):
-        sent = labels.select("year", F.explode(_square(1)).alias("o"), "row", "col", "patch").select("year", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), "patch")
-        least = sent.groupBy(*PLACE).agg(F.min("patch").alias("near"))
-        spread = labels.join(least, PLACE).select("year", "row", "col", F.col("patch").alias("old"), F.least("patch", "near").alias("patch"))
-        owner = spread.select("year", (F.col("row") * width + F.col("col")).cast("long").alias("patch"), F.col("patch").alias("jump"))
-        now = stored(spread.join(owner, ["year", "patch"]).select("year", "row", "col", F.col("jump").alias("patch"), (F.col("jump") != F.col("old")).alias("moved")))
-        labels = now.drop("moved")
-        if not now.where("moved").limit(1).count():
-            return labels
-    raise RuntimeError("patches didn't settle")
+    far = F.sqrt(F.pow(F.col("row") - row, 2) + F.pow(F.col("col") - col, 2))
+    reach = patched.groupBy("year", "patch").agg(F.min(far).alias("far"))
+    core = reach.where(F.col("far") <= start).groupBy("year").agg(F.min(F.struct("far", "patch")).alias("m")).select("year", F.col("m.patch").alias("core"))
+    near = stored(patched.join(reach.where(F.col("far") <= limit).select("year", "patch"), ["year", "patch"]))
+    key = F.col("year").cast("long") * PLACES
+    found = components(near_patches(near, step).select((key + F.col("a")).alias("u"), (key + F.col("b")).alias("v")))
+    named = near.withColumn("node", key + F.col("patch")).join(found, "node", "left").withColumn("chain", F.coalesce("component", "node"))
+    chains = named.join(core, "year")
+    own = chains.where("patch = core").select("year", F.col("chain").alias("own")).distinct()
+    return chains.join(own, "year").where("chain = own").select(*PLACE, "patch")
+
+
+def small_and_near(patched: DataFrame, core: DataFrame, reach: float, most: int) -> DataFrame:
+    """(year, patch, size, distance, near): patches outside the core, and whether they are small and within reach of it."""
+    sizes = patched.groupBy("year", "patch").agg(F.count("*").alias("size"))
+    tagged = patched.join(core.select("year", "patch").distinct().withColumn("_core", F.lit(True)), ["year", "patch"], "left")
+    merged = tagged.withColumn("patch", F.when(F.col("_core"), F.lit(-1).cast("long")).otherwise(F.col("patch")))
+    close = near_patches(merged, reach).where("a = -1").select("year", F.col("b").alias("patch"), "distance")
+    out = sizes.join(core.select("year", "patch").distinct(), ["year", "patch"], "left_anti").join(close, ["year", "patch"], "left")
+    return out.withColumn("near", F.col("distance").isNotNull() & (F.col("size") <= most))
+
+
+def mining_mask(mask: DataFrame, concessions: DataFrame, urban: DataFrame, radius: int, reach: int) -> DataFrame:
+    """(row, col): mining seen in any year, widened by `radius`, with concession places within `reach` of it, without urban places."""
+    def flat(df):
+        return df.select(F.lit(0).alias("year"), "row", "col").distinct()
+
+    seen = flat(mask)
+    wide = dilate(seen, radius, disc=True)
+    close = flat(concessions).join(dilate(seen, reach, disc=True), PLACE, "left_semi")
+    return wide.unionByName(close).distinct().join(flat(urban), PLACE, "left_anti").select("row", "col")
+
+
+def fuller_composite(obs: DataFrame, bands: list[str], least: int = 2, last: int = 1990) -> DataFrame:
+    """composite() where years up to `last` whose median count is below `least` also take the observations of the years beside them."""
+    own = obs.groupBy(*PLACE).agg(F.count(bands[0]).alias("n"))
+    poor = own.groupBy("year").agg(F.median("n").alias("m")).where((F.col("m") < least) & (F.col("year") <= last)).select("year", F.explode(F.array(F.lit(-1), F.lit(1))).alias("o"))
+    lent = poor.select(F.col("year").alias("to"), (F.col("year") + F.col("o")).alias("year"))
+    borrowed = obs.join(F.broadcast(lent), "year").drop("year").withColumnRenamed("to", "year")  # two rows a year at most
+    return composite(obs.select(*PLACE, *bands).unionByName(borrowed.select(*PLACE, *bands)), bands)
+
+
+def spectral_indices(blue: str | None, green: str, red: str, nir: str, swir1: str, swir2: str) -> dict[str, Column]:
+    """Eight indices by name; what isn't finite is 0, missing bands stay missing."""
+    g, r, n, s = (F.col(x) for x in (green, red, nir, swir1))
+
+    def over(a, b):
+        return F.when(b == 0, 0.0).otherwise(a / b)
+
+    ndvi, ndbi, mndwi, nbr2 = (normalised_difference(a, b) for a, b in ((nir, red), (swir1, nir), (green, swir1), (swir1, swir2)))
+    savi = over(1.5 * (n - r), n + r + 0.5)
+    lead = F.col(blue) if blue else F.lit(0.0)
+    built = over(2 * s, s + n) - (over(n, n + r) + over(g, g + s))
+    base = over(2 * s, s + n) + (over(n, n + r) + over(g, g + s))
+    return {
+        "ndvi": ndvi, "ndbi": ndbi, "mndwi": mndwi, "bui": ndbi - ndvi, "bsi": over((s + r) - (n + lead), (s + r) + (n + lead)), "savi": savi, "ibi": over(built, base), "nbr2": nbr2,
+    }
 
 
 def otsu(df: DataFrame, col: str, bins: int, low: float, high: float) -> DataFrame:

@@ -44,8 +44,9 @@ DWELLINGS = [
 ]
 PIXELS = [
     "cast(year(l_shipdate) as int) as year",
-    "cast(l_partkey % 40 as int) as row",
-    "cast(l_suppkey % 40 as int) as col",
+    # A strip of 40 columns whose length grows with the orders, so patches and neighbourhoods grow with the table.
+    "cast(floor(l_orderkey / 400) as int) as row",
+    "cast(floor(l_orderkey / 10) as int) % 40 as col",
     "cast(l_orderkey as bigint) as scene",
     "cast(l_linenumber as int) as qa",
     "l_quantity as red",
@@ -72,6 +73,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(*PIXELS)
 
 
+COLS = 40
+
+
+def rows_of(table: DataFrame) -> int:
+    """Rows of a pixel table's grid."""
+    return int(table.agg({"row": "max"}).first()[0] or 0) + 1
+
+
 WITH = f"""with persons as (select {', '.join(PERSONS)} from orders join customer on o_custkey = c_custkey),
 dwellings as (select {', '.join(DWELLINGS)} from customer),
 pixels as (select {', '.join(PIXELS)} from lineitem)

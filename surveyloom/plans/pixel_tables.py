@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import pixels as P
-from .fixtures import WITH, pixels
+from ..sources.storage import stored
+from .fixtures import COLS, WITH, pixels, rows_of
 from .registry import query
 
 _GRID = WITH + ", grid as (select year, row, col, median(red) red, median(nir) nir, median(swir) swir, median(green) green, count(red) n_obs from pixels group by all) "
@@ -42,16 +43,26 @@ def r06(spark, d):
     return P.gap_fill(grid(spark, d), "red", 4).withColumn("red", F.round("red", 6))
 
 
-@query("r07_indices", _GRID + "select year, row, col, round(case when nir + red = 0 then 0 else (nir - red) / (nir + red) end, 6) + 0.0 ndvi, round(case when swir + nir = 0 then 0 else (swir - nir) / (swir + nir) end, 6) + 0.0 ndbi, round(case when green + swir = 0 then 0 else (green - swir) / (green + swir) end, 6) + 0.0 mndwi from grid")
+_ND = "case when {0} + {1} = 0 then 0 else ({0} - {1}) / ({0} + {1}) end"
+_BUILT = "case when swir + nir = 0 then 0 else 2 * swir / (swir + nir) end {} (case when nir + red = 0 then 0 else nir / (nir + red) end + case when green + swir = 0 then 0 else green / (green + swir) end)"
+_INDICES = {
+    "ndvi": _ND.format("nir", "red"), "ndbi": _ND.format("swir", "nir"), "mndwi": _ND.format("green", "swir"), "bui": f"({_ND.format('swir', 'nir')}) - ({_ND.format('nir', 'red')})",
+    "bsi": "case when swir + red + nir = 0 then 0 else (swir + red - nir) / (swir + red + nir) end", "savi": "1.5 * (nir - red) / (nir + red + 0.5)",
+    "ibi": f"case when {_BUILT.format('+')} = 0 then 0 else ({_BUILT.format('-')}) / ({_BUILT.format('+')}) end", "nbr2": _ND.format("swir", "green"),
+}
+
+
+@query("r07_indices", _GRID + "select year, row, col, " + ", ".join(f"round({x}, 5) + 0.0 {k}" for k, x in _INDICES.items()) + " from grid")
 def r07(spark, d):
-    nd = lambda a, b: F.round(P.normalised_difference(a, b), 6) + 0.0
-    return grid(spark, d).select("year", "row", "col", nd("nir", "red").alias("ndvi"), nd("swir", "nir").alias("ndbi"), nd("green", "swir").alias("mndwi"))
+    found = P.spectral_indices(None, "green", "red", "nir", "swir", "green")
+    return grid(spark, d).select("year", "row", "col", *[(F.round(v, 5) + 0.0).alias(k) for k, v in found.items()])
 
 
-@query("r08_local_std", _GRID + """, w as (select g.year, g.row r0, g.col c0, case when g.row + i < 0 then -g.row - i - 1 when g.row + i >= 40 then 79 - g.row - i else g.row + i end row, case when g.col + j < 0 then -g.col - j - 1 when g.col + j >= 40 then 79 - g.col - j else g.col + j end col from grid g, range(-1, 2) a(i), range(-1, 2) b(j))
+@query("r08_local_std", _GRID + """, w as (select g.year, g.row r0, g.col c0, case when g.row + i < 0 then -g.row - i - 1 when g.row + i >= (select max(row) + 1 from grid) then 2 * (select max(row) + 1 from grid) - 1 - g.row - i else g.row + i end row, case when g.col + j < 0 then -g.col - j - 1 when g.col + j >= 40 then 79 - g.col - j else g.col + j end col from grid g, range(-1, 2) a(i), range(-1, 2) b(j))
  select w.year, r0 row, c0 col, round(sqrt(greatest(avg(red * red) - avg(red) * avg(red), 0)), 4) std from w join grid g on g.year = w.year and g.row = w.row and g.col = w.col group by all""")
 def r08(spark, d):
-    return P.local_std(grid(spark, d), "red", 3, 40, 40).withColumn("std", F.round("std", 4))
+    g = stored(grid(spark, d))
+    return P.local_std(g, "red", 3, rows_of(g), COLS).withColumn("std", F.round("std", 4))
 
 
 @query("r11_blocks", _GRID + "select year, row // 3 as row, col // 3 as col, round(avg(red), 6) red, count(red) n from grid group by all")
@@ -72,6 +83,31 @@ def r12b(spark, d):
     return P.erode(P.dilate(mask(spark, d))).select("year", F.col("row").cast("long"), F.col("col").cast("long"))
 
 
+_DISC = "(values (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)) o(i, j)"
+
+
+@query("r12_disc_opening", _MASK + f"""{_DILATED}, di as (select distinct year, row + i as row, col + j as col from m, {_DISC}),
+ er as (select year, row + i as row, col + j as col from di, {_DISC} group by all having count(*) = 5), op as (select distinct year, row + i as row, col + j as col from er, {_DISC}),
+ e as (select max(row) last from m) select * from (select * from op where row between 0 and (from e) and col between 0 and 39 union select year, row, col from di where row < 1 or row >= (from e) or col < 1 or col >= 39)""")
+def r12c(spark, d):
+    """Opening with a disc of the mask widened by it; the border put back."""
+    m = stored(mask(spark, d))
+    out = P.opening(P.dilate(m, 1, disc=True), rows_of(m), COLS, 1, disc=True)
+    return out.select("year", F.col("row").cast("long"), F.col("col").cast("long"))
+
+
+@query("r11_replicate", _GRID + "select b.year, br * 3 + i as row, bc * 3 + j as col, round(red, 6) red from (select year, row // 3 br, col // 3 bc, avg(red) red from grid group by all) b, range(0, 3) a(i), range(0, 3) c(j)")
+def r11b(spark, d):
+    return P.replicate(P.block_aggregate(grid(spark, d), "red"), "red").select("year", F.col("row").cast("long"), F.col("col").cast("long"), F.round("red", 6).alias("red"))
+
+
+@query("r04_fuller_composite", WITH + """, o as (select year, row, col, count(red) n from pixels group by all), poor as (select year from o group by year having median(n) < 6 and year <= 1995),
+ b as (select year, row, col, red from pixels union all select p.year, row, col, red from pixels x join poor p on abs(p.year - x.year) = 1)
+ select year, row, col, round(median(red), 6) red, count(red) n_obs from b group by all""")
+def r04(spark, d):
+    return P.fuller_composite(pixels(spark, d), ["red"], 6, 1995).withColumn("red", F.round("red", 6))
+
+
 @query("r15_block_folds", _GRID + "select year, row // 10 as br, col // 10 as bc, (('0x' || substr(md5((row // 10) || '|' || (col // 10)), 1, 8))::bigint % 5) fold, count(*) n from grid group by all")
 def r15(spark, d):
     g = grid(spark, d).select("year", F.floor(F.col("row") / 10).cast("int").alias("br"), F.floor(F.col("col") / 10).cast("int").alias("bc"))
@@ -84,7 +120,7 @@ def r18(spark, d):
     return P.majority3(flags(spark, d), "flag").drop("flag")
 
 
-@query("r19_seal", _FLAG + ", p as (select *, coalesce(flag and lead(flag) over (partition by row, col order by year), false) pair from f) select year, row, col, bool_or(pair) over (partition by row, col order by year) sealed from p")
+@query("r19_seal", _FLAG + ", p as (select *, coalesce(flag and lead(flag) over (partition by row, col order by year), false) pair from f) select year, row, col, bool_or(pair) over (partition by row, col order by year) or flag sealed from p")
 def r19(spark, d):
     return P.seal(flags(spark, d), "flag").drop("flag")
 
@@ -94,11 +130,56 @@ def r24(spark, d):
     return P.first_year(flags(spark, d), "flag")
 
 
-@query("r20_patches", _MASK.replace("with persons", "with recursive persons") + """, e as (select a.year, a.row * 40 + a.col u, b.row * 40 + b.col v from m a join m b on a.year = b.year and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
- t as (select year, u node, u reach from e union select t.year, t.node, e.v from t join e on e.year = t.year and e.u = t.reach)
- select year, (node // 40)::int as row, (node % 40)::int as col, min(reach)::bigint patch from t group by year, node""")
+_COMPONENTS = _MASK.replace("with persons", "with recursive persons") + """, e as (select a.year, a.row * 40 + a.col u, b.row * 40 + b.col v from m a join m b on a.year = b.year and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
+ t as (select year, u node, u reach from e union select t.year, t.node, e.v from t join e on e.year = t.year and e.u = t.reach),
+ k as (select year, (node // 40)::int as row, (node % 40)::int as col, min(reach)::bigint patch from t group by year, node) """
+
+
+@query("r20_patches", _COMPONENTS + "select * from k")
 def r20(spark, d):
-    return P.patches(mask(spark, d), 40)
+    return P.patches(mask(spark, d), COLS)
+
+
+@query("r20_least_size", _COMPONENTS + "select year, row, col from (select *, count(*) over (partition by year, patch) n from k) where n >= 5")
+def r20b(spark, d):
+    return P.drop_small(mask(spark, d), COLS, 5)
+
+
+@query("r21_fill_holes")
+def r21(spark, d):
+    m = stored(mask(spark, d))
+    return P.fill_holes(m, rows_of(m), COLS, 6)
+
+
+_PATCHED = _COMPONENTS.rstrip() + """, reach as (select year, patch, min(sqrt(pow(row - 10, 2) + pow(col - 20, 2))) far, count(*) size from k group by all),
+ core as (select year, arg_min(patch, (far, patch)) core from reach where far <= 6 group by year),
+ ne as (select k.* from k join reach r on r.year = k.year and r.patch = k.patch where far <= 15),
+ pe as (select distinct a.year, a.patch u, b.patch v from ne a join ne b on a.year = b.year and a.patch <> b.patch and pow(a.row - b.row, 2) + pow(a.col - b.col, 2) <= 4),
+ ch as (select year, core patch from core union select pe.year, pe.v from ch join pe on pe.year = ch.year and pe.u = ch.patch) """
+
+
+@query("r22_core_chain", _PATCHED + "select k.year, row, col, k.patch from k join ch on ch.year = k.year and ch.patch = k.patch")
+def r22(spark, d):
+    return P.core_chain(stored(P.patches(mask(spark, d), COLS)), 10, 20, 2, 15, 6)
+
+
+@query("r37_small_and_near", _PATCHED + """, cp as (select k.* from k join ch on ch.year = k.year and ch.patch = k.patch),
+ ds as (select k.year, k.patch, min(sqrt(pow(k.row - c.row, 2) + pow(k.col - c.col, 2))) distance from k join cp c on c.year = k.year and pow(k.row - c.row, 2) + pow(k.col - c.col, 2) <= 16 group by all)
+ select r.year, r.patch, size, round(distance, 6) distance, distance is not null and size <= 6 near from reach r left join ds using (year, patch) where not exists (from ch where ch.year = r.year and ch.patch = r.patch)""")
+def r37(spark, d):
+    patched = stored(P.patches(mask(spark, d), COLS))
+    core = stored(P.core_chain(patched, 10, 20, 2, 15, 6))
+    return P.small_and_near(patched, core, 4, 6).withColumn("distance", F.round("distance", 6))
+
+
+@query("r26_mining_mask", _GRID + """, s as (select distinct row, col from grid where red > 46), wide as (select distinct row + i r, col + j c from s, range(-1, 2) a(i), range(-1, 2) b(j) where i * i + j * j <= 1),
+ far as (select distinct row + i r, col + j c from s, range(-2, 3) a(i), range(-2, 3) b(j) where i * i + j * j <= 4),
+ k as (select distinct row, col from grid where nir > 60), u as (select distinct row, col from grid where red < 10),
+ z as (select r, c from wide union select row, col from k join far on r = row and c = col) select r as row, c as col from z where not exists (from u where u.row = r and u.col = c)""")
+def r26(spark, d):
+    g = grid(spark, d)
+    out = P.mining_mask(g.where("red > 46"), g.where("nir > 60"), g.where("red < 10"), 1, 2)
+    return out.select(F.col("row").cast("long"), F.col("col").cast("long"))
 
 
 @query("r25_otsu", _GRID + ", b as (select least(63, greatest(0, floor(red / (50.0 / 64))))::int bin, count(*) n from grid group by 1), c as (select bin, sum(n) over (order by bin) w0, sum(n * bin) over (order by bin) s0, sum(n) over () w, sum(n * bin) over () s from b), v as (select bin, w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) v from c where w0 < w) select round((bin + 1) * (50.0 / 64)::double, 6) threshold from v order by v desc, bin limit 1")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import recode as R
+from ..functions.profile import REGIONS, standard_state
 from ..operators import migration as M
 from .fixtures import WITH, dwellings, persons
 from .registry import query
@@ -118,16 +119,18 @@ def p34(spark, d):
 
 
 _STAY = "when nunca_mudou = '2' or tempo_moradia >= 5 then 'nao_migrante'"
+_UF = _case("uf_origem", {f"{i:02d}": s for i, s in enumerate(sorted(REGIONS), 1)})
 _TYPES = {
     "m01_fixed_date_2022": f"case when migracao_cod = '1' then 'nao_migrante' when migracao_cod = '3' then 'internacional' when migracao_cod = '2' and uf_origem = uf_atual then 'intraestadual' when migracao_cod = '2' and uf_origem <> uf_atual then 'interestadual' {_STAY} end",
     "m02_fixed_date_2010": f"case when migracao_cod = '2' then 'internacional' when migracao_cod = '1' and mun_origem = mun_atual then 'nao_migrante' when migracao_cod = '1' and uf_origem = uf_atual then 'intraestadual' when migracao_cod = '1' and uf_origem <> uf_atual then 'interestadual' {_STAY} end",
-    "m03_fixed_date_2000": f"case when migracao_cod in ('1','2') then 'nao_migrante' when migracao_cod = '5' then 'internacional' when migracao_cod in ('3','4') and uf_origem = uf_atual then 'intraestadual' when migracao_cod in ('3','4') and uf_origem <> uf_atual then 'interestadual' {_STAY} end",
+    "m03_fixed_date_2000": f"case when migracao_cod in ('1','2') then 'nao_migrante' when migracao_cod = '5' then 'internacional' when migracao_cod in ('3','4') and {_UF} = uf_atual then 'intraestadual' when migracao_cod in ('3','4') and {_UF} <> uf_atual then 'interestadual' {_STAY} end",
 }
 
 
 def typed(spark, d, wave=2022):
     c = F.col
-    kind = M.fixed_date_type(wave, c("migracao_cod"), c("uf_origem"), c("uf_atual"), c("nunca_mudou") == "2", c("tempo_moradia"), c("mun_origem"), c("mun_atual"))
+    origin = standard_state(c("uf_origem")) if wave == 2000 else c("uf_origem")  # sequential codes in 2000
+    kind = M.fixed_date_type(wave, c("migracao_cod"), origin, c("uf_atual"), c("nunca_mudou") == "2", c("tempo_moradia"), c("mun_origem"), c("mun_atual"))
     return persons(spark, d).withColumn("tipo", kind)
 
 
@@ -141,10 +144,23 @@ def m05(spark, d):
     return typed(spark, d).select("pessoa", M.asked(F.col("tipo"), F.col("idade")).alias("tipo"))
 
 
-@query("m06_last_stage", WITH + "select pessoa, case when tempo_moradia < 4 then case when migracao_cod = '1' and uf_origem = uf_atual then 'intraestadual' when migracao_cod = '1' and uf_origem <> uf_atual then 'interestadual' when migracao_cod = '2' then 'internacional' end end tipo from persons")
+_UF86 = "case cast(uf_origem as int) when 0 then 70 when 1 then 80 when 2 then 99 else cast(uf_origem as int) + 9 end"
+
+
+@query("m04_fixed_date_1991", WITH + f""", q as (select *, {_UF86} u, right(mun_origem, 4) mo, right(mun_atual, 4) ma from persons)
+ select pessoa, case when not idade >= 5 or idade is null then null when u = 80 then 'internacional' when u between 11 and 54 and u <> 15 then 'interestadual' when u = 15 and mo <> '9999' and mo <> ma then 'intraestadual'
+ when u = 70 or (u = 15 and mo = ma) or nunca_mudou = '2' or tempo_moradia >= 5 then 'nao_migrante' end tipo from q""")
+def m04(spark, d):
+    c = F.col
+    state, never = F.expr(_UF86), F.when(c("nunca_mudou") == "2", 98)
+    kind = M.fixed_date_type_1991(state, F.expr("right(mun_origem, 4)"), F.expr("right(mun_atual, 4)"), F.lit(False), never, c("tempo_moradia"), c("idade"))
+    return persons(spark, d).select("pessoa", kind.alias("tipo"))
+
+
+@query("m06_last_stage", WITH + "select pessoa, case when anos_estudo < 10 then case when migracao_cod = '1' and uf_origem = uf_atual then 'intraestadual' when migracao_cod = '1' and uf_origem <> uf_atual then 'interestadual' when migracao_cod = '2' then 'internacional' end end tipo from persons")
 def m06(spark, d):
     c = F.col
-    return persons(spark, d).select("pessoa", M.last_stage_type(2010, c("migracao_cod"), c("uf_origem"), c("uf_atual"), c("tempo_moradia") + 6).alias("tipo"))
+    return persons(spark, d).select("pessoa", M.last_stage_type(2010, c("migracao_cod"), c("uf_origem"), c("uf_atual"), c("anos_estudo")).alias("tipo"))
 
 
 @query("m07_return", WITH + "select pessoa, coalesce(mun_origem = mun_atual and migracao_cod = '2', false) retorno from persons")

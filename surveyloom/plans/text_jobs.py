@@ -25,7 +25,7 @@ def f03(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", R.html_text(F.col("html")).alias("texto"))
 
 
-@query("f04_token_coverage", f"with k as (select a.conv_id, a.turn, {_NORM.format('a.text')} n, {_NORM.format('b.text')} h from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1), w as (select conv_id, turn, list_distinct(list_filter(string_split(n, ' '), lambda x: length(x) > 3)) w, string_split(h, ' ') h from k) select conv_id, turn, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(h, x))) / len(w) end, 6) cob from w")
+@query("f04_token_coverage", f"with k as (select a.conv_id, a.turn, {_NORM.format('a.text')} n, {_NORM.format('b.text')} h from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1), w as (select conv_id, turn, list_filter(string_split(n, ' '), lambda x: length(x) > 3) w, h from k) select conv_id, turn, round(case when len(w) > 0 then len(list_filter(w, lambda x: contains(h, x))) / len(w) end, 6) cob from w")
 def f04(spark, d):
     turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", R.normalise(F.col("text")).alias("n"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("h"))
@@ -77,23 +77,39 @@ def s15b(spark, d):
     return L.dictionary_decode(dic, coded, ["segmento", "situacao"])
 
 
-_RECORDS = "select doc_id, source, md5(text) ident, substr(md5(substr(text, 1, 40)), 1, 12) titulo, length(text) n from documents"
+_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+_PAGES = f"""select page_id, regexp_replace(url, '^https?://(www\\.|m\\.)?', '') url0, regexp_extract(url, '^https?://(?:www\\.|m\\.)?([^/?#]+)', 1) host,
+ substr({_NORM.format(f"regexp_extract(html, '{_TITLE}', 1)")}, 1, 120) titulo, {_NORM.format(f"regexp_extract(html, '{_TITLE}', 1)")} inteiro, regexp_extract(html, '<html lang="([a-z]*)"', 1) lang from pages""".replace("\\\\", "\\")
+_RECORDS = f"select *, regexp_replace(url0, '[?#].*$', '') ident from ({_PAGES})"
 
 
-@query("b01_group_records", f"""with recursive r as ({_RECORDS}), e as (select a.doc_id u, b.doc_id v from r a join r b on a.ident = b.ident union select a.doc_id, b.doc_id from r a join r b on a.titulo = b.titulo),
- t as (select doc_id node, doc_id reach from r union select t.node, e.v from t join e on e.u = t.reach) select node doc_id, min(reach) "group" from t group by node""")
-def b01(spark, d):
-    return records(spark, d).select("doc_id", "group")
+def records(spark, d):
+    """Pages as records: their address without scheme and query, and the key of their title."""
+    html_title = R.normalise(F.regexp_extract("html", _TITLE, 1))
+    p = spark.read.parquet(f"{d}/pages.parquet").select(
+        "page_id", F.regexp_replace(F.regexp_replace("url", r"^https?://(www\.|m\.)?", ""), r"[?#].*$", "").alias("ident"), F.regexp_extract("url", r"^https?://(?:www\.|m\.)?([^/?#]+)", 1).alias("host"),
+        F.substring(html_title, 1, 120).alias("titulo"), html_title.alias("inteiro"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"), "html",
+    )
+    return p
 
 
-def records(spark, d):
-    r = docs(spark, d).selectExpr("doc_id", "source", "text", "md5(text) as ident", "substr(md5(substr(text, 1, 40)), 1, 12) as titulo")
-    return L.group_records(r, "doc_id", ["ident", "titulo"])
+_GROUPED = _RECORDS.replace("select *,", "with recursive r as (select *,", 1) + """), e as (select a.page_id u, b.page_id v from r a join r b on a.ident = b.ident and a.ident <> '' union select a.page_id, b.page_id from r a join r b on a.titulo = b.titulo and a.titulo <> ''),
+ t as (select page_id node, page_id reach from r union select t.node, e.v from t join e on e.u = t.reach), g as (select node page_id, min(reach) "group" from t group by node) """
+
+
+@query("b01_group_records", _GROUPED + 'select page_id, "group" from g')
+def b01(spark, d):
+    return L.group_records(records(spark, d), "page_id", ["ident", "titulo"]).select("page_id", "group")
 
 
-@query("b02_survivors")
+@query("b02_survivors", _GROUPED + """, q as (select r.*, "group", lang = 'en' core from r join g using (page_id))
+ select "group", arg_min(page_id, (lang, page_id)) page_id, case when coalesce(arg_min(titulo, (lang, page_id)), '') <> '' then arg_min(titulo, (lang, page_id)) else arg_min(titulo, (-length(titulo), titulo)) filter (titulo <> '') end titulo,
+ string_agg(distinct host, ',' order by host) hosts, bool_or(core) core, count(*) n, (select string_agg(lang || '=' || k, ',' order by lang) from (select lang, min(page_id) k from q z where z."group" = q."group" group by lang)) ids from q group by "group" """)
 def b02(spark, d):
-    return L.merge_survivors(records(spark, d), "doc_id", "source", "text", "source")
+    r = L.group_records(records(spark, d), "page_id", ["ident", "titulo"]).withColumn("core", F.col("lang") == "en")
+    out = L.merge_survivors(r, "page_id", ["lang"], ["titulo"], ["host"], "core", "lang")
+    ids = F.array_join(F.transform(F.array_sort(F.map_entries("ids")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.select("group", "page_id", "titulo", F.array_join("host", ",").alias("hosts"), "core", "n", ids.alias("ids"))
 
 
 @query("b03_topics", "select doc_id, case when regexp_matches(lower(text), 'licen[sc]e') then 'licenca' when regexp_matches(text, '\\|') then 'tabela' when lang = 'en' then 'ingles' else 'outro' end topico from documents")
@@ -102,17 +118,26 @@ def b03(spark, d):
     return docs(spark, d).select("doc_id", t.alias("topico"))
 
 
-@query("b04_title_similarity", "with t as (select doc_id, source, substr(text, 1, 30) k from documents) select a.doc_id a, b.doc_id b, round(1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k), 1), 6) s from t a join t b on a.source = b.source and a.doc_id < b.doc_id and substr(a.k, 1, 2) = substr(b.k, 1, 2) where 1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k), 1) >= 0.8")
+_ALIKE = "case when x.t = '' or y.t = '' then 0.0 when contains(x.t, y.t) or contains(y.t, x.t) then 1.0 else 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1)::double end"
+
+
+@query("b04_verified_pairs", f"""with z as (select conv_id * 100 + turn id, role author, (conv_id % 97)::int as year, {_NORM.format("regexp_extract(text, '^[^\n]*', 0)")} t, {_NORM.format('text')} x from conversations),
+ s as (select x.id a, y.id b, {_ALIKE} similarity, list_filter(string_split(x.t, ' '), lambda w: length(w) > 3) w, y.x hay from z x join z y on x.author = y.author and abs(x.year - y.year) <= 1 and x.id <> y.id),
+ c as (select a, b, similarity, case when len(w) > 0 then len(list_filter(w, lambda k: contains(hay, k))) / len(w)::double else 0 end coverage from s)
+ select a, b, round(similarity, 6) similarity, round(coverage, 6) coverage, case when similarity >= 0.8 then 'title' else 'text' end as by from c where similarity >= 0.8 or coverage >= 0.75""")
 def b04(spark, d):
-    t = docs(spark, d).select("doc_id", "source", F.substring("text", 1, 30).alias("k"), F.substring("text", 1, 2).alias("p"))
-    b = t.select(F.col("doc_id").alias("b"), "source", F.col("k").alias("kb"), "p")
-    out = t.withColumnRenamed("doc_id", "a").join(b, ["source", "p"]).where("a < b").withColumn("s", L.title_similarity(F.col("k"), F.col("kb")))
-    return out.where("s >= 0.8").select("a", "b", F.round("s", 6).alias("s"))
+    """Turns as records: the role as author, a year, the whole first line as title, the whole text to fall back on."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("author"), (F.col("conv_id") % 97).cast("int").alias("year"),
+        R.normalise(F.substring_index("text", "\n", 1)).alias("title"), R.normalise(F.col("text")).alias("text"),
+    )
+    out = L.verified_pairs(turns, turns)
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"), F.round("coverage", 6).alias("coverage"), "by")
 
 
-@query("b05_orphans", "select doc_id from documents where doc_id not in (select doc_id from labels)")
+@query("b05_referential", "select 'repeated key' as check, count(*) n from (select doc_id from documents group by 1 having count(*) > 1) union all select 'empty text', count(*) from documents where text is null or trim(text) = '' union all select 'empty lang', count(*) from documents where lang is null or trim(lang) = '' union all select 'unknown key', count(*) from (select distinct doc_id from documents where doc_id not in (select doc_id from labels)) union all select 'unused key', count(*) from (select distinct doc_id from labels where doc_id not in (select doc_id from documents))")
 def b05(spark, d):
-    return L.orphans(docs(spark, d).select("doc_id"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "doc_id")
+    return L.referential_report(docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"), "doc_id", ["text", "lang"])
 
 
 @query("b07_search_log", "select source, lang, count(*) n from documents group by all")
