@@ -1,44 +1,5 @@
-"""Connected components of an edge table, as alternating large and small stars on DataFrames."""
+"""Connected components, as the library's graph operators find them."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..sources.storage import forget
-from .common import materialise
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for nodes with edges. edges: u, v as longs; loops and repeats are fine.
-
-    Each round is written to the shared folder; only a count and a checksum come to the driver.
-    """
-    edges = materialise(edges.where("u <> v").select("u", "v").distinct())
-    state = _state(edges)
-    while True:
-        last, edges = edges, materialise(_small(_large(edges)))
-        forget(last)
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+__all__ = ["components"]
