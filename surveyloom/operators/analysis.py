@@ -87,3 +87,10 @@ def oaxaca(df: DataFrame, y: str, x: str, weight: str, group: Column) -> DataFra
         (F.col("a1") - F.col("a0") + F.col("mx0") * (F.col("b1") - F.col("b0"))).alias("coefficients"),
         ((F.col("mx1") - F.col("mx0")) * (F.col("b1") - F.col("b0"))).alias("interaction"),
     )
+
+
+def increasing(breaks: DataFrame, step: float = 1e-6) -> DataFrame:
+    """(i, corte): breaks (one row, an array) made strictly increasing: each is the largest of those up to it, plus a step a place."""
+    nudged = F.transform("breaks", lambda b, i: b - i * step)
+    top = F.transform(F.sequence(F.lit(1), F.size("breaks")), lambda n: F.array_max(F.slice(nudged, F.lit(1), n)) + (n - 1) * step)
+    return breaks.select(F.posexplode(top).alias("i", "corte")).withColumn("i", F.col("i") + 1)

@@ -161,7 +161,7 @@ def build(micro: DataFrame, weights: DataFrame, spec: Spec) -> DataFrame:
         spread = share.join(counts.select(*group, own), group).join(part, [*group, own, "b"], "left").groupBy(*group, own).agg(F.stddev_samp(100 * F.coalesce("_x", F.lit(0.0)) / F.col("_d")).alias("se"))
         point = top.groupBy(*group, own).agg(F.sum("_x").alias("_x")).join(bottom.groupBy(*group).agg(F.sum("_d").alias("_d")), group)
         pct = point.select(*group, own, R.percent(F.col("_x"), F.col("_d"), 2).alias("value")).join(spread, [*group, own]).join(counts, [*group, own])
-        out.append(_rows(pct, "percentual", universe, dim1, dim2, F.col("value"), F.round("se", 2)))
+        out.append(_rows(pct, "proporcao", universe, dim1, dim2, F.col("value"), F.round("se", 2)))
 
     shown = {}
     for name, dim in spec.dimensions.items():

@@ -74,16 +74,16 @@ def mean(df, weights, cell, household, weight, y: str):
 RANGES = 128
 
 
-def _halfway(sums: DataFrame, cell: list[str], by: str) -> DataFrame:
-    """cell, the first `by` up to which half of the weight lies, and the weight before it. sums: cell, by, _w, _t, _c0."""
+def _halfway(sums: DataFrame, cell: list[str], by: str, q: float) -> DataFrame:
+    """cell, the first `by` up to which the share q of the weight lies, and the weight before it. sums: cell, by, _w, _t, _c0."""
     own = Window.partitionBy(*cell).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     running = sums.withColumn("_c", F.col("_c0") + F.sum("_w").over(own))
-    reached = running.where("_t > 0 and _c >= 0.5 * _t - 1e-9 * _t")
+    reached = running.where("_t > 0 and _c >= {q} * _t - 1e-9 * _t".format(q=q))
     return reached.groupBy(*cell).agg(F.min(F.struct(F.col(by), F.col("_c") - F.col("_w"), F.col("_t"))).alias("_m"))
 
 
-def weighted_median(df: DataFrame, cell: list[str], weight: str, y: str) -> DataFrame:
-    """The first value whose cumulative weight reaches half (to nine digits).
+def weighted_median(df: DataFrame, cell: list[str], weight: str, y: str, q: float = 0.5) -> DataFrame:
+    """The first value whose cumulative weight reaches half, or the share q (to nine digits).
 
     Weights are summed by range of values first (cuts at approximate quantiles, compared exactly); only the range that
     holds the half is then looked at value by value, so no task gets all values of a cell.
@@ -93,7 +93,7 @@ def weighted_median(df: DataFrame, cell: list[str], weight: str, y: str) -> Data
     binned = known.select(*cell, F.col(y).alias("_y"), F.col(weight).alias("_v"), F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(y))).alias("_b"))
     ranges = binned.groupBy(*cell, "_b").agg(F.sum("_v").alias("_w"))
     ranges = ranges.withColumns({"_t": F.sum("_w").over(Window.partitionBy(*cell)), "_c0": F.lit(0.0)})
-    half = _halfway(ranges, cell, "_b").select(*cell, F.col("_m._b").alias("_b"), F.col("_m.col2").alias("_c0"), F.col("_m._t").alias("_t"))
+    half = _halfway(ranges, cell, "_b", q).select(*cell, F.col("_m._b").alias("_b"), F.col("_m.col2").alias("_c0"), F.col("_m._t").alias("_t"))
     # Null cells are cells too.
     same = [F.col(f"v.{c}").eqNullSafe(F.col(f"h.{c}")) for c in cell] + [F.col("v._b") == F.col("h._b")]
     condition = same[0]
@@ -101,7 +101,7 @@ def weighted_median(df: DataFrame, cell: list[str], weight: str, y: str) -> Data
         condition = condition & c
     inside = binned.alias("v").join(half.alias("h"), condition).select(*[f"v.{c}" for c in cell], "_y", "_v", "_c0", "_t")
     values = inside.groupBy(*cell, "_y").agg(F.sum("_v").alias("_w"), F.max("_c0").alias("_c0"), F.max("_t").alias("_t"))
-    return _halfway(values, cell, "_y").select(*cell, F.col("_m._y").alias("value"))
+    return _halfway(values, cell, "_y", q).select(*cell, F.col("_m._y").alias("value"))
 
 
 def median_with_se(df, weights, cell, household, weight, y, replicates: int = MEDIAN_REPLICATES):
