@@ -57,6 +57,35 @@ def birthplace(answer: Column, birth_state: Column, state: Column) -> Column:
     return F.when(answer == "1", "municipio").when(answer == "3", "exterior").when((answer == "2") & (birth_state == state), "mesma_uf").when((answer == "2") & known, "outra_uf")
 
 
+def birthplace_2010(born_here: Column, same_state: Column, code: Column, birth_state: Column, state: Column) -> Column:
+    """1 or 2 is this municipality; elsewhere the state is that of the answer or of the code; a code of no state is abroad."""
+    away = born_here == "3"
+    return (
+        F.when(born_here.isin("1", "2"), "municipio").when(away & birth_state.isNull() & (F.trim(code) != ""), "exterior")
+        .when(away & (birth_state != state), "outra_uf").when(away & (same_state.isin("1", "2") | (birth_state == state)), "mesma_uf")
+    )
+
+
+def birthplace_2000(always_here: Column, born_here: Column, code: Column, birth_state: Column, state: str) -> Column:
+    """A blank code means this state; a code of another state, or of none, decides for those born elsewhere."""
+    away = born_here == "2"
+    return (
+        F.when((always_here == "1") | (born_here == "1"), F.when(away & (F.trim(code) != "") & birth_state.isNull(), "exterior").when(away & (birth_state != state), "outra_uf").otherwise("municipio"))
+        .when(away & (F.trim(code) == ""), "mesma_uf").when(away & (birth_state != state), "outra_uf").when(away & birth_state.isNull(), "exterior")
+    )
+
+
+def birthplace_1991(answer: Column, code: Column, birth_state: Column, state: str) -> Column:
+    """Answers 1 and 2 are this municipality; codes from 30 on are countries."""
+    away = answer == 3
+    return F.when(answer.isin(1, 2), "municipio").when(away & (code >= 30), "exterior").when(away & (birth_state == state), "mesma_uf").when(away & birth_state.isNotNull(), "outra_uf")
+
+
+def arrival_year(wave: int, years: Column, moved: Column) -> Column:
+    """The wave's year less the years here, for those who came from elsewhere."""
+    return F.when(moved, F.lit(wave) - years)
+
+
 def tenure(years: Column, age: Column, asked: Column, never_moved: Column) -> Column:
     """Years lived here: the age of those who never moved, the answer of those asked."""
     return F.when(never_moved, age).when(asked, years)

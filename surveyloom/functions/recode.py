@@ -15,6 +15,14 @@ SECTORS_2010 = [
     (41, 43, "construcao"), (45, 48, "comercio"), (49, 82, "servicos"), (84, 88, "adm_publica_educacao_saude"),
     (90, 96, "servicos"), (97, 97, "domestico"), (99, 99, "outras_atividades"),
 ]
+SECTORS_2000 = [
+    (1, 5, "agropecuaria"), (10, 14, "extrativa_mineral"), (15, 37, "transformacao"), (40, 41, "outras_atividades"),
+    (45, 45, "construcao"), (50, 53, "comercio"), (55, 74, "servicos"), (75, 75, "adm_publica_educacao_saude"),
+    (80, 85, "adm_publica_educacao_saude"), (90, 93, "servicos"), (95, 95, "domestico"), (99, 99, "outras_atividades"),
+]
+POSITION = {"1": "empregado_com_carteira", "2": "militar_estatutario", "3": "empregado_sem_carteira", "4": "conta_propria", "5": "empregador", "6": "nao_remunerado", "7": "nao_remunerado"}
+TENURE = {"1": "proprio", "2": "proprio", "3": "alugado", "4": "cedido_empregador", "5": "cedido_outro", "6": "outra"}
+DWELLING = {"11": "casa", "12": "casa", "13": "apartamento", "14": "comodo", "15": "outro"}
 WAGE_BANDS = ([0.5, 1, 2, 3, 5, 10], ["ate_1_2", "1_2_a_1", "1_a_2", "2_a_3", "3_a_5", "5_a_10", "mais_de_10"])
 AGE_GROUPS = ([14, 24, 39, 59], ["00_14", "15_24", "25_39", "40_59", "60_mais"])
 DENSITY_BANDS = ([1, 2, 3], ["ate_1", "1_a_2", "2_a_3", "mais_de_3"])
@@ -26,6 +34,24 @@ def recode(code: Column, mapping: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), code)
 
 
+def sector_1991(branch: Column, activity: Column, position: Column) -> Column:
+    """Sector from the 1991 branch; mining activities override it, domestic positions override both."""
+    # Fixed values of the 1991 form.
+    branches = {"agropecuaria": [1], "transformacao": [2], "construcao": [3], "outras_atividades": [4, 11], "comercio": [5], "servicos": [6, 7, 8], "adm_publica_educacao_saude": [9, 10]}
+    rules = [(branch.isin(codes), name) for name, codes in branches.items()]
+    return override_chain([*rules, (activity.between(50, 59), "extrativa_mineral"), (position.isin(4, 5), "domestico")])
+
+
+def universes(age: Column, working: Column, income: Column, kind: Column, arrival: Column) -> dict[str, Column]:
+    """The ten named universes as predicates (unknown counts as outside); dwellings are a level of their own."""
+    found = {
+        "pessoas": F.lit(True), "pessoas_5mais": age >= 5, "pessoas_10mais": age >= 10, "pessoas_25mais": age >= 25, "ocupados": working, "com_rendimento": (age >= 10) & (income > 0),
+        "migrantes_5anos": kind.isin("intraestadual", "interestadual", "internacional"), "migrantes_internos": kind.isin("intraestadual", "interestadual"),
+        "chegados": arrival.isNotNull(), "domicilios": F.lit(True),
+    }
+    return {k: F.coalesce(v, F.lit(False)) for k, v in found.items()}
+
+
 def tristate(code: Column, true: list, valid: list) -> Column:
     """True for codes in `true`, false for other valid codes, else null."""
     return F.when(code.isin(true), True).when(code.isin(valid), False)

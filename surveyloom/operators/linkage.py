@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import recode as R
 from .graph import components
 
 
@@ -99,3 +100,70 @@ def dictionary_decode(dictionary: DataFrame, coded: DataFrame, columns: list[str
         own = dictionary.where(F.col("column") == c).select(F.col("code").alias("_c"), F.col("value").alias("_v"))
         out = out.join(own, out[c] == F.col("_c")).withColumn(c, F.col("_v")).drop("_c", "_v")
     return out
+
+
+def citations(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, slug) of every <cite:a; b> and <citet:a> mark."""
+    inside = F.regexp_extract_all(text, F.lit(r"<citet?:([^>]+)>"), 1)
+    slugs = F.flatten(F.transform(inside, lambda x: F.transform(F.split(x, ";"), F.trim)))
+    return df.select(key, F.explode(slugs).alias("slug")).where("slug <> ''")
+
+
+def resolve(cited: DataFrame, references: DataFrame, slug: str = "slug") -> DataFrame:
+    """(slug, n, known): each cited slug, how often, and whether the reference table has it; unknown ones are errors."""
+    used = cited.groupBy(slug).agg(F.count("*").alias("n"))
+    have = references.select(slug).distinct().withColumn("_k", F.lit(True))
+    return used.join(have, slug, "left").select(slug, "n", F.coalesce("_k", F.lit(False)).alias("known"))
+
+
+def search_log(df: DataFrame, source: str, text: str, terms: list[str]) -> DataFrame:
+    """(source, term, hits, records): normalised records of each source, and how many hold all words of a term."""
+    words = {t: F.filter(F.split(F.lit(t), " "), lambda w: w != "") for t in terms}
+    found = [F.count_if(F.forall(w, lambda x: F.contains(F.col(text), x))).alias(f"_{i}") for i, w in enumerate(words.values())]
+    sums = df.groupBy(source).agg(F.count("*").alias("records"), *found)
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"_{i}").alias("hits")) for i, t in enumerate(terms)]))
+    return sums.select(source, "records", pairs.alias("p")).select(source, "p.term", "p.hits", "records")
+
+
+def topics(df: DataFrame, text: str, rules: list[tuple[str, str]], default: str, overrides: DataFrame, key: str, mention: str) -> DataFrame:
+    """df with topic (the first rule whose pattern stands in the text, but for overridden keys) and mentioned (another pattern's flag)."""
+    out = F.lit(default)
+    for pattern, name in reversed(rules):
+        out = F.when(F.col(text).rlike(pattern), F.lit(name)).otherwise(out)
+    fixed = overrides.select(F.col(key), F.col("topic").alias("_topic")).dropDuplicates([key])
+    return df.join(fixed, key, "left").withColumns({"topic": F.coalesce("_topic", out), "mentioned": F.col(text).rlike(mention)}).drop("_topic")
+
+
+def overlay(candidates: DataFrame, key: str, title: str, corrections: DataFrame, external: DataFrame, override: list[str], manual: DataFrame, previous: DataFrame) -> DataFrame:
+    """Candidates with field-level corrections, then external metadata (filling empty fields, or overriding those listed), and
+    manual rows; slugs of the previous run stay with records of the same normalised title.
+
+    corrections: key, field, value; external: key and fields; previous: title_key, slug. New records have a null slug.
+    """
+    fields = [c for c in candidates.columns if c != key]
+    fixes = corrections.groupBy(key).pivot("field", fields).agg(F.max("value"))
+    fixed = candidates.join(fixes.withColumnsRenamed({c: f"_f_{c}" for c in fields}), key, "left")
+    extra = external.withColumnsRenamed({c: f"_e_{c}" for c in external.columns if c != key})
+    joined = fixed.join(extra, key, "left")
+
+    def value(c: str) -> Column:
+        own = F.coalesce(F.col(f"_f_{c}"), F.col(c))
+        given = F.col(f"_e_{c}") if c in external.columns else F.lit(None)
+        blank = F.nullif(own, F.lit(""))
+        return (F.coalesce(F.col(f"_f_{c}"), given, F.col(c)) if c in override else F.coalesce(blank, given)).alias(c)
+
+    merged = joined.select(key, *[value(c) for c in fields]).unionByName(manual.select(key, *fields))
+    named = merged.withColumn("title_key", R.title_key(F.col(title)))
+    return named.join(previous.select("title_key", "slug").dropDuplicates(["title_key"]), "title_key", "left").drop("title_key")
+
+
+def evidence_matrix(df: DataFrame, themes: str, order: list[str]) -> DataFrame:
+    """A row per record and theme it carries, in order of theme and `order`."""
+    rows = df.withColumn("theme", F.explode(themes)).drop(themes)
+    return rows.repartitionByRange("theme", *order).sortWithinPartitions("theme", *order)
+
+
+def status_log(df: DataFrame, group: str, reason: Column) -> DataFrame:
+    """(group, status, n) with the total as status 'total': a record is ok unless a reason is given."""
+    marked = df.withColumn("status", F.coalesce(reason, F.lit("ok")))
+    return marked.rollup(group, "status").agg(F.count("*").alias("n")).where(F.col(group).isNotNull()).withColumn("status", F.coalesce("status", F.lit("total")))

@@ -62,10 +62,34 @@ def is_return(born_here: Column, moved_in_window: Column) -> Column:
     return F.coalesce(born_here & moved_in_window, F.lit(False))
 
 
+def return_2022(birthplace: Column, here: Column, answer: Column) -> Column:
+    return is_return(valid_origin(birthplace) & (birthplace == here), answer == "2")
+
+
+def return_2010(born_here: Column, answer: Column, origin: Column, here: Column) -> Column:
+    """Born here (always or with a time away); the answer alone doesn't say that the last place was another one."""
+    return is_return(born_here.isin("1", "2"), (answer == "1") & (origin != here))
+
+
+def return_2000(always_here: Column, born_here: Column, answer: Column) -> Column:
+    return is_return(F.coalesce(always_here == "1", F.lit(False)) | F.coalesce(born_here == "1", F.lit(False)), answer.isin("3", "4"))
+
+
+# Fixed values of the 2000 form: works or studies here; neither works nor studies.
+HERE_2000, NEITHER_2000 = "0100008", "0200006"
+
+
 def commutes(elsewhere: Column, work: Column, home: Column) -> Column:
+    """2010 and 2022: the answer says another municipality, and a known one that isn't the home."""
     return F.coalesce(elsewhere & valid_origin(work) & (work != home), F.lit(False))
 
 
+def commutes_2000(work: Column, home: Column) -> Column:
+    """2000: one code for work or study, two of whose values are no places."""
+    place = F.trim(work)
+    return commutes(valid_origin(place) & ~place.isin(HERE_2000, NEITHER_2000), place, home)
+
+
 def asked(kind: Column, age: Column, least: int = 5) -> Column:
     return F.when(age >= least, kind)
 

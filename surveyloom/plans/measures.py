@@ -165,11 +165,19 @@ def b09(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_type", " ")).alias("palavra")).groupBy("palavra").agg(F.count("*").alias("n"))
 
 
-@query("f11_slugs", r"select doc_id, case when count(*) over (partition by b) > 1 then b || '_' || row_number() over (partition by b order by doc_id) else b end slug from (select doc_id, source || '_' || regexp_extract(lower(text), '[a-z]{5,}', 0) b from documents)")
+@query("b09_status_log", "select p_brand marca, case when p_size > 40 then 'grande' when p_retailprice < 950 then 'barato' else 'ok' end status, count(*) n from part group by all union all select p_brand, 'total', count(*) from part group by all")
+def b09b(spark, d):
+    from ..operators.linkage import status_log
+
+    reason = F.when(c("p_size") > 40, "grande").when(c("p_retailprice") < 950, "barato")
+    return status_log(spark.read.parquet(f"{d}/part.parquet").withColumnRenamed("p_brand", "marca"), "marca", reason)
+
+
+@query("f11_slugs", r"select p_partkey, case when count(*) over (partition by b) > 1 then b || '_' || row_number() over (partition by b order by p_partkey) else b end slug from (select p_partkey, regexp_extract(p_name, '[a-z]+$', 0) || p_size || regexp_extract(lower(p_type), '[a-z]{4,}', 0) b from part)")
 def f11(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    base = F.concat("source", F.lit("_"), F.regexp_extract(F.lower("text"), "[a-z]{5,}", 0))
-    return M.numbered_slugs(docs.select("doc_id", "source", "text"), base, "doc_id").select("doc_id", "slug")
+    """Author's last name, year and the first long word of the title, numbered where several records share them."""
+    base = F.concat(F.regexp_extract("p_name", "[a-z]+$", 0), c("p_size").cast("string"), F.regexp_extract(F.lower("p_type"), "[a-z]{4,}", 0))
+    return M.numbered_slugs(spark.read.parquet(f"{d}/part.parquet"), base, "p_partkey").select("p_partkey", "slug")
 
 
 @query("s18_row_counts", "select 'orders' tabela, count(*) n, count(distinct o_orderkey) chaves from orders union all select 'lineitem', count(*), count(distinct l_orderkey) from lineitem")

@@ -21,11 +21,11 @@ def w01(spark, d):
     return S.change(series(spark, d), ["nation"], "ano", "v").select("nation", "ano", F.round("diff", 4).alias("diff"), F.round("pct", 6).alias("pct"))
 
 
-@query("w02_lagged_correlation", _SERIES + """, p as (select nation, k lag, case k when 0 then n when 1 then lag(n, 1) over w else lag(n, 2) over w end x, v y from s, range(3) t(k) window w as (partition by nation, k order by ano)),
+@query("w02_lagged_correlation", _SERIES + """, p as (select nation, k lag, case k when 0 then n when 1 then lag(n, 1) over w when 2 then lag(n, 2) over w else lag(n, 3) over w end x, v y from s, range(4) t(k) window w as (partition by nation, k order by ano)),
  r as (select *, rank() over (partition by nation, lag order by x) + (count(*) over (partition by nation, lag, x) - 1) / 2.0 rx, rank() over (partition by nation, lag order by y) + (count(*) over (partition by nation, lag, y) - 1) / 2.0 ry from p where x is not null)
  select nation, lag::int lag, count(*) n, round(corr(x, y), 6) pearson, round(corr(rx, ry), 6) spearman from r group by nation, lag""")
 def w02(spark, d):
-    return S.lagged_correlation(series(spark, d), "nation", "ano", "n", "v", [0, 1, 2]).withColumns({"pearson": F.round("pearson", 6), "spearman": F.round("spearman", 6)})
+    return S.lagged_correlation(series(spark, d), "nation", "ano", "n", "v", [0, 1, 2, 3]).withColumns({"pearson": F.round("pearson", 6), "spearman": F.round("spearman", 6)})
 
 
 @query("w03_against_first", _SERIES + "select nation, ano, round(v - first_value(v) over (partition by nation order by ano), 4) d from s")
@@ -91,6 +91,13 @@ def j01(spark, d):
     return persons(spark, d).join(dwellings(spark, d).where("agua is not null").select("controle", "tipo"), "controle").select("pessoa", "tipo")
 
 
+@query("j01_unmatched", WITH + "select count(*) n, count(*) filter (d.controle is null) dropped from persons p left join (select * from dwellings where agua is not null) d on p.controle = d.controle")
+def j01b(spark, d):
+    """Persons whose household is unknown are left out of the enrichment; here they are counted."""
+    known = dwellings(spark, d).where("agua is not null").select("controle", F.lit(True).alias("k"))
+    return persons(spark, d).join(known, "controle", "left").agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("dropped"))
+
+
 @query("j07_reconcile", "select coalesce(a.k, b.k) k, case when b.k is null then 'missing' when a.k is null then 'extra' when a.h is not distinct from b.h then 'equal' else 'different' end status from (select o_orderkey k, o_orderstatus h from orders) a full join (select l_orderkey k, max(l_linestatus) h from lineitem group by l_orderkey) b on a.k = b.k")
 def j07(spark, d):
     orders, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem"))

@@ -57,6 +57,30 @@ def p17(spark, d):
     return persons(spark, d).select("pessoa", P.birthplace(c("migracao_cod"), c("uf_origem"), c("uf_atual")).alias("nat"))
 
 
+_UFN = case("lpad(cast(cast(uf_origem as int) + 5 as varchar), 2, '0')", {k: k for k in P.REGIONS})
+
+
+@query("p17_birthplace_waves", WITH + f""", q as (select *, {_UFN} u, coalesce(uf_origem, '') k from persons)
+ select pessoa, case when sexo_cod in ('1', '2') then 'municipio' when sexo_cod <> '0' then null when u is null and trim(k) <> '' then 'exterior' when u <> uf_atual then 'outra_uf' when raca_cod in ('1', '2') or u = uf_atual then 'mesma_uf' end n2010,
+ case when nunca_mudou = '2' or raca_cod = '1' then 'municipio' when raca_cod = '2' and trim(k) = '' then 'mesma_uf' when raca_cod = '2' and u <> '15' then 'outra_uf' when raca_cod = '2' and u is null then 'exterior' end n2000,
+ case when raca_cod in ('1', '2') then 'municipio' when raca_cod = '3' and anos_estudo >= 15 then 'exterior' when raca_cod = '3' and u = '15' then 'mesma_uf' when raca_cod = '3' and u is not null then 'outra_uf' end n1991 from q""".replace("nunca_mudou = '2' or raca_cod = '1' then 'municipio'", "nunca_mudou = '2' and raca_cod = '2' and trim(k) <> '' and u is null then 'exterior' when nunca_mudou = '2' and raca_cod = '2' and u <> '15' then 'outra_uf' when nunca_mudou = '2' or raca_cod = '1' then 'municipio'"))
+def p17b(spark, d):
+    known = F.lpad((c("uf_origem").cast("int") + 5).cast("string"), 2, "0")
+    state, code = F.when(known.isin(list(P.REGIONS)), known), F.coalesce("uf_origem", F.lit(""))
+    born = F.when(c("sexo_cod") == "0", "3").otherwise(c("sexo_cod"))
+    abroad = F.when(c("anos_estudo") >= 15, 30)
+    return persons(spark, d).select(
+        "pessoa", P.birthplace_2010(born, c("raca_cod"), code, state, c("uf_atual")).alias("n2010"),
+        P.birthplace_2000(F.when(c("nunca_mudou") == "2", "1"), c("raca_cod"), code, state, "15").alias("n2000"), P.birthplace_1991(c("raca_cod").cast("int"), abroad, state, "15").alias("n1991"),
+    )
+
+
+@query("p18_tenure_waves", WITH + "select pessoa, case when nunca_mudou <> '2' then 2022 - tempo_moradia end a2022, case when sexo_cod <> '1' then 2010 - tempo_moradia end a2010, case when sexo_cod = '2' then 2000 - tempo_moradia end a2000, case when raca_cod <> '1' then 1991 - tempo_moradia end a1991 from persons")
+def p18b(spark, d):
+    moved = {2022: c("nunca_mudou") != "2", 2010: c("sexo_cod") != "1", 2000: c("sexo_cod") == "2", 1991: c("raca_cod") != "1"}
+    return persons(spark, d).select("pessoa", *[P.arrival_year(w, c("tempo_moradia"), m).alias(f"a{w}") for w, m in moved.items()])
+
+
 @query("p18_tenure", WITH + "select pessoa, case when nunca_mudou = '2' then idade when migracao_cod <> '1' then tempo_moradia end tempo, case when migracao_cod <> '1' then ano - tempo_moradia end chegada from persons")
 def p18(spark, d):
     asked = c("migracao_cod") != "1"

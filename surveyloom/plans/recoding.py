@@ -94,9 +94,41 @@ def p23(spark, d):
     return R.deflate(df, "renda", "ano", index, 2000, "real").select("pessoa", F.round("real", 2).alias("real"))
 
 
-@query("p26_universe", WITH + "select situacao, count(*) n from persons where idade >= 25 and renda > 0 group by situacao")
+@query("p01_more_recodes", WITH + f"select pessoa, {_case('raca_cod', R.POSITION)} posicao, {_case('sexo_cod', R.TENURE)} condicao, {_case('divisao', R.DWELLING)} tipo from persons")
+def p01b(spark, d):
+    maps = {"posicao": ("raca_cod", R.POSITION), "condicao": ("sexo_cod", R.TENURE), "tipo": ("divisao", R.DWELLING)}
+    return persons(spark, d).select("pessoa", *[R.recode(F.col(col), m).alias(n) for n, (col, m) in maps.items()])
+
+
+_SECTOR_2000 = "case " + " ".join(f"when divisao::int between {a} and {b} then '{s}'" for a, b, s in R.SECTORS_2000) + " else 'outras_atividades' end"
+
+
+@query("p04_sector_2000", WITH + f"select pessoa, {_SECTOR_2000} setor from persons")
+def p04b(spark, d):
+    df = persons(spark, d).select("pessoa", F.col("divisao").try_cast("int").alias("div"))
+    return R.range_recode(df, "div", R.SECTORS_2000, "setor", "outras_atividades").select("pessoa", "setor")
+
+
+@query("p05_sector_1991", WITH + """select pessoa, case when sexo_cod::int + 3 in (4, 5) and raca_cod = '6' then 'domestico' when divisao::int between 50 and 59 then 'extrativa_mineral' when anos_estudo = 1 then 'agropecuaria' when anos_estudo = 2 then 'transformacao'
+ when anos_estudo = 3 then 'construcao' when anos_estudo in (4, 11) then 'outras_atividades' when anos_estudo = 5 then 'comercio' when anos_estudo in (6, 7, 8) then 'servicos' when anos_estudo in (9, 10) then 'adm_publica_educacao_saude' end setor from persons""")
+def p05b(spark, d):
+    position = F.when(F.col("raca_cod") == "6", F.col("sexo_cod").cast("int") + 3)
+    return persons(spark, d).select("pessoa", R.sector_1991(F.col("anos_estudo"), F.col("divisao").cast("int"), position).alias("setor"))
+
+
+_NAMES = ["pessoas", "pessoas_5mais", "pessoas_10mais", "pessoas_25mais", "ocupados", "com_rendimento", "migrantes_5anos", "migrantes_internos", "chegados", "domicilios"]
+
+
+@query("p26_universe", WITH + """, u as (select *, migracao_cod tipo0, case when nunca_mudou <> '2' then ano - tempo_moradia end chegada from persons)
+ select 'pessoas' universo, count(*) n from u union all select 'pessoas_5mais', count(*) from u where idade >= 5 union all select 'pessoas_10mais', count(*) from u where idade >= 10 union all select 'pessoas_25mais', count(*) from u where idade >= 25
+ union all select 'ocupados', count(*) from u where status = 'O' union all select 'com_rendimento', count(*) from u where idade >= 10 and renda > 0 union all select 'migrantes_5anos', count(*) from u where tipo0 in ('1', '2', '3')
+ union all select 'migrantes_internos', count(*) from u where tipo0 in ('1', '2') union all select 'chegados', count(*) from u where chegada is not null union all select 'domicilios', count(*) from dwellings""")
 def p26(spark, d):
-    return persons(spark, d).where("idade >= 25 and renda > 0").groupBy("situacao").agg(F.count("*").alias("n"))
+    c = F.col
+    kind = R.recode(c("migracao_cod"), {"1": "intraestadual", "2": "interestadual", "3": "internacional", "0": "nao_migrante", "4": "nao_migrante"})
+    found = R.universes(c("idade"), c("status") == "O", c("renda"), kind, F.when(c("nunca_mudou") != "2", c("ano") - c("tempo_moradia")))
+    people = persons(spark, d).select(F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in found.items() if k != "domicilios"]))).alias("universo"))
+    return people.unionByName(dwellings(spark, d).select(F.lit("domicilios").alias("universo"))).groupBy("universo").agg(F.count("*").alias("n"))
 
 
 @query("p27_slices", WITH + ", s(geo, uf, sit) as (values ('sede', '05', 'urbana'), ('municipio', '05', null), ('estado', null, null)) select geo, count(*) n, sum(peso) pop from persons join s on (uf is null or uf = uf_atual) and (sit is null or sit = situacao) group by geo")
@@ -163,16 +195,24 @@ def m06(spark, d):
     return persons(spark, d).select("pessoa", M.last_stage_type(2010, c("migracao_cod"), c("uf_origem"), c("uf_atual"), c("anos_estudo")).alias("tipo"))
 
 
-@query("m07_return", WITH + "select pessoa, coalesce(mun_origem = mun_atual and migracao_cod = '2', false) retorno from persons")
+@query("m07_return", WITH + """select pessoa, coalesce(mun_origem <> '' and mun_origem <> '9999999' and mun_origem = mun_atual and migracao_cod = '2', false) r2022,
+ coalesce(sexo_cod in ('1', '2') and migracao_cod = '1' and mun_origem <> mun_atual, false) r2010, coalesce((nunca_mudou = '2' or sexo_cod = '1') and migracao_cod in ('3', '4'), false) r2000 from persons""")
 def m07(spark, d):
     c = F.col
-    return persons(spark, d).select("pessoa", M.is_return(M.valid_origin(c("mun_origem")) & (c("mun_origem") == c("mun_atual")), c("migracao_cod") == "2").alias("retorno"))
+    always = F.when(c("nunca_mudou") == "2", "1")
+    return persons(spark, d).select(
+        "pessoa", M.return_2022(c("mun_origem"), c("mun_atual"), c("migracao_cod")).alias("r2022"),
+        M.return_2010(c("sexo_cod"), c("migracao_cod"), c("mun_origem"), c("mun_atual")).alias("r2010"), M.return_2000(always, c("sexo_cod"), c("migracao_cod")).alias("r2000"),
+    )
 
 
-@query("m08_commuting", WITH + "select pessoa, coalesce(migracao_cod = '3' and mun_origem <> '' and mun_origem <> '9999999' and mun_origem <> mun_atual, false) pendular from persons")
+_WORK = "case when raca_cod = '0' then '0100008' when raca_cod = '1' then '0200006' when raca_cod = '2' then '9999999' else mun_origem end"
+
+
+@query("m08_commuting", WITH + f"""select pessoa, coalesce(migracao_cod = '3' and w not in ('', '9999999') and w <> mun_atual, false) p2022, coalesce(w not in ('', '9999999', '0100008', '0200006') and w <> mun_atual, false) p2000 from (select *, {_WORK} w from persons)""")
 def m08(spark, d):
-    c = F.col
-    return persons(spark, d).select("pessoa", M.commutes(c("migracao_cod") == "3", c("mun_origem"), c("mun_atual")).alias("pendular"))
+    c, work = F.col, F.expr(_WORK)
+    return persons(spark, d).select("pessoa", M.commutes(c("migracao_cod") == "3", work, c("mun_atual")).alias("p2022"), M.commutes_2000(work, c("mun_atual")).alias("p2000"))
 
 
 @query("m09_rate", TYPED + "select uf_atual, count(*) n, count(*) filter (tipo <> 'nao_migrante') n_migrants, sum(peso) population, coalesce(sum(peso) filter (tipo <> 'nao_migrante'), 0) migrants, round(100 * coalesce(sum(peso) filter (tipo <> 'nao_migrante'), 0) / sum(peso), 6) rate from typed where tipo is not null group by uf_atual")

@@ -112,10 +112,12 @@ def b02(spark, d):
     return out.select("group", "page_id", "titulo", F.array_join("host", ",").alias("hosts"), "core", "n", ids.alias("ids"))
 
 
-@query("b03_topics", "select doc_id, case when regexp_matches(lower(text), 'licen[sc]e') then 'licenca' when regexp_matches(text, '\\|') then 'tabela' when lang = 'en' then 'ingles' else 'outro' end topico from documents")
+@query("b03_topics", "select d.doc_id, case when l.toxic = 1 then 'sensivel' when regexp_matches(lower(text), 'licen[sc]e') then 'licenca' when regexp_matches(lower(text), '[|]') then 'tabela' when regexp_matches(lower(text), 'http') then 'enderecos' else 'outro' end topico, regexp_matches(lower(text), '[0-9]{3}') cita from documents d left join labels l on l.doc_id = d.doc_id and l.toxic = 1")
 def b03(spark, d):
-    t = F.when(F.lower("text").rlike("licen[sc]e"), "licenca").when(F.col("text").rlike(r"\|"), "tabela").when(F.col("lang") == "en", "ingles").otherwise("outro")
-    return docs(spark, d).select("doc_id", t.alias("topico"))
+    fixed = spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id", F.lit("sensivel").alias("topic"))
+    rules = [("licen[sc]e", "licenca"), ("[|]", "tabela"), ("http", "enderecos")]
+    out = L.topics(docs(spark, d).select("doc_id", F.lower("text").alias("t")), "t", rules, "outro", fixed, "doc_id", "[0-9]{3}")
+    return out.select("doc_id", F.col("topic").alias("topico"), F.col("mentioned").alias("cita"))
 
 
 _ALIKE = "case when x.t = '' or y.t = '' then 0.0 when contains(x.t, y.t) or contains(y.t, x.t) then 1.0 else 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1)::double end"
@@ -140,6 +142,9 @@ def b05(spark, d):
     return L.referential_report(docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"), "doc_id", ["text", "lang"])
 
 
-@query("b07_search_log", "select source, lang, count(*) n from documents group by all")
+_TERMS = ["the", "und der", "eau", "2 1"]
+
+
+@query("b07_search_log", f"with n as (select source, {_NORM.format('text')} t from documents) select source, term, count(*) filter (len(list_filter(string_split(term, ' '), lambda w: not contains(t, w))) = 0) hits, count(*) records from n, (values {', '.join(f'({x!r})' for x in _TERMS)}) k(term) group by all")
 def b07(spark, d):
-    return docs(spark, d).groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return L.search_log(docs(spark, d).select("source", R.normalise(F.col("text")).alias("t")), "source", "t", _TERMS)
