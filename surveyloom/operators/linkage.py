@@ -105,7 +105,7 @@ def dictionary_decode(dictionary: DataFrame, coded: DataFrame, columns: list[str
 def citations(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, slug) of every <cite:a; b> and <citet:a> mark."""
     inside = F.regexp_extract_all(text, F.lit(r"<citet?:([^>]+)>"), 1)
-    slugs = F.flatten(F.transform(inside, lambda x: F.transform(F.split(x, ";"), F.trim)))
+    slugs = F.flatten(F.transform(inside, lambda x: F.transform(F.split(x, ";"), lambda s: F.trim(s))))
     return df.select(key, F.explode(slugs).alias("slug")).where("slug <> ''")
 
 

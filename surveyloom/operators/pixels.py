@@ -261,6 +261,19 @@ def accuracy(strata: DataFrame, pixel_ha: float) -> DataFrame:
     return out
 
 
+def shape_metrics(mask: DataFrame) -> DataFrame:
+    """By year: pixels, equivalent radius, mean and P95 distance to the centroid, proximity index (mean distance of a disc of
+    that area over the mean distance), and the centroid's move since the year before with its azimuth (0 is up, 90 right)."""
+    c = mask.groupBy("year").agg(F.avg("row").alias("r"), F.avg("col").alias("c"), F.count("*").alias("n"))
+    before = Window.orderBy("year")  # a row per year
+    moved = c.withColumns({"r0": F.lag("r").over(before), "c0": F.lag("c").over(before)})
+    far = F.sqrt(F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2))
+    shift, turn = F.sqrt(F.pow(F.col("r") - F.col("r0"), 2) + F.pow(F.col("c") - F.col("c0"), 2)), F.degrees(F.atan2(F.col("c") - F.col("c0"), F.col("r0") - F.col("r")))
+    out = mask.join(moved, "year").groupBy("year", "n").agg(F.avg(far).alias("mean_distance"), F.percentile(far, 0.95).alias("p95"), F.max(shift).alias("shift"), F.max(F.pmod(turn, F.lit(360.0))).alias("azimuth"))
+    radius = F.sqrt(F.col("n") / F.pi())
+    return out.withColumns({"radius": radius, "proximity": F.lit(2.0) / 3 * radius / F.col("mean_distance")})
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of two flags, as an aggregate; null where neither is ever set."""
     return F.try_divide(F.count_if(a & b), F.count_if(a | b))

@@ -1,7 +1,10 @@
 """Pixel rules over the pixel table seen in `lineitem`."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..operators import classify as C
+from ..operators import measures as M
 from ..operators import pixels as P
 from ..sources.storage import stored
 from .fixtures import COLS, WITH, pixels, rows_of
@@ -205,12 +208,96 @@ def r28(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("overall", "users", "producers")], *[F.round(c, 4).alias(c) for c in ("area_ha", "half_ha")])
 
 
-@query("r32_shape", _MASK + ", c as (select year, avg(row) r, avg(col) c, count(*) n from m group by year) select m.year, n, round(sqrt(n / pi()), 6) radius, round(avg(sqrt(pow(row - r, 2) + pow(col - c, 2))), 6) mean_distance, round(quantile_cont(sqrt(pow(row - r, 2) + pow(col - c, 2)), 0.95), 6) p95 from m join c on m.year = c.year group by m.year, n")
+_LABELS = _GRID + """, pos as (select year, row + i as row, col + j as col from grid, range(-1, 2) a(i), range(-1, 2) b(j) where red > 15 group by all having count(*) = 9),
+ near as (select distinct year, row + i as row, col + j as col from grid, range(-1, 2) a(i), range(-1, 2) b(j) where red > 38),
+ lab as (select year, row, col, 1 label from grid where exists (from pos p where p.year = grid.year and p.row = grid.row and p.col = grid.col)
+  union all select year, row, col, 0 from grid where not coalesce(nir > 60, false) and not exists (from near p where p.year = grid.year and p.row = grid.row and p.col = grid.col)) """
+
+
+def labels(spark, d):
+    return C.reference_labels(grid(spark, d), F.col("red") > 15, F.col("red") > 38, F.col("nir") > 60, 1)
+
+
+@query("r13_reference_labels", _LABELS + "select * from lab")
+def r13(spark, d):
+    return labels(spark, d)
+
+
+@query("r13_stable", _GRID + "select row, col, min(red > 20) as class from grid group by row, col having min(red > 20) = max(red > 20) and count(distinct year) = 7")
+def r13b(spark, d):
+    return C.stable(grid(spark, d).withColumn("c", F.col("red") > 20), "c", 7)
+
+
+@query("r14_quota_sample", _GRID + """, z as (select year, row, col, case when red > 40 then 'a' when red > 25 then 'b' else 'c' end s from grid), n as (select s, count(*) n from z group by s),
+ q as (select s, n, least(case s when 'a' then 2000 else 500 end + 0, n) t from n where s = 'a'), q2 as (select n.s, least(500 + 2000 - (select t from q), n.n) t from n where s = 'b'),
+ q3 as (select n.s, least(500 + (500 + 2000 - (select t from q)) - (select t from q2), n.n) t from n where s = 'c'), k as (select s, t from q union all select * from q2 union all select * from q3)
+ select year, row, col, z.s from z join k using (s) qualify row_number() over (partition by z.s order by md5(year || '|' || row || '|' || col)) <= t""")
+def r14(spark, d):
+    """2000, 500 and 500 pixels of three strata; what the first can't fill goes on to the next."""
+    z = grid(spark, d).select("year", "row", "col", F.when(F.col("red") > 40, "a").when(F.col("red") > 25, "b").otherwise("c").alias("s"))
+    return C.quota_sample(z, "s", F.concat_ws("|", "year", "row", "col"), {"a": 2000, "b": 500, "c": 500}, ["a", "b", "c"])
+
+
+FEATURES = ["nir", "swir", "green"]
+
+
+def _forest(spark, d):
+    g = stored(grid(spark, d))
+    return g, stored(labels(spark, d).join(g, ["year", "row", "col"]))
+
+
+@query("r16_forest_metrics")
+def r16(spark, d):
+    """Accuracy of forests over folds of spatial blocks."""
+    _, rows = _forest(spark, d)
+    folded = rows.withColumn("fold", F.pmod(F.xxhash64(F.floor(F.col("row") / 10), F.floor(F.col("col") / 10)), F.lit(3)).cast("int"))
+    return C.block_metrics(folded, FEATURES, "label", "fold", 3)
+
+
+@query("r17_probability")
+def r17(spark, d):
+    g, rows = _forest(spark, d)
+    return C.probabilities(C.train(rows, FEATURES, "label", 20), g.select("year", "row", "col", *FEATURES), FEATURES).select("year", "row", "col", "p", "flag")
+
+
+@query("r25_thresholded", _COMPONENTS.replace("where red > 30", "where red > (select t from th)").replace(", m as", """, b as (select least(63, greatest(0, floor(red / (50.0 / 64))))::int bin, count(*) n from grid group by 1), c as (select bin, sum(n) over (order by bin) w0, sum(n * bin) over (order by bin) s0, sum(n) over () w, sum(n * bin) over () s from b),
+ v as (select bin, w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) v from c where w0 < w), th as (select (bin + 1) * (50.0 / 64)::double + 6 t from v order by v desc, bin limit 1), m as""", 1)
+ + "select year, count(*) filter (pow(row - 10, 2) + pow(col - 20, 2) <= 100) perto, count(*) n from (select *, count(*) over (partition by year, patch) z from k) where z >= 3 group by year")
+def r25b(spark, d):
+    """The mask above a threshold found by the histogram (and a margin), without small patches; its pixels within a radius."""
+    g = stored(grid(spark, d))
+    at = P.otsu(g, "red", 64, 0.0, 50.0)  # one row
+    over = g.crossJoin(F.broadcast(at)).where(F.col("red") > F.col("threshold") + 6).select("year", "row", "col")
+    near = F.pow(F.col("row") - 10, 2) + F.pow(F.col("col") - 20, 2) <= 100
+    return P.drop_small(over, COLS, 3).groupBy("year").agg(F.count_if(near).alias("perto"), F.count("*").alias("n"))
+
+
+@query("r27_ring_strata", _MASK + """, ring as (select distinct year, row + i as row, col + j as col from m, range(-1, 2) a(i), range(-1, 2) b(j)),
+ s as (select g.year, g.row, g.col, case when g.red > 30 then 'classe' when r.row is not null then 'anel' else 'resto' end estrato from grid g left join ring r on r.year = g.year and r.row = g.row and r.col = g.col)
+ select estrato, count(*) n_h, least(count(*), 50) n from s group by estrato""")
+def r27b(spark, d):
+    """Strata by map class and the ring around it, and how many pixels a sample of 50 each takes."""
+    g = grid(spark, d)
+    ring = P.dilate(mask(spark, d), 1).withColumn("ring", F.lit(True))
+    name = F.when(F.col("red") > 30, "classe").when(F.col("ring"), "anel").otherwise("resto")
+    rows = g.join(ring, ["year", "row", "col"], "left").select("year", "row", "col", name.alias("estrato"), F.concat_ws("|", "year", "row", "col").alias("k"))
+    return M.stratified_sample(rows, "estrato", "k", 50).groupBy("estrato").agg(F.max("size").alias("n_h"), F.count("*").alias("n"))
+
+
+@query("r32_shape", _MASK + """, c as (select year, avg(row) r, avg(col) c, count(*) n from m group by year), e as (select *, lag(r) over (order by year) r0, lag(c) over (order by year) c0 from c)
+ select m.year, n, round(sqrt(n / pi()), 6) radius, round(avg(sqrt(pow(row - r, 2) + pow(col - c, 2))), 6) mean_distance, round(quantile_cont(sqrt(pow(row - r, 2) + pow(col - c, 2)), 0.95), 6) p95,
+ round(2.0::double / 3 * sqrt(n / pi()) / avg(sqrt(pow(row - r, 2) + pow(col - c, 2))), 6) proximity, round(max(sqrt(pow(r - r0, 2) + pow(c - c0, 2))), 6) shift, round(max((degrees(atan2(c - c0, r0 - r)) + 360) % 360), 4) azimuth from m join e on m.year = e.year group by m.year, n""")
 def r32(spark, d):
-    m = mask(spark, d)
-    c = m.groupBy("year").agg(F.avg("row").alias("r"), F.avg("col").alias("c"), F.count("*").alias("n"))
-    far = F.sqrt(F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2))
-    return m.join(c, "year").groupBy("year", "n").agg(F.round(F.avg(far), 6).alias("mean_distance"), F.round(F.percentile(far, 0.95), 6).alias("p95")).withColumn("radius", F.round(F.sqrt(F.col("n") / F.pi()), 6))
+    return P.shape_metrics(mask(spark, d)).select("year", "n", *[F.round(k, 6).alias(k) for k in ("radius", "mean_distance", "p95", "proximity", "shift")], F.round("azimuth", 4).alias("azimuth"))
+
+
+@query("r33_octant_shares", _MASK + """, o as (select (floor(((degrees(atan2(col - 20.25, row - 20.25)) + 360 + 22.5) % 360) / 45))::int octant, case when year <= 1994 then 'ate_1994' when year <= 1997 then '1995_1997' else '1998_mais' end periodo from m),
+ k as (select periodo, octant, count(*) n from o group by all) select periodo, octant, n, round(100 * n / sum(n) over (partition by periodo), 6) pct from k""")
+def r33b(spark, d):
+    azimuth = F.degrees(F.atan2(F.col("col") - 20.25, F.col("row") - 20.25))
+    period = F.when(F.col("year") <= 1994, "ate_1994").when(F.col("year") <= 1997, "1995_1997").otherwise("1998_mais")
+    counts = mask(spark, d).groupBy(period.alias("periodo"), F.floor(F.pmod(azimuth + 22.5, F.lit(360.0)) / 45).cast("int").alias("octant")).agg(F.count("*").alias("n"))
+    return counts.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("periodo")), 6))
 
 
 @query("r33_octants", _MASK + "select year, (floor(((degrees(atan2(col - 20.25, row - 20.25)) + 360 + 22.5) % 360) / 45))::int octant, count(*) n from m group by all")

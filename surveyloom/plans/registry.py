@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import analysis, cube, estimation, file_jobs, measures, ordered, panels, pixel_tables, profiles, recoding, text_jobs  # noqa: F401
+    from . import analysis, cube, estimation, file_jobs, measures, ordered, panels, records, pixel_tables, profiles, recoding, text_jobs  # noqa: F401
