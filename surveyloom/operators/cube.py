@@ -75,12 +75,16 @@ def slices(micro: DataFrame, spec: Spec) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, group: list[str], column: str) -> tuple[DataFrame, list[str], DataFrame]:
-    """An open list by rank: rows with the rank of their category in their group as category, ranks in order, and rank to name."""
+    """An open list by rank: rows with the rank of their category in their group as category, ranks in order, and rank to name.
+
+    The largest OPEN_SIZE categories have ranks; the others, if two or more, are one category, REST.
+    """
     counts = rows.where(~F.col("rest") & F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_n"), column))
-    top = counts.withColumn("_r", place).where(F.col("_r") <= OPEN_SIZE).select(*group, column, F.format_string("r%02d", "_r").alias("_rank"))
+    own = Window.partitionBy(*group)
+    ranks = counts.withColumns({"_r": F.row_number().over(own.orderBy(F.desc("_n"), column)), "_k": F.count("*").over(own)})
+    top = ranks.where((F.col("_r") <= OPEN_SIZE) | (F.col("_k") == OPEN_SIZE + 1)).select(*group, column, F.format_string("r%02d", "_r").alias("_rank"))
     out = rows.join(top, [*group, column], "left").withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce("_rank", F.lit(REST))))
-    return out.drop("_rank"), [*(f"r{i:02d}" for i in range(1, OPEN_SIZE + 1)), REST], top.withColumnRenamed(column, "_name")
+    return out.drop("_rank"), [*(f"r{i:02d}" for i in range(1, OPEN_SIZE + 2)), REST], top.withColumnRenamed(column, "_name")
 
 
 def shown_cells(rows: DataFrame, group: list[str], dim: Dimension, household: str) -> DataFrame:
@@ -90,13 +94,14 @@ def shown_cells(rows: DataFrame, group: list[str], dim: Dimension, household: st
         table = D.patterns(known, group, dim.column, household, dim.categories, F.col("rest"))
         return D.suppress(table, group, dim.categories, F.col("censo"), dim.ordinal, dim.partners).withColumnRenamed("label", "cat")
     ranked, order, names = _ranked(known, group, dim.column)
-    cells = D.suppress(D.patterns(ranked, group, dim.column, household, order, F.col("rest")), group, order, F.col("censo"), bare=True)
-    # The pooled rest is a category of its own to the rules; shown, alone or fused, it is the list's complement.
-    one = cells.where(F.size("members") == 1).withColumn("_rank", F.col("members")[0]).join(names, [*group, "_rank"], "left")
-    single = one.withColumn("cat", F.coalesce("_name", F.lit(D.FUSED))).withColumn("members", F.when(F.col("_name").isNotNull(), F.array("_name")))
+    cells = D.suppress(D.patterns(ranked, group, dim.column, household, order, F.col("rest")), group, order, F.col("censo"), pooled=REST)
     columns = [*group, "cat", "members", "n", "n_dom", "n_suppressed"]
-    fused = cells.where(F.size("members") > 1).withColumn("cat", F.lit(D.FUSED)).withColumn("members", F.lit(None).cast("array<string>"))
-    return single.select(columns).unionByName(fused.select(columns))
+    single = (F.size("members") == 1) & (F.col("members")[0] != REST)
+    one = cells.where(single).withColumn("_rank", F.col("members")[0]).join(names, [*group, "_rank"])
+    one = one.withColumns({"cat": F.col("_name"), "members": F.array("_name")})
+    # The complement: categories that are pooled or fused, whatever their number.
+    fused = cells.where(~single).withColumns({"cat": F.lit(D.FUSED), "members": F.lit(None).cast("array<string>")})
+    return one.select(columns).unionByName(fused.select(columns))
 
 
 def labelled(rows: DataFrame, cells: DataFrame, group: list[str], column: str, out: str) -> DataFrame:

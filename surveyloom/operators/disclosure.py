@@ -61,29 +61,29 @@ def _publishable(mask: str) -> str:
     return f"({n} >= ln and {h} >= lh and ({rn} = 0 or ({rn} >= ln and {rh} >= lh)))"
 
 
-def suppress(table: DataFrame, group: list[str], order: list[str], wave: Column, ordinal: bool = False, partners: dict[str, str] | None = None, bare: bool = False) -> DataFrame:
+def suppress(table: DataFrame, group: list[str], order: list[str], wave: Column, ordinal: bool = False, partners: dict[str, str] | None = None, pooled: str | None = None) -> DataFrame:
     """R8 as a bounded fold over the table of patterns(): group, label, members (sorted), n, n_dom, n_suppressed.
 
     The state is the set of categories to be fused, as bits; it begins with those that can't be shown alone and is settled
     when empty, or when two members or more make a publishable union. Each step adds the category of least rank among
     the rest: next to a member in an ordinal list, else the partner of the smallest member that has one, else the
     smallest (ties by order). Categories without persons (structural zeros) take no part. If no set settles, no category
-    is shown. `bare`: the fused label of an open list is its complement, 'outros'.
+    is shown. `pooled`: the category of an open list that stands for two or more others; it is fused from the start, and the
+    fused label is the list's complement, 'outros'.
     """
     least_n, least_h = limits(wave)
     partner = {1 << order.index(a): 1 << order.index(b) for a, b in (partners or {}).items()}
     pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in partner.items()]) if partner else F.array().cast("array<struct<a:bigint,b:bigint>>")
     facts = table.withColumns({"ln": least_n, "lh": least_h, "pairs": pairs, "members": F.expr("filter(members, e -> e.n > 0)")})
-    facts = facts.where("ln is not null").withColumn("hidden", F.expr(f"aggregate(filter(members, m -> not {_publishable('m.bit')}), 0L, (a, m) -> a | m.bit)"))
-    near = "exists(members, (e, i) -> false)" if not ordinal else (
+    rest = 1 << order.index(pooled) if pooled else 0
+    facts = facts.where("ln is not null").withColumn("hidden", F.expr(f"aggregate(filter(members, m -> m.bit = {rest} or not {_publishable('m.bit')}), 0L, (a, m) -> a | m.bit)"))
+    near = "false" if not ordinal else (
         "exists(sequence(0, size(members) - 1), i -> members[i].bit = c.bit and"
         " ((i > 0 and members[greatest(i - 1, 0)].bit & s <> 0) or (i + 1 < size(members) and members[least(i + 1, size(members) - 1)].bit & s <> 0)))"
     )
-    if not ordinal:
-        near = "false"
     allied = "array_min(transform(filter(members, e -> e.bit & s <> 0 and exists(pairs, p -> p.a = e.bit and p.b = c.bit)), e -> e.n))"
     rank = f"named_struct('r', case when {near} then 0 when {allied} is not null then 1 else 2 end, 'by', case when {near} or {allied} is null then c.n else {allied} end, 'bit', c.bit)"
-    settled = f"(s = 0 or (bit_count(s) >= 2 and {_publishable('s')}))"
+    settled = f"(s = 0 or ((bit_count(s) >= 2 or s & {rest} <> 0) and {_publishable('s')}))"
     free = "filter(members, c -> c.bit & s = 0)"
     step = f"case when {settled} or size({free}) = 0 then s else s | array_min(transform({free}, c -> {rank})).bit end"
     folded = facts.withColumn("s", F.expr(f"aggregate(sequence(1, {len(order)}), hidden, (s, k) -> {step})"))
@@ -94,7 +94,7 @@ def suppress(table: DataFrame, group: list[str], order: list[str], wave: Column,
     cells = done.withColumn("mask", F.explode(shown))
     names = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(c).alias("name")) for i, c in enumerate(order)])
     cells = cells.withColumn("names", names).withColumn("own", F.expr("array_sort(transform(filter(names, e -> e.bit & mask <> 0 and exists(members, m -> m.bit = e.bit)), e -> e.name))"))
-    fused = F.lit(FUSED) if bare else F.concat(F.lit(f"{FUSED}:"), F.array_join("own", "+"))
+    fused = F.lit(FUSED) if pooled else F.concat(F.lit(f"{FUSED}:"), F.array_join("own", "+"))
     return cells.select(
         *group, F.when(F.size("own") > 1, fused).otherwise(F.col("own")[0]).alias("label"), F.col("own").alias("members"),
         F.expr(_total("members", "e.bit & mask <> 0", "n")).alias("n"), F.expr(_total("sets", "e.bits & mask <> 0", "h")).alias("n_dom"),

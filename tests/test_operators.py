@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions import profile as P
 from surveyloom.functions import recode as R
-from surveyloom.operators import analysis, disclosure, estimate, linkage, measures, migration, pixels, series
+from surveyloom.operators import analysis, estimate, linkage, measures, migration, pixels, series
 from surveyloom.sources import files
 
 
@@ -32,16 +32,6 @@ def test_bootstrap_draws(spark):
         assert r["m"] == pytest.approx({"a": 9, "b": 5, "c": 1}[r["s"]])
 
 
-def test_suppressed_sets_are_publishable(spark):
-    rows = [(g, c, h) for g in range(6) for i, c in enumerate("abcd") for h in range((g * 7 + i * 11) % 23)]
-    df = spark.createDataFrame(rows, "g int, c string, h int")
-    out = disclosure.suppress(disclosure.patterns(df, ["g"], "c", "h", list("abcd")), ["g"], list("abcd"), (10, 5))
-    assert all(r["n"] >= 10 and r["n_dom"] >= 5 for r in out.collect())
-    assert all(r["label"].count("+") >= 1 for r in out.where("label like 'outros:%'").collect())
-    assert disclosure.recount(out, df, ["g"], "c", "h").count() == 0
-    assert disclosure.recount(out.withColumn("n", F.col("n") + 1), df, ["g"], "c", "h").count() == out.count()
-
-
 def test_accuracy_worked_example(spark):
     strata = spark.createDataFrame([(32710, True, 40, 31), (72893, False, 45, 2), (548732, False, 46, 0)], "n_h long, map boolean, n long, hits long")
     r = pixels.accuracy(strata, 0.09).first()
