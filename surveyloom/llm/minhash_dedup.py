@@ -220,10 +220,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     named = signed.where("doc_id is not null and n_shingles > 0")
     first_row = F.min(F.struct("doc_id", "print")).alias("_r")
     classes = named.groupBy("c1", "c2").agg(first_row).select("c1", "c2", F.col("_r.doc_id").alias("class_id"), F.col("_r.print").alias("class_print"))
-    # Ids may repeat with other texts, so a class has a number of its own as its node; it is fixed once written.
+    # Ids may repeat with other texts, so a class has a number of its own as its node, in order of ids: a bucket's leader is
+    # its smallest id. Only these keys are sorted; the numbers are fixed once written.
+    ordered = classes.repartitionByRange("class_id", "class_print").sortWithinPartitions("class_id", "class_print", "c1", "c2")
+    classes = materialise(ordered.withColumn("node", F.monotonically_increasing_id()))
     reps = materialise(
-        named.join(classes, ["c1", "c2"]).where("doc_id = class_id and print = class_print").dropDuplicates(["c1", "c2"])
-        .select(F.monotonically_increasing_id().alias("node"), "class_id", "class_print", "n_shingles", "bands", "sketch", "fine")
+        named.join(classes, ["c1", "c2"]).where("doc_id = class_id and print = class_print").dropDuplicates(["node"])
+        .select("node", "class_id", "class_print", "n_shingles", "bands", "sketch", "fine")
     )
     nodes = reps.select("node", "class_id", "class_print")
     entries = reps.select("node", F.posexplode("bands").alias("band", "key"))
@@ -262,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     shared = member.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
     final = components(every.select(F.col("iu").alias("u"), F.col("iv").alias("v")).unionByName(shared))
 
-    placed = classes.join(final, F.col("class_id") == F.col("node"), "left").select(
+    placed = classes.drop("node").join(final, F.col("class_id") == F.col("node"), "left").select(
         "c1", "c2", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
     out = signed.select("doc_id", "n_shingles", "c1", "c2").join(placed.alias("p"), ["c1", "c2"], "left")
