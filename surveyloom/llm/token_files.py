@@ -27,6 +27,8 @@ from .common import materialise, shared_dir, table
 from .tokens import units, vocabulary_paths
 
 WIDTH = 1024
+#: How ids and positions stand in the matrices: unsigned 32-bit integers, little-endian, one after the other.
+WRITTEN = "<u4"
 #: Stretches that a shard has, about.
 SHARD = 2048
 #: Bytes of a row group of the written matrices.
@@ -34,10 +36,10 @@ GROUP_BYTES = 1 << 23
 #: Rows of an Arrow batch while matrices are written and read back.
 BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
 _STRETCH = "doc_id long, source long, start long, doc_tokens long, ids binary"
-_ROW = "shard long, row long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, sources array<bigint>, starts array<bigint>"
+_ROW = "shard long, row long, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<bigint>, sources array<bigint>, starts array<bigint>"
 _INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
 _ROW_ARROW = pa.schema([
-    ("shard", pa.int64()), ("row", pa.int64()), ("ids", _INTS), ("cu_seqlens", _INTS), ("position_ids", _INTS), ("doc_ids", _LONGS), ("sources", _LONGS), ("starts", _LONGS),
+    ("shard", pa.int64()), ("row", pa.int64()), ("ids", pa.binary()), ("cu_seqlens", _INTS), ("position_ids", pa.binary()), ("doc_ids", _LONGS), ("sources", _LONGS), ("starts", _LONGS),
 ])
 Each = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -126,14 +128,14 @@ def _packed(width: int, each: Each, stored: str):
     def packed(stretches: pa.Table) -> pa.Table:
         frame: pd.DataFrame = stretches.to_pandas(integer_object_nulls=True)
         frame = frame.sort_values(["doc_id", "start", "source"], kind="stable", na_position="first").reset_index(drop=True)
-        ids = [np.frombuffer(x, stored).astype(np.int32) for x in frame["ids"]]
+        ids = [np.frombuffer(x, stored).astype(WRITTEN) for x in frame["ids"]]
         out = []
         for row, members in enumerate(best_fit_decreasing([len(x) for x in ids], width)):
             lengths = np.array([len(ids[i]) for i in members])
             edges = np.append(0, np.cumsum(lengths)).astype(np.int32)
-            places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+            places = np.concatenate([np.arange(n, dtype=WRITTEN) for n in lengths])
             doc = [None if pd.isna(frame["doc_id"].iat[i]) else int(frame["doc_id"].iat[i]) for i in members]
-            out.append((frame["shard"].iat[0], row, np.concatenate([ids[i] for i in members]), edges, places, doc, frame["source"].to_numpy()[members], frame["start"].to_numpy()[members]))
+            out.append((frame["shard"].iat[0], row, np.concatenate([ids[i] for i in members]).tobytes(), edges, places.tobytes(), doc, frame["source"].to_numpy()[members], frame["start"].to_numpy()[members]))
         rows = pa.Table.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*out), _ROW_ARROW)], schema=_ROW_ARROW)
         return pa.Table.from_batches(each(iter(rows.to_batches())))
 
@@ -145,11 +147,11 @@ def _full(each: Each, stored: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(x.as_py(), stored).astype(np.int32) for x in part.column("ids")]
+                ids = [np.frombuffer(x.as_py(), stored).astype(WRITTEN) for x in part.column("ids")]
                 single = {c: pa.array([[x] for x in part.column(c).to_pylist()], _LONGS) for c in ("doc_id", "source", "start")}
                 arrays = [
-                    pa.array(np.full(len(ids), -1)), part.column("source"), pa.array(ids, _INTS), pa.array([[0, len(x)] for x in ids], _INTS),
-                    pa.array([np.arange(len(x), dtype=np.int32) for x in ids], _INTS), single["doc_id"], single["source"], single["start"],
+                    pa.array(np.full(len(ids), -1)), part.column("source"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([[0, len(x)] for x in ids], _INTS),
+                    pa.array([np.arange(len(x), dtype=WRITTEN).tobytes() for x in ids], pa.binary()), single["doc_id"], single["source"], single["start"],
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_ROW_ARROW)
 
@@ -177,27 +179,26 @@ def matrices(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, paths: tup
 
 
 def write_matrices(rows: DataFrame, path: str) -> None:
-    """The packed rows as Parquet in `path`, ids and lengths as 32-bit integers; small row groups bound a task's memory."""
+    """The packed rows as Parquet in `path`, ids and positions as binary (WRITTEN); small row groups bound a task's memory."""
     rows.write.mode("errorifexists").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
 
 
 def documents_back(rows: DataFrame) -> DataFrame:
-    """source, doc_id, ids (with the closing 0) of every input row, from packed rows."""
+    """source, doc_id, ids (binary as WRITTEN, with the closing 0) of every input row, from packed rows."""
     segments = rows.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "sources", "starts")).alias("i", "s"))
-    part = F.expr("slice(ids, cu_seqlens[i] + 1, cu_seqlens[i + 1] - cu_seqlens[i])")
+    part = F.expr("substring(ids, 4 * cu_seqlens[i] + 1, 4 * (cu_seqlens[i + 1] - cu_seqlens[i]))")
     parts = segments.select(F.col("s.sources").alias("source"), F.col("s.doc_ids").alias("doc_id"), F.col("s.starts").alias("start"), part.alias("ids"))
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"]))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "ids")))
+    joined = F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
     return parts.groupBy("source", "doc_id").agg(joined.alias("ids"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         def crc(name: str) -> pa.Array:
-            column = batch.column(name)
-            flat, edge = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
-            return pa.array([zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(edge[:-1], edge[1:])], pa.int64())
+            return pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(name)], pa.int64())
 
-        tokens = batch.column("ids").value_lengths().cast(pa.int64())
+        tokens = pa.array([len(x.as_buffer()) // 4 for x in batch.column("ids")], pa.int64())
         arrays = [batch.column("shard"), batch.column("row"), tokens, batch.column("doc_ids"), batch.column("starts"), batch.column("cu_seqlens"), crc("ids"), crc("position_ids")]
         yield pa.RecordBatch.from_arrays(arrays, names=["shard", "row", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids_crc32", "positions_crc32"])
 
