@@ -135,7 +135,7 @@ def _rows(est: DataFrame, statistic: str, universe: str, dim1: str | None, dim2:
 def build(micro: DataFrame, weights: DataFrame, spec: Spec) -> DataFrame:
     """The cube: KEYS, valor, ep, cv, 95 % interval, precision class and bands of persons and households."""
     h, w = spec.household, spec.weight
-    sliced = stored(slices(micro, spec))
+    sliced, weights = stored(slices(micro, spec)), stored(weights)  # read by every table of the cube
     base_group, out = ["censo", "geografia"], []
     bases = {}
     for u in spec.universes:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import recode as R
 from ..operators import disclosure as D
 from ..operators import estimate as E
+from ..sources.storage import stored
 from .fixtures import WITH, dwellings, persons
 from .recoding import TYPED, typed
 from .registry import query
@@ -244,7 +245,7 @@ def d19(spark, d):
 def flagship(spark, d):
     """Share of each segment among migrants and others, with bootstrap errors; only publishable cells."""
     t = typed(spark, d).where("tipo is not null").withColumn("mig", F.when(F.col("tipo") == "nao_migrante", "nao").otherwise("sim"))
-    w = weights(spark, d)
+    w = stored(weights(spark, d))  # read twice
     parts = t.groupBy("mig", "segmento", "controle").agg(F.sum("peso").alias("x"), F.count("*").alias("n"))
     base = t.groupBy("mig", "controle").agg(F.sum("peso").alias("d"))
     cells = parts.groupBy("mig", "segmento").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.count("*").alias("n_dom"))
