@@ -1,8 +1,9 @@
 """Line dedup by content-defined line chunks (native).
 
-A rolling hash over the hashes of a line and the line before it chooses boundary lines, so the same run of lines is cut
-the same way wherever it stands. A chunk reaches from one boundary line to the next, both included, so it has two lines
-at least and neighbouring chunks meet in a line. A chunk that stands more than once, in any documents, ties each later
+A rolling hash over the hashes of a line and the line before it chooses boundary lines: a line is one if its rolling hash
+is the lesser of two neighbouring lines', or if it and the line before it hold LONG_WORDS words. A chunk is a boundary line
+with the line before it. Of any two neighbouring lines one at least is a boundary, and in a run of three lines that choice
+rests on the run alone: equal runs of three lines, or of two long ones, share a chunk wherever they stand. A chunk that stands more than once, in any documents, ties each later
 place to its first (smallest id, then smallest position). Along such a tie (two documents and the distance of the lines)
 all runs of two equal lines or more go from the later document: chunks lead to the ties, their neighbours are
 compared line by line. What meets by hash is removed only after the bytes of both runs are compared.
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise, table
 
-#: A line is a boundary unless its rolling hash is 0 modulo this.
-DIVISOR = 4
+#: A line that with the one before it holds so many words (parted by blanks) is a boundary too.
+LONG_WORDS = 50
 #: Equal lines in a row that count as a repeated run.
 MIN_LINES = 2
-FACTOR = 31
+#: Rolling hash: FACTOR times the hash of the line before, plus that of the line, modulo MODULUS.
+FACTOR, MODULUS = 31, 1000003
 
 
 def _hash(text: str) -> str:
@@ -39,27 +41,28 @@ def facts_column(docs: DataFrame) -> str:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, print, h (the hashes of the lines), one row per document with a text."""
+    """id, print, h and w (the hashes and numbers of words of the lines), one row per document with a text."""
     lined = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.expr(f"transform(split(`{text_col}`, '\n'), x -> {_hash('x')})").alias("h")
-    )
-    return lined.groupBy("id", "print").agg(F.first("h").alias("h"))
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"),
+        F.expr(f"transform(split(`{text_col}`, '\n'), x -> {_hash('x')})").alias("h"), F.expr(f"transform(split(`{text_col}`, '\n'), x -> size(split(x, ' ')))").alias("w"),
+    )
+    return lined.groupBy("id", "print").agg(F.first("h").alias("h"), F.first("w").alias("w"))
 
 
-def _chunks(hashed: DataFrame, divisor: int) -> DataFrame:
+def _chunks(hashed: DataFrame, long_words: int) -> DataFrame:
     """id, print, first, k1, k2 of each chunk."""
-    rolling = f"({FACTOR} * (case when i > 0 then h[greatest(i - 1, 0)] % 65536 else 0L end) + x % 65536) % {divisor}"
-    bounds = F.expr(f"filter(transform(h, (x, i) -> case when i = 0 or i = size(h) - 1 or {rolling} <> 0 then i end), x -> x is not null)")
-    spans = F.expr("transform(slice(_b, 1, size(_b) - 1), (b, j) -> named_struct('first', b, 'n', _b[j + 1] - b + 1))")
-    rows = hashed.where(F.size("h") > 1).withColumn("_b", bounds).select("id", "print", "h", F.explode(spans).alias("s"))
-    lines = F.expr("slice(h, s.first + 1, s.n)")
-    return rows.select("id", "print", F.col("s.first").alias("first"), F.xxhash64(lines).alias("k1"), F.xxhash64(F.lit(divisor), lines).alias("k2"))
+    rolling = F.expr(f"transform(slice(h, 2, size(h) - 1), (x, i) -> ({FACTOR} * (h[i] % {MODULUS}) + x % {MODULUS}) % {MODULUS})")
+    least = f"i = 0 or i = size(r) - 1 or w[i] + w[i + 1] >= {long_words} or x < get(r, i + 1) or x <= get(r, i - 1)"
+    rows = hashed.where(F.size("h") > 1).withColumn("r", rolling)
+    rows = rows.select("id", "print", "h", F.explode(F.expr(f"filter(transform(r, (x, i) -> case when {least} then i end), i -> i is not null)")).alias("first"))
+    pair = (F.expr("h[first]"), F.expr("h[first + 1]"))
+    return rows.select("id", "print", "first", F.xxhash64(*pair).alias("k1"), F.xxhash64(F.lit(MODULUS), *pair).alias("k2"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
     """id, print, first, n, kept_id, kept_print, kept_first: runs that stand in an earlier place too, met by hash."""
     hashed = materialise(_hashed(docs, id_col, text_col))
-    chunks = _chunks(hashed, divisor)
+    chunks = _chunks(hashed, long_words)
     place = F.struct("id", "print", "first")
     kept = chunks.groupBy("k1", "k2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("not kept <=> last").select("k1", "k2", "kept")
     ties = (
@@ -78,9 +81,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.select("id", "print", F.col("r.first").alias("first"), F.col("r.n").alias("n"), "kept_id", "kept_print", (F.col("r.first") - F.col("shift")).alias("kept_first"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
     """`docs` with the text after removal and facts_column(docs): struct(lines, chunks, removed_spans, removed_lines)."""
-    runs = materialise(repeated_runs(docs, id_col, text_col, divisor, min_lines))
+    runs = materialise(repeated_runs(docs, id_col, text_col, long_words, min_lines))
     # Each document reads its text once: for its own runs and for those that others compare with it.
     asked = runs.groupBy("kept_id", "kept_print").agg(F.collect_set(F.struct("kept_first", "n")).alias("asked")).select(
         F.col("kept_id").alias("id"), F.col("kept_print").alias("print"), F.lit(None).cast("array<struct<first:int,n:int,kept_id:string,kept_print:bigint,kept_first:int>>").alias("later"),
@@ -136,11 +139,11 @@ ORACLE_SQL = {
     "op2_line_dedup": f"""
 with l as (select doc_id, generate_subscripts(x, 1) - 1 i, unnest(x) line, len(x) n
            from (select doc_id, string_split(text, chr(10)) x from documents where text is not null)),
-h as (select *, ('0x' || substr(md5(line), 1, 15))::bigint h from l),
-e as (select doc_id, i from h qualify i = 0 or i = n - 1
-        or ({FACTOR} * (coalesce(lag(h) over (partition by doc_id order by i), 0) % 65536) + h % 65536) % {DIVISOR} <> 0),
-b as (select doc_id, i first, lead(i) over (partition by doc_id order by i) last from e qualify last is not null),
-c as (select b.doc_id, first, string_agg(line, chr(10) order by i) chunk from b join l on l.doc_id = b.doc_id and i between first and last group by b.doc_id, first),
+h as (select *, ('0x' || substr(md5(line), 1, 15))::bigint h, len(string_split(line, ' ')) w from l),
+p as (select doc_id, i, n, ({FACTOR} * (lag(h) over o % {MODULUS}) + h % {MODULUS}) % {MODULUS} r, lag(w) over o + w w, lag(line) over o || chr(10) || line chunk
+      from h window o as (partition by doc_id order by i)),
+c as (select doc_id, i - 1 "first", chunk from p window o as (partition by doc_id order by i)
+      qualify i > 0 and (i = 1 or i = n - 1 or w >= {LONG_WORDS} or r < lead(r) over o or r <= lag(r) over o)),
 k as (select chunk, min(row(doc_id, first)) kept from c group by chunk having count(*) > 1),
 t as (select distinct c.doc_id, kept[1] kept_id, first - kept[2] shift from c join k using (chunk) where row(doc_id, first) <> kept),
 m as (select t.doc_id, kept_id, shift, a.i, a.i - row_number() over (partition by t.doc_id, kept_id, shift order by a.i) island
