@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, repeats, spelling, token_files, toxicity, warc
+from . import decontaminate, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, ranked_search, repeats, spelling, token_files, toxicity, warc
 
-MODULES = [license_scan, line_dedup, quality_rules, minhash_dedup, packing, token_files, quality_classifier, decontaminate, toxicity, repeats, warc, spelling]
+MODULES = [license_scan, line_dedup, quality_rules, minhash_dedup, packing, token_files, quality_classifier, decontaminate, toxicity, repeats, warc, ranked_search, spelling]
 
 
 def queries() -> dict:
