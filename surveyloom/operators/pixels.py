@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.storage import stored
+from . import raster
 from .graph import components
 
 PLACE = ["year", "row", "col"]
@@ -64,24 +65,14 @@ def _square(radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
 
 
-def _disc(radius: int) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius])
-
-
-def _moved(mask: DataFrame, shape: Column, *keep: str) -> DataFrame:
-    sent = mask.select("year", F.explode(shape).alias("o"), "row", "col", *keep)
-    return sent.select("year", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), *keep)
-
-
 def dilate(mask: DataFrame, radius: int = 1, disc: bool = False) -> DataFrame:
     """Places within `radius` (square, or disc) of a place of the mask (year, row, col), the border open."""
-    return _moved(mask, _disc(radius) if disc else _square(radius)).distinct()
+    return raster.distances(mask, radius, disc).select(*PLACE)
 
 
 def erode(mask: DataFrame, radius: int = 1, disc: bool = False) -> DataFrame:
     """Places all of whose neighbours in the shape are in the mask."""
-    size = sum(1 for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if not disc or i * i + j * j <= radius * radius)
-    return _moved(mask, _disc(radius) if disc else _square(radius)).groupBy(*PLACE).agg(F.count("*").alias("_n")).where(F.col("_n") == size).drop("_n")
+    return raster.depths(mask, radius, disc).where(F.col("d2") > radius * radius).select(*PLACE)
 
 
 def opening(mask: DataFrame, rows: int, cols: int, radius: int = 1, disc: bool = False) -> DataFrame:
@@ -113,27 +104,9 @@ def first_year(grid: DataFrame, flag: str) -> DataFrame:
     return grid.where(flag).groupBy("row", "col").agg(F.min("year").alias("first"))
 
 
-#: Years above the places in a node's number.
-PLACES = 1 << 44
-
-
 def patches(mask: DataFrame, width: int, sides: int = 8) -> DataFrame:
-    """mask (year, row, col) with `patch`: 8-neighbour (or 4-neighbour) components within a year, named by their smallest place.
-
-    Edges to the neighbours ahead are found in one equi-join; components follow from the edge table.
-    """
-    ahead = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if sides == 8 else [])
-    places = mask.select(*PLACE)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead])
-    sent = places.withColumn("u", _node(width)).select("year", "u", F.explode(steps).alias("o"), "row", "col")
-    sent = sent.select("year", "u", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-    found = components(sent.join(places, PLACE).select("u", _node(width).alias("v")))
-    named = places.withColumn("node", _node(width)).join(found, "node", "left")
-    return named.select(*PLACE, F.pmod(F.coalesce("component", "node"), F.lit(PLACES)).alias("patch"))
-
-
-def _node(width: int) -> Column:
-    return F.col("year").cast("long") * PLACES + F.col("row").cast("long") * width + F.col("col")
+    """mask (year, row, col) with `patch`: 8-neighbour (or 4-neighbour) components within a year, named by their smallest place."""
+    return raster.places(raster.patch_runs(mask, width, sides), "patch")
 
 
 def with_size(patched: DataFrame) -> DataFrame:
@@ -143,29 +116,25 @@ def with_size(patched: DataFrame) -> DataFrame:
 
 def drop_small(mask: DataFrame, width: int, least: int) -> DataFrame:
     """The mask without patches of fewer than `least` pixels."""
-    return with_size(patches(mask, width)).where(F.col("size") >= least).select(*PLACE)
+    patched = stored(raster.patch_runs(mask, width))
+    large = raster.sizes(patched).where(F.col("size") >= least)
+    return raster.places(patched.join(large, ["year", "patch"], "left_semi"))
 
 
 def fill_holes(mask: DataFrame, rows: int, cols: int, most: int) -> DataFrame:
     """The mask with holes of up to `most` pixels filled: 4-neighbour patches of the other pixels that don't touch the border."""
     whole = mask.select("year").distinct().select("year", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row")).select("year", "row", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
     other = stored(whole.join(mask.select(*PLACE), PLACE, "left_anti"))
-    holes = patches(other, cols, sides=4)
-    edge = F.col("row").isin(0, rows - 1) | F.col("col").isin(0, cols - 1)
-    good = holes.groupBy("year", "patch").agg(F.count("*").alias("size"), F.max(edge).alias("edge")).where((F.col("size") <= most) & ~F.col("edge"))
-    return mask.select(*PLACE).unionByName(holes.join(good, ["year", "patch"], "left_semi").select(*PLACE))
+    holes = stored(raster.patch_runs(other, cols, sides=4))
+    edge = F.col("row").isin(0, rows - 1) | (F.col("first") == 0) | (F.col("last") == cols - 1)
+    inner = holes.groupBy("year", "patch").agg(F.max(edge).alias("edge")).where(~F.col("edge"))
+    good = raster.sizes(holes).where(F.col("size") <= most).join(inner, ["year", "patch"])
+    return mask.select(*PLACE).unionByName(raster.places(holes.join(good, ["year", "patch"], "left_semi")))
 
 
 def near_patches(patched: DataFrame, reach: float) -> DataFrame:
-    """(year, a, b, distance): pairs of patches of a year whose nearest pixels are within `reach`, found by cells of that size."""
-    size = max(1, int(reach))
-    here = patched.select("year", "row", "col", "patch", F.floor(F.col("row") / size).alias("_r"), F.floor(F.col("col") / size).alias("_c"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    there = here.select("year", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("patch").alias("b"), "_r", "_c", F.explode(around).alias("o"))
-    there = there.select("year", "r2", "c2", "b", (F.col("_r") + F.col("o.i")).alias("_r"), (F.col("_c") + F.col("o.j")).alias("_c"))
-    distance = F.sqrt(F.pow(F.col("row") - F.col("r2"), 2) + F.pow(F.col("col") - F.col("c2"), 2))
-    pairs = here.join(there, ["year", "_r", "_c"]).where("patch < b").withColumn("d", distance).where(F.col("d") <= reach)
-    return pairs.groupBy("year", F.col("patch").alias("a"), "b").agg(F.min("d").alias("distance"))
+    """(year, a, b, distance): pairs of patches of a year whose nearest pixels are within `reach`."""
+    return raster.near_patches(raster.runs(patched, "patch"), reach)
 
 
 def core_chain(patched: DataFrame, row: float, col: float, step: float, limit: float, start: float) -> DataFrame:
@@ -173,24 +142,25 @@ def core_chain(patched: DataFrame, row: float, col: float, step: float, limit: f
 
     The core of a year is the patch whose nearest pixel to the point is nearest, if within `start`.
     """
-    far = F.sqrt(F.pow(F.col("row") - row, 2) + F.pow(F.col("col") - col, 2))
-    reach = patched.groupBy("year", "patch").agg(F.min(far).alias("far"))
+    own = stored(raster.runs(patched, "patch"))
+    reach = own.groupBy("year", "patch").agg(F.min(raster.to_point(row, col)).alias("far"))
     core = reach.where(F.col("far") <= start).groupBy("year").agg(F.min(F.struct("far", "patch")).alias("m")).select("year", F.col("m.patch").alias("core"))
-    near = stored(patched.join(reach.where(F.col("far") <= limit).select("year", "patch"), ["year", "patch"]))
-    key = F.col("year").cast("long") * PLACES
-    found = components(near_patches(near, step).select((key + F.col("a")).alias("u"), (key + F.col("b")).alias("v")))
+    near = stored(own.join(reach.where(F.col("far") <= limit).select("year", "patch"), ["year", "patch"]))
+    key = F.col("year").cast("long") * raster.PLACES
+    found = components(raster.near_patches(near, step).select((key + F.col("a")).alias("u"), (key + F.col("b")).alias("v")))
     named = near.withColumn("node", key + F.col("patch")).join(found, "node", "left").withColumn("chain", F.coalesce("component", "node"))
     chains = named.join(core, "year")
-    own = chains.where("patch = core").select("year", F.col("chain").alias("own")).distinct()
-    return chains.join(own, "year").where("chain = own").select(*PLACE, "patch")
+    seat = chains.where("patch = core").select("year", F.col("chain").alias("seat")).distinct()
+    return raster.places(chains.join(seat, "year").where("chain = seat"), "patch")
 
 
 def small_and_near(patched: DataFrame, core: DataFrame, reach: float, most: int) -> DataFrame:
     """(year, patch, size, distance, near): patches outside the core, and whether they are small and within reach of it."""
-    sizes = patched.groupBy("year", "patch").agg(F.count("*").alias("size"))
-    tagged = patched.join(core.select("year", "patch").distinct().withColumn("_core", F.lit(True)), ["year", "patch"], "left")
+    own = stored(raster.runs(patched, "patch"))
+    sizes = raster.sizes(own)
+    tagged = own.join(core.select("year", "patch").distinct().withColumn("_core", F.lit(True)), ["year", "patch"], "left")
     merged = tagged.withColumn("patch", F.when(F.col("_core"), F.lit(-1).cast("long")).otherwise(F.col("patch")))
-    close = near_patches(merged, reach).where("a = -1").select("year", F.col("b").alias("patch"), "distance")
+    close = raster.near_patches(merged, reach).where("a = -1").select("year", F.col("b").alias("patch"), "distance")
     out = sizes.join(core.select("year", "patch").distinct(), ["year", "patch"], "left_anti").join(close, ["year", "patch"], "left")
     return out.withColumn("near", F.col("distance").isNotNull() & (F.col("size") <= most))
 

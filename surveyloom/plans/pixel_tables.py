@@ -185,6 +185,55 @@ def r26(spark, d):
     return out.select(F.col("row").cast("long"), F.col("col").cast("long"))
 
 
+#: The grid's pixels stand 30 places apart, so that radii of 33 and 100 places (1 and 3 km) and a reach of 333 (10 km) matter.
+APART = 30
+_WIDE = _GRID + """, disc as (select i, j from range(-33, 34) a(i), range(-33, 34) b(j) where i * i + j * j <= 1089),
+ s as (select distinct row * 30 r, col * 30 c from grid where red > 48) """
+
+
+def spread(df, right=0):
+    return df.select("year", (F.col("row") * APART).alias("row"), (F.col("col") * APART + right).alias("col"))
+
+
+@query("r26_mining_mask_km", _WIDE + """, k as (select distinct row * 30 r, col * 30 + 7 c from grid where nir > 60), u as (select distinct row * 30 r, col * 30 + 2 c from grid where red < 10),
+ z as (select r + i r, c + j c from s, disc union select k.r, k.c from k where exists (from s where pow(s.r - k.r, 2) + pow(s.c - k.c, 2) <= 10000))
+ select floor(r / 30)::int as br, floor(c / 30)::int as bc, count(*) n from z anti join u using (r, c) group by all""")
+def r26b(spark, d):
+    """Mining widened by 1 km, concessions within 3 km of it, without urban places; places of each block."""
+    g = stored(grid(spark, d))
+    out = P.mining_mask(spread(g.where("red > 48")), spread(g.where("nir > 60"), 7), spread(g.where("red < 10"), 2), 33, 100)
+    return out.groupBy(F.floor(F.col("row") / APART).cast("int").alias("br"), F.floor(F.col("col") / APART).cast("int").alias("bc")).agg(F.count("*").alias("n"))
+
+
+@query("r12_wide_opening", _WIDE + """, h as (select distinct row * 30 + 11 r, col * 30 + 4 c from grid where nir > 85), d40 as (select i, j from range(-40, 41) a(i), range(-40, 41) b(j) where i * i + j * j <= 1600),
+ m as (select r + i r, c + j c from s, d40 except select r + i, c + j from h, disc where i * i + j * j <= 25),
+ b as (select distinct r + i r, c + j c from m, (values (-1, 0), (1, 0), (0, -1), (0, 1)) o(i, j) where (r + i, c + j) not in (select (r, c) from m)),
+ bb as (select floor(r / 33) + i tr, floor(c / 33) + j tc, r, c from b, range(-1, 2) x(i), range(-1, 2) y(j)),
+ bad as (select distinct m.r, m.c from m join bb on floor(m.r / 33) = tr and floor(m.c / 33) = tc and pow(m.r - bb.r, 2) + pow(m.c - bb.c, 2) <= 1089),
+ op as (select distinct r + i r, c + j c from (select * from m except select * from bad), disc)
+ select floor(r / 30)::int as br, floor(c / 30)::int as bc, count(*) n from op group by all""")
+def r12d(spark, d):
+    """Opening with a disc of 1 km of blobs with holes; places of each block."""
+    g = stored(grid(spark, d).withColumn("year", F.lit(0)))
+    blobs = P.dilate(spread(g.where("red > 48")), 40, disc=True)
+    holes = P.dilate(spread(g.where("nir > 85"), 4).withColumn("row", F.col("row") + 11), 5, disc=True)
+    out = P.dilate(P.erode(blobs.join(holes, P.PLACE, "left_anti"), 33, disc=True), 33, disc=True)
+    return out.groupBy(F.floor(F.col("row") / APART).cast("int").alias("br"), F.floor(F.col("col") / APART).cast("int").alias("bc")).agg(F.count("*").alias("n"))
+
+
+@query("r22_chain_km", _GRID.replace("with persons", "with recursive persons") + """, c as (select (max(row) + 1) * 15 r from grid), g as (select year, row * 30 r, col * 30 c from grid where red > 24),
+ near as (select g.year, g.r, g.c from g, c where sqrt(pow(g.r - c.r, 2) + pow(least(abs(g.c - 600), abs(g.c + 1 - 600)), 2)) <= 333),
+ core as (select n.year, arg_min((n.r, n.c), (sqrt(pow(n.r - c.r, 2) + pow(least(abs(n.c - 600), abs(n.c + 1 - 600)), 2)), n.r * 1200 + n.c)) k,
+   min(sqrt(pow(n.r - c.r, 2) + pow(least(abs(n.c - 600), abs(n.c + 1 - 600)), 2))) far from near n, c group by n.year),
+ ch as (select year, k[1] r, k[2] c from core where far <= 100 union select n.year, n.r, n.c from ch join near n on n.year = ch.year and pow(n.r - ch.r, 2) + pow(greatest(abs(n.c - ch.c) - 1, 0), 2) <= 1089)
+ select year, r::int as row, (c + i)::int as col, (r * 1200 + c)::bigint patch from ch, range(0, 2) x(i)""")
+def r22b(spark, d):
+    """Patches chained to the core in steps of 1 km, up to 10 km from it; patches of two places each, 30 apart."""
+    g = stored(grid(spark, d))
+    m = spread(g.where("red > 24")).unionByName(spread(g.where("red > 24"), 1))
+    return P.core_chain(stored(P.patches(m, COLS * APART)), rows_of(g) * APART / 2, 600, 33, 333, 100)
+
+
 @query("r25_otsu", _GRID + ", b as (select least(63, greatest(0, floor(red / (50.0 / 64))))::int bin, count(*) n from grid group by 1), c as (select bin, sum(n) over (order by bin) w0, sum(n * bin) over (order by bin) s0, sum(n) over () w, sum(n * bin) over () s from b), v as (select bin, w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) v from c where w0 < w) select round((bin + 1) * (50.0 / 64)::double, 6) threshold from v order by v desc, bin limit 1")
 def r25(spark, d):
     return P.otsu(grid(spark, d), "red", 64, 0.0, 50.0).withColumn("threshold", F.round("threshold", 6))

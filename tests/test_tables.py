@@ -3,10 +3,11 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.operators import classify, joins, linkage, pixels
+from surveyloom.operators import classify, joins, linkage, pixels, raster
 from surveyloom.operators.graph import components
 from surveyloom.sources import records
 
@@ -74,6 +75,67 @@ def test_neighbourhoods(spark, mask):
             assert r["std"] == pytest.approx((sum((x - m) ** 2 for x in own) / len(own)) ** 0.5)
 
 
+@pytest.mark.parametrize("reach,disc", [(3, True), (8, True), (33, True), (100, True), (5, False), (33, False)])
+def test_distances_at_radii(spark, reach, disc):
+    """Every place within reach and its distance, by brute force; across tiles and below zero."""
+    rng = np.random.default_rng(reach)
+    side = max(raster.TILE, 2 * reach + 2)
+    cells = np.unique(np.concatenate([rng.integers(-20, side + 20, (7, 2)), [[side - 1, side - 1], [side, 3], [-1, 0]]]), axis=0)
+    mask = spark.createDataFrame([(y, int(r), int(c)) for y in (1, 2) for r, c in (cells if y == 1 else cells[:3])], "year int, row int, col int")
+    got = {(r["year"], r["row"], r["col"]): r["d2"] for r in raster.distances(mask, reach, disc).collect()}
+    want = {}
+    for y, own in ((1, cells), (2, cells[:3])):
+        for r0, c0 in own.tolist():
+            i, j = np.mgrid[-reach : reach + 1, -reach : reach + 1]
+            d2 = i * i + j * j if disc else np.maximum(i * i, j * j)
+            for a, b, d in zip((i + r0).ravel().tolist(), (j + c0).ravel().tolist(), d2.ravel().tolist()):
+                if d <= reach * reach:
+                    want[y, a, b] = min(d, want.get((y, a, b), d))
+    assert got == want
+
+
+@pytest.mark.parametrize("reach", [2, 9, 33])
+def test_erosion_at_radii(spark, reach):
+    rng = np.random.default_rng(reach)
+    dense = np.ones((90, 300), bool)
+    dense[rng.integers(0, 90, 4), rng.integers(0, 300, 4)] = False
+    mask = spark.createDataFrame([(1, int(r), int(c)) for r, c in np.argwhere(dense)], "year int, row int, col int")
+    padded = np.pad(dense, reach)
+    keep = np.ones_like(dense)
+    for i in range(-reach, reach + 1):
+        for j in range(-reach, reach + 1):
+            if i * i + j * j <= reach * reach:
+                keep &= padded[reach + i : reach + i + 90, reach + j : reach + j + 300]
+    assert {(r, c) for _, r, c in places(pixels.erode(mask, reach, disc=True))} == set(map(tuple, np.argwhere(keep).tolist()))
+
+
+def test_runs_cross_tiles(spark):
+    """A row longer than a tile is one patch; repeats of a place count once."""
+    rows = [(1, 0, c) for c in range(700)] + [(1, 1, 699), (1, 3, 5), (1, 3, 5)]
+    own = raster.patch_runs(spark.createDataFrame(rows, "year int, row int, col int"), 1000).collect()
+    assert len(own) == 5 and {r["patch"] for r in own} == {0, 3005}
+    sizes = raster.sizes(raster.patch_runs(spark.createDataFrame(rows, "year int, row int, col int"), 1000))
+    assert {r["patch"]: r["size"] for r in sizes.collect()} == {0: 701, 3005: 1}
+
+
+@pytest.mark.parametrize("reach", [1.5, 6, 33, 300])
+def test_near_patches_at_reaches(spark, reach):
+    rng = np.random.default_rng(int(reach))
+    cells = {(int(r), int(c)) for r, c in rng.integers(0, 620, (220, 2))} | {(100, c) for c in range(200, 530)}
+    patched = pixels.patches(spark.createDataFrame([(1, r, c) for r, c in sorted(cells)], "year int, row int, col int"), 700)
+    by = {}
+    for r in patched.collect():
+        by.setdefault(r["patch"], []).append((r["row"], r["col"]))
+    names, arrays = sorted(by), {k: np.array(v) for k, v in by.items()}
+    want = {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            d = np.sqrt(((arrays[a][:, None] - arrays[b][None]) ** 2).sum(2).min())
+            if d <= reach:
+                want[a, b] = pytest.approx(d)
+    assert {(r["a"], r["b"]): r["distance"] for r in pixels.near_patches(patched, reach).collect()} == want
+
+
 def test_seal_keeps_lone_positives(spark):
     flags = spark.createDataFrame([(y, 0, 0, f) for y, f in enumerate([True, False, True, True, False])], "year int, row int, col int, f boolean")
     assert [r["sealed"] for r in pixels.seal(flags, "f").orderBy("year").collect()] == [True, False, True, True, True]
