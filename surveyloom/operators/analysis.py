@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import beside, quantiles
+
 
 def ratio_delta(a: Column, se_a: Column, b: Column, se_b: Column) -> tuple[Column, Column]:
     """Ratio and its delta-method standard error; null for a zero base."""
@@ -45,24 +47,25 @@ def elasticity(y0: Column, y1: Column, x0: Column, x1: Column) -> Column:
 def inequality(df: DataFrame, group: list[str], value: str, weight: str, least: int = 5) -> DataFrame:
     """Weighted mean, extremes, deciles, CV and P90/P10 of units with a value; groups of fewer than `least` are left out."""
     v = F.col(value)
-    deciles = F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = df.where(v.isNotNull()).groupBy(*group).agg(
-        F.count("*").alias("n"), (F.sum(v * F.col(weight)) / F.sum(weight)).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"),
-        deciles.alias("_p"), F.try_divide(F.stddev_pop(v), F.avg(v)).alias("cv"),
+    known = df.where(v.isNotNull())
+    out = known.groupBy(*group).agg(
+        F.count("*").alias("n"), (F.sum(v * F.col(weight)) / F.sum(weight)).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.try_divide(F.stddev_pop(v), F.avg(v)).alias("cv"),
     )
-    return out.where(F.col("n") >= least).withColumns({"p10": F.col("_p")[0], "p50": F.col("_p")[1], "p90": F.col("_p")[2], "p90_p10": F.try_divide(F.col("_p")[2], F.col("_p")[0])}).drop("_p")
+    deciles = quantiles(known, group, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return beside(out.where(F.col("n") >= least), group, deciles).withColumn("p90_p10", F.try_divide("p90", "p10"))
 
 
 def exposure_tiers(df: DataFrame, value: str) -> DataFrame:
     """Tiers among positive values: alta from the 90th percentile, media from the 50th, else baixa; none without a value."""
-    cuts = df.where(F.col(value) > 0).agg(F.percentile(value, 0.5).alias("_a"), F.percentile(value, 0.9).alias("_b"))
+    cuts = quantiles(df.where(F.col(value) > 0), [], value, {"_a": 0.5, "_b": 0.9})
     tier = F.when(~(F.coalesce(value, F.lit(0.0)) > 0), "nenhuma").when(F.col(value) >= F.col("_b"), "alta").when(F.col(value) >= F.col("_a"), "media").otherwise("baixa")
-    return df.crossJoin(F.broadcast(cuts)).withColumn("tier", tier).drop("_a", "_b")
+    return df.join(F.broadcast(cuts), how="left").withColumn("tier", tier).drop("_a", "_b")  # one row, none without positive values
 
 
 def class_breaks(df: DataFrame, col: str, k: int = 5) -> DataFrame:
     """One row: the inner quantile breaks of k classes, linearly interpolated, pooled over all rows."""
-    return df.agg(F.percentile(col, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("breaks"))
+    cuts = {f"_{i}": i / k for i in range(1, k)}
+    return quantiles(df, [], col, cuts).select(F.array(*cuts).alias("breaks"))
 
 
 def oaxaca(df: DataFrame, y: str, x: str, weight: str, group: Column) -> DataFrame:

@@ -161,8 +161,8 @@ def build(micro: DataFrame, weights: DataFrame, spec: Spec) -> DataFrame:
         # The base's households count against each cell, whether they are in it or not.
         top = named.groupBy(*group, own, h).agg(F.sum(w).alias("_x"))
         bottom = rows.groupBy(*group, h).agg(F.sum(w).alias("_d"))
-        share = bottom.join(weights, h).groupBy(*group, "b").agg(F.sum(F.col("_d") * F.col("m")).alias("_d"))
-        part = top.join(weights, h).groupBy(*group, own, "b").agg(F.sum(F.col("_x") * F.col("m")).alias("_x"))
+        share = E.drawn(bottom, weights, h).groupBy(*group, "b").agg(F.sum(F.col("_d") * F.col("m")).alias("_d"))
+        part = E.drawn(top, weights, h).groupBy(*group, own, "b").agg(F.sum(F.col("_x") * F.col("m")).alias("_x"))
         spread = share.join(counts.select(*group, own), group).join(part, [*group, own, "b"], "left").groupBy(*group, own).agg(F.stddev_samp(100 * F.coalesce("_x", F.lit(0.0)) / F.col("_d")).alias("se"))
         point = top.groupBy(*group, own).agg(F.sum("_x").alias("_x")).join(bottom.groupBy(*group).agg(F.sum("_d").alias("_d")), group)
         pct = point.select(*group, own, R.percent(F.col("_x"), F.col("_d"), 2).alias("value")).join(spread, [*group, own]).join(counts, [*group, own])

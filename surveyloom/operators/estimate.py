@@ -1,8 +1,8 @@
 """Weighted totals, proportions, means and medians of cells, with household-bootstrap standard errors.
 
 Values are summed by cell and household first; replicate multipliers (Rao-Wu: k - 1 of a stratum's k households drawn
-with replacement, scaled by k / (k - 1)) are drawn by md5, so any engine draws the same. Households shuffle with
-replicates, persons only as partial sums (by cell, replicate and, for medians, range of values).
+with replacement, scaled by k / (k - 1)) are drawn by md5, so any engine draws the same. A household shuffles as one row with
+its multipliers in an array; persons only as partial sums by cell and replicate.
 """
 
 from __future__ import annotations
@@ -11,30 +11,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import weighted_quantiles
+
 REPLICATES = 200
 MEDIAN_REPLICATES = 60
 
 
-def bootstrap_weights(households: DataFrame, household: str, stratum: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
-    """(household, b, m): households that a replicate draws, with their multiplier; households not drawn are left out.
+def bootstrap_draws(households: DataFrame, household: str, stratum: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+    """(household, draws): a row per household with its replicates and multipliers as an array of (b, m); replicates that leave it out aren't in it.
 
     A null stratum is a stratum; a household of several strata is in the largest.
     """
     one = households.groupBy(household).agg(F.max(stratum).alias("_s")).withColumn("_s", F.coalesce(F.col("_s").cast("string"), F.lit("")))
     one = one.withColumn("_h", F.md5(F.col(household).cast("string"))).withColumn("_p", F.substring("_h", 1, 2))
     # Ranks follow the md5 of the household in 256 parts a stratum, so a large stratum is ranked by many tasks.
-    parts = one.groupBy("_s", "_p").agg(F.count("*").alias("_n"))
+    spots = one.groupBy("_s", "_p").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_s", "_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_a"), F.sum("_n").over(Window.partitionBy("_s")).alias("_k"))
+    spots = spots.select("_s", "_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_a"), F.sum("_n").over(Window.partitionBy("_s")).alias("_k"))
     inside = F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", household)) - 1
-    ranked = one.withColumn("_i", inside).join(parts, ["_s", "_p"]).select(household, "_s", "_k", (F.col("_a") + F.col("_i")).alias("_r"))
+    ranked = one.withColumn("_i", inside).join(spots, ["_s", "_p"]).select(household, "_s", "_k", (F.col("_a") + F.col("_i")).alias("_r"))
     # The household of rank i makes the i-th draw of every replicate: k - 1 draws a stratum, spread like the households.
-    b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
+    every = F.sequence(F.lit(0), F.lit(replicates - 1))
     key = F.concat_ws("|", F.lit(str(seed)), "_s", "b", F.col("_r").cast("string"))
     rank = F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), F.col("_k"))
-    counts = ranked.where("_r > 0").select("_s", "_k", "_r", b).groupBy("_s", "b", rank.alias("_r")).agg(F.count("*").alias("_c"))
-    drawn = counts.join(ranked, ["_s", "_r"]).select(household, "b", (F.col("_c") * F.col("_k") / (F.col("_k") - 1)).alias("m"))
-    return drawn.unionByName(ranked.where("_k = 1").select(household, b, F.lit(1.0).alias("m")))
+    # A household has many draws: they are spread by number, as few households would be put into one task.
+    parts = int(households.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    thrown = ranked.where("_r > 0").repartition(parts, household).select("_s", "_r", "_k", F.explode(every).alias("b")).select("_s", rank.alias("_r"), "b")
+    # Dealt by household once: counts by replicate and the array need no further shuffle.
+    counts = thrown.repartition(parts, "_s", "_r").groupBy("_s", "_r", "b").agg(F.count("*").alias("_c")).groupBy("_s", "_r").agg(F.collect_list(F.struct("b", "_c")).alias("_d"))
+    scale = F.col("_k") / (F.col("_k") - 1)
+    drawn = F.transform("_d", lambda d: F.struct(d["b"].alias("b"), (d["_c"] * scale).alias("m")))
+    alone = F.transform(every, lambda b: F.struct(b.alias("b"), F.lit(1.0).alias("m")))
+    return ranked.join(counts, ["_s", "_r"], "left").select(household, F.when(F.col("_k") == 1, alone).otherwise(drawn).alias("draws")).where("draws is not null")
+
+
+def bootstrap_weights(households: DataFrame, household: str, stratum: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+    """(household, b, m): households that a replicate draws, with their multiplier; households not drawn are left out."""
+    return bootstrap_draws(households, household, stratum, replicates, seed).select(household, F.inline("draws"))
+
+
+def drawn(sums: DataFrame, weights: DataFrame, household: str, replicates: int | None = None) -> DataFrame:
+    """Rows of households once per replicate that draws them, with b and m; weights have a row per household or (b, m) as rows."""
+    if "draws" in weights.columns:
+        kept = F.col("draws") if replicates is None else F.filter("draws", lambda d: d["b"] < replicates)
+        return sums.join(weights, household).select(*sums.columns, F.inline(kept))
+    return sums.join(weights if replicates is None else weights.where(F.col("b") < replicates), household)
 
 
 def household_sums(df: DataFrame, cell: list[str], household: str, weight: str, numerator: Column, denominator: Column) -> DataFrame:
@@ -49,7 +70,7 @@ def ratio_with_se(sums: DataFrame, weights: DataFrame, cell: list[str], househol
 
     plain = sums.groupBy(*cell).agg(F.sum("_x").alias("_x"), F.sum("_d").alias("_d")).select(*cell, value(F.col("_x"), F.col("_d")).alias("value"))
     spread = (
-        sums.join(weights, household).groupBy(*cell, "b").agg(F.sum(F.col("_x") * F.col("m")).alias("_x"), F.sum(F.col("_d") * F.col("m")).alias("_d"))
+        drawn(sums, weights, household).groupBy(*cell, "b").agg(F.sum(F.col("_x") * F.col("m")).alias("_x"), F.sum(F.col("_d") * F.col("m")).alias("_d"))
         .select(*cell, value(F.col("_x"), F.col("_d")).alias("_v")).groupBy(*cell).agg(F.stddev_samp("_v").alias("se"))
     )
     return plain.join(spread, cell, "left")
@@ -70,45 +91,16 @@ def mean(df, weights, cell, household, weight, y: str):
     return ratio_with_se(household_sums(known, cell, household, weight, F.col(y), F.lit(1.0)), weights, cell, household)
 
 
-#: Ranges of values that a median is first sought in.
-RANGES = 128
-
-
-def _halfway(sums: DataFrame, cell: list[str], by: str, q: float) -> DataFrame:
-    """cell, the first `by` up to which the share q of the weight lies, and the weight before it. sums: cell, by, _w, _t, _c0."""
-    own = Window.partitionBy(*cell).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.withColumn("_c", F.col("_c0") + F.sum("_w").over(own))
-    reached = running.where("_t > 0 and _c >= {q} * _t - 1e-9 * _t".format(q=q))
-    return reached.groupBy(*cell).agg(F.min(F.struct(F.col(by), F.col("_c") - F.col("_w"), F.col("_t"))).alias("_m"))
-
-
 def weighted_median(df: DataFrame, cell: list[str], weight: str, y: str, q: float = 0.5) -> DataFrame:
-    """The first value whose cumulative weight reaches half, or the share q (to nine digits).
-
-    Weights are summed by range of values first (cuts at approximate quantiles, compared exactly); only the range that
-    holds the half is then looked at value by value, so no task gets all values of a cell.
-    """
-    known = df.where(F.col(y).isNotNull())
-    cuts = known.agg(F.percentile_approx(F.col(y).cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    binned = known.select(*cell, F.col(y).alias("_y"), F.col(weight).alias("_v"), F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(y))).alias("_b"))
-    ranges = binned.groupBy(*cell, "_b").agg(F.sum("_v").alias("_w"))
-    ranges = ranges.withColumns({"_t": F.sum("_w").over(Window.partitionBy(*cell)), "_c0": F.lit(0.0)})
-    half = _halfway(ranges, cell, "_b", q).select(*cell, F.col("_m._b").alias("_b"), F.col("_m.col2").alias("_c0"), F.col("_m._t").alias("_t"))
-    # Null cells are cells too.
-    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"h.{c}")) for c in cell] + [F.col("v._b") == F.col("h._b")]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    inside = binned.alias("v").join(half.alias("h"), condition).select(*[f"v.{c}" for c in cell], "_y", "_v", "_c0", "_t")
-    values = inside.groupBy(*cell, "_y").agg(F.sum("_v").alias("_w"), F.max("_c0").alias("_c0"), F.max("_t").alias("_t"))
-    return _halfway(values, cell, "_y", q).select(*cell, F.col("_m._y").alias("value"))
+    """The first value whose cumulative weight reaches half, or the share q (to nine digits)."""
+    return weighted_quantiles(df, cell, weight, y, {"value": q})
 
 
 def median_with_se(df, weights, cell, household, weight, y, replicates: int = MEDIAN_REPLICATES):
     known = df.where(F.col(y).isNotNull()).groupBy(*cell, household, y).agg(F.sum(weight).alias("_w1"))
-    drawn = known.join(weights.where(F.col("b") < replicates), household).withColumn("_wm", F.col("_w1") * F.col("m"))
-    spread = weighted_median(drawn, [*cell, "b"], "_wm", y).groupBy(*cell).agg(F.stddev_samp("value").alias("se"))
-    return weighted_median(df, cell, weight, y).join(spread, cell, "left")
+    spread = drawn(known, weights, household, replicates).withColumn("_wm", F.col("_w1") * F.col("m"))
+    se = weighted_median(spread, [*cell, "b"], "_wm", y).groupBy(*cell).agg(F.stddev_samp("value").alias("se"))
+    return weighted_median(df, cell, weight, y).join(se, cell, "left")
 
 
 def sample_counts(df: DataFrame, cell: list[str], household: str) -> DataFrame:

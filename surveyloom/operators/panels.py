@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .estimate import weighted_median
+from .quantiles import beside, quantiles
 
 SERIES = "ano int, valor double, valor_min double, valor_max double, tipo_fonte string, recorte string, nota string"
 
@@ -67,8 +68,10 @@ def group_panel(units: DataFrame, group: str, wave: str, weight: str, indicators
     w = F.col(weight)
     facts = [F.count("*").alias("n"), F.sum(w).alias("peso")]
     for c in indicators:
-        facts += [(F.sum(w * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(c), F.median(c).alias(f"{c}_mediana")]
+        facts.append((F.sum(w * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(c))
     panel = units.groupBy(group, wave).agg(*facts)
+    for c in indicators:
+        panel = beside(panel, [group, wave], quantiles(units, [group, wave], c, {f"{c}_mediana": 0.5}))
     first = F.first("peso").over(Window.partitionBy(group).orderBy(wave))  # a row per wave
     return panel.withColumn("var_pct", 100 * (F.col("peso") / first - 1))
 
@@ -107,7 +110,7 @@ def influence(df: DataFrame, value: str, weight: str, q: float = 0.5) -> DataFra
     spread = known.crossJoin(F.broadcast(facts)).agg(  # one row
         F.max("_w").alias("_w"), F.max(F.col("_w") * F.col("_w") / F.col("_ww")).alias("_n"), F.sqrt(F.sum(w * F.pow(v - F.col("_m"), 2)) / F.max("_w")).alias("_s")
     )
-    at = weighted_median(known.withColumn("_all", F.lit(1)), ["_all"], weight, value, q).select(F.col("value").cast("double").alias("_q"))
+    at = weighted_median(known, [], weight, value, q).select(F.col("value").cast("double").alias("_q"))
     shape = spread.crossJoin(at).withColumn("_h", 1.06 * F.col("_s") * F.pow("_n", F.lit(-0.2)))
     kernel = F.exp(-0.5 * F.pow((v - F.col("_q")) / F.col("_h"), 2)) / (F.col("_h") * F.sqrt(2 * F.pi()))
     density = known.crossJoin(F.broadcast(shape)).agg((F.sum(w * kernel) / F.sum(w)).alias("_d"))

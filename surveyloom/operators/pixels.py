@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..sources.storage import stored
 from . import raster
 from .graph import components
+from .quantiles import quantiles
 
 PLACE = ["year", "row", "col"]
 
@@ -231,17 +232,21 @@ def accuracy(strata: DataFrame, pixel_ha: float) -> DataFrame:
     return out
 
 
-def shape_metrics(mask: DataFrame) -> DataFrame:
-    """By year: pixels, equivalent radius, mean and P95 distance to the centroid, proximity index (mean distance of a disc of
-    that area over the mean distance), and the centroid's move since the year before with its azimuth (0 is up, 90 right)."""
-    c = mask.groupBy("year").agg(F.avg("row").alias("r"), F.avg("col").alias("c"), F.count("*").alias("n"))
-    before = Window.orderBy("year")  # a row per year
-    moved = c.withColumns({"r0": F.lag("r").over(before), "c0": F.lag("c").over(before)})
-    far = F.sqrt(F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2))
-    shift, turn = F.sqrt(F.pow(F.col("r") - F.col("r0"), 2) + F.pow(F.col("c") - F.col("c0"), 2)), F.degrees(F.atan2(F.col("c") - F.col("c0"), F.col("r0") - F.col("r")))
-    out = mask.join(moved, "year").groupBy("year", "n").agg(F.avg(far).alias("mean_distance"), F.percentile(far, 0.95).alias("p95"), F.max(shift).alias("shift"), F.max(F.pmod(turn, F.lit(360.0))).alias("azimuth"))
+def shape_metrics(mask: DataFrame, row: float, col: float) -> DataFrame:
+    """By year: pixels, equivalent radius, mean and P95 distance to the origin, proximity index (mean distance of a disc of that
+    area over the mean distance to the centroid), and how far and in what direction the centroid lies from the origin (0 is up,
+    90 right)."""
+    placed = mask.withColumn("far", F.sqrt(F.pow(F.col("row") - row, 2) + F.pow(F.col("col") - col, 2)))
+    centre = placed.groupBy("year").agg(F.count("*").alias("n"), F.avg("far").alias("mean_distance"), F.avg("row").alias("_r"), F.avg("col").alias("_c"))
+    inside = F.sqrt(F.pow(F.col("row") - F.col("_r"), 2) + F.pow(F.col("col") - F.col("_c"), 2))
+    spread = placed.join(centre, "year").groupBy("year").agg(F.avg(inside).alias("_own"))
+    tail = quantiles(placed, ["year"], "far", {"p95": 0.95})
     radius = F.sqrt(F.col("n") / F.pi())
-    return out.withColumns({"radius": radius, "proximity": F.lit(2.0) / 3 * radius / F.col("mean_distance")})
+    down, right = F.col("_r") - row, F.col("_c") - col
+    out = centre.join(spread, "year").join(tail, "year").withColumns({
+        "radius": radius, "proximity": F.lit(2.0) / 3 * radius / F.col("_own"), "shift": F.sqrt(down * down + right * right), "azimuth": F.pmod(F.degrees(F.atan2(right, -down)), F.lit(360.0)),
+    })
+    return out.drop("_r", "_c", "_own")
 
 
 def iou(a: Column, b: Column) -> Column:

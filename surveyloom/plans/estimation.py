@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import recode as R
 from ..operators import disclosure as D
 from ..operators import estimate as E
+from ..operators import quantiles as Q
 from ..sources.storage import stored
 from .fixtures import WITH, dwellings, persons
 from .recoding import TYPED, typed
@@ -17,7 +18,7 @@ _BOOT = f""", hh as (select controle, ap, row_number() over (partition by ap ord
 
 
 def weights(spark, d):
-    return E.bootstrap_weights(dwellings(spark, d), "controle", "ap")
+    return E.bootstrap_draws(dwellings(spark, d), "controle", "ap")
 
 
 @query("a02_total", WITH + "select censo, sum(peso) total from persons where situacao = 'urbana' group by censo")
@@ -27,7 +28,7 @@ def a02(spark, d):
 
 @query("a06_bootstrap_weights", WITH + _BOOT + "select controle, b::int b, round(m, 6) m from w")
 def a06(spark, d):
-    return weights(spark, d).select("controle", "b", F.round("m", 6).alias("m"))
+    return E.bootstrap_weights(dwellings(spark, d), "controle", "ap").select("controle", "b", F.round("m", 6).alias("m"))
 
 
 def _se(cell, x, den, where="true"):
@@ -108,7 +109,8 @@ def a15(spark, d):
 @query("a18_conditional_counts", "select event_type, count(*) n, count(*) filter (value < 50) low, min(value) least, round(median(value), 6) mid from events group by event_type")
 def a18(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet")
-    return ev.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 50).alias("low"), F.min("value").alias("least"), F.round(F.median("value"), 6).alias("mid"))
+    facts = ev.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 50).alias("low"), F.min("value").alias("least"))
+    return Q.beside(facts, ["event_type"], Q.quantiles(ev, ["event_type"], "value", {"mid": 0.5})).withColumn("mid", F.round("mid", 6))
 
 
 @query("a19_pivot", WITH + "select censo, sum(peso) filter (status = 'F') f, sum(peso) filter (status = 'O') o, sum(peso) filter (status = 'P') p from persons group by censo")
@@ -120,7 +122,9 @@ def a19(spark, d):
 @query("a20_weighted_means", WITH + ", u as (select segmento, peso, unnest([{'k': 'idade', 'v': idade::double}, {'k': 'renda', 'v': renda}], recursive := true) from persons) select segmento, k, round(sum(peso * v) / sum(peso) filter (v is not null), 6) media, round(median(v), 6) mediana from u group by all")
 def a20(spark, d):
     long = persons(spark, d).selectExpr("segmento", "peso", "stack(2, 'idade', cast(idade as double), 'renda', renda) as (k, v)")
-    return long.groupBy("segmento", "k").agg(F.round(F.sum(F.col("peso") * F.col("v")) / F.sum(F.when(F.col("v").isNotNull(), F.col("peso"))), 6).alias("media"), F.round(F.median("v"), 6).alias("mediana"))
+    mean = F.sum(F.col("peso") * F.col("v")) / F.sum(F.when(F.col("v").isNotNull(), F.col("peso")))
+    means = long.groupBy("segmento", "k").agg(F.round(mean, 6).alias("media"))
+    return Q.beside(means, ["segmento", "k"], Q.quantiles(long, ["segmento", "k"], "v", {"mediana": 0.5})).withColumn("mediana", F.round("mediana", 6))
 
 
 @query("a22_missing_years", WITH + "select y ano from range(1990, 2004) t(y) where y not in (select ano from persons)")
@@ -249,8 +253,8 @@ def flagship(spark, d):
     parts = t.groupBy("mig", "segmento", "controle").agg(F.sum("peso").alias("x"), F.count("*").alias("n"))
     base = t.groupBy("mig", "controle").agg(F.sum("peso").alias("d"))
     cells = parts.groupBy("mig", "segmento").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.count("*").alias("n_dom"))
-    rb = base.join(w, "controle").groupBy("mig", "b").agg(F.sum(F.col("d") * F.col("m")).alias("d"))
-    rx = parts.join(w, "controle").groupBy("mig", "segmento", "b").agg(F.sum(F.col("x") * F.col("m")).alias("x"))
+    rb = E.drawn(base, w, "controle").groupBy("mig", "b").agg(F.sum(F.col("d") * F.col("m")).alias("d"))
+    rx = E.drawn(parts, w, "controle").groupBy("mig", "segmento", "b").agg(F.sum(F.col("x") * F.col("m")).alias("x"))
     grid = rb.join(cells.select("mig", "segmento"), "mig").join(rx, ["mig", "segmento", "b"], "left")
     se = grid.groupBy("mig", "segmento").agg(F.stddev_samp(F.coalesce("x", F.lit(0.0)) / F.col("d")).alias("se"))
     out = cells.join(base.groupBy("mig").agg(F.sum("d").alias("d")), "mig").join(se, ["mig", "segmento"])

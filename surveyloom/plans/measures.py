@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recode as R
 from ..operators import measures as M
+from ..operators.quantiles import quantiles
 from .fixtures import WITH, persons, pixels
 from .registry import query
 
@@ -65,8 +66,9 @@ def r31(spark, d):
 
 @query("r35_stretch", WITH + "select round(quantile_cont(red, 0.02), 6) red_lo, round(quantile_cont(red, 0.98), 6) red_hi, round(quantile_cont(nir, 0.02), 6) nir_lo, round(quantile_cont(nir, 0.98), 6) nir_hi from pixels")
 def r35(spark, d):
-    cuts = {f"{b}_{n}": F.round(F.percentile(b, F.lit(q)), 6) for b in ("red", "nir") for n, q in (("lo", 0.02), ("hi", 0.98))}
-    return pixels(spark, d).agg(*[v.alias(k) for k, v in cuts.items()])
+    cuts = [quantiles(pixels(spark, d), [], b, {f"{b}_lo": 0.02, f"{b}_hi": 0.98}) for b in ("red", "nir")]
+    both = cuts[0].crossJoin(cuts[1])  # a row each
+    return both.select(*[F.round(k, 6).alias(k) for k in both.columns])
 
 
 @query("r36_zone_values", WITH + 'select ("row" // 10)::bigint zr, (col // 10)::bigint zc, year, round(median(nir), 6) mediana, round(avg(nir), 6) media from pixels group by all')

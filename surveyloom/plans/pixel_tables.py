@@ -333,11 +333,15 @@ def r27b(spark, d):
     return M.stratified_sample(rows, "estrato", "k", 50).groupBy("estrato").agg(F.max("size").alias("n_h"), F.count("*").alias("n"))
 
 
-@query("r32_shape", _MASK + """, c as (select year, avg(row) r, avg(col) c, count(*) n from m group by year), e as (select *, lag(r) over (order by year) r0, lag(c) over (order by year) c0 from c)
- select m.year, n, round(sqrt(n / pi()), 6) radius, round(avg(sqrt(pow(row - r, 2) + pow(col - c, 2))), 6) mean_distance, round(quantile_cont(sqrt(pow(row - r, 2) + pow(col - c, 2)), 0.95), 6) p95,
- round(2.0::double / 3 * sqrt(n / pi()) / avg(sqrt(pow(row - r, 2) + pow(col - c, 2))), 6) proximity, round(max(sqrt(pow(r - r0, 2) + pow(c - c0, 2))), 6) shift, round(max((degrees(atan2(c - c0, r0 - r)) + 360) % 360), 4) azimuth from m join e on m.year = e.year group by m.year, n""")
+@query("r32_shape", _MASK + """, o as (select (max(row) + 1) / 2.0::double r0 from m), c as (select year, avg(row) r, avg(col) c, count(*) n from m group by year),
+ f as (select m.year, n, r, c, r0, sqrt(pow(row - r0, 2) + pow(col - 20, 2)) far, sqrt(pow(row - r, 2) + pow(col - c, 2)) own from m join c on c.year = m.year, o)
+ select year, n, round(sqrt(n / pi()), 6) radius, round(avg(far), 6) mean_distance, round(quantile_cont(far, 0.95), 6) p95, round(2.0::double / 3 * sqrt(n / pi()) / avg(own), 6) proximity,
+ round(max(sqrt(pow(r - r0, 2) + pow(c - 20, 2))), 6) shift, round(max((degrees(atan2(c - 20, r0 - r)) + 360) % 360), 4) azimuth from f group by year, n""")
 def r32(spark, d):
-    return P.shape_metrics(mask(spark, d)).select("year", "n", *[F.round(k, 6).alias(k) for k in ("radius", "mean_distance", "p95", "proximity", "shift")], F.round("azimuth", 4).alias("azimuth"))
+    """Distances to a given origin, the middle of the grid."""
+    m = stored(mask(spark, d))
+    out = P.shape_metrics(m, rows_of(m) / 2, 20)
+    return out.select("year", "n", *[F.round(k, 6).alias(k) for k in ("radius", "mean_distance", "p95", "proximity", "shift")], F.round("azimuth", 4).alias("azimuth"))
 
 
 @query("r33_octant_shares", _MASK + """, o as (select (floor(((degrees(atan2(col - 20.25, row - 20.25)) + 360 + 22.5) % 360) / 45))::int octant, case when year <= 1994 then 'ate_1994' when year <= 1997 then '1995_1997' else '1998_mais' end periodo from m),
