@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import recode as R
+from ..sources.storage import stored
 from .graph import components
 
 
@@ -52,15 +57,86 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(ratio)
 
 
+def _letter_pairs(text: str) -> list[str]:
+    """Pairs of letters, each with how often it stood before, so that equal ones are told apart; a single letter is its own."""
+    seen, out = Counter(), []
+    for pair in [text] if len(text) == 1 else map("".join, zip(text, text[1:])):
+        out.append(f"{pair}#{seen[pair]}")
+        seen[pair] += 1
+    return out
+
+
+def _letters(text: str) -> list[str]:
+    return [f"{c}#0" for c in set(text)]
+
+
+def _pieces(text: str) -> set[str]:
+    """The different stretches of four letters."""
+    return {text[i : i + 4] for i in range(len(text) - 3)}
+
+
+def _parts(texts: DataFrame, cut) -> DataFrame:
+    """(first column, part): every part that `cut` makes of the second column's texts."""
+    key = texts.columns[0]
+
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = [list(cut(t)) if t else [] for t in some.column(1).to_pylist()]
+                keys = pa.array(some.column(0).to_pylist(), some.column(0).type).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([p for f in found for p in f], pa.string())], names=[key, "part"])
+
+    return texts.mapInArrow(parts, f"`{key}` {texts.schema[0].dataType.simpleString()}, part string")
+
+
+def _rarest(owned: DataFrame, owner: str, counted: DataFrame, most: Column) -> DataFrame:
+    """(owner, part): of each owner's parts the `most` that the fewest counted ones have."""
+    df = counted.groupBy("part").agg(F.count("*").alias("_df"))
+    order = Window.partitionBy(owner).orderBy(F.coalesce("_df", F.lit(0)), "part")  # an owner's parts
+    return owned.join(df, "part", "left").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(owner, "part")
+
+
+def _candidates(left: DataFrame, right: DataFrame, least: float, coverage: float) -> DataFrame:
+    """Pairs (_a, _b) that may agree: every pair that does is among them.
+
+    Titles at `least` differ by edits that spoil two numbered letter pairs each, so of one more than these, some is shared: the rarest
+    are looked up. A title that holds another has all its letter pairs: the rarest is looked up. If enough words stand in the text,
+    one of any set that is larger than what may be missing does: the longest are looked up by their rarest piece of four letters.
+    """
+    pairs_a, pairs_b = stored(_parts(left.select("_a", "ta"), _letter_pairs)), stored(_parts(right.select("_b", "tb"), _letter_pairs))
+    edits = F.floor(F.col("_n") * ((1 - least) / least) + 1e-9)
+    probes = _rarest(pairs_a.join(left.select("_a", "_n"), "_a"), "_a", pairs_b, 2 * edits + 1)
+    one = _rarest(pairs_b, "_b", pairs_a, F.lit(1))
+    where_a, where_b = left.select("_a", "author", F.explode(F.array(*[F.col("year") + o for o in (-1, 0, 1)])).alias("year")), right.select("_b", "author", "year")
+    # Single letters may stand in any longer title, whose letters are looked at for them.
+    letters_a, letters_b = _parts(left.select("_a", "ta"), _letters), _parts(right.select("_b", "tb"), _letters)
+    single = F.length(F.substring_index("part", "#", 1)) == 1
+    letters_b = letters_b.join(probes.where(single).select("part").distinct(), "part", "left_semi").select("_b", "part")
+    letters_a = letters_a.join(one.where(single).select("part").distinct(), "part", "left_semi").select("_a", "part")
+    by_title = where_a.join(probes, "_a").join(where_b.join(pairs_b.select("_b", "part").unionByName(letters_b).distinct(), "_b"), ["author", "year", "part"]).select("_a", "_b")
+    held = where_b.join(one, "_b").join(where_a.join(pairs_a.select("_a", "part").unionByName(letters_a).distinct(), "_a"), ["author", "year", "part"]).select("_a", "_b")
+    words = F.filter(F.split("ta", " "), lambda w: F.length(w) > 3)
+    longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), F.lit(1), F.floor(F.size(words) * (1 - coverage) + 1e-9).cast("int") + 1)
+    asked = left.select("_a", F.explode(longest).alias("w")).select(F.concat_ws("|", F.col("_a").cast("string"), "w.w").alias("_k"), "_a", "w.w").distinct()
+    asked = stored(asked.select("_k", "_a", "w"))
+    wanted = stored(_parts(asked.select("_k", "w"), _pieces))
+    pieces = stored(_parts(right.select("_b", "text"), _pieces).join(wanted.select("part").distinct(), "part", "left_semi").select("_b", "part"))
+    chosen = _rarest(wanted, "_k", pieces, F.lit(1)).join(asked.select("_k", "_a"), "_k").select("_a", "part").distinct()
+    by_text = where_a.join(chosen, "_a").join(where_b.join(pieces, "_b"), ["author", "year", "part"]).select("_a", "_b")
+    return by_title.unionByName(held).unionByName(by_text).distinct()
+
+
 def verified_pairs(records: DataFrame, found: DataFrame, least: float = 0.8, coverage: float = 0.75) -> DataFrame:
     """Pairs of a record and a found one by the same author, a year apart at most, whose titles agree.
 
-    records: id, author, year, title; found: id, author, year, title, text (normalised). Author and year make the equi-join;
-    titles below `least` pass if the found text holds enough of the record's title.
+    records: id, author, year, title; found: id, author, year, title, text (normalised). Author, year and a rare piece that the
+    two must share make the equi-joins; titles below `least` pass if the found text holds enough of the record's title. Null
+    authors, years and titles agree with nothing (a null text holds nothing).
     """
-    left = records.select(F.col("id").alias("a"), "author", F.explode(F.array(*[F.col("year") + o for o in (-1, 0, 1)])).alias("year"), F.col("title").alias("ta"))
-    right = found.select(F.col("id").alias("b"), "author", "year", F.col("title").alias("tb"), "text")
-    both = left.join(right, ["author", "year"]).where("a <> b")
+    left = stored(records.select(F.monotonically_increasing_id().alias("_a"), F.col("id").alias("a"), "author", "year", F.col("title").alias("ta"), F.length("title").alias("_n")))
+    right = stored(found.select(F.monotonically_increasing_id().alias("_b"), F.col("id").alias("b"), "author", "year", F.col("title").alias("tb"), "text"))
+    both = _candidates(left, right, least, coverage).join(left.select("_a", "a", "ta"), "_a").join(right.select("_b", "b", "tb", "text"), "_b").where("a <> b")
     alike, covered = title_similarity(F.col("ta"), F.col("tb")), F.coalesce(token_coverage(F.col("ta"), F.col("text")), F.lit(0.0))
     scored = both.select("a", "b", alike.alias("similarity"), covered.alias("coverage"))
     return scored.where((F.col("similarity") >= least) | (F.col("coverage") >= coverage)).withColumn("by", F.when(F.col("similarity") >= least, "title").otherwise("text"))
