@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, least_by_hash, table
+from .common import crc32_of_id, least_by_hash, materialise, table
 from .words import U, blocks, mix, seeds, word_names, word_spans
 
 #: Labelled rows of each class that a model is fitted on, at most (the first by a hash of the id).
@@ -48,74 +48,110 @@ def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield n, np.concatenate([row, row[long]]), np.concatenate([sentence, sentence[long]]), index
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each class that hold a feature, of a task's rows; feature -1 counts the documents."""
+    counts = np.zeros((2, FEATURES), np.int64)
+    n_docs = np.zeros(2, np.int64)
     for batch in batches:
-        sentences, indexes = [], []
-        for n, row, sentence, index in _features(batch.column(1)):
-            order = np.argsort(row, kind="stable")
-            cut = np.searchsorted(row[order], np.arange(n + 1))
-            for a, b in zip(cut[:-1], cut[1:]):
-                own = order[a:b]
-                sentences.append(sentence[own] - (sentence[own].min() if b > a else 0))
-                indexes.append(index[own])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sentences, pa.list_(pa.int64())), pa.array(indexes, pa.list_(pa.int64()))], names=["label", "sentence", "feature"])
+        label, at = batch.column(0).to_numpy().astype(np.int64), 0
+        for n, row, _, index in _features(batch.column(1)):
+            once = np.unique(row * FEATURES + index)
+            np.add.at(counts, (label[at + once // FEATURES], once % FEATURES), 1)
+            at += n
+        n_docs += np.bincount(label, minlength=2)
+    y, seen = np.nonzero(counts)
+    columns = [np.concatenate([[0, 1], y]), np.concatenate([[-1, -1], seen]), np.concatenate([n_docs, counts[y, seen]])]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["label", "feature", "n"])
+
+
+def _bags(chosen: np.ndarray):
+    """label, sentences, and (sentence, place in `chosen`, times) of the features kept, as 32-bit integers one after the other."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(FEATURES, -1)
+        place[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            sizes, parts = [], []
+            for n, row, sentence, index in _features(batch.column(1)):
+                order = np.argsort(row, kind="stable")
+                cut = np.searchsorted(row[order], np.arange(n + 1))
+                for a, b in zip(cut[:-1], cut[1:]):
+                    own = order[a:b]
+                    number = sentence[own] - (sentence[own].min() if b > a else 0)
+                    sizes.append(int(number.max()) + 1 if b > a else 1)
+                    kept = place[index[own]] >= 0
+                    pairs, times = np.unique(number[kept] * len(chosen) + place[index[own][kept]], return_counts=True)
+                    parts.append(np.stack([pairs // len(chosen), pairs % len(chosen), times]).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], names=["label", "sentences", "parts"])
+
+    return bags
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit_noisy_or(bags: list[tuple[int, np.ndarray, np.ndarray]], kept: int = KEPT, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights by feature and the bias, by Adam on the noisy-or's log loss (classes weighted equally)."""
-    weights = np.zeros(FEATURES, np.float32)
+def most_telling(seen: np.ndarray, n_docs: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """Features whose shares of documents differ most between the classes; seen: documents by class and feature."""
+    share = (seen + 0.5) / (n_docs[:, None] + 1)
+    spread = (share[1] - share[0]) / np.sqrt(share.sum(axis=0) / n_docs.sum() * 2)
+    return np.argsort(-np.abs(spread), kind="stable")[:kept]
+
+
+def fit_noisy_or(bags: list[tuple[int, int, np.ndarray]], kept: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of `kept` features and the bias, by Adam on the noisy-or's log loss (classes weighted equally).
+
+    bags: label, sentences, and an array of sentences, features and times.
+    """
     label = np.array([b[0] for b in bags], float)
-    if not len(bags) or label.min() == label.max():
-        return weights, -40.0
-    seen = np.zeros((2, FEATURES))
-    for y, _, index in bags:
-        seen[int(y), np.unique(index)] += 1
-    share = (seen + 0.5) / (np.array([[(label == 0).sum()], [(label == 1).sum()]]) + 1)
-    spread = (share[1] - share[0]) / np.sqrt(share.sum(axis=0) / len(bags) * 2)
-    chosen = np.argsort(-np.abs(spread), kind="stable")[:kept]
-    place = np.full(FEATURES, -1)
-    place[chosen] = np.arange(len(chosen))
-    sentence, feature, owner, last = [], [], [], 0
-    for i, (_, own, index) in enumerate(bags):
-        n = int(own.max()) + 1 if len(own) else 1
-        keep = place[index] >= 0
-        sentence.append(own[keep] + last)
-        feature.append(place[index[keep]])
-        owner.append(np.full(n, i))
-        last += n
-    sentence, feature, owner = np.concatenate(sentence), np.concatenate(feature), np.concatenate(owner)
+    sizes = np.array([b[1] for b in bags])
+    first, last = np.append(0, np.cumsum(sizes)[:-1]), int(sizes.sum())
+    sentence = np.concatenate([b[2][0] + at for b, at in zip(bags, first)])
+    feature, times = (np.concatenate([b[2][k] for b in bags]) for k in (1, 2))
+    owner = np.repeat(np.arange(len(bags)), sizes)
     weight = np.where(label == 1, 0.5 / (label == 1).mean(), 0.5 / (label == 0).mean()) / len(bags)
-    theta, bias = np.zeros(len(chosen)), -4.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    theta, bias = np.zeros(kept), -4.0
+    m, v = np.zeros(kept + 1), np.zeros(kept + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, theta[feature], last) + bias
+        z = np.bincount(sentence, theta[feature] * times, last) + bias
         total = np.bincount(owner, _soft(z), len(bags)) + 1e-12
         slope = weight * np.where(label == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0)
         dz = slope[owner] / (1 + np.exp(-z))
-        g = np.append(np.bincount(feature, dz[sentence], len(chosen)) + 1e-5 * theta, dz.sum())
+        g = np.append(np.bincount(feature, dz[sentence] * times, kept) + 1e-5 * theta, dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         theta, bias = theta - step[:-1], bias - step[-1]
-    weights[chosen] = theta
-    return weights, float(bias)
+    return theta.astype(np.float32), float(bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """A model from at most `sample` labelled rows of each class; labels: doc_id, toxic."""
+    """A model from at most `sample` labelled rows of each class; labels: doc_id, toxic.
+
+    Features are counted and chosen before any bag leaves its task; the driver gets counts by feature and, of each sampled document, the
+    chosen features by sentence. Of rows that share an id the least text is taken.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     chosen = None
     for y in (0, 1):
         own = least_by_hash(known.where(F.col("toxic") == y), ["doc_id"], counts.get(y, 0), sample)
         chosen = own if chosen is None else chosen.unionByName(own)
-    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
-    rows = texts.select("toxic", "text").mapInArrow(_bags, "label int, sentence array<bigint>, feature array<bigint>")
-    bags = [(r["label"], np.array(r["sentence"], np.int64), np.array(r["feature"], np.int64)) for r in rows.toArrow().to_pylist()]
-    return fit_noisy_or(bags)
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
+    texts = materialise(joined.groupBy("doc_id").agg(F.first("toxic").cast("long").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
+    held = texts.mapInArrow(_held, "label long, feature long, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    label, feature, n = (held.column(c).to_numpy() for c in ("label", "feature", "n"))
+    n_docs = np.array([n[(feature < 0) & (label == y)].sum() for y in (0, 1)])
+    weights = np.zeros(FEATURES, np.float32)
+    if not n_docs.all():
+        return weights, -40.0
+    seen = np.zeros((2, FEATURES))
+    seen[label[feature >= 0], feature[feature >= 0]] = n[feature >= 0]
+    telling = most_telling(seen, n_docs)
+    rows = texts.mapInArrow(_bags(telling), "label long, sentences long, parts binary").toArrow()
+    bags = sorted(zip(rows.column("label").to_pylist(), rows.column("sentences").to_pylist(), rows.column("parts").to_pylist()))
+    theta, bias = fit_noisy_or([(y, k, np.frombuffer(raw, "<i4").reshape(3, -1).astype(np.int64)) for y, k, raw in bags], len(telling))
+    weights[telling] = theta
+    return weights, bias
 
 
 def _scores(weights: np.ndarray, bias: float):
