@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import beside, quantiles
+from .series import correlation, ranked
 
 
 def ratio_delta(a: Column, se_a: Column, b: Column, se_b: Column) -> tuple[Column, Column]:
@@ -44,6 +45,16 @@ def elasticity(y0: Column, y1: Column, x0: Column, x1: Column) -> Column:
     return F.try_divide(F.ln(F.try_divide(y1, y0)), F.ln(F.try_divide(x1, x0)))
 
 
+def gradients(df: DataFrame, group: list[str], value: str, axis: str, least: int = 5) -> DataFrame:
+    """group, n, slope of the value along the axis and Spearman's rank correlation, over rows that have both; both are null below
+    `least` rows or without spread. Ranks of a group are spread over all tasks."""
+    known = df.where(F.col(value).isNotNull() & F.col(axis).isNotNull()).select(*group, F.col(value).alias("_v"), F.col(axis).alias("_a"))
+    both = ranked(ranked(known, group, "_v", "_rv"), group, "_a", "_ra")
+    out = both.groupBy(*group).agg(F.count("*").alias("n"), F.regr_slope("_v", "_a").alias("slope"), correlation("_rv", "_ra").alias("spearman"))
+    enough = F.col("n") >= least
+    return out.withColumns({"slope": F.when(enough, F.col("slope")), "spearman": F.when(enough, F.col("spearman"))})
+
+
 def inequality(df: DataFrame, group: list[str], value: str, weight: str, least: int = 5) -> DataFrame:
     """Weighted mean, extremes, deciles, CV and P90/P10 of units with a value; groups of fewer than `least` are left out."""
     v = F.col(value)
@@ -68,28 +79,61 @@ def class_breaks(df: DataFrame, col: str, k: int = 5) -> DataFrame:
     return quantiles(df, [], col, cuts).select(F.array(*cuts).alias("breaks"))
 
 
-def oaxaca(df: DataFrame, y: str, x: str, weight: str, group: Column) -> DataFrame:
-    """Three-fold split of a weighted mean gap with one regressor: gap, endowments, coefficients, interaction.
+OAXACA = (
+    "gap double, endowments double, coefficients double, interaction double, pct_explained double, n_a long, n_b long,"
+    " terms array<struct<name: string, mean_a: double, mean_b: double, slope_a: double, slope_b: double, endowment: double>>"
+)
+
 
-    Normal equations need five sums a group, so nothing but ten numbers leaves the aggregation.
+def oaxaca(df: DataFrame, y: str, xs: list[str], weight: str, group: Column) -> DataFrame:
+    """Three-fold split of a weighted mean gap between rows where `group` holds (a) and where it doesn't (b), any list of regressors.
+
+    One row: gap, endowments, coefficients, interaction, percent explained by endowments, rows a side, and a term per regressor.
+    Rows with a null in any of the columns, or without weight, are left out. Normal equations need the weighted sums of products
+    only, (p + 2)(p + 3) / 2 a group in one aggregate; two rows of sums are solved. Split and slopes are null where a group's
+    regressors are collinear or a group is empty.
     """
-    w, a, b = F.col(weight), F.col(x), F.col(y)
-    known = df.where(a.isNotNull() & b.isNotNull() & group.isNotNull()).withColumn("_g", group)
-
-    def stats(g: bool) -> list[Column]:
-        own = [F.when(F.col("_g") == g, e) for e in (w, w * a, w * b, w * a * a, w * a * b)]
-        return [F.sum(e).alias(f"{n}{int(g)}") for n, e in zip(("w", "x", "y", "xx", "xy"), own)]
-
-    s = known.agg(*stats(True), *stats(False))
-    for g in "10":
-        mx, my = F.col(f"x{g}") / F.col(f"w{g}"), F.col(f"y{g}") / F.col(f"w{g}")
-        slope = F.try_divide(F.col(f"xy{g}") / F.col(f"w{g}") - mx * my, F.col(f"xx{g}") / F.col(f"w{g}") - mx * mx)
-        s = s.withColumns({f"mx{g}": mx, f"my{g}": my, f"b{g}": slope}).withColumn(f"a{g}", F.col(f"my{g}") - F.col(f"b{g}") * F.col(f"mx{g}"))
-    return s.select(
-        (F.col("my1") - F.col("my0")).alias("gap"), ((F.col("mx1") - F.col("mx0")) * F.col("b0")).alias("endowments"),
-        (F.col("a1") - F.col("a0") + F.col("mx0") * (F.col("b1") - F.col("b0"))).alias("coefficients"),
-        ((F.col("mx1") - F.col("mx0")) * (F.col("b1") - F.col("b0"))).alias("interaction"),
-    )
+    names = ["_one", *[f"_x{i}" for i in range(len(xs))], "_y"]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    values = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
+    rows = df.select(group.alias("_g"), F.col(weight).cast("double").alias("_w"), *[v.alias(n) for n, v in zip(names, values)]).dropna()
+    sums = [F.sum(F.col("_w") * F.col(names[i]) * F.col(names[j])).alias(f"_s{i}_{j}") for i, j in pairs]
+    gram = rows.where("_w > 0").groupBy("_g").agg(F.count("*").alias("_n"), *sums)  # two rows
+    size, labels = len(names), list(xs)
+
+    def fit(row):
+        import numpy as np
+
+        full = np.zeros((size, size))
+        for i, j in pairs:
+            full[i, j] = full[j, i] = row[f"_s{i}_{j}"]
+        means = full[0] / full[0, 0]
+        spread = full / full[0, 0] - np.outer(means, means)  # moments about the means
+        inner, scale = spread[1:-1, 1:-1], np.sqrt(np.clip(np.diag(spread)[1:-1], 0, None))
+        steady = bool(np.all(scale > 0)) and np.linalg.matrix_rank(inner / np.outer(scale, scale), tol=1e-9) == len(labels)
+        return means, np.linalg.solve(inner, spread[1:-1, -1]) if steady else None
+
+    def split(tables):
+        import pandas as pd
+
+        sides = {bool(r["_g"]): r for table in tables for _, r in table.iterrows() if r["_n"]}
+        out = dict.fromkeys(("gap", "endowments", "coefficients", "interaction", "pct_explained"))
+        out |= {"n_a": int(sides[True]["_n"]) if True in sides else 0, "n_b": int(sides[False]["_n"]) if False in sides else 0, "terms": None}
+        if len(sides) == 2:
+            (ma, sa), (mb, sb) = fit(sides[True]), fit(sides[False])
+            out["gap"] = gap = float(ma[-1] - mb[-1])
+            if sa is not None and sb is not None:
+                apart = ma[1:-1] - mb[1:-1]
+                out["endowments"], out["interaction"] = float(apart @ sb), float(apart @ (sa - sb))
+                out["coefficients"] = gap - out["endowments"] - out["interaction"]
+                out["pct_explained"] = 100 * out["endowments"] / gap if gap else None
+                columns = (labels, ma[1:-1], mb[1:-1], sa, sb, apart * sb)
+                fields = ("name", "mean_a", "mean_b", "slope_a", "slope_b", "endowment")
+                out["terms"] = [dict(zip(fields, (t[0], *map(float, t[1:])))) for t in zip(*columns)]
+        yield pd.DataFrame([out]).astype(object)
+
+    none = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_n"))  # so that a table without rows has an answer too
+    return gram.unionByName(none, allowMissingColumns=True).coalesce(1).mapInPandas(split, OAXACA)  # three rows at most
 
 
 def increasing(breaks: DataFrame, step: float = 1e-6) -> DataFrame:

@@ -8,13 +8,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import stored
+
+
+FEW, STEP = 32, 2  # points of a cell that are compared one by one; levels of halving a round
+
+
+FEW, STEP, DEEPEST = 32, 2, 40  # points of a cell that are compared one by one; halvings a round; halvings at most
+PLACE = ["_g", "_x", "_y"]
+
+
+def _tree(points: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of a tree of square cells over distinct points, and the points by leaf.
+
+    A level: _g, _pi, _pj (the parent), _i, _j, the box of its points and whether it's a leaf, with FEW points or at DEEPEST.
+    """
+    spread = F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))
+    frame = points.groupBy("_g").agg(F.min("_x").alias("_fx"), F.min("_y").alias("_fy"), spread.alias("_side"))
+    zero = F.lit(0).cast("long")
+    at = stored(points.join(frame, "_g").withColumns({c: zero for c in ("_i", "_j", "_pi", "_pj")}))
+    levels, leaves, depth = [], [], 0
+    while True:
+        cells = at.groupBy("_g", "_pi", "_pj", "_i", "_j").agg(F.count("*").alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
+        level = stored(cells.withColumn("_leaf", (F.col("_n") <= FEW) | F.lit(depth >= DEEPEST)).drop("_n"))
+        levels.append(level)
+        told = stored(at.join(level.select("_g", "_i", "_j", "_leaf"), ["_g", "_i", "_j"]))
+        leaves.append(told.where("_leaf").select(*PLACE, "_o", "_i", "_j", F.lit(depth).alias("_l")))
+        if level.where("not _leaf").isEmpty():
+            return levels, reduce(DataFrame.unionByName, leaves)
+        depth += STEP
+        cell = lambda v, start: F.floor((F.col(v) - F.col(start)) / (F.col("_side") / 2**depth)).cast("long")  # noqa: B023, E731
+        at = told.where("not _leaf").drop("_leaf").withColumns({"_pi": F.col("_i"), "_pj": F.col("_j"), "_i": cell("_x", "_fx"), "_j": cell("_y", "_fy")})
+
 
 def nearest_in_group(left: DataFrame, right: DataFrame, group: str, key: str, other: str, x: str, y: str) -> DataFrame:
-    """Each left row's closest right row of the same group (ties by key): group, key, other, distance."""
-    l, r = left.select(group, key, F.col(x).alias("_x0"), F.col(y).alias("_y0")), right.select(group, F.col(other).alias("_o"), F.col(x).alias("_x1"), F.col(y).alias("_y1"))
-    distance = F.sqrt(F.pow(F.col("_x0") - F.col("_x1"), 2) + F.pow(F.col("_y0") - F.col("_y1"), 2))
-    best = F.min(F.struct(distance.alias("distance"), F.col("_o").alias(other)))
-    return l.join(r, group).groupBy(group, key).agg(best.alias("_b")).select(group, key, f"_b.{other}", "_b.distance")
+    """Each left row's closest right row of the same group (ties by key): group, key, other, distance. Exact.
+
+    Left places go down a tree of the right side's cells, two halvings a round. A place keeps the cells that begin no farther away
+    than the far end of the nearest one, so of a large group only a few last cells' points are compared. Equal places are sought
+    and held once. Left rows without a right row in their group, and rows with a null or NaN in group or place, are left out.
+    """
+
+    def placed(df: DataFrame, name: str, own: str) -> DataFrame:
+        rows = df.select(F.col(group).alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(own).alias(name))
+        return rows.where(F.col("_g").isNotNull() & F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+
+    rows = placed(left, "_k", key)
+    levels, leaves = _tree(placed(right, "_o", other).groupBy(*PLACE).agg(F.min("_o").alias("_o")))
+    length = lambda a, b: F.sqrt(F.pow(a, 2) + F.pow(b, 2))
+    away = [F.greatest(F.col(f"{v}0") - F.col(v), F.col(v) - F.col(f"{v}1"), F.lit(0.0)) for v in ("_x", "_y")]
+    across = [F.greatest(F.abs(F.col(v) - F.col(f"{v}0")), F.abs(F.col(v) - F.col(f"{v}1"))) for v in ("_x", "_y")]
+    columns = [*PLACE, "_i", "_j", "_leaf", "_l", "_near", "_far"]
+    kept = None
+    for i, level in enumerate(levels):
+        if kept is None:
+            met, waiting = rows.select(*PLACE).distinct().join(level, "_g"), None
+        else:
+            waiting = kept.where("_leaf")
+            met = kept.where("not _leaf").select(*PLACE, F.col("_i").alias("_pi"), F.col("_j").alias("_pj")).join(level, ["_g", "_pi", "_pj"])
+        met = met.withColumns({"_l": F.lit(i * STEP), "_near": length(*away), "_far": length(*across)}).select(*columns)
+        both = met if waiting is None else waiting.unionByName(met)
+        reach = F.min("_far").over(Window.partitionBy(*PLACE))  # a place's few cells
+        kept = stored(both.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") * (1 + 1e-12)).drop("_reach"))
+    ends = leaves.select("_g", "_l", "_i", "_j", F.col("_x").alias("_rx"), F.col("_y").alias("_ry"), "_o")
+    distance = length(F.col("_x") - F.col("_rx"), F.col("_y") - F.col("_ry"))
+    best = kept.join(ends, ["_g", "_l", "_i", "_j"]).groupBy(*PLACE).agg(F.min(F.struct(distance.alias("d"), F.col("_o").alias("o"))).alias("_b"))
+    nearest = rows.join(best, PLACE).groupBy("_g", "_k").agg(F.min("_b").alias("_b"))  # a key may stand at several places
+    return nearest.select(F.col("_g").alias(group), F.col("_k").alias(key), F.col("_b.o").alias(other), F.col("_b.d").alias("distance"))
 
 
 def interpolate_lookup(df: DataFrame, x: str, knots: list[tuple[float, float]]) -> DataFrame:
@@ -29,20 +89,63 @@ def interpolate_lookup(df: DataFrame, x: str, knots: list[tuple[float, float]])
     return df.withColumns({"value": F.when(F.col(x).isNotNull(), value), "origin": origin})
 
 
-def point_in_zone(points: DataFrame, zones: DataFrame, x: str, y: str, zone: str, ring: str) -> DataFrame:
-    """Points with the zones that hold them. ring: array of (x, y) structs without the closing vertex; edges count by crossing number.
+def _crossings(x: str, y: str, edges: str) -> str:
+    """SQL for the number of edges (x0, y0, x1, y1) that the ray from a point to the right crosses."""
+    return (
+        f"aggregate({edges}, 0, (n, e) -> n + case when (e.y0 > {y}) <> (e.y1 > {y})"
+        f" and {x} < (e.x1 - e.x0) * ({y} - e.y0) / (e.y1 - e.y0) + e.x0 then 1 else 0 end)"
+    )
+
 
-    Candidates meet by unit cells of the zones' boxes, an equi-join that deals by cell, then by crossing number.
+def zone_cover(zones: DataFrame, zone: str, ring: str, depth: int = 6) -> DataFrame:
+    """Square cells that cover each zone: zone, level, cx, cy, edges. A cell of level k has side 2^k.
+
+    Cells start at the size of the zone's box. Those that an edge touches are split `depth` times; those that none touches are
+    inner cells at once, without edges, or dropped. So rows grow with the border, 2^depth times a few, and not with the area. Cells
+    that are still touched keep the whole ring as edges. Rings of fewer than three corners or without area on either axis have none.
     """
     xs, ys = F.col(f"{ring}.x"), F.col(f"{ring}.y")
-    boxed = zones.select(zone, ring, F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"))
-    cells = boxed.withColumn("_cx", F.explode(F.sequence(F.floor("_x0"), F.floor("_x1")))).withColumn("_cy", F.explode(F.sequence(F.floor("_y0"), F.floor("_y1"))))
-    here = points.withColumns({"_cx": F.floor(x), "_cy": F.floor(y)})
-    crossings = F.expr(
-        f"aggregate(sequence(0, size({ring}) - 1), 0, (n, i) -> n + case when ({ring}[i].y > {y}) <> ({ring}[(i + 1) % size({ring})].y > {y})"
-        f" and {x} < ({ring}[(i + 1) % size({ring})].x - {ring}[i].x) * ({y} - {ring}[i].y) / ({ring}[(i + 1) % size({ring})].y - {ring}[i].y) + {ring}[i].x then 1 else 0 end)"
-    )
-    return here.join(cells, ["_cx", "_cy"]).where(crossings % 2 == 1).select(*points.columns, zone)
+    reach = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    flat = F.least(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    edges = F.expr(f"transform(sequence(1, size({ring})), i -> named_struct('x0', {ring}[i - 1].x, 'y0', {ring}[i - 1].y, 'x1', {ring}[i % size({ring})].x, 'y1', {ring}[i % size({ring})].y))")
+    whole = zones.where((F.size(ring) >= 3) & (flat > 0)).select(F.col(zone), edges.alias("_all"), F.ceil(F.log2(reach)).cast("int").alias("level"), *[
+        f(v).alias(n) for n, f, v in (("_x0", F.array_min, xs), ("_x1", F.array_max, xs), ("_y0", F.array_min, ys), ("_y1", F.array_max, ys))
+    ])
+    start = lambda v: F.explode(F.sequence(F.floor(F.col(f"_{v}0") / F.pow(F.lit(2.0), "level")), F.floor(F.col(f"_{v}1") / F.pow(F.lit(2.0), "level"))))
+    cells = whole.withColumn("cx", start("x")).withColumn("cy", start("y")).select(zone, "_all", F.col("_all").alias("_near"), "level", "cx", "cy", F.lit(False).alias("_in"))
+    for _ in range(depth):
+        parts = [F.struct((F.col("level") - 1).alias("level"), (F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)]
+        own = F.array(F.struct("level", "cx", "cy"))
+        cells = cells.select(zone, "_all", "_near", "_in", F.explode(F.when(F.col("_in"), own).otherwise(F.array(*parts))).alias("_c")).select(zone, "_all", "_near", "_in", "_c.*")
+        side = F.pow(F.lit(2.0), "level")
+        boxed = cells.withColumns({"_bx": (F.col("cx") - 1e-6) * side, "_by": (F.col("cy") - 1e-6) * side, "_ex": (F.col("cx") + 1 + 1e-6) * side, "_ey": (F.col("cy") + 1 + 1e-6) * side})
+        sides = ", ".join(f"(e.x1 - e.x0) * ({v} - e.y0) - (e.y1 - e.y0) * ({u} - e.x0)" for u in ("_bx", "_ex") for v in ("_by", "_ey"))
+        touched = F.expr(
+            "filter(_near, e -> least(e.x0, e.x1) <= _ex and greatest(e.x0, e.x1) >= _bx and least(e.y0, e.y1) <= _ey and greatest(e.y0, e.y1) >= _by"
+            f" and least({sides}) <= 0 and greatest({sides}) >= 0)"
+        )
+        middle = F.expr(_crossings("((_bx + _ex) / 2)", "((_by + _ey) / 2)", "_all")) % 2 == 1
+        cells = boxed.withColumn("_near", touched).withColumn("_in", F.col("_in") | ((F.size("_near") == 0) & middle)).where((F.size("_near") > 0) | F.col("_in"))
+        cells = cells.select(zone, "_all", "_near", "level", "cx", "cy", "_in")
+    return cells.select(zone, "level", "cx", "cy", F.when(~F.col("_in"), F.col("_all")).alias("edges"))
+
+
+def point_in_zone(points: DataFrame, zones: DataFrame, x: str, y: str, zone: str, ring: str, depth: int = 6) -> DataFrame:
+    """Points with the zones that hold them. ring: array of (x, y) structs without the closing vertex; edges count by crossing number.
+
+    Points meet the cells of `zone_cover` by an equi-join; crossings are counted only for points in cells on a border. Points with a
+    null or NaN place are in no zone.
+    """
+    cover = stored(zone_cover(zones.select(F.col(zone).alias("_zone"), ring), "_zone", ring, depth))
+    levels = sorted(r["level"] for r in cover.select("level").distinct().collect())  # a few sizes of cells
+    cells = [F.struct(F.lit(k).alias("_k"), F.floor(F.col(x) / 2.0**k).alias("_cx"), F.floor(F.col(y) / 2.0**k).alias("_cy")) for k in levels]
+    if not levels:
+        return points.limit(0).crossJoin(zones.select(zone).limit(0))
+    known = points.where(~F.isnan(x) & ~F.isnan(y))
+    here = known.withColumn("_c", F.explode(F.array(*cells))).select(*[F.col(c) for c in points.columns], "_c.*")
+    found = here.join(cover, (F.col("_k") == F.col("level")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")))
+    inside = F.col("edges").isNull() | (F.expr(_crossings(x, y, "edges")) % 2 == 1)
+    return found.where(inside).select(*[F.col(c) for c in points.columns], F.col("_zone").alias(zone))
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], digest: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.storage import stored
+from .quantiles import beside
 
 
 def change(df: DataFrame, part: list[str], order: str, col: str) -> DataFrame:
@@ -15,10 +16,28 @@ def change(df: DataFrame, part: list[str], order: str, col: str) -> DataFrame:
     return df.withColumns({"diff": F.col(col) - before, "pct": F.try_divide(100 * (F.col(col) - before), before)})
 
 
-def average_rank(col: str, part: list[str]) -> Column:
-    """Rank from 1 with ties averaged; nulls should be left out before."""
-    own = Window.partitionBy(*part)
-    return F.rank().over(own.orderBy(col)) + (F.count("*").over(Window.partitionBy(*part, col)) - 1) / 2
+def ranked(df: DataFrame, part: list[str], col: str, out: str = "rank") -> DataFrame:
+    """df with the rank of `col` inside `part`, from 1 with ties averaged. Rows without a value are left out; null is a group as any.
+
+    Rows are counted by value first. Distinct values are dealt by range over all tasks and written once; the counts ahead of a
+    range (a row per group and range) and those ahead inside it give the rank, which is joined back by value. So no task holds
+    the values of a group.
+    """
+    known = df.where(F.col(col).isNotNull())
+    counts = known.groupBy(*part, col).agg(F.count("*").alias("_n")).repartitionByRange(*part, col)
+    ranges = stored(counts.withColumn("_range", F.spark_partition_id()))
+    totals = ranges.groupBy(*part, "_range").agg(F.sum("_n").alias("_t"))
+    earlier = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(*part, "_range", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_ahead"))
+    inside = F.sum("_n").over(Window.partitionBy(*part, "_range").orderBy(col)) - F.col("_n")
+    placed = beside(ranges.withColumn("_inside", inside), [*part, "_range"], ahead)
+    places = placed.select(*part, col, (F.col("_ahead") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(out))
+    return beside(known, [*part, col], places)
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null where either side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def lagged_correlation(df: DataFrame, part: str, order: str, x: str, y: str, lags: list[int]) -> DataFrame:
@@ -27,8 +46,8 @@ def lagged_correlation(df: DataFrame, part: str, order: str, x: str, y: str, lag
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x")) for k in lags]))
     wide = df.select(part, F.col(y).alias("y"), *[F.lag(x, k).over(over).alias(f"_x{k}") for k in lags])
     pairs = wide.select(part, "y", rows.alias("p")).select(part, "y", "p.lag", "p.x").where("x is not null and y is not null")
-    ranked = pairs.withColumns({"rx": average_rank("x", [part, "lag"]), "ry": average_rank("y", [part, "lag"])})
-    return ranked.groupBy(part, "lag").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    both = ranked(ranked(pairs, [part, "lag"], "x", "rx"), [part, "lag"], "y", "ry")
+    return both.groupBy(part, "lag").agg(F.count("*").alias("n"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"))
 
 
 def runs(df: DataFrame, part: list[str], order: str, condition: Column) -> DataFrame:
@@ -43,18 +62,24 @@ def anchor_pairs(df: DataFrame, part: list[str], order: str, col: str) -> DataFr
     return df.select(*part, F.col(order).alias("t0"), F.lead(order).over(own).alias("t1"), F.col(col).alias("v0"), F.lead(col).over(own).alias("v1")).where("t1 is not null")
 
 
-def geometric_interpolate(spine: DataFrame, part: list[str], order: str, known: str) -> DataFrame:
-    """Values between anchors by constant growth; ends stay null."""
+def geometric_interpolate(spine: DataFrame, part: list[str], order: str, known: str, scale: str | None = None) -> DataFrame:
+    """`value` and its `origin`: observed at anchors, interpolated between them by constant growth, and after the last one extrapolated
+    as the last anchor times `scale` over the scale there (null without a scale, or where the scale at the anchor is 0 or null).
+    Before the first anchor value and origin are null."""
     own = Window.partitionBy(*part).orderBy(order)
     back, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(known).isNotNull(), F.col(order))
     marked = spine.withColumns({
         "_v0": F.last(known, True).over(back), "_t0": F.last(at, True).over(back),
         "_v1": F.first(known, True).over(ahead), "_t1": F.first(at, True).over(ahead),
+        "_s0": F.last(F.when(F.col(known).isNotNull(), F.struct(F.col(scale or order).alias("s"))), True).over(back),
     })
     between = F.col("_v0") * F.pow(F.col("_v1") / F.col("_v0"), (F.col(order) - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
-    value = F.when(F.col("_t0") == F.col("_t1"), F.col(known)).when(F.col("_v0").isNotNull() & F.col("_v1").isNotNull(), between)
-    return marked.withColumn("value", value).drop("_v0", "_t0", "_v1", "_t1")
+    here, inside = F.col("_t0") == F.col("_t1"), F.col("_v0").isNotNull() & F.col("_v1").isNotNull()
+    beyond = F.lit(None).cast("double") if scale is None else F.when(F.col("_v1").isNull(), F.col("_v0") * F.try_divide(F.col(scale), F.col("_s0.s")))
+    value = F.when(here, F.col(known)).when(inside, between).otherwise(beyond)
+    origin = F.when(here, "observed").when(inside, "interpolated").when(beyond.isNotNull(), "extrapolated")
+    return marked.withColumns({"value": value, "origin": origin}).drop("_v0", "_t0", "_v1", "_t1", "_s0")
 
 
 def period_sums(df: DataFrame, part: list[str], order: str, col: str, periods: list[tuple[int, int]]) -> DataFrame:

@@ -47,6 +47,15 @@ def x10(spark, d):
     return out.select("uf_atual", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "cv", "p10", "p50", "p90", "p90_p10")])
 
 
+@query("x10_gradients", WITH + """, k as (select uf_atual, renda v, idade a from persons where renda is not null and idade is not null),
+ r as (select *, rank() over (partition by uf_atual order by v) + (count(*) over (partition by uf_atual, v) - 1) / 2.0 rv, rank() over (partition by uf_atual order by a) + (count(*) over (partition by uf_atual, a) - 1) / 2.0 ra from k)
+ select uf_atual, count(*) n, case when count(*) >= 5 then round(regr_slope(v, a), 6) end slope, case when count(*) >= 5 then round(corr(rv, ra), 6) end spearman from r group by uf_atual""")
+def x10b(spark, d):
+    """Slope and rank correlation of income along an axis, by unit."""
+    out = A.gradients(persons(spark, d), ["uf_atual"], "renda", "idade")
+    return out.select("uf_atual", "n", F.round("slope", 6).alias("slope"), F.round("spearman", 6).alias("spearman"))
+
+
 @query("x13_did", _CUBE + """, m as (select a.unit, a.indicator, a.wave w0, b.wave w1, b.value - a.value d, sqrt(a.se * a.se + b.se * b.se) s from cube a join cube b on a.unit = b.unit and a.indicator = b.indicator join (values (1991, 2000), (2000, 2010), (2010, 2022)) p(w0, w1) on a.wave = p.w0 and b.wave = p.w1)
  select f.indicator, f.w0, f.w1, c.unit control, round(f.d - c.d, 4) did, round(sqrt(f.s * f.s + c.s * c.s), 4) se, abs(f.d - c.d) > 1.96 * sqrt(f.s * f.s + c.s * c.s) significant from m f join m c on f.indicator = c.indicator and f.w0 = c.w0 and f.w1 = c.w1 and f.unit = 'BUILDING' and c.unit in ('MACHINERY', 'FURNITURE')""")
 def x13(spark, d):
@@ -72,8 +81,37 @@ def x20(spark, d):
  s as (select g, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my, sum(w * x * x) / sum(w) mxx, sum(w * x * y) / sum(w) mxy from k group by g), b as (select g, mx, my, (mxy - mx * my) / (mxx - mx * mx) b, my - (mxy - mx * my) / (mxx - mx * mx) * mx a from s)
  select round(u.my - r.my, 4) gap, round((u.mx - r.mx) * r.b, 4) endowments, round(u.a - r.a + r.mx * (u.b - r.b), 4) coefficients, round((u.mx - r.mx) * (u.b - r.b), 4) interaction from b u join b r on u.g and not r.g""")
 def x21(spark, d):
-    out = A.oaxaca(persons(spark, d), "renda", "idade", "peso", F.col("situacao") == "urbana")
-    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
+    out = A.oaxaca(persons(spark, d), "renda", ["idade"], "peso", F.col("situacao") == "urbana")
+    return out.select(*[F.round(c, 4).alias(c) for c in ("gap", "endowments", "coefficients", "interaction")])
+
+
+_THREE = WITH + """, k as (select idade::double a, anos_estudo::double b, tempo_moradia::double c, renda y, peso w, situacao = 'urbana' g from persons),
+ z as (select * from k where a is not null and b is not null and c is not null and y is not null and g is not null),
+ s as (select g, count(*) n, sum(w * a) / sum(w) ma, sum(w * b) / sum(w) mb, sum(w * c) / sum(w) mc, sum(w * y) / sum(w) my,
+  sum(w * a * a) / sum(w) aa, sum(w * a * b) / sum(w) ab, sum(w * a * c) / sum(w) ac, sum(w * b * b) / sum(w) bb, sum(w * b * c) / sum(w) bc, sum(w * c * c) / sum(w) cc,
+  sum(w * a * y) / sum(w) ay, sum(w * b * y) / sum(w) yb, sum(w * c * y) / sum(w) cy from z group by g),
+ v as (select g, n, ma, mb, mc, my, aa - ma * ma p, ab - ma * mb q, ac - ma * mc r, bb - mb * mb t, bc - mb * mc u, cc - mc * mc x, ay - ma * my ya, yb - mb * my yb, cy - mc * my yc from s),
+ dt as (select *, p * (t * x - u * u) - q * (q * x - u * r) + r * (q * u - t * r) det from v),
+ e as (select g, n, ma, mb, mc, my, (ya * (t * x - u * u) - q * (yb * x - u * yc) + r * (yb * u - t * yc)) / det ba,
+  (p * (yb * x - u * yc) - ya * (q * x - u * r) + r * (q * yc - yb * r)) / det bb, (p * (t * yc - yb * u) - q * (q * yc - yb * r) + ya * (q * u - t * r)) / det bc from dt) """
+_SPLIT = _THREE + """, h as (select i.my - j.my gap, (i.ma - j.ma) * j.ba + (i.mb - j.mb) * j.bb + (i.mc - j.mc) * j.bc en,
+  (i.ma - j.ma) * (i.ba - j.ba) + (i.mb - j.mb) * (i.bb - j.bb) + (i.mc - j.mc) * (i.bc - j.bc) it, i.n n_a, j.n n_b from e i join e j on i.g and not j.g) """
+REGRESSORS = ["idade", "anos_estudo", "tempo_moradia"]
+
+
+@query("x21_three_regressors", _SPLIT + "select round(gap, 4) gap, round(en, 4) endowments, round(gap - en - it, 4) coefficients, round(it, 4) interaction, round(100 * en / gap, 3) pct_explained, n_a, n_b from h")
+def x21c(spark, d):
+    out = A.oaxaca(persons(spark, d), "renda", REGRESSORS, "peso", F.col("situacao") == "urbana")
+    return out.select(*[F.round(c, 4).alias(c) for c in ("gap", "endowments", "coefficients", "interaction")], F.round("pct_explained", 3).alias("pct_explained"), "n_a", "n_b")
+
+
+@query("x21_terms", _THREE + """select name, round(mean_a, 6) mean_a, round(slope_a, 6) slope_a, round(slope_b, 6) slope_b from (
+ select 'idade' as name, i.ma mean_a, i.ba slope_a, j.ba slope_b from e i join e j on i.g and not j.g union all
+ select 'anos_estudo', i.mb, i.bb, j.bb from e i join e j on i.g and not j.g union all select 'tempo_moradia', i.mc, i.bc, j.bc from e i join e j on i.g and not j.g)""")
+def x21d(spark, d):
+    """Means and slopes of every regressor in the split."""
+    out = A.oaxaca(persons(spark, d), "renda", REGRESSORS, "peso", F.col("situacao") == "urbana").selectExpr("inline(terms)")
+    return out.select("name", *[F.round(c, 6).alias(c) for c in ("mean_a", "slope_a", "slope_b")])
 
 
 @query("x23_trend", _SERIES + "select nation, round(regr_slope(v, ano), 4) slope, round(regr_intercept(v, ano), 2) intercept from s group by nation")

@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from ..operators import joins as J
 from ..operators import series as S
+from ..sources import versions as V
 from .fixtures import WITH, dwellings, persons
 from .registry import query
 
@@ -71,9 +72,21 @@ def w09(spark, d):
     return S.geometric_interpolate(spine, ["nation"], "ano", "known").select("nation", "ano", F.round("value", 4).alias("value"))
 
 
+@query("w09_extrapolation", _SERIES + """, k as (select nation, ano, n, case when ano in (1994, 1996) then v end known from s),
+ m as (select *, last_value(known ignore nulls) over b v0, last_value(case when known is not null then ano end ignore nulls) over b t0, last_value(case when known is not null then n end ignore nulls) over b n0,
+  first_value(known ignore nulls) over a v1, first_value(case when known is not null then ano end ignore nulls) over a t1 from k
+  window b as (partition by nation order by ano rows between unbounded preceding and current row), a as (partition by nation order by ano rows between current row and unbounded following))
+ select nation, ano, case when t0 = t1 then 'observed' when v0 is not null and v1 is not null then 'interpolated' when v0 is not null then 'extrapolated' end origin,
+  round(case when t0 = t1 then known when v0 is not null and v1 is not null then v0 * pow(v1 / v0, (ano - t0) / (t1 - t0)) when v0 is not null then v0 * n / n0 end, 2) as value from m""")
+def w09b(spark, d):
+    """After the last anchor the value moves with another series, here the counts; each value says where it comes from."""
+    spine = series(spark, d).select("nation", "ano", "n", F.when(F.col("ano").isin(1994, 1996), F.col("v")).alias("known"))
+    return S.geometric_interpolate(spine, ["nation"], "ano", "known", "n").select("nation", "ano", "origin", F.round("value", 2).alias("value"))
+
+
 @query("w10_average_rank", WITH + "select pessoa, rank() over (partition by segmento order by idade) + (count(*) over (partition by segmento, idade) - 1) / 2.0 r from persons where idade is not null")
 def w10(spark, d):
-    return persons(spark, d).where("idade is not null").select("pessoa", S.average_rank("idade", ["segmento"]).alias("r"))
+    return S.ranked(persons(spark, d).select("pessoa", "segmento", "idade"), ["segmento"], "idade", "r").select("pessoa", "r")
 
 
 @query("w12_period_sums", _SERIES + "select nation, t0, t1, round(sum(v), 4) as value from s join (values (1995, 1998), (1998, 2001)) p(t0, t1) on ano > t0 and ano <= t1 group by all")
@@ -113,6 +126,15 @@ def j08(spark, d):
     return J.nearest_in_group(l, r, "g", "k", "o", "x", "y").withColumn("distance", F.round("distance", 6))
 
 
+@query("j08_nearest_order", "with p as (select o_orderkey k, c_mktsegment g, o_orderdate::date - date '1992-01-01' x, o_totalprice / 100 y, o_orderstatus s from orders join customer on o_custkey = c_custkey), l as (select * from p where s = 'P'), r as (select * from p where s = 'F') select g, k, arg_min(o, (d, o)) o, round(min(d), 6) distance from (select l.g, l.k, r.k o, sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) d from l join r on l.g = r.g) group by g, k")
+def j08b(spark, d):
+    """The closest finished order in time and price to each order under way, within five segments."""
+    o, c = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment")
+    p = o.join(c, o.o_custkey == c.c_custkey).selectExpr("o_orderkey as k", "c_mktsegment as g", "cast(datediff(o_orderdate, date'1992-01-01') as double) as x", "o_totalprice / 100 as y", "o_orderstatus as s")
+    left, right = p.where("s = 'P'"), p.where("s = 'F'").withColumnRenamed("k", "o")
+    return J.nearest_in_group(left, right, "g", "k", "o", "x", "y").withColumn("distance", F.round("distance", 6))
+
+
 @query("j10_interpolate_lookup", WITH + "select pessoa, round(case when idade <= 10 then 0.5 when idade <= 40 then 0.5 + (idade - 10) * (0.9 - 0.5) / 30 when idade <= 70 then 0.9 + (idade - 40) * (0.7 - 0.9) / 30 when idade > 70 then 0.7 end::double, 8) as value, case when idade in (10, 40, 70) then 'exact' when idade > 10 and idade < 70 then 'between' when idade is not null then 'outside' end origin from persons")
 def j10(spark, d):
     out = J.interpolate_lookup(persons(spark, d).select("pessoa", "idade"), "idade", [(10, 0.5), (40, 0.9), (70, 0.7)])
@@ -127,6 +149,21 @@ def j12(spark, d):
     return J.point_in_zone(pts, zones, "x", "y", "z", "ring").select("k", "z")
 
 
+# Concave zones, one a nation, that grow with its key and overlap their neighbours.
+_ZONE_X = "n_nationkey * 1.5 + 0.3", "n_nationkey * 1.5 + 9.7", "n_nationkey * 1.5 + 6.1", "n_nationkey * 1.5 + 10.2", "n_nationkey * 1.5 + 0.8", "n_nationkey * 1.5 + 4.4"
+_ZONE_Y = "1.2", "n_nationkey + 2.7", "n_nationkey * 0.5 + 9.1", "n_nationkey + 14.6", "n_nationkey + 12.3", "n_nationkey * 0.5 + 7.7"
+
+
+@query("j12_concave_zones", f"""with z as (select n_nationkey z, [{', '.join(_ZONE_X)}]::double[] xs, [{', '.join(_ZONE_Y)}]::double[] ys from nation),
+ p as (select l_orderkey * 10 + l_linenumber k, l_partkey % 4000 / 100.0 x, l_suppkey * 7 % 400 / 10.0 y from lineitem)
+ select k, z from p, z where list_sum([case when (ys[i] > y) <> (ys[i % 6 + 1] > y) and x < (xs[i % 6 + 1] - xs[i]) * (y - ys[i]) / (ys[i % 6 + 1] - ys[i]) + xs[i] then 1 else 0 end for i in range(1, 7)]) % 2 = 1""")
+def j12b(spark, d):
+    pts = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey * 10 + l_linenumber as k", "l_partkey % 4000 / 100D as x", "l_suppkey * 7 % 400 / 10D as y")
+    corners = ", ".join(f"named_struct('x', cast({x} as double), 'y', cast({y} as double))" for x, y in zip(_ZONE_X, _ZONE_Y))
+    zones = spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey as z", f"array({corners}) as ring")
+    return J.point_in_zone(pts, zones, "x", "y", "z", "ring").select("k", "z")
+
+
 @query("j14_precedence", _SERIES + ", u as (select nation, ano, n, 0 source from s where ano % 3 = 0 union all select nation, ano, n + 1, 1 from s where ano % 2 = 0 union all select nation, ano, n + 2, 2 from s) select nation, ano, n, source::int source from (select *, row_number() over (partition by nation, ano order by source) r from u) where r = 1")
 def j14(spark, d):
     s = series(spark, d).select("nation", "ano", "n")
@@ -147,6 +184,26 @@ def s14(spark, d):
     return J.upsert(c, c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2), ["c_custkey"])
 
 
+@query("s14_stored_upsert", "select c_custkey, case when c_nationkey in (3, 8) and c_custkey % 2 = 0 then c_acctbal * 2 else c_acctbal end c_acctbal, c_nationkey, case when c_nationkey in (3, 8) then 2 else 1 end versao from customer union all select -n_nationkey - 1, 0, n_nationkey, 2 from nation where n_nationkey in (3, 8)")
+def s14b(spark, d):
+    """A stored table whose rows of two nations are upserted: files of the others stay, and each row tells the version of its file."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey")
+    table = V.create(c, V.unused(spark), "c_nationkey")
+    news = c.where("c_nationkey in (3, 8) and c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2)
+    added = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey in (3, 8)").select((-F.col("n_nationkey") - 1).alias("c_custkey"), F.lit(0.0).alias("c_acctbal"), F.col("n_nationkey").alias("c_nationkey"))
+    V.upsert(spark, table, news.unionByName(added), ["c_custkey"])
+    return V.read(spark, table, version="versao").select("c_custkey", "c_acctbal", "c_nationkey", "versao")
+
+
+@query("o06_recomputed_years", _SERIES + "select nation, ano, case when ano in (1995, 1997) then n * 10 else n end n, case when ano in (1995, 1997) then 2 else 1 end versao from s")
+def o06b(spark, d):
+    """Two years of a stored series are computed anew and replaced; the files of the other years are not read or written."""
+    s = series(spark, d).select("nation", "ano", "n")
+    table = V.create(s, V.unused(spark), "ano")
+    V.replace(spark, table, s.where("ano in (1995, 1997)").withColumn("n", F.col("n") * 10))
+    return V.read(spark, table, version="versao").select("nation", "ano", "n", "versao")
+
+
 @query("o01_custom_order", WITH + "select segmento, count(*) n, coalesce(list_position(['BUILDING','MACHINERY'], segmento), 99)::int posicao from persons group by all")
 def o01(spark, d):
     order = spark.createDataFrame([("BUILDING", 1), ("MACHINERY", 2)], "segmento string, posicao int")

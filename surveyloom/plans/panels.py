@@ -202,7 +202,7 @@ def o03(spark, d):
  s as (select g, sum(w) w, sum(w * x) x, sum(w * y) y, sum(w * x * x) xx, sum(w * x * y) xy from k group by g), b as (select *, (w * xy - x * y) / (w * xx - x * x) sl from s)
  select round(a.y / a.w - z.y / z.w, 6) gap, round(100 * (a.x / a.w - z.x / z.w) * z.sl / (a.y / a.w - z.y / z.w), 4) pct from b a, b z where a.g and not z.g""")
 def x21b(spark, d):
-    out = A.oaxaca(persons(spark, d), "renda", "anos_estudo", "peso", c("situacao") == "urbana")
+    out = A.oaxaca(persons(spark, d), "renda", ["anos_estudo"], "peso", c("situacao") == "urbana")
     return out.select(F.round("gap", 6).alias("gap"), F.round(100 * c("endowments") / c("gap"), 4).alias("pct"))
 
 
