@@ -214,6 +214,25 @@ def otsu(df: DataFrame, col: str, bins: int, low: float, high: float) -> DataFra
     return spread.agg(F.min_by("bin", F.struct(-F.col("v"), "bin")).alias("bin")).select(F.lit(low) + (F.col("bin") + 1) * F.lit(width)).toDF("threshold")
 
 
+def strata_accuracy(points: DataFrame, area: DataFrame, stratum: str, reference: str) -> DataFrame:
+    """Per stratum of `area` (stratum, n_h, map): points seen, uncertain ones (a null reference; they are dropped), n, hits, share of the
+    area w, share p of reference positives with its standard error, and the parts of the whole area that are positive and not.
+
+    A stratum without a certain point has no p; one with a single point has no error.
+    """
+    seen = points.groupBy(stratum).agg(F.count("*").alias("seen"), F.count(reference).alias("n"), F.count_if(F.col(reference) == 1).alias("hits"))
+    both = area.join(seen, stratum, "left").fillna(0, ["seen", "n", "hits"])
+    w, p = F.col("n_h") / F.sum("n_h").over(Window.partitionBy()), F.try_divide("hits", "n")  # a row per stratum
+    both = both.withColumns({"uncertain": F.col("seen") - F.col("n"), "w": w, "p": p})
+    return both.withColumns({"se": F.sqrt(F.try_divide(F.col("p") * (1 - F.col("p")), F.col("n") - 1)), "positive": F.col("w") * F.col("p"), "negative": F.col("w") * (1 - F.col("p"))})
+
+
+def confusion_shares(strata: DataFrame) -> DataFrame:
+    """(map, reference, share, points): estimated shares of the area by mapped and reference class, from `strata_accuracy`."""
+    cells = F.array(F.struct(F.lit(True).alias("reference"), F.col("positive").alias("s"), F.col("hits").alias("k")), F.struct(F.lit(False).alias("reference"), F.col("negative").alias("s"), (F.col("n") - F.col("hits")).alias("k")))
+    return strata.select("map", F.explode(cells).alias("c")).groupBy("map", "c.reference").agg(F.sum("c.s").alias("share"), F.sum("c.k").alias("points"))
+
+
 def accuracy(strata: DataFrame, pixel_ha: float) -> DataFrame:
     """Area-weighted accuracy of a two-class map. strata: n_h (area in pixels), map (boolean), n, hits (reference positive).
 

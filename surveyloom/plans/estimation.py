@@ -230,7 +230,7 @@ def d18(spark, d):
     return D.suppress_wide(wide, "n", ["pop"], 40)
 
 
-_AUDIT = ", ".join("('{}', '{}')".format(k, v) for k, v in D.AUDIT_RULES.items())
+_AUDIT = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in D.AUDIT_RULES.items())
 
 
 @query("d19_audit", f"""with h as (select doc_id, text, r rule, unnest(list_distinct(regexp_extract_all(text, p))) as match from documents, (values {_AUDIT}) t(r, p))

@@ -257,6 +257,28 @@ def r28(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("overall", "users", "producers")], *[F.round(c, 4).alias(c) for c in ("area_ha", "half_ha")])
 
 
+_POINTS = """with a as (select lang, count(*) n_h, lang = 'en' map from documents group by lang), q as (select lang, count(*) seen, count(r) n, count(*) filter (r = 1) hits from (select lang, case when toxic = 1 then null else quality end r from labels join documents using (doc_id)) group by lang),
+ st as (select lang, n_h, map, coalesce(seen, 0) seen, coalesce(n, 0) n, coalesce(hits, 0) hits, n_h / sum(n_h) over () w, hits / nullif(n, 0) p from a left join q using (lang)) """
+
+
+def sampled_strata(spark, d):
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), spark.read.parquet(f"{d}/labels.parquet")
+    points = labels.join(docs, "doc_id").withColumn("r", F.when(F.col("toxic") == 1, None).otherwise(F.col("quality")))
+    area = docs.groupBy("lang").agg(F.count("*").alias("n_h"), F.first(F.col("lang") == "en").alias("map"))
+    return P.strata_accuracy(points, area, "lang", "r")
+
+
+@query("r28_strata", _POINTS + "select lang, n_h, map, seen::bigint seen, n::bigint n, hits::bigint hits, (seen - n)::bigint uncertain, round(w, 6) w, round(p, 6) p, round(sqrt(p * (1 - p) / nullif(n - 1, 0)), 6) se, round(w * p, 6) positive, round(w * (1 - p), 6) negative from st")
+def r28b(spark, d):
+    """The sample by stratum: points seen, uncertain ones counted and left out, and what the rest says."""
+    return sampled_strata(spark, d).select("lang", "n_h", "map", "seen", "n", "hits", "uncertain", *[F.round(c, 6).alias(c) for c in ("w", "p", "se", "positive", "negative")])
+
+
+@query("r28_confusion", _POINTS + "select map, true reference, round(sum(w * p), 6) share, sum(hits)::bigint points from st group by map union all select map, false, round(sum(w * (1 - p)), 6), sum(n - hits)::bigint from st group by map")
+def r28c(spark, d):
+    return P.confusion_shares(sampled_strata(spark, d)).withColumn("share", F.round("share", 6))
+
+
 _LABELS = _GRID + """, pos as (select year, row + i as row, col + j as col from grid, range(-1, 2) a(i), range(-1, 2) b(j) where red > 15 group by all having count(*) = 9),
  near as (select distinct year, row + i as row, col + j as col from grid, range(-1, 2) a(i), range(-1, 2) b(j) where red > 38),
  lab as (select year, row, col, 1 label from grid where exists (from pos p where p.year = grid.year and p.row = grid.row and p.col = grid.col)
