@@ -2,7 +2,7 @@
 
 Values are summed by cell and household first; replicate multipliers (Rao-Wu: k - 1 of a stratum's k households drawn
 with replacement, scaled by k / (k - 1)) are drawn by md5, so any engine draws the same. A household shuffles as one row with
-its multipliers in an array; persons only as partial sums by cell and replicate.
+its draws in an array; persons only as partial sums by cell and replicate.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from .quantiles import weighted_quantiles
 
 REPLICATES = 200
 MEDIAN_REPLICATES = 60
+#: Replicates stay below it: what an entry of draws counts by.
+DRAWN = 1 << 16
 
 
 def bootstrap_draws(households: DataFrame, household: str, stratum: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
-    """(household, draws): a row per household with its replicates and multipliers as an array of (b, m); replicates that leave it out aren't in it.
+    """(household, scale, draws): a row per household. An entry of draws is a replicate and how often it draws the household, as
+    `times` * DRAWN + b; replicates that leave it out aren't in it. A multiplier is `times` * scale.
 
     A null stratum is a stratum; a household of several strata is in the largest.
     """
@@ -30,32 +33,47 @@ def bootstrap_draws(households: DataFrame, household: str, stratum: str, replica
     spots = spots.select("_s", "_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_a"), F.sum("_n").over(Window.partitionBy("_s")).alias("_k"))
     inside = F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", household)) - 1
     ranked = one.withColumn("_i", inside).join(spots, ["_s", "_p"]).select(household, "_s", "_k", (F.col("_a") + F.col("_i")).alias("_r"))
-    # The household of rank i makes the i-th draw of every replicate: k - 1 draws a stratum, spread like the households.
+    # The household of rank i makes the i-th draw of every replicate: k - 1 draws a stratum, spread like the households. Its own row
+    # (b = -1) goes to its rank with the draws that hit it, so households and draws are never joined.
+    own = F.lit(-1)
     every = F.sequence(F.lit(0), F.lit(replicates - 1))
     key = F.concat_ws("|", F.lit(str(seed)), "_s", "b", F.col("_r").cast("string"))
     rank = F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), F.col("_k"))
     # A household has many draws: they are spread by number, as few households would be put into one task.
     parts = int(households.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    thrown = ranked.where("_r > 0").repartition(parts, household).select("_s", "_r", "_k", F.explode(every).alias("b")).select("_s", rank.alias("_r"), "b")
-    # Dealt by household once: counts by replicate and the array need no further shuffle.
-    counts = thrown.repartition(parts, "_s", "_r").groupBy("_s", "_r", "b").agg(F.count("*").alias("_c")).groupBy("_s", "_r").agg(F.collect_list(F.struct("b", "_c")).alias("_d"))
-    scale = F.col("_k") / (F.col("_k") - 1)
-    drawn = F.transform("_d", lambda d: F.struct(d["b"].alias("b"), (d["_c"] * scale).alias("m")))
-    alone = F.transform(every, lambda b: F.struct(b.alias("b"), F.lit(1.0).alias("m")))
-    return ranked.join(counts, ["_s", "_r"], "left").select(household, F.when(F.col("_k") == 1, alone).otherwise(drawn).alias("draws")).where("draws is not null")
+    thrown = ranked.repartition(parts, household).select(household, "_s", "_r", "_k", F.explode(F.when(F.col("_r") > 0, F.sequence(own, F.lit(replicates - 1))).otherwise(F.array(own))).alias("b"))
+    mine = F.col("b") < 0
+    thrown = thrown.select(F.when(mine, F.col("_r")).otherwise(rank).alias("_r"), "_s", F.when(~mine, F.col("b")).alias("b"), F.when(mine, F.col(household)).alias(household), F.when(mine, F.col("_k")).alias("_k"))
+    # Ranks come first in the order, as few strata would make all keys look alike.
+    counts = thrown.repartition(parts, "_r", "_s").groupBy("_r", "_s", "b").agg(F.count("*").alias("_c"), F.max(household).alias(household), F.max("_k").alias("_k"))
+    entry = F.when(F.col("b").isNotNull(), F.col("_c") * DRAWN + F.col("b"))
+    hit = counts.groupBy("_r", "_s").agg(F.max(household).alias(household), F.max("_k").alias("_k"), F.collect_list(entry).alias("_d")).where((F.col("_k") == 1) | (F.size("_d") > 0))
+    alone = F.transform(every, lambda b: F.lit(DRAWN).cast("long") + b)
+    scale = F.when(F.col("_k") == 1, 1.0).otherwise(F.col("_k") / (F.col("_k") - 1))
+    return hit.select(household, scale.alias("scale"), F.when(F.col("_k") == 1, alone).otherwise(F.col("_d")).alias("draws"))
+
+
+def _opened(weights: DataFrame, columns: list[str], draws: Column) -> DataFrame:
+    """columns, b and m: a row per entry of draws."""
+    each = weights.select(*columns, "scale", F.explode(draws).alias("_e"))
+    return each.select(*columns, (F.col("_e") % DRAWN).cast("int").alias("b"), (F.floor(F.col("_e") / DRAWN) * F.col("scale")).alias("m"))
 
 
 def bootstrap_weights(households: DataFrame, household: str, stratum: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """(household, b, m): households that a replicate draws, with their multiplier; households not drawn are left out."""
-    return bootstrap_draws(households, household, stratum, replicates, seed).select(household, F.inline("draws"))
+    return _opened(bootstrap_draws(households, household, stratum, replicates, seed), [household], F.col("draws"))
 
 
 def drawn(sums: DataFrame, weights: DataFrame, household: str, replicates: int | None = None) -> DataFrame:
-    """Rows of households once per replicate that draws them, with b and m; weights have a row per household or (b, m) as rows."""
+    """Rows of households once per replicate that draws them, with b and m; weights have a row per household or (b, m) as rows.
+
+    Sizes of arrays and of rows made from them aren't known to the planner, which would broadcast them from the driver: weights are
+    always merged.
+    """
     if "draws" in weights.columns:
-        kept = F.col("draws") if replicates is None else F.filter("draws", lambda d: d["b"] < replicates)
-        return sums.join(weights, household).select(*sums.columns, F.inline(kept))
-    return sums.join(weights if replicates is None else weights.where(F.col("b") < replicates), household)
+        kept = F.col("draws") if replicates is None else F.filter("draws", lambda e: e % DRAWN < replicates)
+        return _opened(sums.join(weights.hint("merge"), household), sums.columns, kept)
+    return sums.join((weights if replicates is None else weights.where(F.col("b") < replicates)).hint("merge"), household)
 
 
 def household_sums(df: DataFrame, cell: list[str], household: str, weight: str, numerator: Column, denominator: Column) -> DataFrame:
