@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .quantiles import weighted_quantiles
+from ..sources.storage import stored
+from .quantiles import beside, bin_of, bounded, first_reaching, weighted_quantiles
 
 REPLICATES = 200
 MEDIAN_REPLICATES = 60
@@ -114,11 +115,35 @@ def weighted_median(df: DataFrame, cell: list[str], weight: str, y: str, q: floa
     return weighted_quantiles(df, cell, weight, y, {"value": q})
 
 
+def _replicate_medians(known: DataFrame, weights: DataFrame, cell: list[str], household: str, replicates: int) -> DataFrame:
+    """cell, b and value: the weighted median of each replicate. known: cell, household, _y double, _w1.
+
+    All replicates of a cell share the first range, so its bins are summed from rows on their way. Only rows between the least and the largest
+    value of the bins that hold a median are kept by replicate and searched further.
+    """
+    known = stored(known)
+    ends = known.groupBy(*cell).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
+    binned = beside(known, cell, ends).withColumn("_b", F.when(F.col("_lo") < F.col("_hi"), bin_of()).otherwise(0)).select(*cell, household, "_b", "_y", "_w1")
+    weighted = F.col("_w1") * F.col("m")
+    sums = drawn(binned, weights, household, replicates).groupBy(*cell, "b", "_b").agg(F.sum(weighted).alias("_s"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
+    own = Window.partitionBy(*cell, "b")  # bins
+    running = sums.withColumns({"_c": F.sum("_s").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)), "_t": (0.5 - 1e-9) * F.sum("_s").over(own)})
+    step = F.min(F.struct("_b", "_lo", "_hi", (F.col("_c") - F.col("_s")).alias("_base"), "_t")).alias("_m")
+    targets = running.where((F.col("_t") > 0) & (F.col("_c") >= F.col("_t"))).groupBy(*cell, "b").agg(step)
+    targets = stored(targets.select(*cell, "b", F.lit(0).alias("i"), "_m._t", "_m._base", "_m._lo", "_m._hi"))
+    span = targets.groupBy(*cell).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    near = beside(known, cell, span).where(F.col("_y").between(F.col("_lo"), F.col("_hi"))).select(*known.columns)
+    rows = stored(drawn(near, weights, household, replicates).select(*cell, "b", "_y", weighted.alias("_w")))
+    return first_reaching(rows, [*cell, "b"], targets).drop("i")
+
+
 def median_with_se(df, weights, cell, household, weight, y, replicates: int = MEDIAN_REPLICATES):
-    known = df.where(F.col(y).isNotNull()).groupBy(*cell, household, y).agg(F.sum(weight).alias("_w1"))
-    spread = drawn(known, weights, household, replicates).withColumn("_wm", F.col("_w1") * F.col("m"))
-    se = weighted_median(spread, [*cell, "b"], "_wm", y).groupBy(*cell).agg(F.stddev_samp("value").alias("se"))
-    return weighted_median(df, cell, weight, y).join(se, cell, "left")
+    known = df.select(*cell, household, bounded(F.col(y)).alias("_y"), F.col(weight).alias("_w1")).where("_y is not null and _w1 is not null")
+    known = known.groupBy(*cell, household, "_y").agg(F.sum("_w1").alias("_w1"))
+    if "draws" in weights.columns:  # read twice
+        weights = stored(weights.withColumn("draws", F.filter("draws", lambda e: e % DRAWN < replicates)))
+    se = _replicate_medians(known, weights, cell, household, replicates).groupBy(*cell).agg(F.stddev_samp("value").alias("se"))
+    return beside(weighted_median(df, cell, weight, y), cell, se)
 
 
 def sample_counts(df: DataFrame, cell: list[str], household: str) -> DataFrame:

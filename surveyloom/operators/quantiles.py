@@ -26,18 +26,19 @@ def _same(left: str, right: str, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def _bin() -> Column:
+def bin_of() -> Column:
     """The bin of a value in [_lo, _hi]; halves, so that the difference of far apart doubles stays finite."""
     share = (F.col("_y") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
     return F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")
 
 
 def first_reaching(rows: DataFrame, cell: list[str], targets: DataFrame) -> DataFrame:
-    """(cell, i, value): the first value at which the weight so far is `_t` or more. rows: cell, _y double, _w; targets: cell, i, _t, _lo, _hi.
+    """(cell, i, value): the first value at which the weight so far is `_t` or more. rows: cell, _y double, _w; targets: cell, i, _t, _lo, _hi, and _base or not.
 
-    _lo and _hi: a range that holds the target's value, with `_base` of weight below it (none at first). Targets are few a cell.
+    _lo and _hi: a range that holds the target's value, with `_base` of weight below it (none if not given). Targets are few a cell.
     """
-    targets = stored(targets.select(*cell, "i", "_t", F.lit(0.0).alias("_base"), "_lo", "_hi"))
+    base = F.col("_base") if "_base" in targets.columns else F.lit(0.0).alias("_base")
+    targets = stored(targets.select(*cell, "i", "_t", base, "_lo", "_hi"))
     found = []
     while True:
         found.append(targets.where("_lo = _hi").select(*cell, "i", F.col("_lo").alias("value")))
@@ -49,7 +50,7 @@ def first_reaching(rows: DataFrame, cell: list[str], targets: DataFrame) -> Data
         inside = (F.col("v._y") >= F.col("r._lo")) & (F.col("v._y") <= F.col("r._hi"))
         condition = _same("v", "r", cell) & inside if cell else inside
         held = rows.alias("v").join((F.broadcast(ranges) if n <= BROADCAST else ranges).alias("r"), condition).select(*[f"v.{c}" for c in cell], "_lo", "_hi", "_y", "_w")
-        bins = held.groupBy(*cell, "_lo", "_hi", _bin().alias("_b")).agg(F.sum("_w").alias("_s"), F.min("_y").alias("_from"), F.max("_y").alias("_to"))
+        bins = held.groupBy(*cell, "_lo", "_hi", bin_of().alias("_b")).agg(F.sum("_w").alias("_s"), F.min("_y").alias("_from"), F.max("_y").alias("_to"))
         own = Window.partitionBy(*cell, "_lo", "_hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # PARTS rows at most
         running = bins.withColumn("_c", F.sum("_s").over(own)).withColumn("_last", F.lead("_b").over(Window.partitionBy(*cell, "_lo", "_hi").orderBy("_b")).isNull())
         both = open_.alias("t").join(running.alias("s"), _same("t", "s", [*cell, "_lo", "_hi"]))
@@ -63,10 +64,14 @@ def first_reaching(rows: DataFrame, cell: list[str], targets: DataFrame) -> Data
     return reduce(DataFrame.unionByName, found)
 
 
+def bounded(value: Column) -> Column:
+    """The value as a double; null for NaN, the largest doubles for infinite ones."""
+    number, edge = value.cast("double"), F.lit(1.7976931348623157e308)
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.least(number, edge), -edge))
+
+
 def _rows(df: DataFrame, cell: list[str], value: Column, weight: Column) -> DataFrame:
-    kept = df.select(*cell, value.cast("double").alias("_y"), weight.alias("_w")).where(F.col("_y").isNotNull() & ~F.isnan("_y"))
-    edge = F.lit(1.7976931348623157e308)
-    return stored(kept.withColumn("_y", F.greatest(F.least("_y", edge), -edge)))
+    return stored(df.select(*cell, bounded(value).alias("_y"), weight.alias("_w")).where("_y is not null"))
 
 
 def _spread(found: DataFrame, cell: list[str], names: list[str]) -> DataFrame:
