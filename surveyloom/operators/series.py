@@ -21,9 +21,9 @@ def ranked(df: DataFrame, part: list[str], col: str, out: str = "rank") -> DataF
 
     Rows are counted by value first. Distinct values are dealt by range over all tasks and written once; the counts ahead of a
     range (a row per group and range) and those ahead inside it give the rank, which is joined back by value. So no task holds
-    the values of a group.
+    the values of a group. Rows are written first: sums of doubles computed anew may end in other digits and not meet their rank.
     """
-    known = df.where(F.col(col).isNotNull())
+    known = stored(df.where(F.col(col).isNotNull()))
     counts = known.groupBy(*part, col).agg(F.count("*").alias("_n")).repartitionByRange(*part, col)
     ranges = stored(counts.withColumn("_range", F.spark_partition_id()))
     totals = ranges.groupBy(*part, "_range").agg(F.sum("_n").alias("_t"))
