@@ -169,12 +169,13 @@ def small_and_near(patched: DataFrame, core: DataFrame, reach: float, most: int)
 def mining_mask(mask: DataFrame, concessions: DataFrame, urban: DataFrame, radius: int, reach: int) -> DataFrame:
     """(row, col): mining seen in any year, widened by `radius`, with concession places within `reach` of it, without urban places."""
     def flat(df):
-        return df.select(F.lit(0).alias("year"), "row", "col").distinct()
+        return df.select(F.lit(0).alias("year"), "row", "col")
 
-    seen = flat(mask)
-    wide = dilate(seen, radius, disc=True)
-    close = flat(concessions).join(dilate(seen, reach, disc=True), PLACE, "left_semi")
-    return wide.unionByName(close).distinct().join(flat(urban), PLACE, "left_anti").select("row", "col")
+    def each(seen, conceded, built):
+        d2 = raster.squared_distances(seen, max(radius, reach))
+        return ((d2 <= radius * radius) | (conceded & (d2 <= reach * reach))) & ~built
+
+    return raster.combined([flat(mask), flat(concessions), flat(urban)], max(radius, reach), each).select("row", "col")
 
 
 def fuller_composite(obs: DataFrame, bands: list[str], least: int = 2, last: int = 1990) -> DataFrame:

@@ -10,6 +10,8 @@ iteration carries runs; sizes and distances are interval arithmetic.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -96,6 +98,41 @@ def depths(mask: DataFrame, reach: int, disc: bool = True) -> DataFrame:
     return _on_tiles(mask, reach, each, "year int, row int, col int, d2 long")
 
 
+def near(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Cells within `reach` (a disc) of the mask's."""
+    return squared_distances(mask, reach) <= reach * reach
+
+
+def deep(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Cells of the mask farther than `reach` from all outside it."""
+    return squared_distances(~mask, reach) > reach * reach
+
+
+def combined(layers: list[DataFrame], reach: int, each) -> DataFrame:
+    """(year, row, col): places where each(dense layers of a tile with its margin) holds; the layers' places alone are shuffled.
+
+    `reach` is how far from a place its outcome depends on the layers: of steps one after the other, the sum of their reaches.
+    """
+    side = _side(reach)
+    own = [df.select(*[F.col(c).cast("int").alias(c) for c in PLACE], F.lit(i).alias("_layer")).distinct() for i, df in enumerate(layers)]
+    placed = reduce(DataFrame.unionByName, own).withColumn("_tr", F.explode(_tiles_of("row", reach, side))).withColumn("_tc", F.explode(_tiles_of("col", reach, side)))
+
+    def tile(table: pa.Table) -> pa.Table:
+        year, top, left = (table.column(c)[0].as_py() for c in ("year", "_tr", "_tc"))
+        dense = np.zeros((count, side + 2 * reach, side + 2 * reach), bool)
+        at = [table.column(c).to_numpy() for c in ("_layer", "row", "col")]
+        dense[at[0], at[1] - top * side + reach, at[2] - left * side + reach] = True
+        rows, cols = np.nonzero(each(*dense)[reach : side + reach, reach : side + reach])
+        columns = [np.full(len(rows), year), rows + top * side, cols + left * side]
+        return pa.Table.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=PLACE)
+
+    count = len(layers)
+    # Sparse layers are few bytes, but each tile is work: partitions by number aren't put together by their size.
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = placed.repartition(parts, "year", "_tr", "_tc")
+    return spread.groupBy("year", "_tr", "_tc").applyInArrow(tile, "year int, row int, col int")
+
+
 def runs(mask: DataFrame, *keep: str, side: int = TILE) -> DataFrame:
     """(year, row, first, last, keep...): stretches of places of a row with equal `keep`, cut at multiples of `side`; repeats are fine."""
     part = [F.col("year"), F.col("row"), F.floor(F.col("col") / side).cast("int"), *map(F.col, keep)]

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from surveyloom.operators import estimate, series
+from surveyloom.operators import estimate, pixels, raster, series
 from surveyloom.plans import registry
 
 
@@ -30,3 +30,20 @@ def test_overlay_of_part_numbers_above_a_million(spark, tmp_path):
     spark.createDataFrame([(7, "s")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {r["id"]: r["slug"] for r in registry.QUERIES["b08_overlay"](spark, str(tmp_path)).collect()}
     assert got == {2: "slug-2", 3: None, 1000002: None, 1000007: None}
+
+
+def test_steps_in_one_tile_shuffle_the_layers_alone(spark):
+    pick = random.Random(3)
+    seeds, holes = ([(0, pick.randrange(-20, 600), pick.randrange(600)) for _ in range(n)] for n in (60, 20))
+    a, b = (spark.createDataFrame(x, "year int, row int, col int") for x in (seeds, holes))
+    one = raster.combined([a, b], 9 + 4 + 4, lambda s, h: raster.near(raster.deep(raster.near(s, 9) & ~raster.near(h, 2), 4), 4))
+    steps = pixels.dilate(pixels.erode(pixels.dilate(a, 9, True).join(pixels.dilate(b, 2, True), raster.PLACE, "left_anti"), 4, True), 4, True)
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in steps.collect()}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_mining_mask_joins_no_widened_places(spark):
+    a = spark.createDataFrame([(0, 5, 5)], "year int, row int, col int")
+    out = pixels.mining_mask(a, a, a.where("false"), 1, 2)
+    assert out.count() == 5 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
