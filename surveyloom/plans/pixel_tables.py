@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from ..operators import classify as C
 from ..operators import measures as M
 from ..operators import pixels as P
+from ..operators import raster
 from ..sources.storage import stored
 from .fixtures import COLS, WITH, pixels, rows_of
 from .registry import query
@@ -215,9 +216,8 @@ def r26b(spark, d):
 def r12d(spark, d):
     """Opening with a disc of 1 km of blobs with holes; places of each block."""
     g = stored(grid(spark, d).withColumn("year", F.lit(0)))
-    blobs = P.dilate(spread(g.where("red > 48")), 40, disc=True)
-    holes = P.dilate(spread(g.where("nir > 85"), 4).withColumn("row", F.col("row") + 11), 5, disc=True)
-    out = P.dilate(P.erode(blobs.join(holes, P.PLACE, "left_anti"), 33, disc=True), 33, disc=True)
+    seeds, holes = spread(g.where("red > 48")), spread(g.where("nir > 85"), 4).withColumn("row", F.col("row") + 11)
+    out = raster.combined([seeds, holes], 40 + 33 + 33, lambda s, h: raster.near(raster.deep(raster.near(s, 40) & ~raster.near(h, 5), 33), 33))
     return out.groupBy(F.floor(F.col("row") / APART).cast("int").alias("br"), F.floor(F.col("col") / APART).cast("int").alias("bc")).agg(F.count("*").alias("n"))
 
 
