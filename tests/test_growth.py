@@ -47,3 +47,12 @@ def test_mining_mask_joins_no_widened_places(spark):
     a = spark.createDataFrame([(0, 5, 5)], "year int, row int, col int")
     out = pixels.mining_mask(a, a, a.where("false"), 1, 2)
     assert out.count() == 5 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inverted_index_shuffles_texts_once(spark, tmp_path):
+    registry.load()
+    spark.createDataFrame([(1, "b a  b"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["f05_inverted_index"](spark, str(tmp_path))
+    got = {r["doc_id"]: r["texto"] for r in out.collect()}
+    assert got[1] == "b a b" and set(got) == {1, 2, 3}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1 and out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
