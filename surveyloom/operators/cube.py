@@ -133,11 +133,28 @@ def _rows(est: DataFrame, statistic: str, universe: str, dim1: str | None, dim2:
 
 
 def build(micro: DataFrame, weights: DataFrame, spec: Spec) -> DataFrame:
-    """The cube: KEYS, valor, ep, cv, 95 % interval, precision class and bands of persons and households."""
+    """The cube: KEYS, valor, ep, cv, 95 % interval, precision class and bands of persons and households.
+
+    Sums of all tables are asked for first and made in one pass, where a household meets its draws once.
+    """
     h, w = spec.household, spec.weight
     sliced, weights = stored(slices(micro, spec)), stored(weights)  # read by every table of the cube
-    base_group, out = ["censo", "geografia"], []
-    bases = {}
+    base_group = ["censo", "geografia"]
+    cell = ["_t", *base_group, "cat1", "cat2"]
+    asked, later = [], []
+
+    def ask(rows: DataFrame, group: list[str], x: Column, d: Column | None = None) -> int:
+        """The number of a table of sums: its rows are summed by `group`."""
+        names = [F.col(c) if c in group else F.lit(None).cast("string").alias(c) for c in ("cat1", "cat2")]
+        asked.append(rows.select(F.lit(len(asked)).alias("_t"), *base_group, *names, h, x.cast("double").alias("_x"), (F.lit(0.0) if d is None else d.cast("double")).alias("_d")))
+        return len(asked) - 1
+
+    def count_rows(of, counts, group, universe, dim1, dim2):
+        later.append(lambda sums: _rows(
+            E.with_se(sums(of, group), group, True).join(counts, group), "contagem", universe, dim1, dim2, R.round_to(F.col("value")), F.round("se", 1)
+        ))
+
+    bases, whole = {}, {}
     for u in spec.universes:
         inside = sliced.where(F.col(f"u_{u}"))
         size = inside.groupBy(*base_group).agg(
@@ -147,32 +164,36 @@ def build(micro: DataFrame, weights: DataFrame, spec: Spec) -> DataFrame:
         good = D.differencing(size, F.col("censo")).where(D.meets(F.col("censo"), F.col("n"), F.col("n_dom")) & F.col("safe"))
         bases[u] = stored(good.select(*base_group, "n", "n_dom"))
         own = inside.where("not rest").join(bases[u].select(base_group), base_group)
-        est = E.total(own, weights, base_group, h, w).join(bases[u], base_group)
-        out.append(_rows(est, "contagem", u, None, None, R.round_to(F.col("value")), F.round("se", 1)))
+        whole[u] = ask(own, base_group, F.col(w))
+        count_rows(whole[u], bases[u], base_group, u, None, None)
 
-    def emit(rows: DataFrame, cells: DataFrame, group: list[str], universe: str, dim1: str, dim2: str | None) -> None:
-        """Counts and percentages of shown cells. rows: records of the base (rest left out) with their labels; `group` names the base."""
+    def emit(rows: DataFrame, cells: DataFrame, group: list[str], base: int, universe: str, dim1: str, dim2: str | None) -> None:
+        """Counts and percentages of shown cells. rows: records of the base (rest left out) with their labels; `group` names the base, whose sums are `base`."""
         own = "cat2" if dim2 else "cat1"
-        column = spec.dimensions[dim2 or dim1].column
-        named = labelled(rows, cells, group, column, own)
+        named = labelled(rows, cells, group, spec.dimensions[dim2 or dim1].column, own)
         counts = cells.select(*group, F.col("cat").alias(own), "n", "n_dom")
-        est = E.total(named, weights, [*group, own], h, w).join(counts, [*group, own])
-        out.append(_rows(est, "contagem", universe, dim1, dim2, R.round_to(F.col("value")), F.round("se", 1)))
-        # The base's households count against each cell, whether they are in it or not.
-        top = named.groupBy(*group, own, h).agg(F.sum(w).alias("_x"))
-        bottom = rows.groupBy(*group, h).agg(F.sum(w).alias("_d"))
-        share = E.drawn(bottom, weights, h).groupBy(*group, "b").agg(F.sum(F.col("_d") * F.col("m")).alias("_d"))
-        part = E.drawn(top, weights, h).groupBy(*group, own, "b").agg(F.sum(F.col("_x") * F.col("m")).alias("_x"))
-        spread = share.join(counts.select(*group, own), group).join(part, [*group, own, "b"], "left").groupBy(*group, own).agg(F.stddev_samp(100 * F.coalesce("_x", F.lit(0.0)) / F.col("_d")).alias("se"))
-        point = top.groupBy(*group, own).agg(F.sum("_x").alias("_x")).join(bottom.groupBy(*group).agg(F.sum("_d").alias("_d")), group)
-        pct = point.select(*group, own, R.percent(F.col("_x"), F.col("_d"), 2).alias("value")).join(spread, [*group, own]).join(counts, [*group, own])
-        out.append(_rows(pct, "proporcao", universe, dim1, dim2, F.col("value"), F.round("se", 2)))
+        each = [*group, own]
+        top = ask(named, each, F.col(w))
+        count_rows(top, counts, each, universe, dim1, dim2)
+
+        def percent(sums):
+            # The base's households count against each cell, whether they are in it or not.
+            bottom = sums(base, group).select(*group, "b", F.col("_x").alias("_d")).where("_d is not null")
+            part = sums(top, each).select(*each, "b", "_x")
+            both = bottom.join(counts.select(each), group).join(part, [*each, "b"], "left")
+            pct = both.groupBy(*each).agg(
+                F.max(F.when(F.col("b") < 0, R.percent(F.col("_x"), F.col("_d"), 2))).alias("value"),
+                F.stddev_samp(F.when(F.col("b") >= 0, 100 * F.coalesce("_x", F.lit(0.0)) / F.col("_d"))).alias("se"),
+            )
+            return _rows(pct.join(counts, each), "proporcao", universe, dim1, dim2, F.col("value"), F.round("se", 2))
+
+        later.append(percent)
 
     shown = {}
     for name, dim in spec.dimensions.items():
         rows = sliced.where(F.col(f"u_{dim.universe}")).join(bases[dim.universe].select(base_group), base_group)
         shown[name] = stored(shown_cells(rows, base_group, dim, h))
-        emit(rows.where("not rest"), shown[name], base_group, dim.universe, name, None)
+        emit(rows.where("not rest"), shown[name], base_group, whole[dim.universe], dim.universe, name, None)
     for name1, name2 in spec.crossings:
         one, two = spec.dimensions[name1], spec.dimensions[name2]
         universe = crossing_universe(one, two)
@@ -182,9 +203,10 @@ def build(micro: DataFrame, weights: DataFrame, spec: Spec) -> DataFrame:
         group = [*base_group, "cat1"]
         cells = stored(shown_cells(rows, group, two, h))
         own = rows.where("not rest")
-        totals = E.total(own, weights, group, h, w).join(first.select(*base_group, F.col("cat").alias("cat1"), "n", "n_dom"), group)
-        out.append(_rows(totals, "contagem", universe, name1, None, R.round_to(F.col("value")), F.round("se", 1)))
-        emit(own, cells, group, universe, name1, name2)
+        totals = ask(own, group, F.col(w))
+        count_rows(totals, first.select(*base_group, F.col("cat").alias("cat1"), "n", "n_dom"), group, universe, name1, None)
+        emit(own, cells, group, totals, universe, name1, name2)
+    medians = []
     for variable, universe, name in spec.means:
         rows = sliced.where(F.col(f"u_{universe}") & F.col(variable).isNotNull()).join(bases[universe].select(base_group), base_group)
         group = base_group
@@ -199,12 +221,19 @@ def build(micro: DataFrame, weights: DataFrame, spec: Spec) -> DataFrame:
             cells = stored(shown_cells(rows, base_group, dim, h))
             group, own = [*base_group, "cat1"], labelled(rows.where("not rest"), cells, base_group, dim.column, "cat1")
             counts = cells.select(*base_group, F.col("cat").alias("cat1"), "n", "n_dom")
-        est = E.mean(own, weights, group, h, w, variable).join(counts, group)
-        out.append(_rows(est, "media", universe, name, None, F.round("value", 2), F.round("se", 2), variable))
+        mean = ask(own, group, F.col(w) * F.col(variable), F.col(w))
+        later.append(lambda sums, mean=mean, group=group, counts=counts, universe=universe, name=name, variable=variable: _rows(
+            E.with_se(sums(mean, group), group).join(counts, group), "media", universe, name, None, F.round("value", 2), F.round("se", 2), variable
+        ))
         if variable.startswith("renda"):
             mid = E.median_with_se(own, weights, group, h, w, variable).join(counts, group)
-            out.append(_rows(mid, "mediana", universe, name, None, F.round("value", 2), F.round("se", 2), variable))
-    return distinct_margins(_finished(reduce(DataFrame.unionByName, out)))
+            medians.append(_rows(mid, "mediana", universe, name, None, F.round("value", 2), F.round("se", 2), variable))
+    replicates = stored(E.replicate_sums(reduce(DataFrame.unionByName, asked), weights, cell, h))
+
+    def sums(table: int, group: list[str]) -> DataFrame:
+        return replicates.where(F.col("_t") == table).select(*group, "b", "_x", "_d")
+
+    return distinct_margins(_finished(reduce(DataFrame.unionByName, [make(sums) for make in later] + medians)))
 
 
 def distinct_margins(cube: DataFrame) -> DataFrame:

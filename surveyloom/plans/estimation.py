@@ -249,13 +249,12 @@ def d19(spark, d):
 def flagship(spark, d):
     """Share of each segment among migrants and others, with bootstrap errors; only publishable cells."""
     t = typed(spark, d).where("tipo is not null").withColumn("mig", F.when(F.col("tipo") == "nao_migrante", "nao").otherwise("sim"))
-    w = stored(weights(spark, d))  # read twice
-    parts = t.groupBy("mig", "segmento", "controle").agg(F.sum("peso").alias("x"), F.count("*").alias("n"))
-    base = t.groupBy("mig", "controle").agg(F.sum("peso").alias("d"))
+    parts = stored(t.groupBy("mig", "segmento", "controle").agg(F.sum("peso").alias("x"), F.count("*").alias("n")))
     cells = parts.groupBy("mig", "segmento").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.count("*").alias("n_dom"))
-    rb = E.drawn(base, w, "controle").groupBy("mig", "b").agg(F.sum(F.col("d") * F.col("m")).alias("d"))
-    rx = E.drawn(parts, w, "controle").groupBy("mig", "segmento", "b").agg(F.sum(F.col("x") * F.col("m")).alias("x"))
+    sums = E.replicate_sums(parts.select("mig", "segmento", "controle", F.col("x").alias("_x"), F.lit(0.0).alias("_d")), weights(spark, d), ["mig", "segmento"], "controle")
+    rx = stored(sums.where("b >= 0 and _x is not null").select("mig", "segmento", "b", F.col("_x").alias("x")))
+    rb = rx.groupBy("mig", "b").agg(F.sum("x").alias("d"))  # a base is all its segments
     grid = rb.join(cells.select("mig", "segmento"), "mig").join(rx, ["mig", "segmento", "b"], "left")
     se = grid.groupBy("mig", "segmento").agg(F.stddev_samp(F.coalesce("x", F.lit(0.0)) / F.col("d")).alias("se"))
-    out = cells.join(base.groupBy("mig").agg(F.sum("d").alias("d")), "mig").join(se, ["mig", "segmento"])
+    out = cells.join(cells.groupBy("mig").agg(F.sum("x").alias("d")), "mig").join(se, ["mig", "segmento"])
     return out.where("n >= 20 and n_dom >= 10").select("mig", "segmento", F.round(100 * F.col("x") / F.col("d"), 4).alias("pct"), F.round(100 * F.col("se"), 4).alias("ep"), "n", "n_dom")

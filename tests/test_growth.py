@@ -1,6 +1,8 @@
 """What grows with the input stays in tasks, and sums don't depend on their order."""
 
+import hashlib
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -56,3 +58,29 @@ def test_inverted_index_shuffles_texts_once(spark, tmp_path):
     got = {r["doc_id"]: r["texto"] for r in out.collect()}
     assert got[1] == "b a b" and set(got) == {1, 2, 3}
     assert out._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1 and out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_replicates_of_all_cells_are_summed_in_one_pass(spark):
+    households = spark.range(300).select(F.col("id").alias("h"), (F.col("id") % 3).cast("string").alias("s"))
+    odd = F.when(F.col("id") == 7, F.lit(float("inf"))).when(F.col("id") % 10 == 3, None).otherwise(F.col("id") * 0.5)
+    rows = spark.range(2000).select((F.col("id") % 301).alias("h"), (F.col("id") % 7).alias("c"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), F.col("id") % 5)).alias("k"), odd.alias("_x"), F.lit(1.0).alias("_d"))
+    got = estimate.replicate_sums(rows, estimate.bootstrap_draws(households, "h", "s", 20), ["c", "k"], "h")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "explode(draws" not in plan
+    want = estimate.replicate_sums(rows, estimate.bootstrap_weights(households, "h", "s", 20), ["c", "k"], "h")
+    both = [{(r["c"], r["k"], r["b"]): [None if v is None else round(v, 6) for v in (r["_x"], r["_d"])] for r in t.collect() if (r["_x"], r["_d"]) != (None, None)} for t in (got, want)]
+    assert both[0] == both[1] and len(both[0]) > 600
+
+
+def test_draws_are_shuffled_packed(spark):
+    sizes = {"a": 1, "b": 2, "c": 1500}
+    rows = [(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)]
+    out = estimate.bootstrap_draws(spark.createDataFrame(rows, "h string, s string"), "h", "s", 5)
+    got = {(r["h"], e % estimate.DRAWN): e // estimate.DRAWN * r["scale"] for r in out.collect() for e in r["draws"]}
+    want = {("a0", b): 1.0 for b in range(5)}
+    for s, n in (("b", 2), ("c", 1500)):
+        order = sorted((h for h, t in rows if t == s), key=lambda h: (hashlib.md5(h.encode()).hexdigest(), h))
+        hits = Counter((order[int(hashlib.md5(f"1|{s}|{b}|{r}".encode()).hexdigest()[:15], 16) % n], b) for b in range(5) for r in range(1, n))
+        want |= {k: c * n / (n - 1) for k, c in hits.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
