@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,22 +57,21 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(ratio)
 
 
-def _letter_pairs(text: str) -> list[str]:
-    """Pairs of letters, each with how often it stood before, so that equal ones are told apart; a single letter is its own."""
-    seen, out = Counter(), []
-    for pair in [text] if len(text) == 1 else map("".join, zip(text, text[1:])):
-        out.append(f"{pair}#{seen[pair]}")
-        seen[pair] += 1
-    return out
+#: Letters that are counted to tell titles apart before they're compared; rare ones are counted together.
+LETTERS = [*" etaoinshrdlu", "cmgp", "wbyfkv", "xqjz"]
+#: Titles of an author and year that are one slice of their comparisons.
+SLICE = 4096
 
 
-def _letters(text: str) -> list[str]:
-    return [f"{c}#0" for c in set(text)]
+def _pieces(text: str) -> set[str]:
+    """The different stretches of four and of six letters."""
+    return {text[i : i + n] for n in (4, 6) for i in range(len(text) - n + 1)}
 
 
-def _pieces(text: str) -> set[str]:
-    """The different stretches of four letters."""
-    return {text[i : i + 4] for i in range(len(text) - 3)}
+def _word_pieces(word: str) -> set[str]:
+    """The stretches of six letters, of four for a shorter word."""
+    n = 6 if len(word) >= 6 else 4
+    return {word[i : i + n] for i in range(len(word) - n + 1)}
 
 
 def _parts(texts: DataFrame, cut) -> DataFrame:
@@ -97,44 +96,63 @@ def _rarest(owned: DataFrame, owner: str, counted: DataFrame, most: Column) -> D
     return owned.join(df, "part", "left").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(owner, "part")
 
 
+def _alike_titles(where_a: DataFrame, where_b: DataFrame, least: float) -> DataFrame:
+    """Pairs (_a, _b) of an author and year whose titles are at `least` alike or hold one another.
+
+    Quadratic in the titles of an author and year, whose comparisons are dealt in slices. An edit puts at most one letter too many
+    and one too few, so counts of letters rule most pairs out before any letter is compared; the edit distance is given up beyond its bound.
+    """
+    spark = where_a.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = lambda t, n: [(F.length(t) - F.length(F.translate(t, c, ""))).alias(f"{n}{i}") for i, c in enumerate(LETTERS)]
+    a = where_a.where("ta <> ''").select("_a", "author", "year", "ta", F.length("ta").alias("_m"), *counted("ta", "_p"))
+    b = where_b.where("tb <> ''").select("_b", "author", "year", "tb", F.length("tb").alias("_n"), *counted("tb", "_q"))
+    slices = a.groupBy("author", "year").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("_s"))
+    a = a.join(slices, ["author", "year"]).withColumn("_s", F.pmod(F.xxhash64("_a"), F.col("_s")).cast("int"))
+    b = b.join(slices, ["author", "year"]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    # Partitions by number aren't put together by their size: few bytes are much work.
+    key = ["author", "year", "_s"]
+    both = a.repartition(parts, *key).hint("merge").join(b.repartition(parts, *key), key)
+    longer = F.greatest("_m", "_n")
+    edits = F.floor(longer * (1 - least) + 1e-9).cast("int")
+    apart = F.abs(F.col("_m") - F.col("_n"))
+    for i in range(len(LETTERS)):
+        apart = apart + F.abs(F.col(f"_p{i}") - F.col(f"_q{i}"))
+    as_many = lambda n, m: reduce(Column.__and__, [F.col(f"{n}{i}") >= F.col(f"{m}{i}") for i in range(len(LETTERS))])
+    close = (apart <= 2 * edits) & (F.call_function("levenshtein", "ta", "tb", edits) >= 0)
+    held = (as_many("_p", "_q") & F.contains("ta", "tb")) | (as_many("_q", "_p") & F.contains("tb", "ta"))
+    return both.where(close | held).select("_a", "_b")
+
+
 def _candidates(left: DataFrame, right: DataFrame, least: float, coverage: float) -> DataFrame:
     """Pairs (_a, _b) that may agree: every pair that does is among them.
 
-    Titles at `least` differ by edits that spoil two numbered letter pairs each, so of one more than these, some is shared: the rarest
-    are looked up. A title that holds another has all its letter pairs: the rarest is looked up. If enough words stand in the text,
-    one of any set that is larger than what may be missing does: the longest are looked up by their rarest piece of four letters.
+    Titles of an author and year are compared. If enough words stand in the text, one of any set that is larger than what may be
+    missing does: the longest are looked up by their rarest piece of six letters (of four for shorter words).
     """
-    pairs_a, pairs_b = stored(_parts(left.select("_a", "ta"), _letter_pairs)), stored(_parts(right.select("_b", "tb"), _letter_pairs))
-    edits = F.floor(F.col("_n") * ((1 - least) / least) + 1e-9)
-    probes = _rarest(pairs_a.join(left.select("_a", "_n"), "_a"), "_a", pairs_b, 2 * edits + 1)
-    one = _rarest(pairs_b, "_b", pairs_a, F.lit(1))
-    where_a, where_b = left.select("_a", "author", F.explode(F.array(*[F.col("year") + o for o in (-1, 0, 1)])).alias("year")), right.select("_b", "author", "year")
-    # Single letters may stand in any longer title, whose letters are looked at for them.
-    letters_a, letters_b = _parts(left.select("_a", "ta"), _letters), _parts(right.select("_b", "tb"), _letters)
-    single = F.length(F.substring_index("part", "#", 1)) == 1
-    letters_b = letters_b.join(probes.where(single).select("part").distinct(), "part", "left_semi").select("_b", "part")
-    letters_a = letters_a.join(one.where(single).select("part").distinct(), "part", "left_semi").select("_a", "part")
-    by_title = where_a.join(probes, "_a").join(where_b.join(pairs_b.select("_b", "part").unionByName(letters_b).distinct(), "_b"), ["author", "year", "part"]).select("_a", "_b")
-    held = where_b.join(one, "_b").join(where_a.join(pairs_a.select("_a", "part").unionByName(letters_a).distinct(), "_a"), ["author", "year", "part"]).select("_a", "_b")
+    near = F.explode(F.array(*[F.col("year") + o for o in (-1, 0, 1)])).alias("year")
+    where_a, where_b = left.select("_a", "author", near, "ta"), right.select("_b", "author", "year", "tb")
+    by_title = _alike_titles(where_a, where_b, least)
     words = F.filter(F.split("ta", " "), lambda w: F.length(w) > 3)
     longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), F.lit(1), F.floor(F.size(words) * (1 - coverage) + 1e-9).cast("int") + 1)
     asked = left.select("_a", F.explode(longest).alias("w")).select(F.concat_ws("|", F.col("_a").cast("string"), "w.w").alias("_k"), "_a", "w.w").distinct()
     asked = stored(asked.select("_k", "_a", "w"))
-    wanted = stored(_parts(asked.select("_k", "w"), _pieces))
+    wanted = stored(_parts(asked.select("_k", "w"), _word_pieces))
     pieces = stored(_parts(right.select("_b", "text"), _pieces).join(wanted.select("part").distinct(), "part", "left_semi").select("_b", "part"))
     chosen = _rarest(wanted, "_k", pieces, F.lit(1)).join(asked.select("_k", "_a"), "_k").select("_a", "part").distinct()
-    by_text = where_a.join(chosen, "_a").join(where_b.join(pieces, "_b"), ["author", "year", "part"]).select("_a", "_b")
-    return by_title.unionByName(held).unionByName(by_text).distinct()
+    asking, asked_of = where_a.drop("ta").join(chosen, "_a"), where_b.drop("tb").join(pieces, "_b").join(chosen.select("part").distinct(), "part", "left_semi")
+    by_text = asking.join(asked_of, ["author", "year", "part"]).select("_a", "_b")
+    return by_title.unionByName(by_text).distinct()
 
 
 def verified_pairs(records: DataFrame, found: DataFrame, least: float = 0.8, coverage: float = 0.75) -> DataFrame:
     """Pairs of a record and a found one by the same author, a year apart at most, whose titles agree.
 
-    records: id, author, year, title; found: id, author, year, title, text (normalised). Author, year and a rare piece that the
-    two must share make the equi-joins; titles below `least` pass if the found text holds enough of the record's title. Null
+    records: id, author, year, title; found: id, author, year, title, text (normalised). Author and year make the equi-joins, for texts
+    also a rare piece that the two must share; titles below `least` pass if the found text holds enough of the record's title. Null
     authors, years and titles agree with nothing (a null text holds nothing).
     """
-    left = stored(records.select(F.monotonically_increasing_id().alias("_a"), F.col("id").alias("a"), "author", "year", F.col("title").alias("ta"), F.length("title").alias("_n")))
+    left = stored(records.select(F.monotonically_increasing_id().alias("_a"), F.col("id").alias("a"), "author", "year", F.col("title").alias("ta")))
     right = stored(found.select(F.monotonically_increasing_id().alias("_b"), F.col("id").alias("b"), "author", "year", F.col("title").alias("tb"), "text"))
     both = _candidates(left, right, least, coverage).join(left.select("_a", "a", "ta"), "_a").join(right.select("_b", "b", "tb", "text"), "_b").where("a <> b")
     alike, covered = title_similarity(F.col("ta"), F.col("tb")), F.coalesce(token_coverage(F.col("ta"), F.col("text")), F.lit(0.0))

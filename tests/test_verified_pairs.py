@@ -43,3 +43,16 @@ def test_verified_pairs_like_all_pairs(spark):
             if (alike or 0) >= 0.8 or cover >= 0.75:
                 want.append((a, b, alike if alike is None else round(alike, 9), round(cover, 9), "title" if (alike or 0) >= 0.8 else "text"))
     assert got == sorted(want, key=repr) and {w[4] for w in want} == {"title", "text"}
+
+
+def test_titles_are_compared_once_and_in_slices(spark, monkeypatch):
+    """A pair was met once for every letter pair that its titles share."""
+    monkeypatch.setattr(linkage, "SLICE", 16)
+    pick = random.Random(2)
+    titles = ["".join(pick.choices("etaoin shr", k=pick.randint(30, 60))) for _ in range(60)]
+    titles += [t[:7] + "x" + t[9:] for t in titles[:20]] + ["shr", "e"]
+    rows = [(i, "p", 2000, t) for i, t in enumerate(titles)]
+    a = spark.createDataFrame(rows, "_a long, author string, year int, ta string")
+    got = [tuple(r) for r in linkage._alike_titles(a, a.withColumnsRenamed({"_a": "_b", "ta": "tb"}), 0.8).collect()]
+    alike = lambda a, b: a in b or b in a or distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    assert sorted(got) == [(i, j) for i, a in enumerate(titles) for j, b in enumerate(titles) if alike(a, b)] and len(got) > 120
