@@ -4,76 +4,148 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.storage import stored
 
 
-FEW, STEP = 32, 2  # points of a cell that are compared one by one; levels of halving a round
+FEW, STEP, DEEPEST = 64, 2, 40  # points of a last cell; halvings from level to level; halvings at most
+PASS = 8  # halvings of which the points are counted at once
+BLOCKS, CELLS = (512, 16), 512  # places that are sought together, at first and for those left; last cells that such a block meets at most
+PLACE, CELL, BLOCK = ["_g", "_x", "_y"], ["_g", "_l", "_i", "_j"], ["_g", "_bl", "_bi", "_bj"]
 
 
-FEW, STEP, DEEPEST = 32, 2, 40  # points of a cell that are compared one by one; halvings a round; halvings at most
-PLACE = ["_g", "_x", "_y"]
+def _leaves(points: DataFrame, few: int) -> DataFrame:
+    """Distinct points with their last square cell, of `few` points at most unless it's at DEEPEST: level _l (halvings), _i, _j.
 
-
-def _tree(points: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Levels of a tree of square cells over distinct points, and the points by leaf.
-
-    A level: _g, _pi, _pj (the parent), _i, _j, the box of its points and whether it's a leaf, with FEW points or at DEEPEST.
+    Points are shuffled once for PASS halvings: cells of the finest of these levels are counted, and their counts added up.
     """
+    columns = points.columns
     spread = F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))
     frame = points.groupBy("_g").agg(F.min("_x").alias("_fx"), F.min("_y").alias("_fy"), spread.alias("_side"))
-    zero = F.lit(0).cast("long")
-    at = stored(points.join(frame, "_g").withColumns({c: zero for c in ("_i", "_j", "_pi", "_pj")}))
-    levels, leaves, depth = [], [], 0
+    at, done, depth, first = points.join(frame, "_g"), [], PASS, 0
     while True:
-        cells = at.groupBy("_g", "_pi", "_pj", "_i", "_j").agg(F.count("*").alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
-        level = stored(cells.withColumn("_leaf", (F.col("_n") <= FEW) | F.lit(depth >= DEEPEST)).drop("_n"))
-        levels.append(level)
-        told = stored(at.join(level.select("_g", "_i", "_j", "_leaf"), ["_g", "_i", "_j"]))
-        leaves.append(told.where("_leaf").select(*PLACE, "_o", "_i", "_j", F.lit(depth).alias("_l")))
-        if level.where("not _leaf").isEmpty():
-            return levels, reduce(DataFrame.unionByName, leaves)
-        depth += STEP
-        cell = lambda v, start: F.floor((F.col(v) - F.col(start)) / (F.col("_side") / 2**depth)).cast("long")  # noqa: B023, E731
-        at = told.where("not _leaf").drop("_leaf").withColumns({"_pi": F.col("_i"), "_pj": F.col("_j"), "_i": cell("_x", "_fx"), "_j": cell("_y", "_fy")})
+        cell = lambda v, start: F.coalesce(F.floor((F.col(v) - F.col(start)) / F.nullif(F.col("_side") / 2.0**depth, F.lit(0.0))), F.lit(0)).cast("long")  # noqa: B023, E731
+        here = at.withColumns({"_i": cell("_x", "_fx"), "_j": cell("_y", "_fy")})
+        fine, levels = here.groupBy("_g", "_i", "_j").agg(F.count("*").alias("_n")), range(first, depth + 1, STEP)
+        for d in levels:  # a window holds the cells of one that was split, 4^PASS at most
+            own = Window.partitionBy("_g", F.shiftright("_i", depth - d), F.shiftright("_j", depth - d))
+            fine = fine.withColumn(f"_n{d}", F.sum("_n").over(own))
+        level = F.coalesce(*[F.when(F.col(f"_n{d}") <= few, F.lit(d)) for d in levels], F.lit(depth if depth >= DEEPEST else None).cast("int"))
+        told = stored(here.join(fine.select("_g", "_i", "_j", level.alias("_l")), ["_g", "_i", "_j"]))
+        done.append(told.where("_l is not null").select(*columns, "_l", *[F.expr(f"shiftright({c}, {depth} - _l)").alias(c) for c in ("_i", "_j")]))
+        if depth >= DEEPEST or told.where("_l is null").isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        at, first, depth = told.where("_l is null").drop("_i", "_j", "_l"), depth + STEP, depth + PASS
+
+
+def _boxes(points: DataFrame, *cell: str) -> DataFrame:
+    return points.groupBy(*cell).agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
+
+
+def _levels(boxes: DataFrame) -> list[DataFrame]:
+    """Levels of the tree over last cells: _g, _pi, _pj (the parent), _i, _j, the box of its points and whether it's a last one."""
+    deepest, out = boxes.agg(F.max("_l")).first()[0], []
+    for d in range(0, -1 if deepest is None else deepest + 1, STEP):
+        up = boxes.where(F.col("_l") >= d).withColumns({c: F.expr(f"shiftright({c}, _l - {d})") for c in ("_i", "_j")})
+        cells = up.groupBy("_g", "_i", "_j").agg(*[f(c).alias(c) for f, c in ((F.min, "_x0"), (F.max, "_x1"), (F.min, "_y0"), (F.max, "_y1"))], (F.max("_l") == d).alias("_leaf"))
+        out.append(cells.withColumns({"_pi": F.shiftright("_i", STEP), "_pj": F.shiftright("_j", STEP)}))
+    return out
+
+
+def _length(a: Column, b: Column) -> Column:
+    return F.sqrt(F.pow(a, 2) + F.pow(b, 2))
+
+
+def _descend(blocks: DataFrame, levels: list[DataFrame], most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(BLOCK, _l, _i, _j): the last cells that may hold the nearest point of some place in a block's box; and blocks with more than `most` cells.
+
+    A block keeps the cells that begin no farther away than the far end of the nearest one.
+    """
+    boxed = blocks.withColumnsRenamed({f"_{v}{i}": f"_b{v}{i}" for v in "xy" for i in (0, 1)})
+    away = [F.greatest(F.col(f"_{v}0") - F.col(f"_b{v}1"), F.col(f"_b{v}0") - F.col(f"_{v}1"), F.lit(0.0)) for v in "xy"]
+    across = [F.greatest(F.col(f"_b{v}1") - F.col(f"_{v}0"), F.col(f"_{v}1") - F.col(f"_b{v}0")) for v in "xy"]
+    own = Window.partitionBy(*BLOCK)
+    kept, crowded = None, []
+    for i, level in enumerate(levels):
+        if kept is None:
+            met, waiting = boxed.join(level, "_g"), None
+        else:
+            waiting = kept.where("_leaf")
+            met = kept.where("not _leaf").select(*boxed.columns, F.col("_i").alias("_pi"), F.col("_j").alias("_pj")).join(level, ["_g", "_pi", "_pj"])
+        met = met.withColumns({"_l": F.lit(i * STEP), "_near": _length(*away), "_far": _length(*across)}).select(*boxed.columns, "_l", "_i", "_j", "_leaf", "_near", "_far")
+        both = met if waiting is None else waiting.unionByName(met)
+        pruned = both.withColumn("_reach", F.min("_far").over(own)).where(F.col("_near") <= F.col("_reach") * (1 + 1e-12)).drop("_reach")
+        if most is not None:
+            pruned = pruned.withColumn("_many", F.count("*").over(own) > most)
+        kept = stored(pruned)
+        if most is not None:
+            crowded.append(kept.where("_many").select(*BLOCK).distinct())
+            kept = kept.where("not _many").drop("_many")
+    return kept.select(*BLOCK, "_l", "_i", "_j"), reduce(DataFrame.unionByName, crowded) if crowded else kept.select(*BLOCK).limit(0)
+
+
+def _nearest(places: pa.Table, points: pa.Table) -> pa.Table:
+    """Each place of a block with the nearest of the points; of equally near ones with the smallest _o."""
+    points = points.take(pc.sort_indices(points, sort_keys=[("_o", "ascending")], null_placement="at_start"))
+    places = places.select(PLACE) if len(points) else places.select(PLACE).slice(0, 0)
+    (x, y), (u, v) = (places.column(c).to_numpy() for c in PLACE[1:]), (points.column(c).to_numpy() for c in ("_rx", "_ry"))
+    best, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for i in range(0, len(x), 32):
+        some = np.s_[i : i + 32]
+        d = np.sqrt((x[some, None] - u) ** 2 + (y[some, None] - v) ** 2)
+        best[some] = d.argmin(1)  # the first of equals
+        far[some] = d[np.arange(len(d)), best[some]]
+    return places.append_column("_o", points.column("_o").take(pa.array(best))).append_column("_d", pa.array(far))
 
 
 def nearest_in_group(left: DataFrame, right: DataFrame, group: str, key: str, other: str, x: str, y: str) -> DataFrame:
     """Each left row's closest right row of the same group (ties by key): group, key, other, distance. Exact.
 
-    Left places go down a tree of the right side's cells, two halvings a round. A place keeps the cells that begin no farther away
-    than the far end of the nearest one, so of a large group only a few last cells' points are compared. Equal places are sought
-    and held once. Left rows without a right row in their group, and rows with a null or NaN in group or place, are left out.
+    Both sides are cut into square cells. Left places are sought by the block: a block goes down the tree of the right side's cells, and
+    its places are compared with the points of the few last cells that are left. Blocks that would meet too many, as left places
+    stand wider apart than right points, are cut finer, at last into places. Equal places are sought and held once. Left rows
+    without a right row in their group, and rows with a null or NaN in group or place, are left out.
     """
 
     def placed(df: DataFrame, name: str, own: str) -> DataFrame:
         rows = df.select(F.col(group).alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(own).alias(name))
         return rows.where(F.col("_g").isNotNull() & F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
 
-    rows = placed(left, "_k", key)
-    levels, leaves = _tree(placed(right, "_o", other).groupBy(*PLACE).agg(F.min("_o").alias("_o")))
-    length = lambda a, b: F.sqrt(F.pow(a, 2) + F.pow(b, 2))
-    away = [F.greatest(F.col(f"{v}0") - F.col(v), F.col(v) - F.col(f"{v}1"), F.lit(0.0)) for v in ("_x", "_y")]
-    across = [F.greatest(F.abs(F.col(v) - F.col(f"{v}0")), F.abs(F.col(v) - F.col(f"{v}1"))) for v in ("_x", "_y")]
-    columns = [*PLACE, "_i", "_j", "_leaf", "_l", "_near", "_far"]
-    kept = None
-    for i, level in enumerate(levels):
-        if kept is None:
-            met, waiting = rows.select(*PLACE).distinct().join(level, "_g"), None
-        else:
-            waiting = kept.where("_leaf")
-            met = kept.where("not _leaf").select(*PLACE, F.col("_i").alias("_pi"), F.col("_j").alias("_pj")).join(level, ["_g", "_pi", "_pj"])
-        met = met.withColumns({"_l": F.lit(i * STEP), "_near": length(*away), "_far": length(*across)}).select(*columns)
-        both = met if waiting is None else waiting.unionByName(met)
-        reach = F.min("_far").over(Window.partitionBy(*PLACE))  # a place's few cells
-        kept = stored(both.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") * (1 + 1e-12)).drop("_reach"))
-    ends = leaves.select("_g", "_l", "_i", "_j", F.col("_x").alias("_rx"), F.col("_y").alias("_ry"), "_o")
-    distance = length(F.col("_x") - F.col("_rx"), F.col("_y") - F.col("_ry"))
-    best = kept.join(ends, ["_g", "_l", "_i", "_j"]).groupBy(*PLACE).agg(F.min(F.struct(distance.alias("d"), F.col("_o").alias("o"))).alias("_b"))
-    nearest = rows.join(best, PLACE).groupBy("_g", "_k").agg(F.min("_b").alias("_b"))  # a key may stand at several places
+    rows, found = placed(left, "_k", key), []
+    points = _leaves(stored(placed(right, "_o", other).groupBy(*PLACE).agg(F.min("_o").alias("_o"))), FEW)
+    points = points.withColumnsRenamed({"_x": "_rx", "_y": "_ry"})
+    boxes = stored(_boxes(points.withColumnsRenamed({"_rx": "_x", "_ry": "_y"}), *CELL))
+    levels, rest = _levels(boxes), stored(rows.select(*PLACE).distinct().join(boxes.select("_g").distinct(), "_g", "left_semi"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"{c} {t}" for c, t in [("_g", rows.schema["_g"].dataType.simpleString()), ("_x", "double"), ("_y", "double"), ("_o", points.schema["_o"].dataType.simpleString()), ("_d", "double")])
+    for few in BLOCKS:
+        places = _leaves(rest, few).withColumnsRenamed(dict(zip(CELL, BLOCK)))
+        cells, crowded = _descend(_boxes(places, *BLOCK), levels, CELLS) if levels else (None, None)
+        if cells is None:
+            break
+        # Partitions by number aren't put together by their size: few bytes are much work.
+        sent = cells.join(points, CELL).select(*BLOCK, "_rx", "_ry", "_o").repartition(parts, *BLOCK)
+        asked = places.join(crowded, BLOCK, "left_anti").select(*BLOCK, "_x", "_y").repartition(parts, *BLOCK)
+        found.append(asked.groupBy(*BLOCK).cogroup(sent.groupBy(*BLOCK)).applyInArrow(_nearest, schema))
+        rest = stored(places.join(crowded, BLOCK, "left_semi").select(*PLACE))
+        if rest.isEmpty():
+            break
+    else:
+        places = _leaves(rest, 1).withColumnsRenamed(dict(zip(CELL, BLOCK)))
+        cells, _ = _descend(_boxes(places, *BLOCK), levels, None)
+        met = places.join(cells, BLOCK).join(points, CELL)
+        distance = _length(F.col("_x") - F.col("_rx"), F.col("_y") - F.col("_ry"))
+        one = met.groupBy(*PLACE).agg(F.min(F.struct(distance.alias("d"), F.col("_o").alias("o"))).alias("_b"))
+        found.append(one.select(*PLACE, F.col("_b.o").alias("_o"), F.col("_b.d").alias("_d")))
+    best = reduce(DataFrame.unionByName, found) if found else rest.withColumns({"_o": F.lit(None).cast(points.schema["_o"].dataType), "_d": F.lit(0.0)})
+    # A key may stand at several places.
+    nearest = rows.join(best, PLACE).groupBy("_g", "_k").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_o").alias("o"))).alias("_b"))
     return nearest.select(F.col("_g").alias(group), F.col("_k").alias(key), F.col("_b.o").alias(other), F.col("_b.d").alias("distance"))
 
 

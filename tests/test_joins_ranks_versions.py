@@ -35,6 +35,24 @@ def test_nearest_equals_brute_force(spark):
     assert joins.nearest_in_group(spark.createDataFrame(left, POINTS), none.withColumnRenamed("k", "o"), "g", "k", "o", "x", "y").count() == 0
 
 
+def test_nearest_by_blocks_of_any_size(spark, monkeypatch):
+    """Places were sent down the tree one by one, with all the cells in question."""
+    rng = random.Random(6)
+    right = [("a", i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(900)] + [("a", 900 + i, 0.5, 0.5) for i in range(9)]
+    left = [("a", i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(600)] + [("a", 600 + i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(60)]
+    a, b = spark.createDataFrame(left, POINTS), spark.createDataFrame(right, POINTS).withColumnRenamed("k", "o")
+    want = {k: min((math.sqrt((x - u) ** 2 + (y - v) ** 2), o) for _, o, u, v in right) for _, k, x, y in left}
+    calls = []
+    descend = joins._descend
+    monkeypatch.setattr(joins, "_descend", lambda blocks, levels, most: calls.append(blocks.count()) or descend(blocks, levels, most))
+    for few, blocks, cells in ((64, (512, 16), 512), (4, (64, 8), 60)):
+        monkeypatch.setattr(joins, "FEW", few), monkeypatch.setattr(joins, "BLOCKS", blocks), monkeypatch.setattr(joins, "CELLS", cells)
+        calls.clear()
+        got = {r["k"]: (r["distance"], r["o"]) for r in joins.nearest_in_group(a, b, "g", "k", "o", "x", "y").collect()}
+        assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+        assert calls[0] < 100 and len(calls) == (1 if few == 64 else 3)
+
+
 def _holds(ring, x, y):
     odd = False
     for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
