@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,11 +14,42 @@ from .graph import components
 from .quantiles import quantiles
 
 PLACE = ["year", "row", "col"]
+SIDE = 64  # rows and columns of a tile of observations
+
+
+def _medians(bands: list[str]):
+    def medians(table: pa.Table) -> pa.Table:
+        keys = [x for c in PLACE for x in (table.column(c).is_null().to_numpy(), table.column(c).fill_null(0).to_numpy())]
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        out, counts = table.select(PLACE).take(pa.array(order[new])), []
+        for c in bands:
+            known = ~table.column(c).is_null().to_numpy()
+            value, own = table.column(c).to_numpy()[known], group[known]
+            value, n = value[np.lexsort((value, own))], np.bincount(own, minlength=len(out))
+            start, some = np.cumsum(n) - n, n > 0
+            low, high = (value[(start + i)[some]] for i in ((n - 1) // 2, n // 2))
+            median = np.zeros(len(n))
+            median[some] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+            out = out.append_column(c, pa.array(median, mask=~some))
+            counts.append(n)
+        return out.append_column("n_obs", pa.array(counts[0]))
+
+    return medians
 
 
 def composite(obs: DataFrame, bands: list[str]) -> DataFrame:
-    """Median of each band and the observations by pixel and year; the count is that of the first band."""
-    return obs.groupBy(*PLACE).agg(*[F.median(b).alias(b) for b in bands], F.count(bands[0]).alias("n_obs"))
+    """Median of each band and the observations by pixel and year; the count is that of the first band.
+
+    Observations meet in small tiles, where all medians of a band come from one sort. All bands named are computed.
+    """
+    placed = obs.select(*PLACE, *[F.col(b).cast("double").alias(b) for b in bands])
+    tile = [F.floor(F.col("row") / SIDE), F.floor(F.col("col") / SIDE), "year"]  # rows first: their sort tells most apart
+    kinds = ", ".join([f"{c} {placed.schema[c].dataType.simpleString()}" for c in PLACE] + [f"{b} double" for b in bands] + ["n_obs long"])
+    return placed.groupBy(*tile).applyInArrow(_medians(bands), kinds)
 
 
 def gap_fill(grid: DataFrame, band: str, least: int, reach: int = 3) -> DataFrame:

@@ -16,16 +16,16 @@ _FLAG = _GRID + ", f as (select year, row, col, red > 26 flag from grid) "
 _MASK = _GRID + ", m as (select distinct year, row, col from grid where red > 30) "
 
 
-def grid(spark, d):
-    return P.composite(pixels(spark, d), ["red", "nir", "swir", "green"])
+def grid(spark, d, *bands):
+    return P.composite(pixels(spark, d), list(bands) or ["red", "nir", "swir", "green"])
 
 
 def flags(spark, d):
-    return grid(spark, d).select("year", "row", "col", (F.col("red") > 26).alias("flag"))
+    return grid(spark, d, "red").select("year", "row", "col", (F.col("red") > 26).alias("flag"))
 
 
 def mask(spark, d):
-    return grid(spark, d).where("red > 30").select("year", "row", "col")
+    return grid(spark, d, "red").where("red > 30").select("year", "row", "col")
 
 
 @query("r01_quality_mask", WITH + "select year, count(*) n, count(*) filter ((qa & 3) = 0) clear, round(avg(case when (qa & 3) = 0 and red between 1 and 40 then red * 0.02 - 0.1 end), 6) refl from pixels group by year")
@@ -285,13 +285,13 @@ _LABELS = _GRID + """, pos as (select year, row + i as row, col + j as col from
   union all select year, row, col, 0 from grid where not coalesce(nir > 60, false) and not exists (from near p where p.year = grid.year and p.row = grid.row and p.col = grid.col)) """
 
 
-def labels(spark, d):
-    return C.reference_labels(grid(spark, d), F.col("red") > 15, F.col("red") > 38, F.col("nir") > 60, 1)
+def labels(g):
+    return C.reference_labels(g, F.col("red") > 15, F.col("red") > 38, F.col("nir") > 60, 1)
 
 
 @query("r13_reference_labels", _LABELS + "select * from lab")
 def r13(spark, d):
-    return labels(spark, d)
+    return labels(stored(grid(spark, d, "red", "nir")))  # read four times
 
 
 @query("r13_stable", _GRID + "select row, col, min(red > 20) as class from grid group by row, col having min(red > 20) = max(red > 20) and count(distinct year) = 7")
@@ -314,7 +314,7 @@ FEATURES = ["nir", "swir", "green"]
 
 def _forest(spark, d):
     g = stored(grid(spark, d))
-    return g, stored(labels(spark, d).join(g, ["year", "row", "col"]))
+    return g, stored(labels(g).join(g, ["year", "row", "col"]))
 
 
 @query("r16_forest_metrics")
@@ -336,7 +336,7 @@ def r17(spark, d):
  + "select year, count(*) filter (pow(row - 10, 2) + pow(col - 20, 2) <= 100) perto, count(*) n from (select *, count(*) over (partition by year, patch) z from k) where z >= 3 group by year")
 def r25b(spark, d):
     """The mask above a threshold found by the histogram (and a margin), without small patches; its pixels within a radius."""
-    g = stored(grid(spark, d))
+    g = stored(grid(spark, d, "red"))
     at = P.otsu(g, "red", 64, 0.0, 50.0)  # one row
     over = g.crossJoin(F.broadcast(at)).where(F.col("red") > F.col("threshold") + 6).select("year", "row", "col")
     near = F.pow(F.col("row") - 10, 2) + F.pow(F.col("col") - 20, 2) <= 100

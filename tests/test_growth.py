@@ -84,3 +84,17 @@ def test_draws_are_shuffled_packed(spark):
         want |= {k: c * n / (n - 1) for k, c in hits.items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_composite_is_one_pass_without_object_aggregates(spark):
+    """Medians by pixel were aggregates of objects, sorted by each of many pixels."""
+    pick = random.Random(4)
+    odd = [None, 0.0, -1.5, float("nan"), float("inf"), 1e300]
+    rows = [(pick.choice([None, 1990, 1991]), pick.choice([None, -70, -1, 0, 63, 64]), pick.randrange(3), pick.choice(odd + [pick.random()] * 6), pick.choice([None, 1, 2, 7])) for _ in range(600)]
+    rows += [(1995, 9, 9, None, None)]
+    obs = spark.createDataFrame(rows, "year int, row int, col int, a double, b int")
+    out = pixels.composite(obs, ["a", "b"])
+    want = obs.groupBy("year", "row", "col").agg(F.median("a").alias("a"), F.median("b").alias("b"), F.count("a").alias("n_obs"))
+    assert out.dtypes == want.dtypes
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
