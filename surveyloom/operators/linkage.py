@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import recode as R
 from ..sources.storage import stored
+from . import titles
 from .graph import components
 
 
@@ -57,107 +59,73 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(ratio)
 
 
-#: Letters that are counted to tell titles apart before they're compared; rare ones are counted together.
-LETTERS = [*" etaoinshrdlu", "cmgp", "wbyfkv", "xqjz"]
-#: Titles of an author and year that are one slice of their comparisons.
-SLICE = 4096
+#: Rows of an author and year, and letters of their titles and texts, that are one slice of their comparisons.
+SLICE, SLICE_LETTERS = 4096, 1 << 23
+#: Letters of titles that a task returns at a time.
+RETURNED = 1 << 23
 
 
-def _pieces(text: str) -> set[str]:
-    """The different stretches of four and of six letters."""
-    return {text[i : i + n] for n in (4, 6) for i in range(len(text) - n + 1)}
+def _met(least: float, coverage: float | None):
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        left = table.column("_left").to_numpy()
+        a, b = (table.filter(pa.array(side)).combine_chunks() for side in (left, ~left))
+        if not a.num_rows or not b.num_rows:
+            return
+        ta, tb = a.column("title").to_pylist(), b.column("title").to_pylist()
+        long_a, long_b = (np.array([len(t or "") for t in ts], np.int64) for ts in (ta, tb))
+        for i, j, share in titles.meet(ta, tb, b.column("text").to_pylist(), least, coverage):
+            cuts = np.flatnonzero(np.diff(np.cumsum(long_a[i] + long_b[j] + 64) // RETURNED)) + 1
+            for x, y in zip([0, *cuts], [*cuts, i.size]):
+                at_a, at_b = pa.array(i[x:y]), pa.array(j[x:y])
+                columns = [t.column(c).take(k).combine_chunks() for t, k, c in ((a, at_a, "_a"), (b, at_b, "_b"), (a, at_a, "title"), (b, at_b, "title"))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(share[x:y])], names=["_a", "_b", "ta", "tb", "coverage"])
 
+    return met
 
-def _word_pieces(word: str) -> set[str]:
-    """The stretches of six letters, of four for a shorter word."""
-    n = 6 if len(word) >= 6 else 4
-    return {word[i : i + n] for i in range(len(word) - n + 1)}
 
+def _meeting(where_a: DataFrame, where_b: DataFrame, least: float, coverage: float | None) -> DataFrame:
+    """Pairs (_a, _b) of an author and year with titles ta and tb that may agree (all that do, and few others), and the share of
+    the words of ta that the text holds.
 
-def _parts(texts: DataFrame, cut) -> DataFrame:
-    """(first column, part): every part that `cut` makes of the second column's texts."""
-    key = texts.columns[0]
-
-    def parts(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = [list(cut(t)) if t else [] for t in some.column(1).to_pylist()]
-                keys = pa.array(some.column(0).to_pylist(), some.column(0).type).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([p for f in found for p in f], pa.string())], names=[key, "part"])
-
-    return texts.mapInArrow(parts, f"`{key}` {texts.schema[0].dataType.simpleString()}, part string")
-
-
-def _rarest(owned: DataFrame, owner: str, counted: DataFrame, most: Column) -> DataFrame:
-    """(owner, part): of each owner's parts the `most` that the fewest counted ones have."""
-    df = counted.groupBy("part").agg(F.count("*").alias("_df"))
-    order = Window.partitionBy(owner).orderBy(F.coalesce("_df", F.lit(0)), "part")  # an owner's parts
-    return owned.join(df, "part", "left").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(owner, "part")
+    Quadratic in the rows of an author and year: slices of both sides meet in a task each, where titles and words are looked up.
+    """
+    parts = int(where_a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["author", "year"]
+    known = F.col("author").isNotNull() & F.col("year").isNotNull()
+    a, b = where_a.where(known & (F.col("ta") != "")), where_b.where(known)
+    # Rows and letters bound what a task holds.
+    slices = lambda *texts: F.ceil(F.least(F.count("*"), F.greatest(F.count("*") / SLICE, F.sum(reduce(Column.__add__, [F.coalesce(F.length(t), F.lit(0)) for t in texts])) / SLICE_LETTERS))).cast("int")
+    both = a.groupBy(key).agg(slices("ta").alias("_m")).join(b.groupBy(key).agg(slices("tb", "text").alias("_n")), key)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kind_a, kind_b = where_a.schema["_a"].dataType, where_b.schema["_b"].dataType
+    sent_a = a.join(both, key).select(*key, own("_a", "_m").alias("_i"), each("_n").alias("_j"), F.lit(True).alias("_left"), "_a", F.lit(None).cast(kind_b).alias("_b"), F.col("ta").alias("title"), F.lit(None).cast("string").alias("text"))
+    sent_b = b.join(both, key).select(*key, each("_m").alias("_i"), own("_b", "_n").alias("_j"), F.lit(False).alias("_left"), F.lit(None).cast(kind_a).alias("_a"), "_b", F.col("tb").alias("title"), "text")
+    # Partitions by number aren't put together by their size: few bytes are much work.
+    sent = sent_a.unionByName(sent_b).repartition(parts, *key, "_i", "_j")
+    return sent.groupBy(*key, "_i", "_j").applyInArrow(_met(least, coverage), f"_a {kind_a.simpleString()}, _b {kind_b.simpleString()}, ta string, tb string, coverage double")
 
 
 def _alike_titles(where_a: DataFrame, where_b: DataFrame, least: float) -> DataFrame:
-    """Pairs (_a, _b) of an author and year whose titles are at `least` alike or hold one another.
-
-    Quadratic in the titles of an author and year, whose comparisons are dealt in slices. An edit puts at most one letter too many
-    and one too few, so counts of letters rule most pairs out before any letter is compared; the edit distance is given up beyond its bound.
-    """
-    spark = where_a.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = lambda t, n: [(F.length(t) - F.length(F.translate(t, c, ""))).alias(f"{n}{i}") for i, c in enumerate(LETTERS)]
-    a = where_a.where("ta <> ''").select("_a", "author", "year", "ta", F.length("ta").alias("_m"), *counted("ta", "_p"))
-    b = where_b.where("tb <> ''").select("_b", "author", "year", "tb", F.length("tb").alias("_n"), *counted("tb", "_q"))
-    slices = a.groupBy("author", "year").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("_s"))
-    a = a.join(slices, ["author", "year"]).withColumn("_s", F.pmod(F.xxhash64("_a"), F.col("_s")).cast("int"))
-    b = b.join(slices, ["author", "year"]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    # Partitions by number aren't put together by their size: few bytes are much work.
-    key = ["author", "year", "_s"]
-    both = a.repartition(parts, *key).hint("merge").join(b.repartition(parts, *key), key)
-    longer = F.greatest("_m", "_n")
-    edits = F.floor(longer * (1 - least) + 1e-9).cast("int")
-    apart = F.abs(F.col("_m") - F.col("_n"))
-    for i in range(len(LETTERS)):
-        apart = apart + F.abs(F.col(f"_p{i}") - F.col(f"_q{i}"))
-    as_many = lambda n, m: reduce(Column.__and__, [F.col(f"{n}{i}") >= F.col(f"{m}{i}") for i in range(len(LETTERS))])
-    close = (apart <= 2 * edits) & (F.call_function("levenshtein", "ta", "tb", edits) >= 0)
-    held = (as_many("_p", "_q") & F.contains("ta", "tb")) | (as_many("_q", "_p") & F.contains("tb", "ta"))
-    return both.where(close | held).select("_a", "_b")
-
-
-def _candidates(left: DataFrame, right: DataFrame, least: float, coverage: float) -> DataFrame:
-    """Pairs (_a, _b) that may agree: every pair that does is among them.
-
-    Titles of an author and year are compared. If enough words stand in the text, one of any set that is larger than what may be
-    missing does: the longest are looked up by their rarest piece of six letters (of four for shorter words).
-    """
-    near = F.explode(F.array(*[F.col("year") + o for o in (-1, 0, 1)])).alias("year")
-    where_a, where_b = left.select("_a", "author", near, "ta"), right.select("_b", "author", "year", "tb")
-    by_title = _alike_titles(where_a, where_b, least)
-    words = F.filter(F.split("ta", " "), lambda w: F.length(w) > 3)
-    longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), F.lit(1), F.floor(F.size(words) * (1 - coverage) + 1e-9).cast("int") + 1)
-    asked = left.select("_a", F.explode(longest).alias("w")).select(F.concat_ws("|", F.col("_a").cast("string"), "w.w").alias("_k"), "_a", "w.w").distinct()
-    asked = stored(asked.select("_k", "_a", "w"))
-    wanted = stored(_parts(asked.select("_k", "w"), _word_pieces))
-    pieces = stored(_parts(right.select("_b", "text"), _pieces).join(wanted.select("part").distinct(), "part", "left_semi").select("_b", "part"))
-    chosen = _rarest(wanted, "_k", pieces, F.lit(1)).join(asked.select("_k", "_a"), "_k").select("_a", "part").distinct()
-    asking, asked_of = where_a.drop("ta").join(chosen, "_a"), where_b.drop("tb").join(pieces, "_b").join(chosen.select("part").distinct(), "part", "left_semi")
-    by_text = asking.join(asked_of, ["author", "year", "part"]).select("_a", "_b")
-    return by_title.unionByName(by_text).distinct()
+    """Pairs (_a, _b) of an author and year whose titles are at `least` alike or hold one another; texts don't count."""
+    met = _meeting(where_a, where_b.withColumn("text", F.lit(None).cast("string")), least, None)
+    return met.where(title_similarity(F.col("ta"), F.col("tb")) >= least).select("_a", "_b")
 
 
 def verified_pairs(records: DataFrame, found: DataFrame, least: float = 0.8, coverage: float = 0.75) -> DataFrame:
     """Pairs of a record and a found one by the same author, a year apart at most, whose titles agree.
 
-    records: id, author, year, title; found: id, author, year, title, text (normalised). Author and year make the equi-joins, for texts
-    also a rare piece that the two must share; titles below `least` pass if the found text holds enough of the record's title. Null
+    records: id, author, year, title; found: id, author, year, title, text (normalised). Author and year make the blocks;
+    titles below `least` pass if the found text holds enough of the record's title (`token_coverage`). Null
     authors, years and titles agree with nothing (a null text holds nothing).
     """
-    left = stored(records.select(F.monotonically_increasing_id().alias("_a"), F.col("id").alias("a"), "author", "year", F.col("title").alias("ta")))
-    right = stored(found.select(F.monotonically_increasing_id().alias("_b"), F.col("id").alias("b"), "author", "year", F.col("title").alias("tb"), "text"))
-    both = _candidates(left, right, least, coverage).join(left.select("_a", "a", "ta"), "_a").join(right.select("_b", "b", "tb", "text"), "_b").where("a <> b")
-    alike, covered = title_similarity(F.col("ta"), F.col("tb")), F.coalesce(token_coverage(F.col("ta"), F.col("text")), F.lit(0.0))
-    scored = both.select("a", "b", alike.alias("similarity"), covered.alias("coverage"))
-    return scored.where((F.col("similarity") >= least) | (F.col("coverage") >= coverage)).withColumn("by", F.when(F.col("similarity") >= least, "title").otherwise("text"))
+    near = F.explode(F.array(*[F.col("year") + o for o in (-1, 0, 1)])).alias("year")
+    left = stored(records.select(F.col("id").alias("_a"), "author", "year", F.col("title").alias("ta")))
+    right = stored(found.select(F.col("id").alias("_b"), "author", "year", F.col("title").alias("tb"), "text"))
+    both = _meeting(left.select("_a", "author", near, "ta"), right, least, coverage).where("_a <> _b")
+    scored = both.select(F.col("_a").alias("a"), F.col("_b").alias("b"), title_similarity(F.col("ta"), F.col("tb")).alias("similarity"), "coverage")
+    return scored.where((F.col("coverage") >= coverage) | (F.col("similarity") >= least)).withColumn("by", F.when(F.col("similarity") >= least, "title").otherwise("text"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
