@@ -60,7 +60,7 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 
 #: Rows of an author and year, and letters of their titles and texts, that are one slice of their comparisons.
-SLICE, SLICE_LETTERS = 4096, 1 << 23
+SLICE, SLICE_LETTERS = 4096, 1 << 20
 #: Letters of titles that a task returns at a time.
 RETURNED = 1 << 23
 

@@ -8,12 +8,12 @@ from itertools import chain
 
 import numpy as np
 
-#: Pairs that are looked at together, shared stretches that are counted together, and pairs whose edits are counted together.
-CELLS, PIECE, LANES = 1 << 18, 1 << 18, 256
+#: Pairs that are looked at together, shared stretches that are counted together, pairs whose edits are counted together, and their letters.
+CELLS, PIECE, LANES, LETTERS = 1 << 18, 1 << 18, 256, 1 << 20
 #: An odd number that spreads bits, and the bits of a stretch's code. Two stretches of one code are told apart in the end.
 SPREAD, BITS = np.uint64(0x9E3779B97F4A7C15), 20
 #: Before any place, beyond any number of edits, no letter.
-NEVER, FAR, NONE = -(1 << 40), 1 << 30, np.uint32(0xFFFFFFFF)
+NEVER, FAR, NONE = -(1 << 40), np.int32(1 << 29), np.uint32(0xFFFFFFFF)
 
 
 def _lengths(texts: list[str]) -> np.ndarray:
@@ -81,10 +81,12 @@ def _within(ta: list[str], tb: list[str], may: np.ndarray) -> np.ndarray:
     """Bool by pair: whether it's at most `may` edits apart. Only the diagonals that so few edits can reach are computed."""
     out = np.zeros(len(ta), bool)
     m, n = _lengths(ta), _lengths(tb)
-    order = np.argsort(m, kind="stable")
-    for x in range(0, len(ta), LANES):
+    order, x = np.argsort(m, kind="stable"), 0
+    while x < order.size:
         own = order[x : x + LANES]
-        p, q, most = m[own], n[own], may[own]
+        own = own[: max(1, LETTERS // max(1, int(m[own[-1]])))]
+        x += own.size
+        p, q, most = (k[own].astype(np.int32) for k in (m, n, may))
         low, wide, rows = -((p - q + most) // 2), int(most.max()) + 1, int(p.max())
         a, b = np.full((rows, own.size), NONE), np.full((rows + wide, own.size), NONE)
         lane = np.arange(own.size)
@@ -92,26 +94,24 @@ def _within(ta: list[str], tb: list[str], may: np.ndarray) -> np.ndarray:
         place, letters, of = _spread(-low, q - low), _letters([tb[k] for k in own]), np.repeat(lane, q)
         fits = (place >= 0) & (place < rows + wide)
         b[place[fits], of[fits]] = letters[fits]
-        step = np.arange(wide)[:, None]
+        step = np.arange(wide, dtype=np.int32)[:, None]
         now = low + step
         now = np.where(now < 0, FAR, now)
-        for i in range(rows):
+        for i in range(rows + 1):
             ended = np.flatnonzero(p == i)
             if ended.size:
-                out[own[lane[ended]]] = now[(q - p - low)[ended], ended] <= most[ended]
+                out[own[ended]] = now[(q - p - low)[ended], ended] <= most[ended]
             if i % 8 == 0:
-                on = (p > i) & (now.min(axis=0) <= most)
+                # From here on it takes an edit a diagonal to get to where the titles end.
+                on = (p > i) & ((now + np.abs(q - p - low - step)).min(axis=0) <= most)
                 if not on.any():
                     break
                 if not on.all():
                     own, p, q, most, low, a, b, now = own[on], p[on], q[on], most[on], low[on], a[:, on], b[:, on], now[:, on]
-                    lane = np.arange(own.size)
-            next_ = now + (b[i : i + wide] != a[i])
-            next_[:-1] = np.minimum(next_[:-1], now[1:] + 1)
-            now = np.minimum.accumulate(next_ - step, axis=0) + step
-        else:
-            ended = np.flatnonzero(p == rows)
-            out[own[ended]] = now[(q - p - low)[ended], ended] <= most[ended]
+            if i < rows:
+                here = now + (b[i : i + wide] != a[i])
+                here[:-1] = np.minimum(here[:-1], now[1:] + 1)
+                now = np.minimum.accumulate(here - step, axis=0) + step
     return out
 
 
@@ -162,7 +162,9 @@ def near(ta: list[str], tb: list[str], least: float, grams) -> Iterator[tuple[np
         x = y
         if found and (x == m.size or sum(i.size for i, _, _ in found) > 64 * LANES):
             i, j, may = map(np.concatenate, zip(*found))
-            some, found = _within([ta[k] for k in i], [tb[k] for k in j], may), []
+            other = np.array([k for k, (u, v) in enumerate(zip(i.tolist(), j.tolist())) if ta[u] != tb[v]], np.int64)
+            i, j, may, found = i[other], j[other], may[other], []
+            some = _within([ta[k] for k in i], [tb[k] for k in j], may)
             yield i[some], j[some]
 
 
