@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +58,7 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(ratio)
 
 
-#: Rows of an author and year, and letters of their titles and texts, that are one slice of their comparisons.
+#: Rows of an author and year, and letters of their titles (an eighth of those of their texts), that are one slice of their comparisons.
 SLICE, SLICE_LETTERS = 4096, 1 << 20
 #: Letters of titles that a task returns at a time.
 RETURNED = 1 << 23
@@ -94,9 +93,10 @@ def _meeting(where_a: DataFrame, where_b: DataFrame, least: float, coverage: flo
     key = ["author", "year"]
     known = F.col("author").isNotNull() & F.col("year").isNotNull()
     a, b = where_a.where(known & (F.col("ta") != "")), where_b.where(known)
-    # Rows and letters bound what a task holds.
-    slices = lambda *texts: F.ceil(F.least(F.count("*"), F.greatest(F.count("*") / SLICE, F.sum(reduce(Column.__add__, [F.coalesce(F.length(t), F.lit(0)) for t in texts])) / SLICE_LETTERS))).cast("int")
-    both = a.groupBy(key).agg(slices("ta").alias("_m")).join(b.groupBy(key).agg(slices("tb", "text").alias("_n")), key)
+    # Rows and letters bound what a task holds: a title's letters take much more room there than a text's.
+    letters = lambda c, share: F.coalesce(F.sum(F.length(c)), F.lit(0)) / (SLICE_LETTERS * share)
+    slices = lambda n: F.ceil(F.least(F.count("*"), F.greatest(F.count("*") / SLICE, n))).cast("int")
+    both = a.groupBy(key).agg(slices(letters("ta", 1)).alias("_m")).join(b.groupBy(key).agg(slices(letters("tb", 1) + letters("text", 8)).alias("_n")), key)
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kind_a, kind_b = where_a.schema["_a"].dataType, where_b.schema["_b"].dataType
